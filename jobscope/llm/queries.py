@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import pack_documents
 from .ring_sharding import shard_documents
 from .workspace import table
 
@@ -14,8 +15,13 @@ def op7_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ring_sharding": op7_ring_sharding,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
