@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import find_contaminated
 from .packing import pack_documents
 from .ring_sharding import shard_documents
 from .workspace import table
@@ -19,9 +20,28 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ring_sharding": op7_ring_sharding,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: A document's and an item's distinct five-word shingles, as in words.shingles.
+_SHINGLES = """
+  SELECT id, text, w, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s
+  FROM (SELECT {id} AS id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM {table}) WHERE len(w) > 0"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_benchmark_decontamination": f"""
+WITH d AS (SELECT DISTINCT id AS doc_id, s FROM ({_SHINGLES.format(id="doc_id", table="documents")})),
+b AS (SELECT DISTINCT id AS item_id, s FROM ({_SHINGLES.format(id="item_id", table="benchmark")})),
+n AS (SELECT item_id, count(*) AS size FROM b GROUP BY item_id)
+SELECT doc_id, item_id, CAST(shared AS INTEGER) AS shared, CAST(size AS INTEGER) AS size, shared / size AS containment
+FROM (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (s) GROUP BY doc_id, item_id) JOIN n USING (item_id)
+WHERE shared >= ceil(0.8 * size - 1e-9)""",
+}
