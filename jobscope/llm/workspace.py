@@ -6,11 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from jobscope.shipping import ship
+
 #: Used only where the session names no folder, as in tests.
 DEFAULT_FOLDER = "/tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
