@@ -10,6 +10,7 @@ from .dart_minhash import near_duplicate_classes
 from .decontamination import find_contaminated
 from .packing import pack_documents
 from .ring_sharding import shard_documents
+from .toxicity import toxicity_of_documents
 from .workspace import table
 
 
@@ -17,6 +18,10 @@ def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_dart_minhash": op5_dart_minhash,
+    "op6_conv_toxicity": op6_conv_toxicity,
     "op7_ring_sharding": op7_ring_sharding,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
