@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .dart_minhash import near_duplicate_classes
 from .decontamination import find_contaminated
 from .packing import pack_documents
+from .pii import pseudonymize
 from .ring_sharding import shard_documents
 from .toxicity import toxicity_of_documents
 from .workspace import table
 
 
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(table(spark, sf_dir, "documents"))
+
+
 def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op5_dart_minhash": op5_dart_minhash,
     "op6_conv_toxicity": op6_conv_toxicity,
     "op7_ring_sharding": op7_ring_sharding,
