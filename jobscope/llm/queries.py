@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .dart_minhash import near_duplicate_classes
 from .decontamination import find_contaminated
+from .language_id import identify_languages
 from .packing import pack_documents
 from .pii import pseudonymize
 from .ring_sharding import shard_documents
@@ -15,6 +16,10 @@ from .toxicity import toxicity_of_documents
 from .workspace import table
 
 
+def op3_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_hyperdimensional_language": op3_hyperdimensional_language,
     "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op5_dart_minhash": op5_dart_minhash,
     "op6_conv_toxicity": op6_conv_toxicity,
