@@ -4,11 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from jobscope.llm.dart_minhash import keep_one_of_each
+from jobscope.llm.decontamination import remove_contaminated
+from jobscope.llm.packing import pack_documents
+from jobscope.llm.pii import replace_private
+from jobscope.llm.toxicity import fit_toxicity, remove_toxic
 from jobscope.llm.workspace import stored, table
 
-STAGES: list = []
 
-#: No stage but the filters can be said in SQL; tests hold the pipeline against a brute-force version.
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier predicts toxic go. It learns from the rows of ``docs`` that have labels."""
+    return remove_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays, the one with the smallest doc_id."""
+    return keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that contain a benchmark item go."""
+    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay; personal data in their texts is replaced by pseudonyms, and n_chars follows."""
+    return replace_private(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
+
+#: The trained, hashed and tokenizing stages can't be said in SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
