@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .dart_minhash import near_duplicate_classes
 from .decontamination import find_contaminated
 from .language_id import identify_languages
+from .nra_topk import search_embeddings
 from .packing import pack_documents
 from .pii import pseudonymize
 from .ring_sharding import shard_documents
@@ -16,6 +17,10 @@ from .toxicity import toxicity_of_documents
 from .workspace import table
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op3_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_exact_top_k": op2_exact_top_k,
     "op3_hyperdimensional_language": op3_hyperdimensional_language,
     "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op5_dart_minhash": op5_dart_minhash,
@@ -61,6 +67,13 @@ _SHINGLES = """
   FROM (SELECT {id} AS id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM {table}) WHERE len(w) > 0"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
     "op10_benchmark_decontamination": f"""
 WITH d AS (SELECT DISTINCT id AS doc_id, s FROM ({_SHINGLES.format(id="doc_id", table="documents")})),
 b AS (SELECT DISTINCT id AS item_id, s FROM ({_SHINGLES.format(id="item_id", table="benchmark")})),
