@@ -12,11 +12,17 @@ from .language_id import identify_languages
 from .nra_topk import search_embeddings
 from .packing import pack_documents
 from .pii import pseudonymize
+from .quality import score_quality
 from .ring_sharding import shard_documents
 from .toxicity import toxicity_of_documents
+from .url_filter import judge_urls
 from .workspace import table
 
 
+def op1_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_embeddings(table(spark, sf_dir, "embeddings"))
 
@@ -41,6 +47,10 @@ def op7_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -50,12 +60,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hierarchical_quality": op1_hierarchical_quality,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_hyperdimensional_language": op3_hyperdimensional_language,
     "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op5_dart_minhash": op5_dart_minhash,
     "op6_conv_toxicity": op6_conv_toxicity,
     "op7_ring_sharding": op7_ring_sharding,
+    "op8_url_filter": op8_url_filter,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
