@@ -119,7 +119,7 @@ def past_p80(n: int, p: float, include_current: bool) -> Column:
     """Nearest-rank percentile of the n runs before (or up to) each run of its signature."""
     w = W.partitionBy("signature").orderBy("finished_at", "job_id").rowsBetween(-n + int(include_current), int(include_current) - 1)
     seen = F.sort_array(F.collect_list("vram_mb").over(w))
-    return F.try_element_at(seen, F.ceil(F.size(seen) * F.lit(p)).cast("int"))
+    return F.get(seen, F.ceil(F.size(seen) * F.lit(p)).cast("int") - 1)
 
 
 def estimate_backtest(peaks: DataFrame, n: int = 10, percents: tuple[int, ...] = (50, 80, 95)) -> DataFrame:

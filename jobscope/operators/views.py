@@ -90,7 +90,7 @@ def display_rows(jobs: DataFrame, hist: DataFrame, now: Column) -> DataFrame:
     """What a status table shows: place, runtime, memory (current, else peak, else ~estimate) and ETA."""
 
     def memory(current: str, peak: str, estimate: str) -> Column:
-        gb = lambda c: F.format_string("%.1fG", F.col(c) / F.lit(1024.0))
+        gb = lambda c: F.format_string("%.1fG", F.floor((F.col(c) * 10 + 512) / 1024) / F.lit(10.0))
         return (
             F.when((F.col("status") == "running") & (F.col(current) > 0), gb(current))
             .when(F.col(peak) > 0, gb(peak)).when(F.col(estimate) > 0, F.concat(F.lit("~"), gb(estimate))).otherwise("-")

@@ -104,7 +104,7 @@ _SHOWN = f"SELECT *, CASE WHEN job_id % 3 = 0 THEN eta_seconds END AS eta, {_DUC
 query("flt8_eta_display", f"SELECT job_id, {_DUCK_ETA_TEXT} AS eta_text FROM ({_SHOWN})")(lambda t: views.eta_display(_some_eta(t.timed()), t.ewma(), NOW).select("job_id", "eta_text"))
 query("flt6_display_rows", f"""SELECT job_id, status, concat(node, ':GPU', CAST(gpu_idx AS VARCHAR)) AS place,
   CASE WHEN status = 'running' THEN {_duck_duration('el')} ELSE '-' END AS runtime,
-  CASE WHEN peak_vram_mb > 0 THEN printf('%.1fG', peak_vram_mb / 1024.0) ELSE '-' END AS vram, CASE WHEN peak_ram_mb > 0 THEN printf('%.1fG', peak_ram_mb / 1024.0) ELSE '-' END AS ram,
+  CASE WHEN peak_vram_mb > 0 THEN printf('%.1fG', floor((peak_vram_mb * 10 + 512) / 1024) / 10.0) ELSE '-' END AS vram, CASE WHEN peak_ram_mb > 0 THEN printf('%.1fG', floor((peak_ram_mb * 10 + 512) / 1024) / 10.0) ELSE '-' END AS ram,
   {_DUCK_ETA_TEXT} AS eta_text FROM ({_SHOWN})""")(lambda t: views.display_rows(_some_eta(t.timed()), t.ewma(), NOW))
 query("src5_tail_lines", "SELECT job_id, seq, line FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM log_v) WHERE rn <= 20")(lambda t: views.tail_lines(t.log, 20))
 query("src7_split_retention", f"SELECT job_id, finished_at FROM ({TIMED}) WHERE finished_at < TIMESTAMP '1998-01-01' - INTERVAL 7 DAYS")(lambda t: views.split_retention(t.timed(), F.lit("1998-01-01").cast("timestamp"))[0].select("job_id", "finished_at"))
@@ -237,7 +237,7 @@ query("chk3_diagnose_terminal", f"""WITH f AS (SELECT job_id, bool_or(contains(l
 query("chk6_illegal_transitions", "SELECT event_id, job_id, before, after FROM (SELECT event_id, job_id, lag(status) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS before, status AS after FROM job_events_v) WHERE before <> after AND concat(before, '>', after) NOT IN (" + ", ".join(f"'{a}>{b}'" for a, b in failures.TRANSITIONS) + ")")(lambda t: failures.illegal_transitions(t.job_events))
 query("chk7_unknown_spells", """WITH m AS (SELECT job_id, ts, event_id, status IN ('queued', 'launching') AS u, lead(ts) OVER w AS nx, lag(status IN ('queued', 'launching')) OVER w AS pu FROM job_events_v WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)),
   k AS (SELECT *, sum(CASE WHEN u AND NOT coalesce(pu, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS k FROM m)
-  SELECT job_id, min(ts) AS started, count(*) AS count, arg_max(nx, event_id) AS resolved, CAST(floor(epoch(arg_max(nx, event_id))) - floor(epoch(min(ts))) AS BIGINT) AS lasted_s FROM k WHERE u GROUP BY job_id, k""")(
+  SELECT job_id, min(ts) AS started, count(*) AS count, arg_max_null(nx, event_id) AS resolved, CAST(floor(epoch(arg_max_null(nx, event_id))) - floor(epoch(min(ts))) AS BIGINT) AS lasted_s FROM k WHERE u GROUP BY job_id, k""")(
     lambda t: failures.unknown_spells(t.job_events.select("job_id", "ts", F.col("event_id").alias("seq"), F.when(F.col("status").isin("queued", "launching"), "unknown").otherwise("alive").alias("state")))
 )
 query("chk8_cooldown_filter")(lambda t: failures.cooldown_filter(t.job_events, "job_id", 1800).select("event_id", "job_id", "ts"))
