@@ -37,7 +37,7 @@ def _letters() -> np.ndarray:
 def letter_vectors(codes: np.ndarray, dim: int = DIM) -> np.ndarray:
     """The random vector of each code point, the same in every process: (len(codes), dim) of +1 and -1."""
     seeds = mix(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    blocks = [mix(seeds + np.uint64(k + 1) * np.uint64(0xD1342543DE82EF95)) for k in range(dim // 64)]
+    blocks = [mix(seeds + np.uint64((k + 1) * 0xD1342543DE82EF95 % 2**64)) for k in range(dim // 64)]
     bits = np.unpackbits(np.stack(blocks, axis=1).view(np.uint8), axis=1)
     return (bits.astype(np.float32) * 2 - 1).reshape(len(codes), dim)
 

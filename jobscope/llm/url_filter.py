@@ -25,6 +25,7 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 #: The trees are fitted to about so many labelled URLs, if there are more; statistics use all of them.
 MAX_TRAINING_ROWS = 20_000
 BUCKETS = 1024
+LEXICAL = 12
 KEYS = ("last_label", "last_two", "segment", "extension")
 BINS, DEPTH, TREES, RATE = 32, 3, 40, 0.2
 
@@ -152,7 +153,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_
     rates = np.full(len(KEYS) * BUCKETS, base)
     rates[stats["key"]] = (stats["blocked"] + 10 * base) / (stats["n"] + 10)
     sample = labelled.filter(bounded("url", total, max_rows)).toPandas().sort_values(["url", "y"], kind="stable")
-    x = np.array([lexical(u, h, p, rates) for u, h, p in zip(sample["url"], sample["host"], sample["path"])]).reshape(len(sample), -1)
+    x = np.array([lexical(u, h, p, rates) for u, h, p in zip(sample["url"], sample["host"], sample["path"])]).reshape(len(sample), LEXICAL + len(KEYS))
     model = fit_trees(x, sample["y"].to_numpy(dtype=float))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,0 +1,267 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import collections
+import random
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from jobscope.llm import dart_minhash, decontamination, language_id, nra_topk, packing, pii, quality, ring_sharding, toxicity, url_filter
+from jobscope.llm.words import shingles, words
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, rank int, _n int, shard string, same string, id string, site int"
+LONG = " ".join(f"word{i % 977}x{i % 13}" for i in range(30_000))
+
+
+def prose(rng, n, stem="w"):
+    return " ".join(f"{stem}{rng.randrange(400)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(1)
+    texts = [prose(rng, rng.randrange(5, 120)) for _ in range(60)]
+    for t in list(texts[:12]):  # near copies: one word in forty changed
+        w = t.split()
+        texts.append(" ".join("zzz" if i % 40 == 20 else x for i, x in enumerate(w)))
+    texts += [texts[3], texts[3].upper() + "!", texts[5], "", None, "...", "...", LONG, LONG + " tail", "one two"]
+    rows = [(i, t, rng.choice(["en", "de", None]), rng.choice(["a", "b", None]), len(t or ""), "s", 1, 2, "x", "y", "z", 0) for i, t in enumerate(texts)]
+    rows += [rows[3], (None, texts[4], None, None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark, docs):
+    ids = [r[0] for r in docs.select("doc_id").collect()]
+    return spark.createDataFrame([(i, int((i or 0) % 3 > 0), int((i or 0) % 4 == 0)) for i in ids] + [(1, None, None)], "doc_id long, quality int, toxic int")
+
+
+def nothing(df):
+    return df.filter("false")
+
+
+def test_classes(spark, docs):
+    d = docs.toPandas()
+    got = dart_minhash.near_duplicate_classes(docs).toPandas()
+    assert len(got) == len(d)
+    rows = [(i, t) for i, t in zip(d["doc_id"], d["text"]) if i == i and i is not None]
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = [(i, set(shingles(words(t)).tolist()), t) for i, t in rows]
+    for a, (i, s, t) in enumerate(sets):
+        for j, u, v in sets[:a]:
+            if (s and u and len(s & u) >= 0.8 * len(s | u)) or (t is not None and t == v):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    known = got.dropna(subset=["doc_id"])
+    assert {int(a): int(b) for a, b in zip(known["doc_id"], known["class_id"])} == {int(i): int(find(i)) for i, _ in rows}
+    kept = dart_minhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r[0] for r in kept.filter("doc_id is not null").select("doc_id").collect()) == sorted({int(find(i)) for i, _ in rows})
+    assert dart_minhash.near_duplicate_classes(nothing(docs)).count() == 0 and dart_minhash.keep_one_of_each(nothing(docs)).count() == 0
+
+
+def test_signatures_estimate_weighted_jaccard():
+    rng = np.random.default_rng(2)
+    e, w = dart_minhash.mix(rng.integers(0, 2**60, 200).astype(np.uint64)), 1 + 2 * rng.random(200)
+    v = w * rng.choice([1, 0.5, 0.01], 200)
+    s = dart_minhash.dart_signatures([(e, w), (e, v), (e[:1], w[:1])], 1500)
+    assert abs((s[0] == s[1]).mean() - np.minimum(w, v).sum() / np.maximum(w, v).sum()) < 0.05
+    assert (dart_minhash.dart_signatures([(e, v)], 1500)[0] == s[1]).all()
+
+
+def test_a_crowded_band_loses_no_class(spark):
+    """Many documents that share most of a passage, among them pairs of near copies."""
+    rng = random.Random(4)
+    passage = prose(rng, 60, "p").split()
+    texts = []
+    for _ in range(40):
+        own = prose(rng, 22, "o").split()
+        texts += [" ".join(passage + own), " ".join(passage + own[:-1] + ["zz"])]
+    got = dart_minhash.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    of = dict(zip(got["doc_id"], got["class_id"]))
+    assert all(of[2 * i] == of[2 * i + 1] for i in range(40)) and len(set(of.values())) == 40
+
+
+def test_containment(spark, docs):
+    rng = random.Random(9)
+    d = docs.toPandas()
+    items = [(0, d["text"][7][:150]), (1, prose(rng, 30)), (2, "one two"), (3, None), (4, ""), (5, "word1x1 word2x2 word3x3 word4x4 word5x5 word6x6 word7x7"), (5, "word1x1 word2x2 word3x3 word4x4 word5x5 word6x6 word7x7")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["item_id"], r["shared"]) for r in decontamination.find_contaminated(docs, bench).collect())
+    want = []
+    for i, t in zip(d["doc_id"], d["text"]):
+        s = set(shingles(words(t)).tolist())
+        for k, q in dict(items).items():
+            u = set(shingles(words(q)).tolist())
+            if u and len(s & u) >= 0.8 * len(u):
+                want.append((int(i) if i == i else -1, k, len(s & u)))
+    assert got == sorted(want) and want
+    clean = decontamination.remove_contaminated(docs, bench)
+    dirty = {i for i, _, _ in want}
+    assert sorted(r[0] for r in clean.select("doc_id").collect() if r[0] is not None) == sorted(int(i) for i in d["doc_id"].dropna() if int(i) not in dirty)
+    assert decontamination.find_contaminated(docs, nothing(bench)).count() == 0 and decontamination.remove_contaminated(docs, nothing(bench)).count() == docs.count()
+
+
+def test_packing(docs):
+    d = docs.toPandas()
+    p = packing.pack_documents(docs).toPandas().sort_values(["sequence_id", "offset"])
+    g = p.groupby("sequence_id")
+    assert (p["offset"] == g["length"].cumsum() - p["length"]).all() and g["length"].sum().max() <= 1024
+    assert p["sequence_id"].nunique() <= -(-p["length"].sum() // 1024) + 2
+    want = collections.Counter()
+    for i, t in zip(d["doc_id"], d["text"]):
+        ids = np.array([*packing._encoders(None, None)[0].encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        for k, (s, n) in enumerate(packing.cut_points(len(ids), 1024)):
+            want[(None if i != i else int(i), k, s, n, zlib.crc32(ids[s : s + n].tobytes()))] += 1
+    assert collections.Counter((None if r.doc_id != r.doc_id else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in p.itertuples()) == want
+    assert packing.pack_documents(nothing(docs)).count() == 0
+
+
+def test_reduction_never_needs_more():
+    def least(sizes, capacity):
+        best = [len(sizes)]
+
+        def go(k, room):
+            if len(room) >= best[0]:
+                return
+            if k == len(sizes):
+                best[0] = len(room)
+                return
+            for r in sorted(set(room)):
+                if r >= sizes[k]:
+                    rest = list(room)
+                    rest.remove(r)
+                    go(k + 1, [*rest, r - sizes[k]])
+            go(k + 1, [*room, capacity - sizes[k]])
+
+        go(0, [])
+        return best[0]
+
+    rng = random.Random(6)
+    for _ in range(150):
+        capacity = rng.choice([10, 17, 30])
+        sizes = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 9))), reverse=True)
+        fixed, rest = packing.dominance_reduction(collections.Counter(sizes), capacity)
+        left = sorted((s for s, n in rest.items() for _ in range(n)), reverse=True)
+        assert sum(n for _, n in fixed) + least(left, capacity) == least(sizes, capacity)
+
+
+def test_pseudonyms(docs, spark):
+    text = "call +1 (988) 555-2485, pay 4539 1488 0343 6467 or 4539148803436468, on 2021-02-28 not 2021-02-30, 01/13/2000, 10.0.0.1 300.1.1.1 a.b@x.org DE89370400440532013000"
+    new, spans = pii.pseudonymized(text, "k")
+    assert [k for _, _, k in spans] == ["phone", "card", "date", "date", "address", "email", "iban"]
+    assert "4539148803436468" in new and "2021-02-30" in new and "300.1.1.1" in new and "555-2485" not in new
+    assert pii.pseudonymized(new, "k", inverse=True)[0] == text and pii.pseudonymized(text, "other")[0] != new
+    card = "".join(c for c in new[spans[1][0] : spans[1][1]] if c.isdigit())
+    assert pii.luhn(card[:-1]) == card[-1]
+    assert sorted(pii.permuted(i, 1000, "k", "t") for i in range(1000)) == list(range(1000))
+    out = pii.pseudonymize(docs.limit(0).unionByName(docs)).toPandas()
+    assert len(out) == docs.count() and pii.pseudonymize(nothing(docs)).count() == 0
+    one = spark.createDataFrame([(1, "a.b@x.org", 9), (2, None, None), (3, "see a.b@x.org", 13)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r for r in pii.replace_private(one).collect()}
+    assert got[3]["text"] == "see " + got[1]["text"] and got[2]["text"] is None and got[3]["n_chars"] == len(got[3]["text"])
+
+
+def test_shards(docs, spark):
+    for df in (docs, spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))):
+        p = ring_sharding.shard_documents(df).toPandas()
+        n = len(p)
+        counts = p.groupby("shard")["slot"].agg(["size", "max", "nunique"])
+        assert counts["size"].sum() == df.count() == n and counts["size"].max() - (counts["size"].min() if len(counts) == 40 else 0) <= 1
+        assert (counts["max"] + 1 == counts["size"]).all() and (counts["nunique"] == counts["size"]).all()
+    r = ring_sharding.shard_documents(spark.createDataFrame([(1, "é"), (2, None)], "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert r["size"].to_dict() == {1: 18, 2: 16} and r["text_crc32"].to_dict() == {1: zlib.crc32("é".encode()), 2: 0}
+    assert ring_sharding.shard_documents(nothing(docs)).count() == 0
+
+
+def test_most_keys_stay_where_the_ring_puts_them(spark):
+    """Bounded loads move only what overflows: most keys are on the owner of their position."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    placed = ring_sharding.assign_shards(df, "doc_id")
+    owner = ring_sharding.ring_cells(spark, 40, 64).select("pos", F.col("shard").alias("owner"))
+    at = placed.withColumn("pos", F.pmod(F.xxhash64("doc_id"), F.lit(ring_sharding.RING))).join(owner, "pos")
+    assert at.filter("shard = owner").count() > 0.8 * 20_000
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.2, (300, 16)).astype(np.float32)
+    x[50:90] = x[40]  # ties
+    rows = [(i, [float(c) for c in v], 1.0) for i, v in enumerate(x)] + [(300, None, 0.0), (301, [1.0, None], 0.0), (302, [float("nan")] * 16, 0.0), (303, [], 0.0), (304, [float("inf")], 0.0), (5, [float(c) for c in x[5]], 1.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score double")
+    got = nra_topk.search_embeddings(df).toPandas()
+    v = np.floor(64 * x.astype(np.float64)).astype(int)
+    ids = [*range(300), 303]
+    v = np.concatenate([v, np.zeros((1, 16), int)])
+    want = []
+    for q in range(0, 300, 20):
+        best = sorted((-int(v[q] @ v[k]), i) for k, i in enumerate(ids) if i != q)[:20]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got[["query_id", "rank", "vec_id", "score"]].itertuples(index=False))) == want
+    assert nra_topk.search_embeddings(nothing(df)).count() == 0
+    assert nra_topk.search_embeddings(df.filter("vec_id in (0, 1)")).count() == 1
+
+
+def test_languages(spark, docs):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["the", "thing", "other", "with"] if i % 2 else ["der", "nicht", "über", "und"]) for _ in range(20)), "en" if i % 2 else "de") for i in range(200)]
+    rows += [(900, None, "en"), (901, "123 ...", "de"), (902, "", None)]
+    got = language_id.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas().set_index("doc_id")
+    assert all(got.loc[i, "lang_pred"] == lang for i, _, lang in rows[:200]) and got["score"].between(0, 1).all()
+    assert (got.loc[[900, 901, 902], "lang_pred"] == "und").all()
+    assert got["held_out"].to_dict() == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows}
+    assert language_id.identify_languages(docs).count() == docs.count() and language_id.identify_languages(nothing(docs)).count() == 0
+    # the bundle is the sum of the bound vectors, letter by letter
+    a, b, c = language_id.letter_vectors(np.array([32, 97, 98]))
+    want = np.roll(a, 2) * np.roll(b, 1) * c + np.roll(b, 2) * np.roll(c, 1) * a
+    assert np.allclose(language_id.text_vectors(["Ab"])[0], want)
+
+
+def test_toxicity(spark, docs, labels):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 60) + (f" nasty{rng.randrange(3)} " if i % 4 == 0 else " ") + prose(rng, 60)) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    got = toxicity.toxicity_of_documents(df, marks).toPandas()
+    out = got[got["held_out"]]
+    assert ((out["doc_id"] % 4 == 0) == (out["predicted"] == 1)).mean() > 0.95
+    assert toxicity.toxicity_of_documents(docs, labels).count() == docs.count()
+    model = toxicity.fit_toxicity(docs, nothing(labels))
+    assert toxicity.score_toxicity(nothing(docs), model).count() == 0 and toxicity.remove_toxic(docs, model).columns == docs.columns
+
+
+def test_quality(spark, docs, labels):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 50) if i % 5 else "### $$$ %%% " * 20, "good" if i % 2 else "bad", None) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    marks = spark.createDataFrame([(i, int(i % 5 > 0 and (i % 2 > 0 or i % 3 > 0))) for i in range(0, 400)], "doc_id long, quality int")
+    got = quality.score_quality(df, marks).toPandas().set_index("doc_id")
+    assert all(got.loc[i, "keep"] == 0 for i in range(0, 400, 5)) and got["score"].between(0, 1).all()
+    rates = got["site_rate"].groupby([r[2] for r in rows]).first()
+    assert rates["good"] > rates["bad"]
+    assert quality.score_quality(docs, labels).count() == docs.count() and quality.score_quality(nothing(docs), labels).count() == 0
+    assert (quality.score_quality(docs, nothing(labels)).toPandas()["score"].sub(0.5).abs() < 1e-9).all()
+
+
+def test_urls(spark):
+    urls = ["http://A.org/", "http://a.org", "https://x.Example.org/es/1?q", "https://example.org/en/12", "https://example.org/en/2", "http://a.com/fr/", "http://b.com/de/x#y", "http://c.net/de/", None, "junk", "http://", "a://b://c/d"]
+    df = spark.createDataFrame([(i, u, "<p>", "s") for i, u in enumerate(urls)] + [(0, urls[0], "", "")], "page_id long, url string, html string, score string")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(df).collect()}
+    assert [got[i]["rule"] for i in range(12)] == ["org/", None, "example.org/es/", "example.org/en/1", "org/", "com/fr/", "com/de/", None, None, None, None, None]
+    assert [got[i]["verdict"] for i in (0, 2, 3, 4, 5, 6)] == ["allow", "block", "block", "allow", "allow", "block"]
+    assert (got[11]["host"], got[11]["path"]) == ("b:", "//c/d") and (got[8]["host"], got[8]["path"]) == ("", "")
+    assert all(r["verdict"] in ("allow", "block") for r in got.values())
+    assert url_filter.judge_urls(nothing(df)).count() == 0
+    rng = np.random.default_rng(1)
+    x = rng.random((2000, 16))
+    y = ((x[:, 2] > 0.5) ^ (x[:, 5] > 0.3)).astype(float)
+    assert ((url_filter.fit_trees(x, y).margin(x) > 0) == (y > 0)).mean() > 0.97
