@@ -14,7 +14,11 @@ from jobscope.shipping import ship
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-NOW = F.lit("1998-08-02 00:00:00").cast("timestamp")
+
+def now() -> Column:
+    return F.lit("1998-08-02 00:00:00").cast("timestamp")
+
+
 DUCK_NOW = "TIMESTAMP '1998-08-02 00:00:00'"
 
 
@@ -82,7 +86,7 @@ query("flt9_sort_by_vram", "SELECT job_id, peak_vram_mb FROM jobs_v ORDER BY pea
 query("flt10_queue_head", "SELECT job_id, project, queue_pos FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END, submitted_at, job_id) AS queue_pos FROM jobs_v WHERE status = 'queued') WHERE queue_pos <= 5")(lambda t: views.queue_head(t.jobs, 5).select("job_id", "project", "queue_pos"))
 _DUCK_ELAPSED = f"CASE WHEN status = 'running' THEN CAST(epoch({DUCK_NOW}) - epoch(started_at) AS BIGINT) END"
 query("flt11_eta_sort_seconds", f"SELECT job_id, CASE WHEN eta_seconds > 0 AND job_id % 3 = 0 THEN eta_seconds WHEN status = 'running' THEN CASE WHEN {_DUCK_ELAPSED} < dur_s_ewma THEN dur_s_ewma - {_DUCK_ELAPSED} END WHEN status = 'queued' THEN dur_s_ewma END AS eta_sort FROM ({TIMED}) LEFT JOIN ({EWMA}) USING (signature)")(
-    lambda t: views.eta_sort_seconds(_some_eta(t.timed()), t.ewma(), NOW).select("job_id", "eta_sort")
+    lambda t: views.eta_sort_seconds(_some_eta(t.timed()), t.ewma(), now()).select("job_id", "eta_sort")
 )
 
 
@@ -101,11 +105,11 @@ _DUCK_ETA_TEXT = f"""CASE WHEN eta > 0 THEN concat('~', {_duck_duration('eta')},
   WHEN status = 'queued' THEN CASE WHEN dur_s_ewma IS NULL THEN '?' ELSE concat('~', {_duck_duration('dur_s_ewma')}) END
   ELSE {_duck_duration('dur_s')} END"""
 _SHOWN = f"SELECT *, CASE WHEN job_id % 3 = 0 THEN eta_seconds END AS eta, {_DUCK_ELAPSED} AS el FROM ({TIMED}) LEFT JOIN ({EWMA}) USING (signature)"
-query("flt8_eta_display", f"SELECT job_id, {_DUCK_ETA_TEXT} AS eta_text FROM ({_SHOWN})")(lambda t: views.eta_display(_some_eta(t.timed()), t.ewma(), NOW).select("job_id", "eta_text"))
+query("flt8_eta_display", f"SELECT job_id, {_DUCK_ETA_TEXT} AS eta_text FROM ({_SHOWN})")(lambda t: views.eta_display(_some_eta(t.timed()), t.ewma(), now()).select("job_id", "eta_text"))
 query("flt6_display_rows", f"""SELECT job_id, status, concat(node, ':GPU', CAST(gpu_idx AS VARCHAR)) AS place,
   CASE WHEN status = 'running' THEN {_duck_duration('el')} ELSE '-' END AS runtime,
   CASE WHEN peak_vram_mb > 0 THEN printf('%.1fG', floor((peak_vram_mb * 10 + 512) / 1024) / 10.0) ELSE '-' END AS vram, CASE WHEN peak_ram_mb > 0 THEN printf('%.1fG', floor((peak_ram_mb * 10 + 512) / 1024) / 10.0) ELSE '-' END AS ram,
-  {_DUCK_ETA_TEXT} AS eta_text FROM ({_SHOWN})""")(lambda t: views.display_rows(_some_eta(t.timed()), t.ewma(), NOW))
+  {_DUCK_ETA_TEXT} AS eta_text FROM ({_SHOWN})""")(lambda t: views.display_rows(_some_eta(t.timed()), t.ewma(), now()))
 query("src5_tail_lines", "SELECT job_id, seq, line FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM log_v) WHERE rn <= 20")(lambda t: views.tail_lines(t.log, 20))
 query("src7_split_retention", f"SELECT job_id, finished_at FROM ({TIMED}) WHERE finished_at < TIMESTAMP '1998-01-01' - INTERVAL 7 DAYS")(lambda t: views.split_retention(t.timed(), F.lit("1998-01-01").cast("timestamp"))[0].select("job_id", "finished_at"))
 query("src8_cap_history", f"SELECT job_id, signature FROM ({RUNS}) WHERE signature IN (SELECT signature FROM ({RUNS}) GROUP BY signature ORDER BY max(finished_at) DESC, signature LIMIT 500)")(lambda t: views.cap_history(t.runs()).select("job_id", "signature"))
@@ -152,13 +156,13 @@ query("log8_progress", f"SELECT job_id, pr.c AS current, pr.t AS total FROM ({_S
 _EL = f"greatest(1.0, CAST(epoch({DUCK_NOW}) - epoch(started_at) AS DOUBLE))"
 _RATE = f"CASE WHEN pr.c >= 1 THEN CAST(trunc(greatest(0.0, (pr.t - pr.c) / (pr.c / {_EL}))) AS BIGINT) END"
 _PAST = f"CASE WHEN dur_s_ewma > 0 THEN CAST(trunc(greatest(0.0, dur_s_ewma - {_EL})) AS BIGINT) END"
-query("log9_estimate_eta", f"SELECT job_id, coalesce(remaining, inl, {_RATE}, {_PAST}, 0) AS eta_s, CASE WHEN remaining IS NOT NULL THEN 'bar' WHEN inl IS NOT NULL THEN 'inline' WHEN {_RATE} IS NOT NULL THEN 'rate' WHEN {_PAST} IS NOT NULL THEN 'history' ELSE 'none' END AS tier FROM ({_SIGNALS}) LEFT JOIN ({EWMA}) USING (signature)")(lambda t: logs.estimate_eta(t.log, t.timed(), t.ewma(), NOW))
+query("log9_estimate_eta", f"SELECT job_id, coalesce(remaining, inl, {_RATE}, {_PAST}, 0) AS eta_s, CASE WHEN remaining IS NOT NULL THEN 'bar' WHEN inl IS NOT NULL THEN 'inline' WHEN {_RATE} IS NOT NULL THEN 'rate' WHEN {_PAST} IS NOT NULL THEN 'history' ELSE 'none' END AS tier FROM ({_SIGNALS}) LEFT JOIN ({EWMA}) USING (signature)")(lambda t: logs.estimate_eta(t.log, t.timed(), t.ewma(), now()))
 _EL0 = f"greatest(0.0, CAST(epoch({DUCK_NOW}) - epoch(started_at) AS DOUBLE))"
 query("log10_project_runtime", f"""WITH s AS (SELECT *, coalesce(remaining, inl) AS said, {_EL0} AS el, CASE WHEN pr.c > 0 AND {_EL0} > 0 THEN {_EL0} / pr.c END AS u FROM ({_SIGNALS})),
   q AS (SELECT *, coalesce(CAST(trunc(el + said) AS BIGINT), CAST(trunc(u * pr.t) AS BIGINT)) AS tot FROM s)
   SELECT job_id, CASE WHEN remaining IS NOT NULL THEN 'bar' WHEN inl IS NOT NULL THEN 'inline' ELSE 'rate' END AS source,
   CASE WHEN said IS NOT NULL THEN said ELSE CAST(trunc(greatest(0.0, tot - el)) AS BIGINT) END AS eta_s, tot AS total_s, pr.c AS current, pr.t AS total_units,
-  CASE WHEN said IS NOT NULL THEN tot / pr.t ELSE u END AS unit_s FROM q WHERE said IS NOT NULL OR u IS NOT NULL""")(lambda t: logs.project_runtime(t.log, t.timed(), NOW))
+  CASE WHEN said IS NOT NULL THEN tot / pr.t ELSE u END AS unit_s FROM q WHERE said IS NOT NULL OR u IS NOT NULL""")(lambda t: logs.project_runtime(t.log, t.timed(), now()))
 query("log13_extract_flags", "SELECT job_id, f.flag AS flag, f.value AS value FROM (SELECT job_id, unnest([{'flag': 'seed', 'value': regexp_extract(cmd, 'seed ([0-9]+)', 1)}, {'flag': 'max_iters', 'value': regexp_extract(cmd, 'max_iters ([0-9]+)', 1)}]) AS f FROM jobs_v)")(lambda t: logs.extract_flags(t.jobs))
 
 # history
@@ -270,11 +274,11 @@ query("cap4_best_slot", f"SELECT job_id, s.node AS node, s.gpu_idx AS gpu_idx FR
 query("cap5_blocked_summary", f"SELECT reason, node, count(DISTINCT job_id) AS jobs FROM (SELECT job_id, node, unnest(reasons) AS reason FROM ({_FIT})) GROUP BY reason, node")(lambda t: capacity.blocked_summary(capacity.fit_matrix(_asking(t), t.gpus)))
 query("cap6_effective_free", f"""WITH c AS (SELECT *, job_id % 3 AS cpu, job_id % 50 AS ram, peak_vram_mb % 20 AS vram FROM jobs_v WHERE status = 'running' AND job_id % 3 > 0 AND epoch({DUCK_NOW}) - epoch(submitted_at) <= 200000000), n AS (SELECT node, sum(cpu) AS a, sum(ram) AS b FROM c GROUP BY node), g AS (SELECT node, gpu_idx, sum(vram) AS d FROM c GROUP BY node, gpu_idx)
   SELECT node, gpu_idx, CAST(greatest(0, free_cpu - coalesce(a, 0)) AS BIGINT) AS free_cpu, CAST(greatest(0, free_ram_mb - coalesce(b, 0)) AS BIGINT) AS free_ram_mb, CAST(greatest(0, total_mb - used_mb - coalesce(d, 0)) AS BIGINT) AS free_vram_mb FROM gpus_v LEFT JOIN n USING (node) LEFT JOIN g USING (node, gpu_idx)""")(
-    lambda t: capacity.effective_free(t.gpus, t.jobs.filter("status = 'running'").select("node", "gpu_idx", (F.col("job_id") % 3).alias("cpu"), (F.col("job_id") % 50).alias("ram_mb"), (F.col("peak_vram_mb") % 20).alias("vram_mb"), F.col("submitted_at").alias("claimed_at"), F.when(F.col("job_id") % 3 == 0, F.col("job_id")).alias("pid")), NOW, 200_000_000)
+    lambda t: capacity.effective_free(t.gpus, t.jobs.filter("status = 'running'").select("node", "gpu_idx", (F.col("job_id") % 3).alias("cpu"), (F.col("job_id") % 50).alias("ram_mb"), (F.col("peak_vram_mb") % 20).alias("vram_mb"), F.col("submitted_at").alias("claimed_at"), F.when(F.col("job_id") % 3 == 0, F.col("job_id")).alias("pid")), now(), 200_000_000)
 )
 query("cap8_eviction_candidates", f"SELECT node, gpu_idx, job_id FROM (SELECT node, gpu_idx, count(*) AS n, arg_max(job_id, (eta_seconds, job_id)) AS job_id FROM ({TIMED}) JOIN (SELECT node, gpu_idx FROM gpus_v WHERE used_mb >= floor(total_mb / 3) + 512) USING (node, gpu_idx) WHERE status = 'running' GROUP BY node, gpu_idx) WHERE n >= 2")(lambda t: capacity.eviction_candidates(t.gpus, t.timed()))
 query("cap7_older_blockers", f"""SELECT job_id, b.j AS blocker_id FROM (SELECT job_id, min(CASE WHEN can THEN {{'t': submitted_at, 'j': job_id}} END) OVER (PARTITION BY node ORDER BY submitted_at, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT j.*, cpu_cores <= free_cpu OR epoch({DUCK_NOW}) - epoch(submitted_at) > 150000000 AS can FROM jobs_v j JOIN (SELECT DISTINCT node, free_cpu FROM gpus_v) USING (node) WHERE status = 'queued')) WHERE b IS NOT NULL""")(
-    lambda t: capacity.older_blockers(t.jobs.filter("status = 'queued'").join(t.gpus.select("node", "free_cpu").distinct(), "node").select("job_id", "node", F.col("submitted_at").alias("ts"), F.col("cpu_cores").alias("cpu"), "free_cpu"), NOW, 150_000_000)
+    lambda t: capacity.older_blockers(t.jobs.filter("status = 'queued'").join(t.gpus.select("node", "free_cpu").distinct(), "node").select("job_id", "node", F.col("submitted_at").alias("ts"), F.col("cpu_cores").alias("cpu"), "free_cpu"), now(), 150_000_000)
 )
 _LOAD = f"SELECT node, CAST(coalesce(sum(CASE WHEN status = 'running' AND length(node) > 5 THEN eta_seconds END), 0) AS BIGINT) AS eta_load FROM (SELECT DISTINCT node FROM gpus_v) LEFT JOIN ({TIMED}) USING (node) GROUP BY node"
 query("cap9_rebalance_candidates", f"WITH l AS ({_LOAD}), t AS (SELECT eta_load AS tl, node AS target FROM l WHERE eta_load < 600 ORDER BY eta_load, node LIMIT 1) SELECT l.node AS source, target, job_id FROM l JOIN t ON l.eta_load > 2 * tl AND l.eta_load > 600 JOIN (SELECT node, arg_max(job_id, (eta_seconds, job_id)) AS job_id FROM ({TIMED}) WHERE status = 'running' AND eta_seconds >= 300 GROUP BY node) b ON b.node = l.node")(
