@@ -161,7 +161,9 @@ def peak_concurrency(jobs: DataFrame) -> DataFrame:
     return concurrency_timeline(jobs).groupBy("node").agg(F.max("running").alias("peak"))
 
 
-def minute_rollup(samples: DataFrame, width: str = "60 seconds") -> DataFrame:
-    """node, minute, max_vram_mb, avg_ram_mb, jobs of each minute; for a stream, put a watermark on ts first."""
-    rows = samples.groupBy("node", F.window("ts", width).alias("w")).agg(F.max("vram_mb").alias("max_vram_mb"), F.avg("ram_mb").alias("avg_ram_mb"), F.approx_count_distinct("job_id", 0.01).alias("jobs"))
-    return rows.select("node", F.col("w.start").alias("minute"), "max_vram_mb", F.round("avg_ram_mb", 3).alias("avg_ram_mb"), "jobs")
+def minute_rollup(samples: DataFrame, width: str = "60 seconds", exact: bool = True) -> DataFrame:
+    """node, minute, max_vram_mb, sum_ram_mb, jobs of each minute. Streams can't count distinct jobs exactly: ``exact=False``
+    takes a sketch of 1 % for that."""
+    jobs = F.countDistinct("job_id") if exact else F.approx_count_distinct("job_id", 0.01)
+    rows = samples.groupBy("node", F.window("ts", width).alias("w")).agg(F.max("vram_mb").alias("max_vram_mb"), F.sum("ram_mb").alias("sum_ram_mb"), jobs.alias("jobs"))
+    return rows.select("node", F.col("w.start").alias("minute"), "max_vram_mb", "sum_ram_mb", "jobs")

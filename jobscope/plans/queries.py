@@ -292,5 +292,46 @@ query("cap11_assign_shards", """WITH w AS (SELECT node, max(free_cpu) AS weight
 query("cap12_concurrency", f"WITH e AS (SELECT node, submitted_at AS ts, 1 AS d, job_id FROM ({RUNS}) UNION ALL SELECT node, finished_at, -1, job_id FROM ({RUNS})) SELECT node, CAST(max(r) AS BIGINT) AS peak FROM (SELECT node, sum(d) OVER (PARTITION BY node ORDER BY ts, d, job_id ROWS UNBOUNDED PRECEDING) AS r FROM e) GROUP BY node")(lambda t: capacity.peak_concurrency(t.runs().withColumn("started_at", F.col("submitted_at"))))
 
 
+# the rest: seeds, walltimes, trial logs, audits, and the batch twin of the rollup
+
+query("agg3_legacy_seed", f"SELECT signature, job_id, vram_mb FROM ({RUNS}) WHERE project = 'BUILDING' UNION ALL SELECT signature, -1, min(peak_vram_mb) FROM jobs_v WHERE signature NOT IN (SELECT signature FROM ({RUNS}) WHERE project = 'BUILDING') GROUP BY signature")(
+    lambda t: history.legacy_seed(t.runs().filter("project = 'BUILDING'"), t.jobs.groupBy("signature").agg(F.min("peak_vram_mb").alias("vram_mb"))).select("signature", "job_id", "vram_mb")
+)
+
+
+def _runtimes(t: Tables) -> DataFrame:
+    """runtime_key, total_s of the runs with some of the commands."""
+    runs = t.runs().filter("cmd LIKE '%00' AND cmd NOT LIKE '%max_iters 3%'")
+    return runs.select(integrity.runtime_key(runs).alias("runtime_key"), F.col("dur_s").alias("total_s"))
+
+
+def _keyed(jobs: DataFrame) -> DataFrame:
+    return jobs.withColumn("runtime_key", integrity.runtime_key(jobs))
+
+
+_KEY = "regexp_replace(cmd, '--seed[= ][0-9]+', '--seed=N')"
+_RUNTIMES = f"SELECT {_KEY} AS k, dur_s AS total_s FROM ({RUNS}) WHERE cmd LIKE '%00' AND cmd NOT LIKE '%max_iters 3%'"
+query("agg5_walltime", f"""WITH p AS (SELECT k, quantile_disc(total_s, 0.8) AS p FROM ({_RUNTIMES}) GROUP BY k)
+  SELECT job_id, CAST(coalesce(least(604800, greatest(600, floor(p * 12 / 10))), least(604800, greatest(600, dur_s_ewma * 3)), 86400) AS BIGINT) AS walltime_s,
+  CASE WHEN p IS NOT NULL THEN 'runtime' WHEN dur_s_ewma > 0 THEN 'history' ELSE 'default' END AS source FROM jobs_v LEFT JOIN p ON k = {_KEY} LEFT JOIN ({EWMA}) USING (signature)""")(
+    lambda t: history.walltime(_runtimes(t), t.ewma(), _keyed(t.jobs))
+)
+query("log12_seed_pending_eta", f"""WITH p AS (SELECT k, max(total_s) AS total_s FROM ({_RUNTIMES}) GROUP BY k)
+  SELECT job_id, CAST(coalesce(total_s, dur_s_ewma) AS BIGINT) AS eta_s, CASE WHEN total_s IS NOT NULL THEN 'runtime' ELSE 'history' END AS eta_source FROM jobs_v LEFT JOIN p ON k = {_KEY} LEFT JOIN ({EWMA}) USING (signature) WHERE status = 'queued' AND coalesce(total_s, dur_s_ewma) > 0""")(
+    lambda t: logs.seed_pending_eta(_keyed(t.timed()), _runtimes(t).groupBy("runtime_key").agg(F.max("total_s").alias("total_s")), t.ewma())
+)
+_BOTH = f"list_extract(list_filter(list_transform(list_zip({_E}, {_R}), lambda z: {{'e': {_duck_clock('z[1]')}, 'r': {_duck_clock('z[2]')}}}), lambda b: b.e IS NOT NULL AND b.r IS NOT NULL), -1)"
+query("log11_project_from_test_log", f"""WITH s AS (SELECT s.*, b.v AS b, CASE WHEN pr.c > 0 AND dur_s > 0 THEN CAST(dur_s AS DOUBLE) / pr.c END AS u FROM ({_SIGNALS}) s LEFT JOIN ({_duck_latest(_BOTH)}) b USING (job_id))
+  SELECT job_id, CASE WHEN b IS NOT NULL THEN 'bar' ELSE 'pair' END AS source, coalesce(b.r, CAST(trunc(greatest(0.0, CAST(trunc(u * pr.t) AS BIGINT) - dur_s)) AS BIGINT)) AS eta_s, coalesce(b.e + b.r, CAST(trunc(u * pr.t) AS BIGINT)) AS total_s FROM s WHERE b IS NOT NULL OR u IS NOT NULL""")(
+    lambda t: logs.project_from_test_log(t.log, t.timed().withColumn("observed_s", F.col("dur_s")))
+)
+query("chk5_queue_audit", f"""SELECT job_id, 'evaluation without gate' AS finding FROM jobs_v WHERE status = 'queued' AND job_id % 3 = 0 AND job_id % 2 = 0
+  UNION ALL SELECT job_id, 'producer not high' FROM jobs_v WHERE priority <> 'high' AND status IN ('running', 'queued') AND ckpt_dir IN (SELECT regexp_replace(path, '/[^/]*$', '') FROM ({_WAITS}) JOIN ({_MISSING}) USING (job_id) WHERE status = 'queued')
+  UNION ALL SELECT job_id, 'retry with old eta' FROM jobs_v WHERE status = 'queued' AND parent_id IS NOT NULL AND job_id % 5 = 0""")(
+    lambda t: failures.queue_audit(_waiting(t).withColumn("cmd", F.when(F.col("job_id") % 2 == 0, F.lit("python eval.py")).otherwise(F.col("cmd"))).withColumn("eta_seconds", F.when(F.col("job_id") % 5 == 0, 60)), t.files, now())
+)
+query("str2_minute_rollup", "SELECT node, time_bucket(INTERVAL 1 DAY, ts) AS minute, max(vram_mb) AS max_vram_mb, CAST(sum(ram_mb) AS BIGINT) AS sum_ram_mb, count(DISTINCT job_id) AS jobs FROM samples_v GROUP BY ALL")(lambda t: capacity.minute_rollup(t.samples, "1 day"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["agg2_p80_history"](spark, sf_dir)
