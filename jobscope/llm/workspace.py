@@ -26,8 +26,11 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
     What comes back has no lineage, so a lost executor costs a re-read and not the work before it,
-    and every later reader sees the same rows.
+    and every later reader sees the same rows. The files go when the driver ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/jobscope-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/jobscope-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
