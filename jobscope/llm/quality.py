@@ -93,7 +93,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, site: str = "source", sect
     b = _strength(centered, "site_rate", base)
     rates = stored(centered.select("site", "section", ((F.col("k") + b * F.col("site_rate")) / (F.col("n") + b)).alias("section_rate")))
 
-    known = docs.select("doc_id", "text").join(marks.filter(bounded("doc_id", marks.count(), max_rows)), "doc_id")
+    sample = F.broadcast(marks.filter(bounded("doc_id", marks.count(), max_rows)))  # about max_rows rows of two numbers
+    known = docs.select("doc_id", "text").join(sample, "doc_id")
 
     def measured(texts, quality):
         return range(len(texts)), {"x": [features(t) for t in texts], "quality": quality}
