@@ -73,21 +73,35 @@ def line_inline(line: Column) -> Column:
     return F.when(F.lower(line).contains("eta"), (n.try_cast("double") * scale).cast("bigint"))
 
 
+#: A piece of text without which a pattern can't match; looked for before the regular expression is run.
+PAIR_NEEDS = ["it/s", "s/it", "[Epoch", "Epoch", None, None, "["]
+CURRENT_NEEDS = ["Iter", "Iteration", "Epoch", "Step", "step"]
+TOTAL_NEEDS = ["iter", "epoch", "epoch", "epoch", "step", "step", "step", "step", "iter", "iter"]
+
+
+def _guarded(line: Column, need: str | None, value: Column) -> Column:
+    return value if need is None else F.when(line.contains(need), value)
+
+
 def line_pair(line: Column) -> Column:
     """struct(current, total) by the first pattern whose match is valid."""
-    tries = F.array(*[F.struct(_number(line, p, 1).alias("current"), _number(line, p, 2).alias("total")) for p in PAIR_PATTERNS])
+    pairs = [F.struct(_number(line, p, 1).alias("current"), _number(line, p, 2).alias("total")) for p in PAIR_PATTERNS]
+    pairs[4] = F.when(line.contains("/") | line.contains("of"), F.when(line.contains("ter") | line.contains("tep"), pairs[4]))
+    pairs[5] = F.when(line.contains(")") | line.contains("done") | line.contains("complete"), pairs[5])
+    tries = F.array(*[_guarded(line, need, p) for need, p in zip(PAIR_NEEDS, pairs)])
     valid = F.filter(tries, lambda t: (t["total"] > 0) & (t["current"] >= 0) & (t["current"] <= t["total"]))
     return F.when(line.contains("/") | line.contains("of"), F.get(valid, F.lit(0)))
 
 
 def line_current(line: Column) -> Column:
-    counted = F.filter(F.array(*[_number(line, p) for p in CURRENT_PATTERNS]), lambda n: n.isNotNull())
-    return F.when(line.rlike("Iter|Epoch|[Ss]tep"), F.get(counted, F.lit(0)))
+    tries = F.array(*[_guarded(line, need, _number(line, p)) for need, p in zip(CURRENT_NEEDS, CURRENT_PATTERNS)])
+    return F.get(F.filter(tries, lambda n: n.isNotNull()), F.lit(0))
 
 
 def command_total(cmd: Column) -> Column:
     """A command's loop total: the first flag, in order, with a positive value."""
-    return F.get(F.filter(F.array(*[_number(cmd, p) for p in TOTAL_FLAGS]), lambda n: n > 0), F.lit(0))
+    tries = F.array(*[_guarded(cmd, need, _number(cmd, p)) for need, p in zip(TOTAL_NEEDS, TOTAL_FLAGS)])
+    return F.get(F.filter(tries, lambda n: n > 0), F.lit(0))
 
 
 def signals(log: DataFrame) -> DataFrame:
@@ -126,13 +140,15 @@ def current_only(log: DataFrame) -> DataFrame:
 
 
 def _latest(log: DataFrame, value: Column, name: str) -> DataFrame:
-    found = log.select("job_id", "seq", value.alias(name)).filter(F.col(name).isNotNull())
-    return found.groupBy("job_id").agg(F.max_by(name, "seq").alias(name))
+    # a filter before the aggregation would make Spark evaluate the expressions twice
+    found = log.select("job_id", "seq", value.alias(name))
+    return found.groupBy("job_id").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name)).filter(F.col(name).isNotNull())
 
 
 def total_from_command(jobs: DataFrame) -> DataFrame:
     """job_id, total_units of jobs whose command tells it."""
-    return jobs.select("job_id", command_total(F.col("cmd")).alias("total_units")).filter("total_units is not null")
+    # exploding no or one value evaluates it once; a filter on it would do so twice
+    return jobs.select("job_id", F.explode(F.array_compact(F.array(command_total(F.col("cmd"))))).alias("total_units"))
 
 
 def _with_progress(log: DataFrame, jobs: DataFrame) -> DataFrame:
