@@ -1,5 +1,6 @@
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -10,10 +11,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     if isinstance(v, float):
-        return round(v, 6)
+        return int(v) if v == int(v) else round(v, 6)
     return v.isoformat() if hasattr(v, "isoformat") else v
 
 
