@@ -8,8 +8,8 @@ weight are thrown, so about k ln k darts make the signature, however long the do
 coordinate with the chance of their weighted Jaccard similarity.
 
 Signatures are cut into bands; documents that share a band are candidates, and candidates are links if their sets of
-shingles have a Jaccard similarity of ``threshold`` at least. A band's group of any size is joined to its smallest
-document only; what isn't linked to it is joined to the smallest ones of what is left, and so on until nothing is.
+shingles have a Jaccard similarity of ``threshold`` at least. A band's group is joined to its smallest document first;
+of what that leaves unconnected, small groups are compared all with all, and large ones joined by their documents' rarest shingles.
 Classes are the connected components of the links.
 """
 
@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import component_roots
 from .words import lists, map_texts, mix, shingles, words
@@ -32,6 +33,10 @@ from .workspace import stored
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
+#: Members of a band's group up to which all are compared with all.
+CROWD = 8
+#: Size of the table of guessed shingle counts, a power of two.
+BUCKETS = 1 << 20
 
 
 def _darts(cells: np.ndarray, part: np.ndarray, limit: np.ndarray, owner: np.ndarray, k: int):
@@ -128,30 +133,51 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _star_round(rest: DataFrame, sets: DataFrame, threshold: float, centers: int = 1) -> tuple[DataFrame, DataFrame | None]:
-    """Compares the members of each group (rest: key, node, part; stored) with its smallest ones, unless they are in one part.
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members (key, node, part, ...; stored) of the groups that have more than one part, with the group's smallest node and size."""
+    groups = members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("node").alias("center"), F.count(F.lit(1)).alias("n"))
+    return stored(members.drop("center", "n").join(stored(groups.filter("low != high").select("key", "center", "n")), "key"))
 
-    Returns what is left to compare, a group's members that are neither among its smallest nor linked to one, and the
-    links found (None: there was nothing to compare).
+
+def _parted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The members of the groups that still have more than one part, now that linked nodes are one part."""
+    if roots is None:
+        return members
+    return _mixed(stored(members.drop("part").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")))
+
+
+def _met(members: DataFrame, others: DataFrame, when: str = "true") -> DataFrame:
+    """Pairs (center, node; stored) of ``members`` with the smaller ``others`` of their groups that are in another part."""
+    met = members.alias("a").join(others.alias("b"), F.expr(f"a.key = b.key and a.node > b.node and a.part != b.part and {when}"))
+    return stored(met.select(F.col("b.node").alias("center"), F.col("a.node").alias("node")).distinct())
+
+
+def _rare_keys(dense: DataFrame, threshold: float) -> DataFrame:
+    """node, part, key, place, size: the rarest shingles of each set of ``dense`` (node, part, set; stored), as many as make
+    sure that two sets of the similarity ``threshold`` share one (prefix filter). ``place``: of the key in the set's order.
+
+    Any order of the shingles gives all pairs; rarity is guessed from counts in a table of fixed size.
     """
-    mixed = rest.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
-    rest = stored(rest.join(stored(mixed), "key"))
-    first = rest.withColumn("rn", F.row_number().over(W.partitionBy("key").orderBy("node"))).filter(F.col("rn") <= centers)
-    first = stored(first.select("key", F.col("node").alias("center"), F.col("part").alias("center_part")))
-    met = stored(rest.join(first, "key").filter("node > center and part != center_part").select("key", "node", "center"))
-    pairs = stored(met.select("center", "node").distinct())
-    if pairs.isEmpty():
-        return rest, None
-    links = stored(_links(pairs, sets, threshold))
-    done = met.join(links.select(F.col("u").alias("node"), F.col("v").alias("center")), ["center", "node"], "left_semi").select("key", "node")
-    done = done.unionByName(first.select("key", F.col("center").alias("node"))).distinct()
-    return stored(rest.join(done, ["key", "node"], "left_anti")), links
-
-
-def _quads(bands: int) -> list[tuple[int, ...]]:
-    """Four bands each, every band equally often."""
-    steps = ((0, 1, 3, 8), (0, 2, 7, 11), (0, 4, 9, 15), (0, 1, 6, 13), (0, 3, 5, 14), (0, 2, 8, 12), (0, 5, 11, 18), (0, 1, 10, 16))
-    return [tuple((i + s) % bands for s in step) for step in steps for i in range(bands)]
+    counted = dense.select(F.explode("set").alias("s")).groupBy(F.expr(f"s & {BUCKETS - 1}").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    often = np.zeros(BUCKETS, np.uint8)
+    often[counted["bucket"].to_numpy()] = 8 * np.log2(counted["n"].to_numpy())
+    out = T.StructType([*dense.drop("set").schema.fields, *T.StructType.fromDDL("key int, place int, size int").fields])
+
+    def run(batches):
+        for batch in batches:
+            index, keys, places, sizes = [], [], [], []
+            for i, x in enumerate(batch.column("set")):
+                x = x.values.to_numpy()
+                n = len(x) - math.ceil(threshold * len(x) - 1e-9) + 1
+                keys.append(x[np.lexsort((x, often[x & (BUCKETS - 1)]))[:n]])
+                index.append(np.full(len(keys[-1]), i))
+                places.append(np.arange(len(keys[-1])))
+                sizes.append(np.full(len(keys[-1]), len(x)))
+            at = pa.array(np.concatenate(index)) if index else pa.array([], pa.int64())
+            made = [pa.array(np.concatenate(c) if c else [], pa.int32()) for c in (keys, places, sizes)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("node", "part")), *made], ["node", "part", "key", "place", "size"])
+
+    return dense.select("node", "part", "set").mapInArrow(run, out)
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
@@ -162,39 +188,42 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
     a null doc_id has its copies' class, or null. At a similarity of 0.8 a pair shares no band with a chance of 3e-5.
     Every text is read whole. Empty table: no rows. Columns other than doc_id and text aren't read.
 
-    Two rounds compare each band's group with its smallest member. Where unlinked members are left, documents that
-    merely share a passage crowd a band; they are grouped anew by 160 sets of four bands, one of which a
-    pair shares with a chance of 99 % at a similarity of 0.8 and of more above it, and others hardly ever, in rounds that compare with eight times as many members each, until nothing is left to compare.
-    A group's member that is linked to one of those compared with stands back, as that one stands for it.
+    A first round compares each band's group with its smallest member. What is linked so far is one part. In groups of
+    ``CROWD`` members at most, all members of different parts are compared. The documents of larger groups that have
+    several parts are joined anew, exactly, by their rarest shingles. No pair that shares a band is left
+    out but those that are in one class already or, by the sizes of their sets and the places of their keys, can't be similar enough.
     """
     signed = stored(map_texts(docs, _signed(bands, rows), "same binary, bands array<bigint>"))
     texts = stored(signed.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("node")).filter("node is not null"))
     one = W.partitionBy("same").orderBy("doc_id")
     nodes = signed.filter("same is not null and doc_id is not null and size(bands) > 0").withColumn("rn", F.row_number().over(one)).filter("rn = 1")
     nodes = stored(nodes.select(F.col("doc_id").alias("node"), "bands"))
-    rest, links = stored(nodes.select(F.explode("bands").alias("key"), "node", F.col("node").alias("part"))), []
-    shared = stored(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
-    rest = stored(rest.join(shared, "key"))
-    sets = _shingle_sets(docs, rest.select(F.col("node").alias("doc_id")).distinct())
-    new = None
-    for _ in range(2):
-        rest, new = _star_round(rest, sets, threshold)
-        if new is None:
-            break
-        links.append(new)
-    roots = _roots(links)
-    if new is not None:
-        quads = F.array(*[F.array(*map(F.lit, q)) for q in _quads(bands)])
-        keys = F.transform(quads, lambda q, k: F.xxhash64(k, *[F.get(F.col("bands"), q[i]) for i in range(4)]))
-        left = nodes.join(rest.select("node").distinct(), "node").join(roots, "node", "left")
-        rest, centers = stored(left.select(F.explode(keys).alias("key"), "node", F.coalesce("root", "node").alias("part"))), 8
-        while True:
-            rest, new = _star_round(rest, sets, threshold, centers)
-            if new is None:
-                break
-            links.append(new)
-            centers *= 8
-        roots = _roots(links)
+    groups = _mixed(stored(nodes.select(F.explode("bands").alias("key"), "node", F.col("node").alias("part"))))
+    sets = _shingle_sets(docs, groups.select(F.col("node").alias("doc_id")).distinct())
+    links, roots = [], None
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal roots
+        if not pairs.isEmpty():
+            links.append(stored(_links(pairs, sets, threshold)))
+            roots = _roots(links)
+
+    compare(stored(groups.filter("node > center").select("center", "node").distinct()))
+    groups = _parted(groups, roots)
+    few = groups.filter(F.col("n") <= CROWD)
+    compare(_met(few, few))
+    groups = _parted(stored(groups.filter(F.col("n") > CROWD)), roots)
+    crowd = stored(groups.select(F.col("node").alias("doc_id"), "part").distinct())
+    if not crowd.isEmpty():
+        dense = stored(sets.join(crowd, "doc_id").withColumnRenamed("doc_id", "node"))
+        rare = _mixed(stored(_rare_keys(dense, threshold)))
+        close = (
+            f"a.size >= {threshold} * b.size - 1e-6 and b.size >= {threshold} * a.size - 1e-6 and "
+            f"least(a.size - a.place, b.size - b.place) >= {threshold / (1 + threshold)} * (a.size + b.size) - 1e-6"
+        )
+        compare(_met(rare, stored(rare.filter("node = center")), close))
+        rare = _parted(rare, roots)
+        compare(_met(rare, rare, close))
     classes = texts.select("same", F.col("node").alias("class_id"))
     if roots is not None:
         classes = stored(texts.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("class_id")))

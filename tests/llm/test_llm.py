@@ -91,6 +91,36 @@ def test_a_crowded_band_loses_no_class(spark):
     assert all(of[2 * i] == of[2 * i + 1] for i in range(40)) and len(set(of.values())) == 40
 
 
+def brute_classes(texts, threshold=0.8):
+    sets, root = [set(shingles(words(t)).tolist()) for t in texts], list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if len(s & sets[j]) >= threshold * len(s | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return dict(enumerate(root))
+
+
+def classes_of(spark, texts):
+    got = dart_minhash.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    return dict(zip(got["doc_id"], got["class_id"]))
+
+
+def test_a_crowd_loses_no_pair_near_the_threshold(spark):
+    """Pairs of 0.80 to 0.85 among documents that share most of a passage and so crowd the bands."""
+    rng = random.Random(14)
+    passage = prose(rng, 90, "p").split()
+    texts = []
+    for i in range(80):
+        own = prose(rng, 24, "o").split()
+        changed = own[: 12 + i % 3] + prose(rng, 12 - i % 3, "c").split()
+        texts += [" ".join(passage + own), " ".join(passage + changed)]
+    sims = [len(s & t) / len(s | t) for s, t in ((set(shingles(words(a)).tolist()), set(shingles(words(b)).tolist())) for a, b in zip(texts[::2], texts[1::2]))]
+    assert all(0.8 <= x < 0.85 for x in sims)
+    want = brute_classes(texts)
+    assert len(set(want.values())) == 80 and classes_of(spark, texts) == want
+
+
 def test_containment(spark, docs):
     rng = random.Random(9)
     d = docs.toPandas()
