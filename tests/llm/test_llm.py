@@ -121,6 +121,15 @@ def test_a_crowd_loses_no_pair_near_the_threshold(spark):
     assert len(set(want.values())) == 80 and classes_of(spark, texts) == want
 
 
+def test_a_linked_member_does_not_stand_for_its_links(spark):
+    """Many versions of one text, each linked to it alone; the versions are first in all bands."""
+    rng = random.Random(15)
+    base = prose(rng, 100, "b").split()
+    texts = [" ".join(base[:k] + prose(rng, 6, "v").split() + base[k + 6 :]) for k in range(4, 91, 2)] + [" ".join(base)]
+    assert set(brute_classes(texts).values()) == {0} and set(brute_classes(texts[:-1]).values()) == set(range(len(texts) - 1))
+    assert set(classes_of(spark, texts).values()) == {0}
+
+
 def test_containment(spark, docs):
     rng = random.Random(9)
     d = docs.toPandas()
