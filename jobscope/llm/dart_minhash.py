@@ -1,11 +1,11 @@
 """Near-duplicate classes by DartMinHash signatures and a banded join.
 
-A document is a weighted set of its five-word shingles, with weight 1 + ln(occurrences). Each element throws
+A document is the set of its five-word shingles, each of weight 1 however often it occurs. Each element throws
 darts: the points of a Poisson process of its own, made by hashing, over the plane of weight and rank. Darts at a weight
 over the element's weight miss; each other dart falls on one of the coordinates of the signature, and each coordinate
 keeps its earliest dart (that of least rank). Only ranks below a limit in inverse proportion to the document's total
 weight are thrown, so about k ln k darts make the signature, however long the document is. Two documents agree in a
-coordinate with the chance of their weighted Jaccard similarity.
+coordinate with the chance of their (weighted) Jaccard similarity.
 
 Signatures are cut into bands; documents that share a band are candidates, and candidates are links if their sets of
 shingles have a Jaccard similarity of ``threshold`` at least. A band's group is joined to its smallest document first;
@@ -85,9 +85,9 @@ def dart_signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.nda
 
 
 def weighted_set(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of a text's words, with weight 1 + ln(occurrences)."""
-    elements, n = np.unique(shingles(found), return_counts=True)
-    return elements, 1 + np.log(n)
+    """Distinct shingles of a text's words, each of weight 1, as links are judged by plain sets."""
+    elements = np.unique(shingles(found))
+    return elements, np.ones(len(elements))
 
 
 def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:

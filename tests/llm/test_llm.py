@@ -130,6 +130,16 @@ def test_a_linked_member_does_not_stand_for_its_links(spark):
     assert set(classes_of(spark, texts).values()) == {0}
 
 
+def test_repeats_do_not_part_texts(spark):
+    """A text and itself repeated have nearly the same shingles."""
+    rng = random.Random(16)
+    texts = []
+    for times in (2, 5, 10) * 8:
+        t = prose(rng, 100)
+        texts += [t, " ".join([t] * times)]
+    assert classes_of(spark, texts) == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_containment(spark, docs):
     rng = random.Random(9)
     d = docs.toPandas()
