@@ -3,7 +3,8 @@
 A value becomes a number of its format's domain (card numbers of that length and network, telephone numbers, calendar
 days, addresses, ...), a keyed Feistel network permutes the domain, and the number it gives is written in the same
 layout, with separators, case and check digits as they must be. Equal values get equal pseudonyms in every document,
-different values different ones, and whoever has the key can undo it.
+different values different ones, and whoever has the key can undo it. Of a card or IBAN with more digits or capitals behind
+it, the longest reading that passes its check is taken; where a pseudonym and what follows happen to pass as one, only the spans tell.
 """
 
 from __future__ import annotations
@@ -188,23 +189,36 @@ KINDS = {
     "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-]?[0-9]{2,4})?(?![\w-])",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()), re.ASCII)
-_MAYBE = re.compile("[0-9@]")
+_MAYBE = re.compile("[0-9@]|AKIA|password|token")
+#: Where a shorter card or IBAN may end: before a separator.
+_END = re.compile("[ -]")
 
 
 def pseudonymized(text: str | None, key: str, inverse: bool = False) -> tuple[str | None, list[tuple[int, int, str]]]:
     """The text with its personal data replaced, and (start, end, kind) of what was replaced, in the text given."""
     if not text or not _MAYBE.search(text):
         return text, []
-    with_key, spans = Scrambler(key, inverse), []
+    with_key, spans, out, at, done = Scrambler(key, inverse), [], [], 0, 0
+    while m := _ANY.search(text, at):
+        for end in _ends(m):
+            new = getattr(with_key, m.lastgroup)(text[m.start() : end])
+            if new is not None:
+                out += [text[done : m.start()], new]
+                spans.append((m.start(), end, m.lastgroup))
+                at = done = end
+                break
+        else:
+            at = m.start() + 1  # another value may start within what isn't valid
+    return "".join([*out, text[done:]]), spans
 
-    def replace(m: re.Match) -> str:
-        new = getattr(with_key, m.lastgroup)(m[0])
-        if new is None:
-            return m[0]
-        spans.append((*m.span(), m.lastgroup))
-        return new
 
-    return _ANY.sub(replace, text), spans
+def _ends(m: re.Match) -> list[int]:
+    """The match's end, and for cards and IBANs, which may have taken in the words after them, the shorter ones at separators."""
+    if m.lastgroup not in ("card", "iban"):
+        return [m.end()]
+    least = 15 if m.lastgroup == "iban" else 13  # the shortest country's; a card's
+    ends = [x.start() for x in _END.finditer(m[0]) if len(_END.sub("", m[0][: x.start()])) >= least]
+    return [m.end(), *(m.start() + e for e in reversed(ends))]
 
 
 #: For tests and reports; a pipeline gives its own secret.
