@@ -24,8 +24,8 @@ from .workspace import stored
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it), longest first
 
-#: Characters whose classes all regex engines agree on. Texts of these are encoded by the faster of two libraries
-#: that share the vocabulary; all other texts by the slower one, whose ids are the ones asked for.
+#: Characters whose classes all regex engines agree on. Texts of these that hold no added token's name are encoded by the
+#: faster of two libraries that share the vocabulary; all others by the slower one, whose ids are the ones asked for.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏΑ-ΡА-я一-龥–—‘’“”…]*")
 
 
@@ -38,20 +38,23 @@ def _encoders(json_path: str | None, ranks_path: str | None):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
+    added = re.compile("|".join(re.escape(t.content) for t in slow.get_added_tokens_decoder().values()) or r"(?!)")
     if json_path and not ranks_path:
-        return slow, None
+        return slow, None, added
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return slow, tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return slow, tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), added
 
 
 def encode(text: str | None, json_path: str | None = None, ranks_path: str | None = None) -> list[int]:
-    """The ids of a text in the byte-level vocabulary, no special tokens added; a null text has none."""
-    slow, fast = _encoders(json_path, ranks_path)
+    """The ids of a text in the byte-level vocabulary, no special tokens added; a null text has none.
+
+    Where the text itself holds the name of an added token, such as an end mark, that is one id, as the library has it.
+    """
+    slow, fast, added = _encoders(json_path, ranks_path)
     if not text:
         return []
-    if fast is not None and _PLAIN.fullmatch(text):
+    if fast is not None and not added.search(text) and _PLAIN.fullmatch(text):
         return fast.encode_ordinary(text)
     return slow.encode(text, add_special_tokens=False).ids
 

@@ -160,7 +160,14 @@ def test_containment(spark, docs):
     assert decontamination.find_contaminated(docs, nothing(bench)).count() == 0 and decontamination.remove_contaminated(docs, nothing(bench)).count() == docs.count()
 
 
-def test_packing(docs):
+def test_packing(docs, spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    marked = ["a <|endoftext|> b", "é<|endoftext|>日本 ", "<|endoftext|><|endoftext|>", "x <|endoftext| > y"]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(800 + i, t) for i, t in enumerate(marked)], "doc_id long, text string"))
+    tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    assert tokenizer.encode(marked[0], add_special_tokens=False).ids == packing.encode(marked[0]) == [64, 220, 50256, 275]
     d = docs.toPandas()
     p = packing.pack_documents(docs).toPandas().sort_values(["sequence_id", "offset"])
     g = p.groupby("sequence_id")
@@ -168,7 +175,7 @@ def test_packing(docs):
     assert p["sequence_id"].nunique() <= -(-p["length"].sum() // 1024) + 2
     want = collections.Counter()
     for i, t in zip(d["doc_id"], d["text"]):
-        ids = np.array([*packing._encoders(None, None)[0].encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         for k, (s, n) in enumerate(packing.cut_points(len(ids), 1024)):
             want[(None if i != i else int(i), k, s, n, zlib.crc32(ids[s : s + n].tobytes()))] += 1
     assert collections.Counter((None if r.doc_id != r.doc_id else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in p.itertuples()) == want
