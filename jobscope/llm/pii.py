@@ -3,7 +3,11 @@
 A value becomes a number of its format's domain (card numbers of that length and network, telephone numbers, calendar
 days, addresses, ...), a keyed Feistel network permutes the domain, and the number it gives is written in the same
 layout, with separators, case and check digits as they must be. Equal values get equal pseudonyms in every document,
-different values different ones, and whoever has the key can undo it. Of a card or IBAN with more digits or capitals behind
+different values different ones, and whoever has the key can undo it. What is permuted is the value and not its spelling: a
+telephone number with or without the country's 1, a day in any layout, a card or IBAN with or without spaces and an address
+in any case keep one pseudonym, each in its own spelling. Hosts of mail addresses, countries of IBANs, first digits of cards, and
+whether a day of the month is over 12 (which tells a month-first layout) stay as they are. A day first and a month first date can't be
+told apart where both are possible; it is read day first. Of a card or IBAN with more digits or capitals behind
 it, the longest reading that passes its check is taken; where a pseudonym and what follows happen to pass as one, only the spans tell.
 """
 
@@ -13,10 +17,11 @@ import datetime
 import functools
 import hashlib
 import re
+import warnings
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .words import map_texts
 
@@ -100,9 +105,8 @@ class Scrambler:
         digits = re.sub(r"\D", "", text)
         national = len(digits) == 10 or len(digits) == 11 and digits[0] == "1"
         if national and digits[-10] in "23456789" and digits[-7] in "23456789":
-            eight = "23456789"
-            alphabets = ["1"] * (len(digits) - 10) + [eight, DIGITS, DIGITS] * 2 + [DIGITS] * 4
-            return _laid_out(text, self.characters(digits, alphabets, "phone"))
+            alphabets = ["23456789", DIGITS, DIGITS] * 2 + [DIGITS] * 4
+            return _laid_out(text, digits[:-10] + self.characters(digits[-10:], alphabets, "phone"))
         code = re.match(r"\+(\d{1,3})", text)
         if not code or not 8 <= len(digits) <= 15:
             return None
@@ -127,15 +131,17 @@ class Scrambler:
                 layout, day = "mdy", _day(c, a, b)
         if day is None:
             return None
-        size, last = LAST_DAY - FIRST_DAY + 1, datetime.date.fromordinal
-        n = self.number(day - FIRST_DAY, size, layout, (lambda n: last(n + FIRST_DAY).day > 12) if layout == "mdy" else lambda n: True)
-        d = last(n + FIRST_DAY)
+        late = lambda n: datetime.date.fromordinal(n + FIRST_DAY).day > 12
+        kind = late(day - FIRST_DAY)
+        n = self.number(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "day", lambda n: late(n) == kind)
+        d = datetime.date.fromordinal(n + FIRST_DAY)
         y, m, d = f"{d.year:04d}", f"{d.month:02d}", f"{d.day:02d}"
         return sep.join({"ymd": (y, m, d), "dmy": (d, m, y), "mdy": (m, d, y)}[layout])
 
     def email(self, text: str) -> str | None:
         name, _, host = text.partition("@")
-        return f"{self.characters(name, [_class_of(c) for c in name], 'email')}@{host}"
+        new = self.characters(name.lower(), [_class_of(c) for c in name.lower()], "email")
+        return f"{''.join(n.upper() if c in UPPER else n for c, n in zip(name, new))}@{host}"
 
     def secret(self, text: str) -> str | None:
         head = re.match(r"AKIA|password\s*=\s*|token\s*=\s*\"", text)[0]
@@ -169,7 +175,7 @@ def _day(y: int, m: int, d: int) -> int | None:
 
 
 def _class_of(c: str) -> str:
-    return DIGITS if c in DIGITS else LOWER if c in LOWER else UPPER if c in UPPER else c
+    return DIGITS if c in DIGITS else LOWER if c in LOWER else c
 
 
 def _laid_out(text: str, digits: str) -> str:
@@ -221,16 +227,26 @@ def _ends(m: re.Match) -> list[int]:
     return [m.end(), *(m.start() + e for e in reversed(ends))]
 
 
-#: For tests and reports; a pipeline gives its own secret.
-DEFAULT_KEY = "jobscope"
+#: The session's setting that holds the secret, and the published key that stands in, with a warning, where it is unset.
+KEY_SETTING, DEFAULT_KEY = "spark.jobscope.pseudonym.key", "jobscope"
 
 
-def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The secret in KEY_SETTING. Without one pseudonyms are made with a key that anybody can read here and undo, which does for tests."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is unset: pseudonyms are made with a published key and protect nobody", stacklevel=2)
+    return key or DEFAULT_KEY
+
+
+def pseudonymize(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, text (whole, with pseudonyms), found (how many values), spans (start, end, kind in the input text) of every row.
 
-    A null text stays null and an empty one empty. Numbers that fail their check (digit sums, calendar, ranges) stay.
-    Repeated rows give equal rows. Columns other than doc_id and text aren't read.
+    A null text stays null and an empty one empty; texts of any length are read whole. Numbers that fail their check (digit
+    sums, calendar, ranges) stay. Repeated rows give equal rows, an empty table none. Columns other than doc_id and text
+    aren't read, so their names may be any. ``key``: :func:`session_key`'s unless given.
     """
+    key = key or session_key(docs.sparkSession)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(texts):
@@ -241,8 +257,12 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     return map_texts(docs, run, "text string, found int, spans array<struct<start: int, end: int, kind: string>>")
 
 
-def replace_private(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """All rows and columns of ``docs``, with pseudonyms in ``text``, and ``n_chars``, if there is one, in step with it."""
+def replace_private(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """All rows and columns of ``docs``, with pseudonyms in ``text``, and ``n_chars``, if there is one, in step with it.
+
+    A null text and its n_chars stay as they are; otherwise as in :func:`pseudonymize`.
+    """
+    key = key or session_key(docs.sparkSession)
     at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):

@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import collections
+import datetime
 import random
 import zlib
 
@@ -241,6 +242,43 @@ def test_values_before_other_words_are_found():
         assert spans[0][:2] == (0, len(value)) and new.endswith(after) and value not in new
 
 
+def test_one_value_keeps_one_pseudonym_in_all_spellings(spark):
+    def values(text):
+        new, spans = pii.pseudonymized(text, "k")
+        assert len(spans) == 1 and spans[0][:2] == (0, len(text)) and new != text and pii.pseudonymized(new, "k", inverse=True)[0] == text
+        return new
+
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    assert digits(values("+1 (988) 555-2485"))[1:] == digits(values("988-555-2485")) == digits(values("(988) 555 2485"))
+    y, m, d = values("2021-02-25").split("-")
+    assert values("25.02.2021") == f"{d}.{m}.{y}" and values("02/25/2021") == f"{m}/{d}/{y}" and values("2021/02/25") == f"{y}/{m}/{d}"
+    assert values("Ann.Lee@x.org").lower() == values("ann.lee@x.org") and values("Ann.Lee@x.org")[0].isupper()
+    assert values("4539 1488 0343 6467").replace(" ", "") == values("4539148803436467")
+    assert values("DE89 3704 0044 0532 0130 00").replace(" ", "") == values("DE89370400440532013000")
+    assert values("password=deadbeef").partition("=")[2] == values("password = deadbeef").partition("= ")[2]
+    # brute force: every day of four years has a day of its own, and every number of a small domain
+    first = [pii.Scrambler("k").date(datetime.date.fromordinal(n).isoformat()) for n in range(730_000, 731_461)]
+    assert len(set(first)) == len(first)
+    for size in (1, 2, 9, 100, 257):
+        assert sorted(pii.permuted(i, size, "k", "t") for i in range(size)) == list(range(size))
+        assert all(pii.permuted(pii.permuted(i, size, "k", "t"), size, "k", "t", True) == i for i in range(size))
+    # the query is the function, text by text
+    texts = ["a.b@x.org", "", None, "password=deadbeef", "10.0.0.1 and 10.0.0.1", "x" * 200_000 + " 123-45-6789"]
+    out = pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").toPandas()
+    assert [t for t in out["text"]] == [pii.pseudonymized(t, "k")[0] for t in texts] and list(out["found"]) == [1, 0, 0, 1, 2, 1]
+
+
+def test_key_comes_from_the_session(spark):
+    docs = spark.createDataFrame([(1, "a.b@x.org", 9)], "doc_id long, text string, n_chars long")
+    with pytest.warns(UserWarning, match="published key"):
+        plain = pii.pseudonymize(docs).first()["text"]
+    spark.conf.set(pii.KEY_SETTING, "secret")
+    try:
+        assert pii.pseudonymize(docs).first()["text"] == pii.replace_private(docs).first()["text"] == pii.pseudonymized("a.b@x.org", "secret")[0] != plain
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_shards(docs, spark):
     for df in (docs, spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))):
         p = ring_sharding.shard_documents(df).toPandas()
