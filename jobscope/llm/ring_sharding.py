@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from .workspace import stored
 
-#: Positions of the ring; also the number of cells in which rows are counted and numbered.
+#: Positions of the ring.
 RING = 1 << 16
 
+#: Cells of a position in which rows are counted and numbered, by their contents, and the most rows of one that isn't split.
+CELLS, CELL_ROWS = 64, 500_000
+
 #: Walks the arcs clockwise, twice at most: ``carry`` overflowing keys look for room, first come first placed.
 _WALK = """
 aggregate(
@@ -96,6 +99,10 @@ def _segments(cells: DataFrame, rows: int, shards: int) -> DataFrame:
     return home.unionByName(spilled).groupBy("arc").agg(F.sort_array(F.collect_list(F.struct("first_rank", "shard", "slot"))).alias("segments"))
 
 
+def _counted(placed: DataFrame) -> DataFrame:
+    return stored(placed.groupBy("_pos", "_cell").agg(F.count(F.lit(1)).alias("n")))
+
+
 def assign_shards(df: DataFrame, key: str, shards: int = 40, virtual_nodes: int = 64) -> DataFrame:
     """``df`` with shard (int, 0 to shards - 1) and slot (long, gapless from 0 in each shard).
 
@@ -103,22 +110,29 @@ def assign_shards(df: DataFrame, key: str, shards: int = 40, virtual_nodes: int
     of their own; rows with the same key and content are interchangeable. An empty table gives no rows.
     Columns other than ``key`` pass through, except that an input's own ``shard``, ``slot`` or ``_``-prefixed
     working columns are replaced. The table is stored once, so pass only the columns you need.
+
+    A position's rows are numbered in cells of their contents, so many rows with one key (or none) are many tasks' work, and
+    a cell of more than ``CELL_ROWS`` rows, which equal rows make, is split further.
     """
-    rest = [c for c in df.columns if c not in ("shard", "slot", "_pos")]
-    placed = stored(df.select(*rest, F.pmod(F.xxhash64(F.col(key)), F.lit(RING)).alias("_pos")))
-    spark = df.sparkSession
-    counts = placed.groupBy("_pos").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("_pos", "pos")
-    cells = stored(ring_cells(spark, shards, virtual_nodes).join(counts, "pos", "left").fillna(0, ["n"]))
+    rest = [c for c in df.columns if c not in ("shard", "slot", "_pos", "_cell", "_row")]
+    content = [F.col(c) for c, kind in df.dtypes if c in rest and not kind.startswith(("map", "struct", "array", "variant"))]
+    placed = stored(df.select(*rest, F.pmod(F.xxhash64(F.col(key)), F.lit(RING)).alias("_pos"), F.pmod(F.xxhash64(*content), F.lit(CELLS)).alias("_cell"), F.monotonically_increasing_id().alias("_row")))
+    counts = _counted(placed)
+    crowded = counts.filter(F.col("n") > CELL_ROWS)
+    if not crowded.isEmpty():
+        parts = F.broadcast(crowded.select("_pos", "_cell", F.ceil(F.col("n") / CELL_ROWS).alias("_parts")))  # bounded: rows / CELL_ROWS
+        split = F.coalesce(F.col("_cell") + CELLS * F.pmod(F.xxhash64("_row"), F.col("_parts")), F.col("_cell"))
+        placed = stored(placed.join(parts, ["_pos", "_cell"], "left").withColumn("_cell", split).drop("_parts"))
+        counts = _counted(placed)
+    ring = ring_cells(df.sparkSession, shards, virtual_nodes)
+    cells = stored(ring.join(counts.groupBy(F.col("_pos").alias("pos")).agg(F.sum("n").alias("n")), "pos", "left").fillna(0, ["n"]))
     rows = cells.agg(F.sum("n")).first()[0]
-    offsets = cells.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("arc").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    plan = stored(
-        offsets.filter("n > 0").join(_segments(cells, rows, shards), "arc")
-        .select(F.col("pos").alias("_pos"), F.col("before").alias("_before"), F.col("segments").alias("_segments"))
-    )
-    order = [F.xxhash64(F.col(key)), *[F.col(c) for c, kind in placed.dtypes if c in rest and not kind.startswith(("map", "struct", "array", "variant"))]]
+    before = F.coalesce(F.sum("n").over(W.partitionBy("arc").orderBy("_pos", "_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.join(cells.select(F.col("pos").alias("_pos"), "arc"), "_pos").withColumn("_before", before)
+    plan = stored(offsets.join(_segments(cells, rows, shards), "arc").select("_pos", "_cell", "_before", F.col("segments").alias("_segments")))
     return (
-        placed.withColumn("_rn", F.row_number().over(W.partitionBy("_pos").orderBy(*order)))
-        .join(plan, "_pos")
+        placed.withColumn("_rn", F.row_number().over(W.partitionBy("_pos", "_cell").orderBy(F.xxhash64(F.col(key)), *content, "_row")))
+        .join(plan, ["_pos", "_cell"])
         .withColumn("_rank", F.col("_before") + F.col("_rn") - 1)
         .withColumn("_seg", F.expr("element_at(filter(_segments, s -> s.first_rank <= _rank), -1)"))
         .select(*rest, F.col("_seg.shard").alias("shard"), (F.col("_seg.slot") + F.col("_rank") - F.col("_seg.first_rank")).alias("slot"))
