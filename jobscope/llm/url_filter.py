@@ -1,8 +1,8 @@
 """URL filter: allow and block rules, and gradient-boosted trees on lexical features for URLs that no rule fits.
 
-URLs that a rule fits are the labelled ones. Suffix statistics (how often URLs with a host's last label, last two labels,
+URLs that a rule fits are the labelled ones. Suffix statistics (how often pages with a host's last label, last two labels,
 first path segment or file extension are blocked) are counted over all of them into a table of fixed size; the trees
-are fitted to a bounded sample.
+are fitted to a bounded sample of the distinct URLs, each of which sees the statistics of the URLs in the other folds.
 """
 
 from __future__ import annotations
@@ -18,16 +18,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .folds import bounded
+from .workspace import stored
 
 #: (host, path, verdict): fits the host and its subdomains if a URL's path starts with the rule's.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
-#: The trees are fitted to about so many labelled URLs, if there are more; statistics use all of them.
+#: The trees are fitted to about so many distinct labelled URLs, if there are more; statistics use all of them.
 MAX_TRAINING_ROWS = 20_000
 BUCKETS = 1024
 LEXICAL = 12
 KEYS = ("last_label", "last_two", "segment", "extension")
 BINS, DEPTH, TREES, RATE = 32, 3, 40, 0.2
+#: Rows' worth of the overall share that each key's share is shrunk by, and folds of the statistics.
+PRIOR_ROWS, FOLDS = 10, 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -57,8 +60,8 @@ def keys_of(host: str, path: str) -> list[int]:
     return [k * BUCKETS + zlib.crc32(v.encode("utf-8", "surrogatepass")) % BUCKETS for k, v in enumerate(values)]
 
 
-def lexical(url: str | None, host: str, path: str, rates: np.ndarray) -> list[float]:
-    """Length, depth, digits, entropy, parameters and suffix statistics of a URL."""
+def lexical(url: str | None, host: str, path: str) -> list[float]:
+    """Length, depth, digits, entropy and parameters of a URL."""
     url = url or ""
     raw = np.frombuffer(url.encode("utf-8", "surrogatepass"), np.uint8)
     n = np.bincount(raw, minlength=256)
@@ -66,7 +69,7 @@ def lexical(url: str | None, host: str, path: str, rates: np.ndarray) -> list[fl
     query = url.partition("?")[2].partition("#")[0]
     return [
         len(url), len(host), len(path), path.count("/"), host.count("."), n[48:58].sum() / max(1, len(raw)), float(-(share * np.log2(share)).sum()),
-        query.count("&") + (query != ""), query.count("="), url.count("-"), float("#" in url), float(url.startswith("https:")), *rates[keys_of(host, path)],
+        query.count("&") + (query != ""), query.count("="), url.count("-"), float("#" in url), float(url.startswith("https:")),
     ]
 
 
@@ -124,45 +127,89 @@ def fit_trees(x: np.ndarray, y: np.ndarray) -> Trees:
     return model
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """page_id, host, path, rule, verdict, score of every row: the longest rule's verdict, else the trees' (block if the
-    chance, ``score``, is at least 0.5; score is null where a rule decides).
+@dataclass
+class UrlModel:
+    """Suffix statistics (rows and blocked rows of each key, by fold of the URLs) and trees."""
 
-    Null and malformed URLs have empty host and path and go to the trees. Without URLs that rules fit, the trees allow all.
-    Repeated rows give equal rows; columns other than page_id and url aren't read.
-    """
+    counts: np.ndarray  # (FOLDS, 2, keys)
+    base: float
+    trees: Trees
+
+    def rates(self, keys: np.ndarray, without: np.ndarray | None = None) -> np.ndarray:
+        """Shrunken shares of blocked rows by key; without the URLs of a fold for each row, if given."""
+        n, k = self.counts.sum(axis=0)[:, keys]
+        if without is not None:
+            n, k = n - self.counts[without[:, None], 0, keys], k - self.counts[without[:, None], 1, keys]
+        return (k + PRIOR_ROWS * self.base) / (n + PRIOR_ROWS)
+
+    def features(self, pdf: pd.DataFrame, without: np.ndarray | None = None) -> np.ndarray:
+        keys = np.array([keys_of(h, p) for h, p in zip(pdf["host"], pdf["path"])], np.int64).reshape(-1, len(KEYS))
+        shape = np.array([lexical(u, h, p) for u, h, p in zip(pdf["url"], pdf["host"], pdf["path"])]).reshape(len(pdf), LEXICAL)
+        return np.concatenate([shape, self.rates(keys, without)], axis=1)
+
+    def score(self, pdf: pd.DataFrame) -> np.ndarray:
+        """Chances that the URLs of (url, host, path) are to be blocked."""
+        return 1 / (1 + np.exp(-self.trees.margin(self.features(pdf))))
+
+
+def folds_of(urls: pd.Series) -> np.ndarray:
+    return np.array([zlib.crc32(u.encode("utf-8", "surrogatepass")) % FOLDS for u in urls], np.int64)
+
+
+def parsed_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """page_id, url, host, path, rule, verdict (both null where no rule fits) of every row."""
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    parsed = parsed.withColumn("rule", rule).withColumn("verdict", verdict)
-    labelled = parsed.filter("rule is not null").select("url", "host", "path", (F.col("verdict") == "block").cast("int").alias("y"))
+    return parsed.withColumn("rule", rule).withColumn("verdict", verdict)
+
+
+def labelled_urls(parsed: DataFrame) -> DataFrame:
+    """url, host, path, y (1: block), n (rows) of the distinct URLs that a rule fits, so a URL on many pages is one row. Stored."""
+    known = parsed.filter("rule is not null").groupBy("url", "host", "path", (F.col("verdict") == "block").cast("int").alias("y"))
+    return stored(known.agg(F.count(F.lit(1)).alias("n")))
+
+
+def fit_urls(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> UrlModel:
+    """Statistics over all of ``labelled`` (url, host, path, y, n; stored), trees of a sample of about ``max_rows`` of its URLs."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros((2, len(KEYS) * BUCKETS), np.int64)
+        n = np.zeros((FOLDS, 2, len(KEYS) * BUCKETS), np.int64)
         for pdf in batches:
             keys = np.array([keys_of(h, p) for h, p in zip(pdf["host"], pdf["path"])], np.int64).reshape(-1, len(KEYS))
-            for k in range(len(KEYS)):
-                n[0] += np.bincount(keys[:, k], minlength=n.shape[1])
-                n[1] += np.bincount(keys[:, k], pdf["y"], n.shape[1]).astype(np.int64)
-        some = np.flatnonzero(n[0])
-        yield pd.DataFrame({"key": some, "n": n[0][some], "blocked": n[1][some]})
-
-    stats = labelled.mapInPandas(counted, "key long, n long, blocked long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).toPandas()
-    total = int(stats["n"].sum()) // len(KEYS)
-    base = (stats["blocked"].sum() / len(KEYS) + 0.5) / (total + 1) if total else 0.0
-    rates = np.full(len(KEYS) * BUCKETS, base)
-    rates[stats["key"]] = (stats["blocked"] + 10 * base) / (stats["n"] + 10)
-    sample = labelled.filter(bounded("url", total, max_rows)).toPandas().sort_values(["url", "y"], kind="stable")
-    x = np.array([lexical(u, h, p, rates) for u, h, p in zip(sample["url"], sample["host"], sample["path"])]).reshape(len(sample), LEXICAL + len(KEYS))
-    model = fit_trees(x, sample["y"].to_numpy(dtype=float))
+            fold, rows = folds_of(pdf["url"])[:, None], pdf["n"].to_numpy()[:, None]
+            np.add.at(n, (fold, 0, keys), rows)
+            np.add.at(n, (fold, 1, keys), rows * pdf["y"].to_numpy()[:, None])
+        fold, key = np.nonzero(n[:, 0])
+        yield pd.DataFrame({"fold": fold, "key": key, "n": n[fold, 0, key], "blocked": n[fold, 1, key]})
+
+    # at most FOLDS * len(KEYS) * BUCKETS rows
+    stats = labelled.mapInPandas(counted, "fold long, key long, n long, blocked long").groupBy("fold", "key").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).toPandas()
+    counts = np.zeros((FOLDS, 2, len(KEYS) * BUCKETS))
+    counts[stats["fold"], 0, stats["key"]], counts[stats["fold"], 1, stats["key"]] = stats["n"], stats["blocked"]
+    total, blocked = counts.sum(axis=(0, 2)) / len(KEYS)
+    model = UrlModel(counts, (blocked + 0.5) / (total + 1) if total else 0.0, Trees(-1.0, []))
+    sample = labelled.filter(bounded("url", labelled.count(), max_rows)).toPandas().sort_values(["url", "y"], kind="stable")
+    model.trees = fit_trees(model.features(sample, folds_of(sample["url"])), sample["y"].to_numpy(dtype=float))
+    return model
+
+
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """page_id, host, path, rule, verdict, score of every row: the longest rule's verdict, else the trees' (block if the
+    chance, ``score``, is at least 0.5; score is null where a rule decides).
+
+    Null and malformed URLs have empty host and path and go to the trees. Without URLs that rules fit, the trees allow all.
+    URLs of any length are read whole. Repeated rows give equal rows, an empty table none; columns other than page_id and
+    url aren't read, so their names may be any.
+    """
+    parsed = parsed_urls(pages, rules)
+    sent = pages.sparkSession.sparkContext.broadcast(fit_urls(labelled_urls(parsed), max_rows))  # bounded: tables of fixed size
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf["score"], open_ = np.nan, pdf["rule"].isna()
             if open_.any():
-                part = pdf[open_]
-                x = np.array([lexical(u, h, p, rates) for u, h, p in zip(part["url"], part["host"], part["path"])])
-                score = 1 / (1 + np.exp(-model.margin(x)))
+                score = sent.value.score(pdf[open_])
                 pdf.loc[open_, "score"] = score
                 pdf.loc[open_, "verdict"] = np.where(score >= 0.5, "block", "allow")
             yield pdf[["page_id", "host", "path", "rule", "verdict", "score"]]
