@@ -1,23 +1,24 @@
-"""Document quality: hierarchical empirical Bayes over sites and their sections, with a classifier's evidence.
+"""Document quality: hierarchical empirical Bayes over hosts and levels of their paths, with a classifier's evidence.
 
-Labelled documents are counted by site and by section of a site (grouped aggregation; one row each). A site's share of
-good documents is a beta posterior around the global share, a section's one around its site's; how strongly they shrink is
-estimated from the counts by moments, so a site with few labels stays near the global share. A logistic classifier on the
-text's own features gives each document's evidence, and the score is the section's posterior updated by it.
+Labelled documents are counted by host and by each level of path below it (grouped aggregation; one row a group). A host's share of
+good documents is a beta posterior around the global share, a path level's one around that of the level above; how strongly they shrink is
+estimated from the counts by moments, so a host with few labels stays near the global share. A logistic classifier on the
+text's own features gives each document's evidence, and the score is the innermost posterior updated by it.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .folds import bounded, held_out
+from .folds import held_out, labelled_sample
+from .url_filter import host_and_path
 from .words import map_texts
 from .workspace import stored
 
-#: The classifier is fitted to about so many labelled rows, if there are more. Site and section counts use all of them.
-MAX_TRAINING_ROWS = 20_000
+#: The classifier is fitted to about so many labelled rows of each kind (and characters), if there are more. Counts of hosts and paths use all of them.
+MAX_TRAINING_ROWS, MAX_TRAINING_CHARS = 10_000, 500_000_000
 
 FEATURES = ("log_words", "word_length", "upper", "digit", "symbol", "bar", "distinct_words", "distinct_lines", "stops", "longest_word")
 
@@ -72,51 +73,80 @@ def _strength(counts: DataFrame, center: str, base: float) -> float:
     return float(min(1e4, max(1.0, 1 / rho - 1))) if rho > 0 else 1e4
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, site: str = "source", section: str = "lang", max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """doc_id, held_out, site_rate, section_rate, evidence, score and keep (1 if score is at least 0.5) of every row.
+def url_levels(url: Column, depth: int = 2) -> list[Column]:
+    """A URL's host and the first ``depth`` segments of its path, as levels for :func:`score_quality`."""
+    host, path = host_and_path(url)
+    parts = F.split(path, "/")
+    return [host, *(F.coalesce(F.get(parts, F.lit(k)), F.lit("")) for k in range(1, depth + 1))]
+
+
+def _keyed(levels: list[Column]) -> list[Column]:
+    """_l0, _l1, ...: each level's name below all levels above it, so a level's group lies in one group of the level above."""
+    return [F.to_json(F.array(*[F.coalesce(x.cast("string"), F.lit("")) for x in levels[: k + 1]])).alias(f"_l{k}") for k in range(len(levels))]
 
-    site_rate and section_rate are posterior means, evidence is the classifier's chance. Rows in the held-out fold
-    are neither counted nor fitted to. A null site or section is a site or section of its own; sites and sections
-    without labels get the level above. Null and empty texts are scored by their features. A doc_id with several labels counts
-    once, as good if all say so. Without labels all rates and scores are one half.
+
+def level_rates(counts: DataFrame, depth: int) -> tuple[float, list[DataFrame]]:
+    """The global share, and for each level (_l0, ..., rate) posterior means of its groups, from ``counts`` (_l0, ..., n, k; stored).
+
+    A group's rate is that of a beta prior around its parent's rate, updated by the group's own counts; the prior's strength is
+    one number a level, so a group with few labels stays near the group above it.
     """
-    marks = labels.filter("quality is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    marks = stored(marks)
-    slim = docs.select("doc_id", F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.coalesce(F.col(section).cast("string"), F.lit("")).alias("section"))
-    sections = stored(slim.join(marks, "doc_id").groupBy("site", "section").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("quality") > 0).cast("long")).alias("k")))
-    total, good = sections.agg(F.sum("n"), F.sum("k")).first()
+    total, good = counts.agg(F.sum("n"), F.sum("k")).first()
     base = (good + 0.5) / (total + 1) if total else 0.5
-    sites = sections.groupBy("site").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("base", F.lit(base))
-    a = _strength(sites, "base", base)
-    sites = stored(sites.select("site", ((F.col("k") + a * base) / (F.col("n") + a)).alias("site_rate")))
-    centered = stored(sections.join(sites, "site"))
-    b = _strength(centered, "site_rate", base)
-    rates = stored(centered.select("site", "section", ((F.col("k") + b * F.col("site_rate")) / (F.col("n") + b)).alias("section_rate")))
+    out: list[DataFrame] = []
+    for level in range(depth):
+        names = [f"_l{k}" for k in range(level + 1)]
+        groups = counts.groupBy(*names).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+        if level:
+            groups = groups.join(out[-1].select(names[-2], F.col("rate").alias("prior")), names[-2])
+        else:
+            groups = groups.withColumn("prior", F.lit(base))
+        groups = stored(groups)
+        a = _strength(groups, "prior", base)
+        out.append(stored(groups.select(*names, ((F.col("k") + a * F.col("prior")) / (F.col("n") + a)).alias("rate"))))
+    return base, out
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, levels: list[Column] | None = None, max_rows: int = MAX_TRAINING_ROWS, max_chars: int = MAX_TRAINING_CHARS) -> DataFrame:
+    """doc_id, held_out, site_rate, section_rate, evidence, score and keep (1 if score is at least 0.5) of every row.
 
-    sample = F.broadcast(marks.filter(bounded("doc_id", marks.count(), max_rows)))  # about max_rows rows of two numbers
-    known = docs.select("doc_id", "text").join(sample, "doc_id")
+    ``levels``: expressions over ``docs``, from host to innermost path level (see :func:`url_levels`); ``source`` and ``lang``
+    within it unless given. site_rate and section_rate are posterior means of the outermost and innermost level, evidence is the
+    classifier's chance. Rows in the held-out fold are neither counted nor fitted to. A null level is a group of its own;
+    groups without labels get the rate of the nearest level above that has some. Null and empty texts are scored by their features, texts of any
+    length by the whole. A doc_id with several labels counts once, as good if all say so; rows that repeat an id are counted,
+    and scored alike. Without labels all rates and scores are one half. Other columns aren't read; an empty table gives no rows.
+    """
+    levels = levels or [F.col("source"), F.col("lang")]
+    names, depth = [f"_l{k}" for k in range(len(levels))], len(levels)
+    marks = labels.filter("quality is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    marks = stored(marks)
+    slim = docs.select("doc_id", *_keyed(levels))
+    counts = slim.join(marks, "doc_id").groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("quality") > 0).cast("long")).alias("k"))
+    base, rates = level_rates(stored(counts), depth)
 
     def measured(texts, quality):
         return range(len(texts)), {"x": [features(t) for t in texts], "quality": quality}
 
+    known = labelled_sample(docs, marks, "quality", max_rows, max_chars)
     table = map_texts(known, measured, "x array<double>, quality int", more=("quality",)).toPandas().sort_values("doc_id", kind="stable")
     y = (table["quality"].to_numpy() > 0).astype(float)
     model = fit_logistic(np.array(table["x"].tolist()), y) if len(y) else None
     prior = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else 0.0
 
-    def judge(texts, site_of, section_of):
+    def judge(texts, *groups):
         if model is None:
             z = np.zeros(len(texts))
         else:
             mean, scale, w = model
             z = _expanded(np.array([features(t) for t in texts]).reshape(len(texts), len(FEATURES)), mean, scale) @ w
-        return range(len(texts)), {"site": site_of, "section": section_of, "z": np.clip(z, -30, 30)}
+        return range(len(texts)), {"z": np.clip(z, -30, 30), **dict(zip(names, groups))}
 
-    with_text = docs.select("doc_id", "text", F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.coalesce(F.col(section).cast("string"), F.lit("")).alias("section"))
-    judged = map_texts(with_text, judge, "site string, section string, z double", more=("site", "section"))
-    out = judged.join(rates, ["site", "section"], "left").join(sites, "site", "left")
-    site_rate = F.coalesce("site_rate", F.lit(base))
-    section_rate = F.coalesce("section_rate", site_rate)
+    out = map_texts(docs.select("doc_id", "text", *_keyed(levels)), judge, ", ".join(["z double", *(f"{n} string" for n in names)]), more=tuple(names))
+    for k, found in enumerate(rates):
+        out = out.join(found.select(names[k], F.col("rate").alias(f"_r{k}")), names[k], "left")
+    site_rate = F.coalesce("_r0", F.lit(base))
+    section_rate = F.coalesce(*[f"_r{k}" for k in reversed(range(depth))], F.lit(base))
     logit = F.col("z") - float(prior) + F.log(section_rate / (1 - section_rate))
     score = 1 / (1 + F.exp(-logit))
     return out.select("doc_id", held_out().alias("held_out"), site_rate.alias("site_rate"), section_rate.alias("section_rate"), (1 / (1 + F.exp(-F.col("z")))).alias("evidence"), score.alias("score"), (score >= 0.5).cast("int").alias("keep"))
