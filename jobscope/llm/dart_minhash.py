@@ -7,15 +7,14 @@ keeps its earliest dart (that of least rank). Only ranks below a limit in invers
 weight are thrown, so about k ln k darts make the signature, however long the document is. Two documents agree in a
 coordinate with the chance of their (weighted) Jaccard similarity.
 
-Signatures are cut into bands; documents that share a band are candidates, and candidates are links if their sets of
-shingles have a Jaccard similarity of ``threshold`` at least. A band's group is joined to its smallest document first;
-of what that leaves unconnected, small groups are compared all with all, and large ones joined by their documents' rarest shingles.
-Classes are the connected components of the links.
+Signatures are cut into bands; texts that share a band are candidates, and candidates are links if their sets of
+shingles have a Jaccard similarity of ``threshold`` at least, the same measure that the signatures estimate. In small groups all
+are compared with all; a large one's members are compared with its first, and if that leaves it in several parts, its texts are joined
+anew, exactly, by their rarest shingles. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Callable
 
@@ -23,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,56 +98,30 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _signed(bands: int, rows: int) -> Callable:
-    def run(texts):
+    def run(texts, raw):
         found = [words(t) for t in texts]
         some = [i for i, f in enumerate(found) if f]
-        keys = band_keys(dart_signatures([weighted_set(found[i]) for i in some], bands * rows), rows) if some else []
-        by = dict(zip(some, keys))
+        weighted = {i: weighted_set(found[i]) for i in some}
+        keys = band_keys(dart_signatures([weighted[i] for i in some], bands * rows), rows) if some else []
+        by, none = dict(zip(some, keys)), np.empty(0, np.int64)
+        sets = [np.unique(weighted[i][0].astype(np.uint32).view(np.int32)) if i in weighted else none for i in range(len(texts))]
         ids = [xxhash.xxh3_128_digest(("w" + " ".join(f)) if f else "t" + t) if t is not None else None for f, t in zip(found, texts)]
-        return range(len(texts)), {"same": ids, "bands": lists([by.get(i, np.empty(0, np.int64)) for i in range(len(texts))], pa.int64())}
+        return range(len(texts)), {"raw": raw, "same": ids, "set": lists(sets, pa.int32()), "bands": lists([by.get(i, none) for i in range(len(texts))], pa.int64())}
 
     return run
 
 
-def _sets(texts):
-    out = [np.unique(shingles(words(t)).astype(np.uint32).view(np.int32)) for t in texts]
-    return range(len(out)), {"set": lists(out, pa.int32())}
-
-
-def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """doc_id, set of the documents in ``nodes`` (doc_id), stored."""
-    texts = docs.select("doc_id", "text").join(nodes.hint("shuffle_hash"), "doc_id", "left_semi")
-    return stored(map_texts(texts, _sets, "set array<int>"))
-
-
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The ``pairs`` (center, node; stored) whose shingle sets are similar enough, as u > v."""
-    own, other = sets.select(F.col("doc_id").alias("node"), F.col("set").alias("a")), sets.select(F.col("doc_id").alias("center"), F.col("set").alias("b"))
-    return (
-        pairs.join(own, "node").join(other, "center")
-        .withColumn("shared", F.size(F.array_intersect("a", "b")))
-        .filter(F.col("shared") >= threshold * (F.size("a") + F.size("b") - F.col("shared")))
-        .select(F.col("node").alias("u"), F.col("center").alias("v"))
-    )
-
-
-def _mixed(members: DataFrame) -> DataFrame:
-    """The members (key, node, part, ...; stored) of the groups that have more than one part, with the group's smallest node and size."""
-    groups = members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("node").alias("center"), F.count(F.lit(1)).alias("n"))
-    return stored(members.drop("center", "n").join(stored(groups.filter("low != high").select("key", "center", "n")), "key"))
+    """The ``pairs`` (center, node; repeats allowed) whose shingle sets are similar enough, as u > v; stored."""
+    own, other = sets.select("node", F.col("set").alias("a")), sets.select(F.col("node").alias("center"), F.col("set").alias("b"))
+    met = pairs.distinct().join(own, "node").join(other, "center").withColumn("shared", F.size(F.array_intersect("a", "b")))
+    alike = met.filter(F.col("shared") >= threshold * (F.size("a") + F.size("b") - F.col("shared")))
+    return stored(alike.select(F.col("node").alias("u"), F.col("center").alias("v")))
 
 
-def _parted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The members of the groups that still have more than one part, now that linked nodes are one part."""
-    if roots is None:
-        return members
-    return _mixed(stored(members.drop("part").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")))
-
-
-def _met(members: DataFrame, others: DataFrame, when: str = "true") -> DataFrame:
-    """Pairs (center, node; stored) of ``members`` with the smaller ``others`` of their groups that are in another part."""
-    met = members.alias("a").join(others.alias("b"), F.expr(f"a.key = b.key and a.node > b.node and a.part != b.part and {when}"))
-    return stored(met.select(F.col("b.node").alias("center"), F.col("a.node").alias("node")).distinct())
+def _parted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` (node, ...) with the part, as linked so far, that each is of."""
+    return members.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
 
 
 def _rare_keys(dense: DataFrame, threshold: float) -> DataFrame:
@@ -180,73 +152,93 @@ def _rare_keys(dense: DataFrame, threshold: float) -> DataFrame:
     return dense.select("node", "part", "set").mapInArrow(run, out)
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
-    """doc_id and class_id of every row of ``docs``: the smallest doc_id of those that are linked, directly or by others.
+def _rare_pairs(dense: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (center, node) of texts of different parts that can be similar enough, by their rarest shingles.
 
-    Texts with the same words are one text, whatever their case and punctuation. A text without a word is alone
-    but for exact copies; a null text is alone. doc_id is a document's identity: rows that repeat it share a class;
-    a null doc_id has its copies' class, or null. At a similarity of 0.8 a pair shares no band with a chance of 3e-5.
-    Every text is read whole. Empty table: no rows. Columns other than doc_id and text aren't read.
-
-    A first round compares each band's group with its smallest member. What is linked so far is one part. In groups of
-    ``CROWD`` members at most, all members of different parts are compared. The documents of larger groups that have
-    several parts are joined anew, exactly, by their rarest shingles. No pair that shares a band is left
-    out but those that are in one class already or, by the sizes of their sets and the places of their keys, can't be similar enough.
+    A key's texts that aren't of its largest part are compared with all others, so a part that most texts are in already
+    isn't compared with itself.
     """
-    signed = stored(map_texts(docs, _signed(bands, rows), "same binary, bands array<bigint>"))
-    texts = stored(signed.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("node")).filter("node is not null"))
-    one = W.partitionBy("same").orderBy("doc_id")
-    nodes = signed.filter("same is not null and doc_id is not null and size(bands) > 0").withColumn("rn", F.row_number().over(one)).filter("rn = 1")
-    nodes = stored(nodes.select(F.col("doc_id").alias("node"), "bands"))
-    groups = _mixed(stored(nodes.select(F.explode("bands").alias("key"), "node", F.col("node").alias("part"))))
-    sets = _shingle_sets(docs, groups.select(F.col("node").alias("doc_id")).distinct())
-    links, roots = [], None
-
-    def compare(pairs: DataFrame) -> None:
-        nonlocal roots
-        if not pairs.isEmpty():
-            links.append(stored(_links(pairs, sets, threshold)))
-            roots = _roots(links)
-
-    compare(stored(groups.filter("node > center").select("center", "node").distinct()))
-    groups = _parted(groups, roots)
-    few = groups.filter(F.col("n") <= CROWD)
-    compare(_met(few, few))
-    groups = _parted(stored(groups.filter(F.col("n") > CROWD)), roots)
-    crowd = stored(groups.select(F.col("node").alias("doc_id"), "part").distinct())
+    rare = stored(_rare_keys(dense, threshold))
+    parts = rare.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    most = stored(parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts"))
+    mixed = stored(rare.join(most, "key"))
+    # what is still to come after the key's places in both sets must be enough for the overlap that the threshold asks for
+    close = (
+        f"a.size >= {threshold} * b.size - 1e-6 and b.size >= {threshold} * a.size - 1e-6 and "
+        f"least(a.size - a.place, b.size - b.place) >= {threshold / (1 + threshold)} * (a.size + b.size) - 1e-6"
+    )
+    few = mixed.filter("part != most").alias("a")
+    met = few.join(mixed.alias("b"), F.expr(f"a.key = b.key and a.part != b.part and (b.part = b.most or a.node > b.node) and {close}"))
+    return met.select(F.least("a.node", "b.node").alias("center"), F.greatest("a.node", "b.node").alias("node"))
+
+
+def _component_edges(texts: DataFrame, signed: DataFrame, threshold: float) -> DataFrame | None:
+    """u, v: texts (nodes) and the first of their class, for all that aren't it; None if there are no links."""
+    keyed = texts.select(F.explode("bands").alias("key"), "node")
+    groups = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center")).filter("n > 1"))
+    members = stored(keyed.join(groups, "key"))
+    nodes = stored(members.select("node").distinct())
+    # a text's set is that of any row which has its id and its words
+    sets = stored(signed.select("node", "set").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
+    large = members.filter(F.col("n") > CROWD)
+    small = members.filter(F.col("n") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("g"))  # bounded: CROWD nodes
+    pair = F.expr(f"flatten(transform(g, (x, i) -> transform(slice(g, i + 2, {CROWD}), y -> struct(x as center, y as node))))")
+    pairs = small.select(F.explode(pair).alias("p")).select("p.*").unionByName(large.filter("node != center").select("center", "node"))
+    links = _links(pairs, sets, threshold)
+    roots = component_roots(links)
+    mixed = _parted(large, roots).groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high")
+    crowd = stored(large.join(mixed, "key", "left_semi").select("node").distinct())
     if not crowd.isEmpty():
-        dense = stored(sets.join(crowd, "doc_id").withColumnRenamed("doc_id", "node"))
-        rare = _mixed(stored(_rare_keys(dense, threshold)))
-        close = (
-            f"a.size >= {threshold} * b.size - 1e-6 and b.size >= {threshold} * a.size - 1e-6 and "
-            f"least(a.size - a.place, b.size - b.place) >= {threshold / (1 + threshold)} * (a.size + b.size) - 1e-6"
-        )
-        compare(_met(rare, stored(rare.filter("node = center")), close))
-        rare = _parted(rare, roots)
-        compare(_met(rare, rare, close))
-    classes = texts.select("same", F.col("node").alias("class_id"))
+        dense = stored(_parted(sets.join(crowd, "node"), roots))
+        more = _links(_rare_pairs(dense, threshold), sets, threshold)
+        if not more.isEmpty():
+            roots = component_roots(stored(roots.unionByName(more).distinct()))
+    return None if roots.isEmpty() else roots
+
+
+def _classified(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """doc_id, raw (a hash of the text), node and root of every row; both null for a null text.
+
+    What is linked are texts, not ids: a node names the rows with one text by the smallest doc_id among them (null ids come
+    last) and a hash of their words, so unlike texts under one id are two nodes. A class's root is its smallest node.
+    """
+    found = map_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("raw")), _signed(bands, rows), "raw bigint, same binary, set array<int>, bands array<bigint>", more=("raw",))
+    own = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.xxhash64("same").alias("h"))
+    signed = stored(found.withColumn("node", F.when(F.col("same").isNotNull(), own)))
+    texts = stored(signed.filter("same is not null").groupBy("same").agg(F.min("node").alias("node"), F.first("bands").alias("bands")))
+    roots = _component_edges(texts.filter("size(bands) > 0"), signed, threshold)
+    named = texts.select("same", F.col("node").alias("root"))
     if roots is not None:
-        classes = stored(texts.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("class_id")))
-    return signed.select("doc_id", "same").join(classes, "same", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+        edges = roots.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        named = stored(texts.select("same", "node").join(edges, "node", "left").select("same", F.coalesce("root", "node").alias("root")))
+    return signed.select("doc_id", "raw", "same", "node").join(named, "same", "left").select("doc_id", "raw", "node", "root")
 
 
-def _roots(links: list[DataFrame]) -> DataFrame | None:
-    """node, root of the linked nodes that aren't the root of their class."""
-    every = functools.reduce(DataFrame.unionByName, links) if links else None
-    if every is None:
-        return None
-    return component_roots(stored(every.distinct())).select(F.col("u").alias("node"), F.col("v").alias("root"))
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
+    """doc_id and class_id of every row of ``docs``: the smallest doc_id of those that are linked, directly or by others.
 
+    Texts with the same words are one text, whatever their case and punctuation. A text without a word is alone
+    but for exact copies; a null text is alone. Rows that repeat an id and its text share a class; unlike texts under one id
+    have the classes of their texts. A null doc_id has its copies' class, or null. Every text is read whole, whatever its length. Empty table: no
+    rows. Columns other than doc_id and text aren't read, so their names may be any.
 
-def keep_one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, that are first of their near-duplicate class; of rows with one doc_id, one stays.
+    At a similarity of 0.8 a pair shares no band with a chance of 3e-5. Of what shares a band nothing is left out: groups of
+    ``CROWD`` texts at most are compared all with all; in larger ones what isn't linked by way of the first member is
+    joined by a prefix filter, which is exact.
+    """
+    return _classified(docs, threshold, bands, rows).select("doc_id", F.coalesce("root.id", "doc_id").alias("class_id"))
 
-    Rows with a null doc_id stay unless a copy with an id does.
+
+def keep_one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, that are first of their near-duplicate class: that with the smallest doc_id (null
+    comes last); of rows with one id and one text, any one. Unlike texts under one id, and rows with null texts, all stay.
     """
-    classes = stored(near_duplicate_classes(docs, threshold))
-    first = classes.filter("class_id = doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    rows = stored(_classified(docs, threshold, 20, 4))
+    first = rows.filter("root is not null and node = root").groupBy("root", "raw").agg(F.count(F.lit(1)).alias("n"))
+    first = first.groupBy("root").agg(F.min(F.struct("raw", "n")).alias("w")).select(F.col("root.id").alias("id"), "w.raw", "w.n")
     # the row goes as one struct, so that no column of it can clash with those of the join
-    kept = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row")).join(first.hint("shuffle_hash"), "id")
+    whole = docs.filter("text is not null").select(F.col("doc_id").alias("own"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
+    kept = whole.join(first.hint("shuffle_hash"), F.expr("own <=> id and hash = raw"))
     once = kept.filter("n = 1").select("row.*")
-    again = kept.filter("n > 1").dropDuplicates(["id"]).select("row.*")
-    return once.unionByName(again).unionByName(docs.filter("doc_id is null"))
+    again = kept.filter("n > 1").dropDuplicates(["own", "hash"]).select("row.*")
+    return once.unionByName(again).unionByName(docs.filter("text is null"))
