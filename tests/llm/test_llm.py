@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from jobscope.llm import dart_minhash, decontamination, language_id, nra_topk, packing, pii, quality, ring_sharding, toxicity, url_filter
+from jobscope.llm import dart_minhash, decontamination, folds, language_id, nra_topk, packing, pii, quality, ring_sharding, toxicity, url_filter
 from jobscope.llm.words import shingles, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, rank int, _n int, shard string, same string, id string, site int"
@@ -66,10 +66,23 @@ def test_classes(spark, docs):
     assert {int(a): int(b) for a, b in zip(known["doc_id"], known["class_id"])} == {int(i): int(find(i)) for i, _ in rows}
     kept = dart_minhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted(r[0] for r in kept.filter("doc_id is not null").select("doc_id").collect()) == sorted({int(find(i)) for i, _ in rows})
+    ids = [r[0] for r in kept.select("doc_id").collect()]
+    assert sorted(i for i in ids if i is not None) == sorted({int(find(i)) for i, _ in rows}) and ids.count(None) == 1  # the null text
     assert dart_minhash.near_duplicate_classes(nothing(docs)).count() == 0 and dart_minhash.keep_one_of_each(nothing(docs)).count() == 0
 
 
+def test_unlike_texts_under_one_id(spark):
+    rng = random.Random(18)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, b), (2, a.upper()), (3, c), (None, c), (None, prose(rng, 50)), (4, None), (4, None), (1, a.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in dart_minhash.keep_one_of_each(df).collect()), key=str)
+    assert len(kept) == 6 and {i for i, t in kept if t == b} == {1} and [i for i, t in kept if t and t.lower() == a] == [1]
+    assert [i for i, t in kept if t == c] == [3] and (None, rows[7][1]) in kept and kept.count((4, None)) == 2
+    got = dart_minhash.near_duplicate_classes(df.filter("doc_id > 1")).toPandas()
+    assert sorted(got.itertuples(index=False, name=None)) == [(2, 2), (2, 2), (3, 3), (4, 4), (4, 4)]
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(2)
     e, w = dart_minhash.mix(rng.integers(0, 2**60, 200).astype(np.uint64)), 1 + 2 * rng.random(200)
@@ -291,6 +304,38 @@ def test_shards(docs, spark):
     assert ring_sharding.shard_documents(nothing(docs)).count() == 0
 
 
+@pytest.mark.parametrize("cell_rows", [500_000, 7])
+def test_ring_against_a_walk(spark, monkeypatch, cell_rows):
+    """Key by key round the ring: own keys first, then those that overflow go on clockwise. Many rows have one key or none."""
+    monkeypatch.setattr(ring_sharding, "CELL_ROWS", cell_rows)
+    shards, nodes = 5, 4
+    keys = spark.range(900).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("key"), (F.col("id") % 4).alias("what"))
+    got = ring_sharding.assign_shards(keys, "key", shards, nodes).toPandas()
+    assert len(got) == 900 and got.groupby("shard")["slot"].apply(sorted).map(lambda x: x == list(range(180))).all()
+    at = {r["pos"]: (r["arc"], r["shard"]) for r in ring_sharding.ring_cells(spark, shards, nodes).collect()}
+    assert set(at) == set(range(ring_sharding.RING))
+    owner = dict(at.values())
+    homes = collections.Counter(at[r[0]][0] for r in keys.select(F.pmod(F.xxhash64("key"), F.lit(ring_sharding.RING))).collect())
+    room, want, waiting = dict.fromkeys(range(shards), 180), collections.Counter(), []
+    over = {}
+    for arc in sorted(owner):
+        n = min(homes[arc], room[owner[arc]])
+        room[owner[arc]] -= n
+        want[arc, owner[arc]] += n
+        over[arc] = homes[arc] - n
+    for lap in range(2):
+        for arc in sorted(owner):
+            waiting += [arc] * (over[arc] if lap == 0 else 0)
+            n = min(len(waiting), room[owner[arc]])
+            room[owner[arc]] -= n
+            for home in waiting[:n]:
+                want[home, owner[arc]] += 1
+            waiting = waiting[n:]
+    assert not waiting
+    homed = spark.createDataFrame([(None if k != k else int(k), int(s)) for k, s in zip(got["key"], got["shard"])], "key long, shard long").select(F.pmod(F.xxhash64("key"), F.lit(ring_sharding.RING)), "shard").collect()
+    assert collections.Counter((at[p][0], s) for p, s in homed) == +want
+
+
 def test_most_keys_stay_where_the_ring_puts_them(spark):
     """Bounded loads move only what overflows: most keys are on the owner of their position."""
     df = spark.range(20_000).select(F.col("id").alias("doc_id"))
@@ -343,10 +388,35 @@ def test_toxicity(spark, docs, labels):
     out = got[got["held_out"]]
     assert ((out["doc_id"] % 4 == 0) == (out["predicted"] == 1)).mean() > 0.95
     assert toxicity.toxicity_of_documents(docs, labels).count() == docs.count()
+    # brute force: every filter at every place, by loops
+    model = toxicity.fit_toxicity(df, marks)
+    for text in (rows[0][1], rows[1][1], "nasty1", ""):
+        ids = toxicity.word_ids(text)
+        x = [sum(model.embedding[part[i]] for part in toxicity._split(ids)) for i in range(len(ids))] + [np.zeros(toxicity.DIM)] * 2
+        z, k = model.bias, 0
+        for width, f, b in zip(toxicity.WIDTHS, model.filters, model.biases):
+            for j in range(toxicity.FILTERS):
+                tops = [sum(float(x[p + o] @ f[o * toxicity.DIM : (o + 1) * toxicity.DIM, j]) for o in range(width)) + b[j] for p in range(len(ids))]
+                z += max(0.0, max(tops, default=0.0)) * model.weights[k]
+                k += 1
+        assert abs(z - model.logit(ids)) < 1e-3
+    # an id or a text on many rows is learned from once
+    again = df.unionByName(df.filter("doc_id = 4").crossJoin(spark.range(50).select()))
+    assert (toxicity.fit_toxicity(again, marks).embedding == model.embedding).all()
     model = toxicity.fit_toxicity(docs, nothing(labels))
     assert toxicity.score_toxicity(nothing(docs), model).count() == 0 and toxicity.remove_toxic(docs, model).columns == docs.columns
 
 
+def test_training_sample_is_bounded(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3500).alias("text"), F.lit("en").alias("lang"))
+    marks = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    every = folds.labelled_sample(docs, marks, "toxic", 10_000, 10**9, ("lang",))
+    assert every.columns == ["doc_id", "text", "toxic", "lang"] and every.count() == docs.distinct().filter("doc_id < 4000").count()
+    some = folds.labelled_sample(docs, marks, "toxic", 100, 10**9)
+    assert 100 < some.count() < 300
+    assert folds.labelled_sample(docs, marks, "toxic", 10_000, 900).agg(F.sum(F.length("text"))).first()[0] < 4000
+
+
 def test_quality(spark, docs, labels):
     rng = random.Random(3)
     rows = [(i, prose(rng, 50) if i % 5 else "### $$$ %%% " * 20, "good" if i % 2 else "bad", None) for i in range(400)]
@@ -360,6 +430,35 @@ def test_quality(spark, docs, labels):
     assert (quality.score_quality(docs, nothing(labels)).toPandas()["score"].sub(0.5).abs() < 1e-9).all()
 
 
+def test_posteriors_against_a_loop(spark):
+    """Host and path rates worked out one group at a time; a sparse group stays near its parent, an unknown one is its parent."""
+    cells = [("a", "a/x", 40, 36), ("a", "a/y", 2, 0), ("b", "b/x", 50, 10), ("c", "c/z", 1, 1), ("b", "b/y", 30, 20)]
+    counts = spark.createDataFrame(cells, "_l0 string, _l1 string, n long, k long")
+    base, (hosts, paths) = quality.level_rates(counts, 2)
+    total, good = sum(c[2] for c in cells), sum(c[3] for c in cells)
+    assert base == (good + 0.5) / (total + 1)
+
+    def strength(groups):  # (n, k, center)
+        n, squares = sum(g[0] for g in groups), sum(g[0] ** 2 for g in groups)
+        spread = sum(m * (k / m - c) ** 2 for m, k, c in groups)
+        rho = (spread - (len(groups) - 1) * base * (1 - base)) / (n - squares / n) / (base * (1 - base))
+        return min(1e4, max(1.0, 1 / rho - 1)) if rho > 0 else 1e4
+
+    by_host = {h: (sum(c[2] for c in cells if c[0] == h), sum(c[3] for c in cells if c[0] == h)) for h in "abc"}
+    a = strength([(n, k, base) for n, k in by_host.values()])
+    host = {h: (k + a * base) / (n + a) for h, (n, k) in by_host.items()}
+    assert {r["_l0"]: pytest.approx(r["rate"]) for r in hosts.collect()} == host
+    b = strength([(n, k, host[h]) for h, _, n, k in cells])
+    want = {p: (k + b * host[h]) / (n + b) for h, p, n, k in cells}
+    assert {r["_l1"]: pytest.approx(r["rate"]) for r in paths.collect()} == want
+    assert abs(host["c"] - base) < abs(1 - base) / 2
+    # levels of URLs: a host and its path's first segments
+    docs = spark.createDataFrame([(i, f"text {i}", f"http://{'good' if i % 2 else 'bad'}.org/{'p' if i % 4 < 2 else 'q'}/{i}") for i in range(400)], "doc_id long, text string, url string")
+    marks = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    got = quality.score_quality(docs, marks, quality.url_levels(F.col("url"), 1)).toPandas().set_index("doc_id")
+    assert (got.loc[1::2, "site_rate"] > 0.8).all() and (got.loc[0::2, "section_rate"] < 0.2).all() and got["section_rate"].nunique() == 4
+
+
 def test_urls(spark):
     urls = ["http://A.org/", "http://a.org", "https://x.Example.org/es/1?q", "https://example.org/en/12", "https://example.org/en/2", "http://a.com/fr/", "http://b.com/de/x#y", "http://c.net/de/", None, "junk", "http://", "a://b://c/d"]
     df = spark.createDataFrame([(i, u, "<p>", "s") for i, u in enumerate(urls)] + [(0, urls[0], "", "")], "page_id long, url string, html string, score string")
@@ -372,4 +471,42 @@ def test_urls(spark):
     rng = np.random.default_rng(1)
     x = rng.random((2000, 16))
     y = ((x[:, 2] > 0.5) ^ (x[:, 5] > 0.3)).astype(float)
-    assert ((url_filter.fit_trees(x, y).margin(x) > 0) == (y > 0)).mean() > 0.97
+    model = url_filter.fit_trees(x, y)
+    margin = model.margin(x)
+    assert ((margin > 0) == (y > 0)).mean() > 0.97
+
+    # brute force: each tree walked row by row
+    def walk(row):
+        out = model.base
+        for feature, cut, leaf in model.trees:
+            node = 0
+            for f, c in zip(feature, cut):
+                node = 2 * node + int(row[f[node]] > c[node])
+            out += leaf[node]
+        return out
+
+    assert np.allclose(margin[:200], [walk(r) for r in x[:200]])
+
+
+def test_url_statistics_and_held_out_urls(spark):
+    """Counts against a loop, one hot URL, and trees on URLs that they weren't fitted to."""
+    rng = random.Random(7)
+    hosts = [f"site{i}.{t}" for i in range(30) for t in ("org", "com", "net")]
+    rows = [(i, f"https://{rng.choice(hosts)}/{rng.choice(['fr', 'de', 'es', 'x'])}/page{rng.randrange(900)}.html?a={i % 7}", "") for i in range(3000)]
+    rows += [(9000 + i, "https://hot.org/x", "") for i in range(1500)]
+    labelled = url_filter.labelled_urls(url_filter.parsed_urls(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    known = labelled.toPandas()
+    assert known["url"].is_unique and known.set_index("url").loc["https://hot.org/x", "n"] == 1500
+    model = url_filter.fit_urls(labelled.filter("crc32(cast(url as binary)) % 4 <> 0"))
+    want = collections.Counter()
+    rest = known[[zlib.crc32(u.encode()) % 4 != 0 for u in known["url"]]]
+    for u, h, p, n, y in zip(rest["url"], rest["host"], rest["path"], rest["n"], rest["y"]):
+        for k in url_filter.keys_of(h, p):
+            want[zlib.crc32(u.encode()) % 5, 0, k] += n
+            want[zlib.crc32(u.encode()) % 5, 1, k] += n * y
+    assert {at: int(v) for at, v in np.ndenumerate(model.counts) if v} == +want
+    out = known.drop(rest.index)
+    assert len(out) > 100 and ((model.score(out) >= 0.5) == (out["y"] == 1)).mean() > 0.97
+    keys = np.array([url_filter.keys_of(rest["host"].iloc[0], rest["path"].iloc[0])])
+    others = model.counts[[0, 1, 3, 4]].sum(axis=0)
+    assert np.allclose(model.rates(keys, np.array([2])), (others[1][keys] + 10 * model.base) / (others[0][keys] + 10))
