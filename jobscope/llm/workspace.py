@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +29,16 @@ def stored(df: DataFrame) -> DataFrame:
     What comes back has no lineage, so a lost executor costs a re-read and not the work before it,
     and every later reader sees the same rows. The files go when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/jobscope-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_parts([df])
+
+
+def stored_parts(parts: Iterable[DataFrame]) -> DataFrame:
+    """Like :func:`stored` of the union of ``parts`` (at least one), each of which is written before the next is made."""
+    name = f"jobscope-{uuid.uuid4().hex}"
+    for df in parts:
+        spark, schema = df.sparkSession, df.schema
+        path = f"{shared_folder(spark)}/{name}"
+        df.write.mode("append").parquet(path)
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(schema).parquet(path)

@@ -345,7 +345,7 @@ def test_most_keys_stay_where_the_ring_puts_them(spark):
     assert at.filter("shard = owner").count() > 0.8 * 20_000
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.2, (300, 16)).astype(np.float32)
     x[50:90] = x[40]  # ties
@@ -360,10 +360,36 @@ def test_top_k(spark):
         best = sorted((-int(v[q] @ v[k]), i) for k, i in enumerate(ids) if i != q)[:20]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert sorted(map(tuple, got[["query_id", "rank", "vec_id", "score"]].itertuples(index=False))) == want
+    monkeypatch.setattr(nra_topk, "QUERY_ROWS", 4)  # several blocks of queries
+    monkeypatch.setattr(nra_topk, "STEP_ROWS", 3)
+    got = nra_topk.search_embeddings(df).toPandas()
+    assert sorted(map(tuple, got[["query_id", "rank", "vec_id", "score"]].itertuples(index=False))) == want
     assert nra_topk.search_embeddings(nothing(df)).count() == 0
     assert nra_topk.search_embeddings(df.filter("vec_id in (0, 1)")).count() == 1
 
 
+def test_bounds_hold_and_reading_stops(monkeypatch):
+    """Bounds against scores, entry by entry; most queries leave a block before its lists' ends, and no answer is lost."""
+    rng = np.random.default_rng(12)
+    v = np.floor(64 * rng.normal(0, 0.125, (1500, 64)))
+    block, q = nra_topk.Block(v), v[:40]
+    for lists, depth in ((0, 300), (20, 100), (48, 1)):
+        heavy = block.heaviest(q, lists) if lists else np.zeros_like(q)
+        upper, lower = block.bounds(depth, heavy, q - heavy, True), block.bounds(depth, heavy, q - heavy, False)
+        assert (upper >= q @ v.T).all() and (lower <= q @ v.T).all()
+    j, i, depth = 3, 77, 300  # one bound by hand: the list's last value read stands for what isn't read
+    want = sum(w * (max(x, sorted(c)[-depth]) if w > 0 else min(x, sorted(c)[depth - 1])) for w, x, c in zip(q[j], v[i], v.T))
+    assert want == block.bounds(depth, np.zeros_like(q), q, True)[j, i]
+    best = nra_topk.TopK(np.arange(40), q.astype(np.int64), 20)
+    for at in range(0, 1500, 500):
+        best.search(np.arange(at, at + 500), v[at : at + 500].astype(np.int64))
+    for j in range(40):
+        s = v @ q[j]
+        s[j] = -np.inf
+        assert list(best.best_ids[j]) == sorted(range(1500), key=lambda i: (-s[i], i))[:20]
+    assert best.stopped > 0.8 * best.searched == 0.8 * 120 and best.read < 0.85 * best.entries
+
+
 def test_languages(spark, docs):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice(["the", "thing", "other", "with"] if i % 2 else ["der", "nicht", "über", "und"]) for _ in range(20)), "en" if i % 2 else "de") for i in range(200)]
