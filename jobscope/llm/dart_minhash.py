@@ -178,8 +178,8 @@ def _component_edges(texts: DataFrame, signed: DataFrame, threshold: float) -> D
     groups = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center")).filter("n > 1"))
     members = stored(keyed.join(groups, "key"))
     nodes = stored(members.select("node").distinct())
-    # a text's set is that of any row which has its id and its words
-    sets = stored(signed.select("node", "set").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
+    # a text's set is that of any row which has its id and its words; always shuffled, as the nodes grow with the documents
+    sets = stored(signed.select("node", "set").join(nodes.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
     large = members.filter(F.col("n") > CROWD)
     small = members.filter(F.col("n") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("g"))  # bounded: CROWD nodes
     pair = F.expr(f"flatten(transform(g, (x, i) -> transform(slice(g, i + 2, {CROWD}), y -> struct(x as center, y as node))))")
