@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobscope.functions import seconds_between
+from jobscope.operators.running import running
+from jobscope.storage import broadcast_blocks, stored
 
 MARGIN_MB, FREEZE_EXTRA_MB = 500, 512
 
-#: Node and GPU tables are sent to all tasks up to so many rows; a larger fleet is joined in blocks of it.
-BROADCAST_ROWS = 200_000
+#: What of a job decides where it fits.
+DEMAND = ("cpu_cores", "ram_mb", "est_vram_mb", "require_node")
 
 
 def ram_budget(nodes: DataFrame, probes: DataFrame) -> DataFrame:
@@ -31,52 +36,81 @@ def cpu_ownership(jobs: DataFrame, probes: DataFrame, me: str) -> DataFrame:
     return rows.select("node", F.col("used").cast("bigint").alias("used"), F.col("ours").cast("bigint").alias("ours"), F.col("other").cast("bigint").alias("other"), F.greatest(F.lit(0), F.col("used") - F.col("ours") - F.col("other")).cast("bigint").alias("untracked"))
 
 
-def fit_reasons(max_util: int | None = None, projected: bool = False) -> Column:
-    """All reasons why a job (cpu_cores, ram_mb, est_vram_mb, require_node) doesn't fit a GPU slot of a node; empty if it does."""
-    needs_gpu = F.coalesce("est_vram_mb", F.lit(1)) > 0
-    est = F.coalesce("est_vram_mb", F.lit(0))
-    frozen = F.col("used_mb") + (est if projected else F.lit(0)) >= F.floor(F.col("total_mb") / 3) + FREEZE_EXTRA_MB
-    reasons = [
-        ("down", ~F.col("alive")),
-        ("pinned elsewhere", F.col("require_node").isNotNull() & (F.col("require_node") != F.col("node"))),
-        ("cpu", F.col("cpu_cores") > F.col("free_cpu")),
-        ("ram", F.coalesce("ram_mb", F.lit(0)) > F.col("free_ram_mb")),
-        ("vram", needs_gpu & (F.col("total_mb") - F.col("used_mb") < est + MARGIN_MB)),
-        ("vram frozen", needs_gpu & (F.col("used_mb") > 0) & frozen),
-    ]
-    if max_util is not None:
-        reasons.append(("gpu busy", needs_gpu & (F.col("util_pct") >= max_util)))
-    return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in reasons]))
-
-
-def fit_matrix(jobs: DataFrame, gpus: DataFrame, max_util: int | None = None) -> DataFrame:
-    """job_id, node, gpu_idx, fits, reasons for each queued job and GPU. Each answer is asked for, so this is their product:
-    the fleet's side is checked for size and sent to the tasks; a larger one goes in blocks."""
-    queued = jobs.filter("status = 'queued'").select("job_id", "cpu_cores", "ram_mb", "est_vram_mb", "require_node")
-    rows, out = gpus.count(), None
-    blocks = max(1, -(-rows // BROADCAST_ROWS))
-    for b in range(blocks):
-        part = gpus if blocks == 1 else gpus.filter(F.pmod(F.xxhash64("node", "gpu_idx"), F.lit(blocks)) == b)
-        fit = queued.crossJoin(F.broadcast(part)).withColumn("reasons", fit_reasons(max_util))
-        fit = fit.select("job_id", "est_vram_mb", "node", "gpu_idx", (F.size("reasons") == 0).alias("fits"), "reasons", "used_mb", "total_mb", "free_cpu")
-        out = fit if out is None else out.unionByName(fit)
-    return out
-
-
-def best_slot(fit: DataFrame) -> DataFrame:
-    """job_id, node, gpu_idx: for each job that fits somewhere a GPU in use already, then the least memory left; a job
-    without GPU memory takes the most free cores."""
-    cpu_only = F.coalesce("est_vram_mb", F.lit(1)) == 0
+def _reasons(gpus: DataFrame, max_util: int | None, projected: bool) -> Callable[[Callable[[str], Column]], Column]:
+    """All reasons why a job's demand doesn't fit a GPU slot, whose fields ``gpu`` gives; rules on fields that the fleet doesn't tell are left out."""
+    has = set(gpus.columns)
+
+    def reasons(gpu: Callable[[str], Column]) -> Column:
+        needs_gpu, est = F.coalesce("est_vram_mb", F.lit(1)) > 0, F.coalesce("est_vram_mb", F.lit(0))
+        frozen = gpu("used_mb") + (est if projected else F.lit(0)) >= F.floor(gpu("total_mb") / 3) + FREEZE_EXTRA_MB
+        rules = [
+            ("down", ~gpu("alive")),
+            ("pinned elsewhere", F.col("require_node").isNotNull() & (F.col("require_node") != gpu("node"))),
+            ("cpu", F.col("cpu_cores") > gpu("free_cpu")),
+            ("load", gpu("load1") >= gpu("total_cpu") if {"load1", "total_cpu"} <= has else None),
+            ("running cap", gpu("running") >= gpu("max_concurrent_running") if {"running", "max_concurrent_running"} <= has else None),
+            ("ram", F.coalesce("ram_mb", F.lit(0)) > gpu("budget_mb" if "budget_mb" in has else "free_ram_mb")),
+            ("vram cap", needs_gpu & (F.greatest(est, F.lit(1)) > gpu("max_vram_per_task")) if "max_vram_per_task" in has else None),
+            ("vram", needs_gpu & (gpu("total_mb") - gpu("used_mb") < est + MARGIN_MB)),
+            ("vram frozen", needs_gpu & (gpu("used_mb") > 0) & frozen),
+            ("gpu busy", needs_gpu & (gpu("util_pct") >= max_util) if max_util is not None else None),
+        ]
+        return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules if broken is not None]))
+
+    return reasons
+
+
+def with_claims(gpus: DataFrame, claims: DataFrame, now: Column, ttl_s: int = 3600) -> DataFrame:
+    """``gpus`` with free cores and RAM and used memory as they are once live claims (see :func:`effective_free`) are taken off."""
+    left = effective_free(gpus, claims, now, ttl_s)
+    return gpus.drop("free_cpu", "free_ram_mb").join(left, ["node", "gpu_idx"]).withColumn("used_mb", F.col("total_mb") - F.col("free_vram_mb")).drop("free_vram_mb")
+
+
+def fit_matrix(jobs: DataFrame, gpus: DataFrame, max_util: int | None = None, projected: bool = False) -> DataFrame:
+    """job_id, node, gpu_idx, fits, reasons (all of them) for each queued job (cpu_cores, ram_mb, est_vram_mb, require_node) and GPU.
+
+    ``gpus`` may tell, beside what a probe does, budget_mb (see :func:`ram_budget`; else free_ram_mb counts), load1,
+    running and max_concurrent_running, and max_vram_per_task (null: no cap, 0: no GPU jobs); take claims off by :func:`with_claims`.
+    A job without an estimate is a GPU job, one of 0 takes no GPU memory. Each answer is asked for, so this is their product: the fleet's
+    side is sent to the tasks in blocks of a bounded size. :func:`best_slot` and :func:`blocked_summary` don't need it.
+    """
+    queued, reasons = jobs.filter("status = 'queued'").select("job_id", *DEMAND), _reasons(gpus, max_util, projected)
+    fits = [queued.crossJoin(part).withColumn("reasons", reasons(F.col)) for part in broadcast_blocks(gpus, "node", "gpu_idx")]
+    return reduce(DataFrame.unionByName, fits).select("job_id", "node", "gpu_idx", (F.size("reasons") == 0).alias("fits"), "reasons")
+
+
+def _demands(jobs: DataFrame) -> DataFrame:
+    """The distinct demands of queued jobs, with how many jobs have each: a fleet answers a demand once, not each job."""
+    return jobs.filter("status = 'queued'").groupBy(*DEMAND).agg(F.count(F.lit(1)).alias("jobs"))
+
+
+def best_slot(jobs: DataFrame, gpus: DataFrame, max_util: int | None = None) -> DataFrame:
+    """job_id, node, gpu_idx: for each queued job that fits somewhere a GPU in use already, then the least memory left; a job
+    without GPU memory takes the most free cores (on a node for CPU work, if ``gpus`` tells ``cpu_node``, before others)."""
+    cpu_only, reasons = F.coalesce("est_vram_mb", F.lit(1)) == 0, _reasons(gpus, max_util, False)
+    labour = F.when(F.coalesce("cpu_node", F.lit(False)), 0).otherwise(1) if "cpu_node" in gpus.columns else F.lit(0)
     score = F.struct(
-        F.when(cpu_only, -F.col("free_cpu")).otherwise((F.col("used_mb") == 0).cast("int")).alias("a"),
-        F.when(cpu_only, 0).otherwise(F.col("total_mb") - F.col("used_mb")).alias("b"), "node", "gpu_idx",
+        F.when(cpu_only, labour).otherwise((F.col("used_mb") == 0).cast("int")).alias("a"),
+        F.when(cpu_only, -F.col("free_cpu")).otherwise(F.col("total_mb") - F.col("used_mb")).alias("b"), "node", "gpu_idx",
     )
-    return fit.filter("fits").groupBy("job_id").agg(F.min_by(F.struct("node", "gpu_idx"), score).alias("s")).select("job_id", "s.*")
+    # the minimum is taken where the product is made: one row for each demand and task is shuffled
+    fits = [_demands(jobs).crossJoin(part).filter(F.size(reasons(F.col)) == 0).groupBy(*DEMAND).agg(F.min(score).alias("s")) for part in broadcast_blocks(gpus, "node", "gpu_idx")]
+    best = reduce(DataFrame.unionByName, fits).groupBy(*[F.col(c).alias(f"_{c}") for c in DEMAND]).agg(F.min("s").alias("s"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in DEMAND])
+    return jobs.filter("status = 'queued'").join(best, same).select("job_id", "s.node", "s.gpu_idx")
 
 
-def blocked_summary(fit: DataFrame) -> DataFrame:
-    """reason, node, jobs: how many jobs a reason keeps from a node's GPUs."""
-    return fit.select("job_id", "node", F.explode("reasons").alias("reason")).groupBy("reason", "node").agg(F.countDistinct("job_id").alias("jobs"))
+def blocked_summary(jobs: DataFrame, gpus: DataFrame, max_util: int | None = None) -> DataFrame:
+    """reason, node, jobs: how many queued jobs a reason keeps from a GPU of a node.
+
+    Demands meet nodes with all their GPUs in one row, so a demand's reasons on a node are joined without a shuffle, and
+    what is shuffled is a count for each reason, node and task.
+    """
+    reasons = _reasons(gpus, max_util, False)
+    nodes = gpus.groupBy(F.col("node").alias("on")).agg(F.collect_list(F.struct(*gpus.columns)).alias("gpus"))  # bounded: a node's GPUs
+    found = F.array_distinct(F.flatten(F.transform("gpus", lambda g: reasons(lambda c: g[c]))))
+    met = [_demands(jobs).crossJoin(part).select("on", "jobs", F.explode(found).alias("reason")) for part in broadcast_blocks(nodes, "on")]
+    return reduce(DataFrame.unionByName, met).groupBy("reason", F.col("on").alias("node")).agg(F.sum("jobs").alias("jobs"))
 
 
 def effective_free(gpus: DataFrame, claims: DataFrame, now: Column, ttl_s: int = 3600) -> DataFrame:
@@ -91,12 +125,18 @@ def effective_free(gpus: DataFrame, claims: DataFrame, now: Column, ttl_s: int =
 
 
 def older_blockers(intents: DataFrame, now: Column, wait_s: int = 1800) -> DataFrame:
-    """job_id, blocker_id: for each intent (job_id, node, ts, cpu, free_cpu) the oldest older one of its node that could run
-    now or has waited over ``wait_s``. Only the first such one can be it, so one running minimum answers for all."""
-    w = W.partitionBy("node").orderBy("ts", "job_id").rowsBetween(W.unboundedPreceding, -1)
-    can = (F.col("cpu") <= F.col("free_cpu")) | (seconds_between(F.col("ts"), now) > wait_s)
-    first = F.min(F.when(can, F.struct("ts", "job_id"))).over(w)
-    return intents.withColumn("_b", first).filter("_b is not null").select("job_id", F.col("_b.job_id").alias("blocker_id"))
+    """job_id, blocker_id: for each intent (job_id, node, ts, cpu, free_cpu, resource) the oldest older one of its node that could
+    run now, or has waited over ``wait_s`` for the same resource. Without ``resource`` all compete.
+
+    Only the first such one can be it, so two running minima, of the node and of the resource, answer for all.
+    """
+    rows = intents if "resource" in intents.columns else intents.withColumn("resource", F.lit(""))
+    me = F.struct("ts", "job_id")
+    fits, waits = F.col("cpu") <= F.col("free_cpu"), seconds_between(F.col("ts"), now) > wait_s
+    rows = running(rows, ["node"], ["ts", "job_id"], F.when(fits, me), "min", "_fits", own=False)
+    rows = running(rows, ["node", "resource"], ["ts", "job_id"], F.when(waits, me), "min", "_waits", own=False)
+    first = F.coalesce(F.least("_fits", "_waits"), "_fits", "_waits")
+    return rows.withColumn("_b", first).filter("_b is not null").select("job_id", F.col("_b.job_id").alias("blocker_id"))
 
 
 def eviction_candidates(gpus: DataFrame, jobs: DataFrame, order: str = "longest") -> DataFrame:
@@ -107,12 +147,20 @@ def eviction_candidates(gpus: DataFrame, jobs: DataFrame, order: str = "longest"
     return on.groupBy("node", "gpu_idx").agg(F.count(F.lit(1)).alias("n"), F.max_by("job_id", by).alias("job_id")).filter("n >= 2").drop("n")
 
 
-def rebalance_candidates(jobs: DataFrame, load: DataFrame, min_eta: int = 300) -> DataFrame:
+def rebalance_candidates(jobs: DataFrame, load: DataFrame, now: Column | None = None, min_eta: int = 300, max_ckpt_mb: int = 2048, cooldown_s: int = 1800) -> DataFrame:
     """source, target, job_id: from nodes with over 600 s and twice a target's load (which is under 600 s), the movable job
-    with the longest ETA; the least loaded target. load: node, eta_load."""
+    with the longest ETA; the least loaded target. load: node, eta_load.
+
+    Movable: running, on the node by no more than a preference (no require_node), not adopted, with ``min_eta`` seconds left; and, where
+    ``jobs`` tells, a checkpoint (ckpt_mb) of ``max_ckpt_mb`` at most and no move (moved_at) within ``cooldown_s``.
+    """
     least = load.filter("eta_load < 600").agg(F.min(F.struct("eta_load", "node")).alias("t")).select("t.*").toDF("t_load", "target")
-    pairs = load.join(F.broadcast(least), (F.col("eta_load") > 2 * F.col("t_load")) & (F.col("eta_load") > 600)).select(F.col("node").alias("source"), "target")
+    pairs = load.join(F.broadcast(least), (F.col("eta_load") > 2 * F.col("t_load")) & (F.col("eta_load") > 600)).select(F.col("node").alias("source"), "target")  # one row
     movable = jobs.filter((F.col("status") == "running") & F.col("require_node").isNull() & ~F.coalesce("auto_adopted", F.lit(False)) & (F.col("eta_seconds") >= min_eta))
+    if "ckpt_mb" in jobs.columns:
+        movable = movable.filter(F.coalesce("ckpt_mb", F.lit(0)) <= max_ckpt_mb)
+    if "moved_at" in jobs.columns:
+        movable = movable.filter(F.coalesce(seconds_between(F.col("moved_at"), F.current_timestamp() if now is None else now) >= cooldown_s, F.lit(True)))
     best = movable.groupBy(F.col("node").alias("source")).agg(F.max_by("job_id", F.struct("eta_seconds", "job_id")).alias("job_id"))
     return pairs.join(best, "source").select("source", "target", "job_id")
 
@@ -136,34 +184,41 @@ def shard_quotas(weights: DataFrame, total: int) -> DataFrame:
 def assign_shards(df: DataFrame, key: str, weights: DataFrame) -> DataFrame:
     """``key`` and node: rows in order of a unique key, in contiguous shards in proportion to weights (node, weight).
 
-    Rows are cut into ranges of the key by Spark's range partitioning; counts of the ranges give offsets, so the order is global
-    without one task sorting it all.
+    Rows are cut into ranges of the key by Spark's range partitioning and written with their range's number; counts of the ranges
+    give offsets, so the order is global without one task sorting it all, and the same if tasks are run again.
     """
-    ranged = df.select(key).repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id()).persist()
+    ranged = stored(df.select(key).repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id()))
     counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn("_from", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_from")
-    total = ranged.count()
-    quotas = shard_quotas(weights, total)
+    offsets = counts.withColumn("_from", F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_from")
+    quotas = shard_quotas(weights, ranged.count())
     pos = ranged.withColumn("_rn", F.row_number().over(W.partitionBy("_p").orderBy(key))).join(offsets, "_p").withColumn("_pos", F.col("_from") + F.col("_rn") - 1)
-    return pos.join(F.broadcast(quotas), (F.col("_pos") >= F.col("start")) & (F.col("_pos") < F.col("end"))).select(key, "node")
+    placed = [pos.join(part, (F.col("_pos") >= F.col("start")) & (F.col("_pos") < F.col("end"))) for part in broadcast_blocks(quotas, "node")]
+    return reduce(DataFrame.unionByName, placed).select(key, "node")
 
 
 def concurrency_timeline(jobs: DataFrame) -> DataFrame:
     """node, ts, running after each start and finish; a finish counts before a start at the same time."""
     starts = jobs.select("node", F.col("started_at").alias("ts"), F.lit(1).alias("d"), "job_id")
     ends = jobs.select("node", F.col("finished_at").alias("ts"), F.lit(-1).alias("d"), "job_id")
-    w = W.partitionBy("node").orderBy("ts", "d", "job_id").rowsBetween(W.unboundedPreceding, 0)
-    return starts.unionByName(ends).filter("ts is not null").select("node", "ts", "d", "job_id", F.sum("d").over(w).alias("running"))
+    changes = starts.unionByName(ends).filter("ts is not null")
+    return running(changes, ["node"], ["ts", "d", "job_id"], F.col("d"), "sum", "running")
 
 
-def peak_concurrency(jobs: DataFrame) -> DataFrame:
-    """node, peak: the most jobs that ran at once."""
-    return concurrency_timeline(jobs).groupBy("node").agg(F.max("running").alias("peak"))
+def peak_concurrency(jobs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """node, peak: the most jobs that ran at once. With ``nodes`` (node, max_concurrent_running) also limit and over (by how many it
+    was passed, 0 if it wasn't; null without a limit)."""
+    peaks = concurrency_timeline(jobs).groupBy("node").agg(F.max("running").alias("peak"))
+    if nodes is None:
+        return peaks
+    limit = F.col("max_concurrent_running")
+    return peaks.join(nodes.select("node", "max_concurrent_running"), "node", "left").select("node", "peak", limit.alias("limit"), F.when(limit.isNotNull(), F.greatest(F.lit(0), F.col("peak") - limit)).alias("over"))
 
 
-def minute_rollup(samples: DataFrame, width: str = "60 seconds", exact: bool = True) -> DataFrame:
-    """node, minute, max_vram_mb, sum_ram_mb, jobs of each minute. Streams can't count distinct jobs exactly: ``exact=False``
-    takes a sketch of 1 % for that."""
-    jobs = F.countDistinct("job_id") if exact else F.approx_count_distinct("job_id", 0.01)
-    rows = samples.groupBy("node", F.window("ts", width).alias("w")).agg(F.max("vram_mb").alias("max_vram_mb"), F.sum("ram_mb").alias("sum_ram_mb"), jobs.alias("jobs"))
+def minute_rollup(samples: DataFrame, width: str = "60 seconds") -> DataFrame:
+    """node, minute, max_vram_mb, sum_ram_mb, jobs (distinct) of each minute.
+
+    Jobs are told apart by a first aggregation to a row each, so counting them is exact on streams too, and a busy node is many tasks' work.
+    """
+    each = samples.groupBy("node", F.window("ts", width).alias("w"), "job_id").agg(F.max("vram_mb").alias("_v"), F.sum("ram_mb").alias("_r"))
+    rows = each.groupBy("node", "w").agg(F.max("_v").alias("max_vram_mb"), F.sum("_r").alias("sum_ram_mb"), F.count("job_id").alias("jobs"))
     return rows.select("node", F.col("w.start").alias("minute"), "max_vram_mb", "sum_ram_mb", "jobs")

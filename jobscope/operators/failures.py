@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from jobscope.functions import seconds_between
 from jobscope.operators.integrity import artifact_gate, producers_of_blocked
-from jobscope.operators.logs import line_current, line_pair
+from jobscope.operators.logs import trained
 
-# What tells a failure, in order of precedence.
+# What tells a failure, in order of precedence. std::bad_alloc and RESOURCE_EXHAUSTED are additions of this library.
 FAILURES = [
-    ("DISK_FULL", ["No space left on device", "Disk quota exceeded"]),
-    ("OOM", ["CUDA out of memory", "OutOfMemoryError", "RESOURCE_EXHAUSTED", "std::bad_alloc"]),
-    ("ENV_MISSING", ["no such file or directory", "command not found"]),
+    ("DISK_FULL", ["No space left on device", "[Errno 28]", "ENOSPC", "disk full", "Disk quota exceeded"]),
+    ("OOM", ["CUDA out of memory", "out of memory", "MemoryError", "Killed process", "oom-kill", "oom_reaper", "std::bad_alloc", "RESOURCE_EXHAUSTED"]),
+    ("ENV_MISSING", ["没有那个文件或目录", "no such file or directory", "command not found"]),
     ("PYTHON_IMPORT", ["ModuleNotFoundError", "ImportError"]),
 ]
 SUCCESS = ("Training complete", "training complete", "All done", "Finished")
@@ -40,7 +40,7 @@ def classify_failure(jobs: DataFrame, log: DataFrame) -> DataFrame:
     60 s of life, else UNKNOWN. A bare "Killed" isn't OOM. Needs dur_s."""
     line = F.col("line")
     flags = log.groupBy("job_id").agg(
-        *[F.bool_or(_says(line, p, name == "ENV_MISSING")).alias(name) for name, p in FAILURES], F.bool_or(_says(line, ["Traceback (most recent call last)"])).alias("trace")
+        *[F.bool_or(_says(line, p, name == "ENV_MISSING")).alias(name) for name, p in FAILURES], F.bool_or(line.contains("Traceback")).alias("trace")
     )
     failed = jobs.filter("status = 'failed'").join(flags, "job_id", "left")
     category = F.when(F.col("trace") & (F.col("dur_s") > 60), "APP_BUG").otherwise("UNKNOWN")
@@ -60,9 +60,8 @@ def diagnose_terminal(jobs: DataFrame, log: DataFrame) -> DataFrame:
     """job_id, is_crash, reason of jobs that stopped: done on a success or nothing-to-do mark; a crash if it trained or used
     the GPU without one; an empty log is a crash if it used the GPU, else no start."""
     line = F.col("line")
-    trained = line_pair(line).isNotNull() | line_current(line).isNotNull()
-    flags = log.groupBy("job_id").agg(F.bool_or(_says(line, SUCCESS)).alias("ok"), F.bool_or(_says(line, NOTHING_TO_DO, True)).alias("noop"), F.bool_or(trained).alias("trained"), F.max(F.length("line")).alias("size"))
-    rows = jobs.join(flags, "job_id", "left").withColumn("gpu", F.coalesce(F.col("peak_vram_mb"), F.lit(0)) > 0)
+    flags = log.groupBy("job_id").agg(F.bool_or(_says(line, SUCCESS)).alias("ok"), F.bool_or(_says(line, NOTHING_TO_DO, True)).alias("noop"), F.max(F.length("line")).alias("size"))
+    rows = jobs.join(flags, "job_id", "left").join(trained(log), "job_id", "left").withColumn("gpu", F.coalesce(F.col("peak_vram_mb"), F.lit(0)) > 0)
     empty = F.coalesce("size", F.lit(0)) == 0
     reason = F.when(F.col("ok"), "success mark").when(F.col("noop"), "nothing to do").when(empty & F.col("gpu"), "empty log after GPU use").when(empty, "empty log").when(F.col("trained"), "trained without success mark").when(F.col("gpu"), "GPU use without success mark").otherwise("no training seen")
     crash = ~F.coalesce(F.col("ok") | F.col("noop"), F.lit(False)) & (F.col("gpu") | F.coalesce("trained", F.lit(False)))

@@ -56,22 +56,46 @@ def walltime(runtimes: DataFrame, hist: DataFrame, jobs: DataFrame) -> DataFrame
 
 
 def description_key(description: Column) -> Column:
-    """A description without its digits."""
-    return F.trim(F.regexp_replace(description, r"[0-9]+", ""))
+    """A description without seeds and digits, null if nothing is left."""
+    plain = F.regexp_replace(F.regexp_replace(description, r"(?i)seed\s*[=:]?\s*[0-9]+", ""), r"[0-9]+", "")
+    return F.nullif(F.trim(F.regexp_replace(plain, r"\s+", " ")), F.lit(""))
 
 
-def estimate_resources(jobs: DataFrame, peaks: DataFrame, default_vram: int = 512) -> DataFrame:
-    """job_id, vram_mb, level: explicit, own history, same prefix, project median, default. An explicit 0 is a value.
+#: What a job gets that says nothing and of which nothing is known.
+DEFAULT_VRAM_MB, DEFAULT_RAM_MB, DEFAULT_CORES = 512, 4096, 1
 
-    Each level is aggregated to a row a key before it is joined.
+
+def estimate_resources(jobs: DataFrame, peaks: DataFrame) -> DataFrame:
+    """job_id, vram_mb, level, ram_mb, ram_level, cpu_cores of jobs (est_vram_mb, est_ram_mb, est_cores may be missing or null).
+
+    Memory is what the job says (``explicit``; 0 is a value), else the p80 of its signature (``own``), else the median of the p80s of the signatures
+    with its description (``description``), its prefix (``prefix``) or project (``project``), else a default. Cores have no
+    history. Each level is aggregated to a row a key before it is joined.
     """
-    own = p80_history(peaks).select("signature", F.col("p80_vram_mb").alias("_own"))
-    medians = p80_history(peaks).select(prefix_of(F.col("signature")).alias("_prefix"), "p80_vram_mb")
-    prefix = medians.groupBy("_prefix").agg(_disc("p80_vram_mb", 0.5).alias("_near"))
-    project = medians.groupBy(F.substring_index("_prefix", "/", 1).alias("project")).agg(_disc("p80_vram_mb", 0.5).alias("_project"))
-    joined = jobs.withColumn("_prefix", prefix_of(F.col("signature"))).join(own, "signature", "left").join(prefix, "_prefix", "left").join(project, "project", "left")
-    level = F.when(F.col("est_vram_mb").isNotNull(), "explicit").when(F.col("_own").isNotNull(), "own").when(F.col("_near").isNotNull(), "prefix").when(F.col("_project").isNotNull(), "project").otherwise("default")
-    return joined.select("job_id", F.coalesce("est_vram_mb", "_own", "_near", "_project", F.lit(default_vram)).cast("bigint").alias("vram_mb"), level.alias("level"))
+    said = {c: F.col(c) if c in jobs.columns else F.lit(None).cast("bigint") for c in ("est_vram_mb", "est_ram_mb", "est_cores")}
+    hist = p80_history(peaks).select("signature", "p80_vram_mb", "p80_ram_mb", prefix_of(F.col("signature")).alias("_prefix"))
+    hist = hist.withColumn("_project", F.substring_index("_prefix", "/", 1))
+
+    def medians(rows: DataFrame, key: str, level: str) -> DataFrame:
+        return rows.groupBy(key).agg(_disc("p80_vram_mb", 0.5).alias(f"_{level}_v"), _disc("p80_ram_mb", 0.5).alias(f"_{level}_r"))
+
+    out = jobs.withColumn("_prefix", prefix_of(F.col("signature"))).join(hist.select("signature", F.col("p80_vram_mb").alias("_own_v"), F.col("p80_ram_mb").alias("_own_r")), "signature", "left")
+    levels = ["own"]
+    if "description" in jobs.columns and "description" in peaks.columns:
+        named = peaks.select("signature", description_key(F.col("description")).alias("_description")).filter("_description is not null").distinct()
+        out = out.withColumn("_description", description_key(F.col("description"))).join(medians(hist.join(named, "signature"), "_description", "description"), "_description", "left")
+        levels.append("description")
+    out = out.join(medians(hist, "_prefix", "prefix"), "_prefix", "left").join(medians(hist, "_project", "project").withColumnRenamed("_project", "project"), "project", "left")
+    levels += ["prefix", "project"]
+
+    def chosen(explicit: Column, end: str, default: int) -> tuple[Column, Column]:
+        level = F.lit("default")
+        for name in reversed(levels):
+            level = F.when(F.col(f"_{name}_{end}").isNotNull(), name).otherwise(level)
+        return F.coalesce(explicit, *[F.col(f"_{name}_{end}") for name in levels], F.lit(default)).cast("bigint"), F.when(explicit.isNotNull(), "explicit").otherwise(level)
+
+    (vram, level), (ram, ram_level) = chosen(said["est_vram_mb"], "v", DEFAULT_VRAM_MB), chosen(said["est_ram_mb"], "r", DEFAULT_RAM_MB)
+    return out.select("job_id", vram.alias("vram_mb"), level.alias("level"), ram.alias("ram_mb"), ram_level.alias("ram_level"), F.coalesce(said["est_cores"], F.lit(DEFAULT_CORES)).cast("bigint").alias("cpu_cores"))
 
 
 def estimate_outliers(hist: DataFrame, ratio: float = 2.0) -> DataFrame:
@@ -92,6 +116,12 @@ def status_counts(jobs: DataFrame, by: str = "node") -> DataFrame:
     return jobs.groupBy(by).pivot("status", [*ACTIVE, *TERMINAL]).agg(F.count(F.lit(1))).fillna(0, [*ACTIVE, *TERMINAL])
 
 
+def event_counts(events: DataFrame, cycle: str = "60 seconds") -> DataFrame:
+    """cycle, type, events: how many events of each type each cycle had."""
+    counts = events.groupBy(F.window("ts", cycle).alias("w"), "type").agg(F.count(F.lit(1)).alias("events"))
+    return counts.select(F.col("w.start").alias("cycle"), "type", "events")
+
+
 def node_load(jobs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, eta_load: seconds that running and launching jobs have left; 0 for idle nodes."""
     load = jobs.filter(F.col("status").isin("running", "launching")).groupBy("node").agg(F.sum("eta_seconds").alias("_load"))

@@ -7,20 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobscope.functions import ACTIVE
+from jobscope.operators.running import running
 
 IDENTITY = ("cmd", "cwd", "extra_env", "env_spec", "image", "ckpt_dir", "result_dir")
 
 
 def run_identity(jobs: DataFrame) -> Column:
     """Hash of what a run does (command, folder, sorted environment, outputs), whatever its priority or resources."""
-    parts = []
-    for c in IDENTITY:
-        if c in jobs.columns:
-            is_map = jobs.schema[c].dataType.typeName() == "map"
-            parts.append(F.to_json(F.array_sort(F.map_entries(c))) if is_map else F.col(c).cast("string"))
-        else:
-            parts.append(F.lit(None).cast("string"))
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p, F.lit("\x00")) for p in parts]), 256)
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(_text_of(jobs, c), F.lit("\x00")) for c in IDENTITY]), 256)
 
 
 def duplicate_active(jobs: DataFrame) -> DataFrame:
@@ -32,18 +26,19 @@ def duplicate_active(jobs: DataFrame) -> DataFrame:
     return ranked.filter("_rn > 1").select("job_id", "keep_id")
 
 
-def ckpt_conflicts(jobs: DataFrame) -> DataFrame:
-    """job_id, ckpt_dir, signatures: active jobs whose checkpoint folder several signatures use."""
+def ckpt_conflicts(jobs: DataFrame, strict: bool = False) -> DataFrame:
+    """job_id, ckpt_dir, signatures: active jobs whose checkpoint folder several signatures use; with ``strict``, several jobs."""
     active = jobs.filter(F.col("status").isin(*ACTIVE) & F.col("ckpt_dir").isNotNull()).select("job_id", "ckpt_dir", "signature")
-    shared = active.groupBy("ckpt_dir").agg(F.countDistinct("signature").alias("signatures")).filter("signatures > 1")
+    used = active.groupBy("ckpt_dir").agg(F.countDistinct("signature").alias("signatures"), F.count(F.lit(1)).alias("_jobs"))
+    shared = used.filter(F.col("_jobs" if strict else "signatures") > 1).drop("_jobs")
     return active.join(shared, "ckpt_dir").select("job_id", "ckpt_dir", "signatures")
 
 
 def ckpt_overlap_history(jobs: DataFrame) -> DataFrame:
     """job_id, ckpt_dir: runs that started while an earlier one still wrote to the same folder; one pass by running end."""
-    w = W.partitionBy("ckpt_dir").orderBy("started_at", "job_id").rowsBetween(W.unboundedPreceding, -1)
     runs = jobs.filter("ckpt_dir is not null and started_at < finished_at")
-    return runs.withColumn("_end", F.max("finished_at").over(w)).filter("started_at < _end").select("job_id", "ckpt_dir")
+    ends = running(runs, ["ckpt_dir"], ["started_at", "job_id"], F.col("finished_at"), "max", "_end", own=False)
+    return ends.filter("started_at < _end").select("job_id", "ckpt_dir")
 
 
 def untracked_processes(procs: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -105,20 +100,52 @@ def normalized_command(cmd: Column) -> Column:
 
 def runtime_key(jobs: DataFrame) -> Column:
     """Hash of command without seed, folder and environment; signature, project and description play no part."""
-    parts = [normalized_command(F.col("cmd"))] + [F.col(c).cast("string") if c in jobs.columns else F.lit(None).cast("string") for c in ("cwd", "env_spec")]
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p, F.lit("\x00")) for p in parts]), 256)
+    parts = [normalized_command(F.col("cmd")), *(_text_of(jobs, c) for c in ("cwd", "env_spec", "extra_env"))]
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p, F.lit("\x01")) for p in parts]), 256)
+
+
+def _text_of(jobs: DataFrame, column: str) -> Column:
+    """A column as text, a map with its entries in order, null if there is none."""
+    if column not in jobs.columns:
+        return F.lit(None).cast("string")
+    is_map = jobs.schema[column].dataType.typeName() == "map"
+    return F.to_json(F.array_sort(F.map_entries(column))) if is_map else F.col(column).cast("string")
+
+
+#: A command's script: its first word with a program's ending.
+SCRIPT = r"(\S+\.(?:py|sh|R|jl|ipynb))(?:\s|$)"
+
+
+def _classed(jobs: DataFrame) -> DataFrame:
+    """``jobs`` with _words (distinct words of the command, in order) and _blocks (its project, folder and script)."""
+    names = [F.concat(F.lit(f"{k}:"), v) for k, v in (("project", _text_of(jobs, "project")), ("cwd", _text_of(jobs, "cwd")), ("script", F.nullif(F.regexp_extract("cmd", SCRIPT, 1), F.lit(""))))]
+    words = F.array_sort(F.array_distinct(F.split(F.trim(normalized_command(F.col("cmd"))), r"\s+")))
+    return jobs.filter("cmd is not null").withColumn("_words", words).withColumn("_blocks", F.array_compact(F.array(*names)))
 
 
 def nearest_runtime(jobs: DataFrame, runs: DataFrame, min_sim: float = 0.5) -> DataFrame:
-    """job_id, run_id, similarity: the earlier run of the job's project whose command words are most alike (Jaccard).
+    """job_id, run_id, similarity: the run, finished before the job was submitted, of the same project, folder or script whose
+    command words are most alike (Jaccard, ``min_sim`` at least); ties to the smallest run_id. Jobs without one are left out.
 
-    Runs of a project with equal words are one candidate, so what is compared is distinct commands, not runs.
+    What is compared are distinct commands, each with the first of its runs to finish, and not runs. Commands meet by a
+    block and a word that is rare among the commands (prefix filter: commands alike enough share one), never all with all.
     """
-    words = lambda: F.array_distinct(F.split(normalized_command(F.col("cmd")), r"\s+"))
-    mine = jobs.select("job_id", "project", F.array_sort(words()).alias("_w"))
-    asked = mine.select("project", "_w").distinct()
-    had = runs.select("project", F.array_sort(words()).alias("_v"), "job_id").groupBy("project", "_v").agg(F.min("job_id").alias("run_id"))
-    sim = F.size(F.array_intersect("_w", "_v")) / F.size(F.array_union("_w", "_v"))
-    pairs = asked.join(had, "project").withColumn("similarity", sim).filter(F.col("similarity") >= min_sim)
-    best = pairs.groupBy("project", "_w").agg(F.max_by(F.struct("run_id", "similarity"), F.struct("similarity", -F.col("run_id"))).alias("_b"))
-    return mine.join(best, ["project", "_w"]).select("job_id", "_b.run_id", F.round("_b.similarity", 6).alias("similarity"))
+    mine = _classed(jobs).select("job_id", "submitted_at", "_words", "_blocks")
+    asked = mine.select("_words", "_blocks").distinct()
+    had = _classed(runs).groupBy(F.col("_words").alias("_v"), F.col("_blocks").alias("_b")).agg(F.min(F.struct("finished_at", "job_id")).alias("_first"))
+    had = had.select("_v", "_b", F.col("_first.finished_at").alias("_at"), F.col("_first.job_id").alias("run_id"))
+    often = had.select("_v").distinct().select(F.explode("_v").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def keyed(rows: DataFrame, words: str, blocks: str) -> DataFrame:
+        """word and block of each row's rarest words, as many as make sure that two alike sets share one."""
+        sets = rows.select(words).distinct()
+        ranked = sets.select(words, F.explode(words).alias("word")).join(often, "word", "left").groupBy(words).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("_r"))
+        rare = F.slice("_r", F.lit(1), F.size(words) - F.ceil(F.size(words) * F.lit(min_sim) - 1e-9).cast("int") + 1)
+        return ranked.select(words, F.explode(F.transform(rare, lambda x: x["word"])).alias("word")).join(rows, words).withColumn("block", F.explode(blocks))
+
+    sim = F.size(F.array_intersect("_words", "_v")) / F.size(F.array_union("_words", "_v"))
+    met = keyed(asked, "_words", "_blocks").select("word", "block", "_words", "_blocks").join(keyed(had, "_v", "_b").select("word", "block", "_v", "_at", "run_id"), ["word", "block"])
+    alike = met.select("_words", "_blocks", "_v", "_at", "run_id").distinct().withColumn("similarity", sim).filter(F.col("similarity") >= min_sim)
+    earlier = mine.join(alike.drop("_v"), ["_words", "_blocks"]).filter("_at <= submitted_at")
+    best = earlier.groupBy("job_id").agg(F.max(F.struct("similarity", (-F.col("run_id")).alias("minus"))).alias("best"))
+    return best.select("job_id", (-F.col("best.minus")).alias("run_id"), F.round("best.similarity", 6).alias("similarity"))

@@ -76,4 +76,6 @@ def with_views(sql: str) -> str:
     names = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
     ctes = ", ".join(f"{n} AS ({re.sub(r'[{}]', '', VIEWS[n])})" for n in names)
     sql = sql.strip()
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {sql[15:]}"
     return f"WITH {ctes}, {sql[5:]}" if sql[:5].upper() == "WITH " else f"WITH {ctes} {sql}"

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-JOB_SCHEMA = """job_id bigint, status string, project string, signature string, description string, cmd string, cwd string,
+#: Fields of a job record that become columns; ``id`` and ``task_id`` are other names of job_id. Further fields go to ``extra``.
+JOB_SCHEMA = """job_id string, status string, project string, signature string, description string, cmd string, cwd string,
 extra_env map<string,string>, env_spec string, image string, priority string, node string, gpu_idx int, preferred_node string, require_node string,
 submitted_at double, started_at double, finished_at double, est_vram_mb bigint, ram_mb bigint, cpu_cores bigint, current_vram_mb bigint,
 current_ram_mb bigint, peak_vram_mb bigint, peak_ram_mb bigint, eta_seconds bigint, eta_source string, ckpt_dir string, ckpt_glob string,
 resume_flag string, resume_locations array<struct<node:string,path:string,mtime:double,size:bigint>>, wait_for_files array<string>, result_dir string,
-remote_pids array<bigint>, parent_id bigint, retry_count int, scheduler_id string, origin string, submitted_by string, auto_adopted boolean,
+remote_pids array<bigint>, alive_pids array<bigint>, log_path string, parent_id string, retry_count int, scheduler_id string, origin string, submitted_by string, auto_adopted boolean,
 slurm_job_id string, slurm_state string, last_block_reason string, probe_unknown_since double, probe_unknown_count int"""
-EVENT_SCHEMA = "event_id string, ts timestamp, type string, job_id bigint, node string, payload string, _corrupt_record string"
+EVENT_SCHEMA = "event_id string, ts timestamp, type string, job_id string, node string, payload string, _corrupt_record string"
 _TIMES = ("submitted_at", "started_at", "finished_at", "probe_unknown_since")
 
 #: Everything that ends a line for a terminal program, carriage returns of progress bars included.
@@ -23,19 +25,33 @@ LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 def read_jobs(spark: SparkSession, path: str, layout: str = "jsonl") -> DataFrame:
     """Job records: ``document`` (one JSON object with tasks[]; doesn't split, so for imports), ``jsonl`` or ``parquet``.
 
-    Times of JSON are epoch seconds and become timestamps; unknown ones stay null.
+    Times of JSON are epoch seconds and become timestamps; unknown ones stay null. Ids are texts, whatever they were. Lists of files to
+    wait for may be one text. Fields that JOB_SCHEMA doesn't know are in ``extra``, a map of names to JSON. A line that isn't a record
+    gives no row.
     """
     if layout == "parquet":
         return spark.read.parquet(path)
+    text = spark.read.text(path, wholetext=layout == "document")
+    record = F.try_parse_json("value")
     if layout == "document":
-        jobs = spark.read.schema(_document_schema()).option("multiLine", True).json(path).select(F.explode("tasks").alias("t")).select("t.*")
-    else:
-        jobs = spark.read.schema(JOB_SCHEMA).json(path)
-    return jobs.withColumns({c: F.timestamp_seconds(F.col(c)) for c in _TIMES})
-
-
-def _document_schema() -> StructType:
-    return StructType().add("tasks", ArrayType(StructType.fromDDL(JOB_SCHEMA)))
+        record = F.explode(F.try_variant_get(record, "$.tasks", "array<variant>"))
+    jobs = text.select(record.alias("v")).filter(F.try_variant_get("v", "$", "map<string,variant>").isNotNull())
+    schema = StructType.fromDDL(JOB_SCHEMA)
+    get = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    columns = []
+    for f in schema:
+        value = get(f.name, f.dataType.simpleString())
+        if f.name == "job_id":
+            value = F.coalesce(value, get("id", "string"), get("task_id", "string"))
+        elif f.name == "wait_for_files":
+            one = get(f.name, "string")
+            value = F.coalesce(value, F.when(F.schema_of_variant(F.try_variant_get("v", f"$.{f.name}", "variant")) == "STRING", F.array(one)))
+        elif f.name in _TIMES:
+            value = F.timestamp_seconds(value)
+        columns.append(value.alias(f.name))
+    known = [*schema.names, "id", "task_id"]
+    extra = F.transform_values(F.map_filter(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, v: ~k.isin(*known)), lambda k, v: F.to_json(v))
+    return jobs.select(*columns, extra.alias("extra"))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -44,12 +60,19 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """signature, vram_mb, ram_mb, dur_s_ewma from a JSON map whose values are numbers (old) or objects."""
+    """signature, vram_mb, ram_mb, dur_s_ewma, last_seen, vram_samples, ram_samples from a JSON map whose values are numbers (old) or objects.
+
+    An old number, or an object without samples, is its own first sample.
+    """
     text = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    text.createOrReplaceTempView("jobscope_history_import")
-    rows = spark.sql("SELECT e.key AS signature, e.value AS v FROM jobscope_history_import, LATERAL variant_explode(v) AS e")
+    rows = text.select(F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("signature", "v"))
     get = lambda p, t: F.try_variant_get("v", p, t)
-    return rows.select("signature", F.coalesce(get("$.vram_mb", "bigint"), get("$", "bigint")).alias("vram_mb"), get("$.ram_mb", "bigint").alias("ram_mb"), get("$.dur_s_ewma", "double").alias("dur_s_ewma"))
+    vram, ram = F.coalesce(get("$.vram_mb", "bigint"), get("$", "bigint")), get("$.ram_mb", "bigint")
+    samples = lambda name, value: F.coalesce(F.when(F.size(get(f"$.{name}", "array<bigint>")) > 0, get(f"$.{name}", "array<bigint>")), F.when(value.isNotNull(), F.array(value)))
+    return rows.select(
+        "signature", vram.alias("vram_mb"), ram.alias("ram_mb"), get("$.dur_s_ewma", "double").alias("dur_s_ewma"), F.timestamp_seconds(get("$.last_seen", "double")).alias("last_seen"),
+        samples("vram_samples", vram).alias("vram_samples"), samples("ram_samples", ram).alias("ram_samples"),
+    )
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -70,3 +93,9 @@ def write_table(df: DataFrame, path: str, by_finish_date: bool = False, mode: st
 def write_events(events: DataFrame, path: str) -> None:
     """Appends events as JSON lines."""
     events.write.mode("append").json(path)
+
+
+def write_stream(df: DataFrame, path: str, checkpoint: str, form: str = "parquet", once: bool = False) -> StreamingQuery:
+    """Starts a stream into files, each row exactly once by the checkpoint; ``once`` takes what is there and ends."""
+    writer = df.writeStream.format(form).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -14,9 +14,12 @@ from jobscope.functions import TERMINAL
 from jobscope.operators.capacity import minute_rollup as _rollup
 from jobscope.operators.failures import TRANSITIONS
 from jobscope.operators.history import last_runs, p80_history
-from jobscope.operators.logs import signals
+from jobscope.operators.logs import line_signals, signals
 from jobscope.shipping import ship
 
+#: How long a job's state is kept after its last event, where it isn't removed before.
+TTL_S = 7 * 86_400
+
 
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -33,18 +36,18 @@ def stream_events(spark: SparkSession, folder: str, schema: StructType | str, fo
 
 
 def minute_rollup(samples: DataFrame, delay: str = "2 minutes") -> DataFrame:
-    """60-second accounts of nodes; rows later than ``delay`` are dropped."""
-    return _rollup(samples.withWatermark("ts", delay), exact=False)
+    """60-second accounts of nodes, in append mode; rows later than ``delay`` are dropped. Equal to the batch operator on what is in time."""
+    return _rollup(samples.withWatermark("ts", delay))
 
 
 def live_peaks(samples: DataFrame) -> DataFrame:
-    """Peak so far of each job, in update mode; its state lasts as long as jobs do (see JobPeaks for one that ends)."""
+    """Peak so far of each job, in update mode. Its state lasts as long as the stream; see :func:`job_peaks` for one that ends."""
     return samples.groupBy("job_id").agg(F.max("vram_mb").alias("peak_vram_mb"), F.max("ram_mb").alias("peak_ram_mb"))
 
 
 def live_progress(lines: DataFrame) -> DataFrame:
-    """Latest signals of each job, in update mode."""
-    return signals(lines).select("job_id", F.col("remaining").alias("remaining_s"), F.col("inline").alias("inline_s"), "pair.current", "pair.total")
+    """Latest signals of each job, in update mode. Its state lasts as long as the stream; see :func:`job_progress` for one that ends."""
+    return signals(lines).select("job_id", F.col("remaining").alias("remaining_s"), F.col("inline").alias("inline_s"), F.col("pair_current").alias("current"), F.col("pair_total").alias("total"))
 
 
 def dedupe_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -58,113 +61,215 @@ def enrich(stream: DataFrame, hist: DataFrame) -> DataFrame:
 
 
 class _Keyed(StatefulProcessor):
-    """Sorts what comes for a key by time, as files of a batch come in any order."""
+    """Sorts what comes for a key by time, as files of a batch come in any order. ``at_us``: the time in microseconds, whatever the session's zone."""
+
+    TTL: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.STATE)
+        self.state = handle.getValueState("state", self.STATE, self.TTL * 1000) if self.TTL else handle.getValueState("state", self.STATE)
 
     def ordered(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+        return pd.concat(list(rows)).sort_values(["at_us", "event_id"], kind="stable")
+
+    def last(self) -> tuple | None:
+        return tuple(self.state.get()) if self.state.exists() else None
+
+    def frame(self, rows: list[tuple], **kinds: str) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
 
     def close(self) -> None:
         pass
 
 
 class Transitions(_Keyed):
-    """Illegal changes of status as they come; a job's state goes at a terminal status."""
+    """Illegal changes of status as they come. A job that is done and runs again is one, so its status is kept after
+    its end, for the time to live and no longer."""
 
     STATE = "status string"
     OUT = "job_id bigint, event_id bigint, before string, after string"
 
+    def __init__(self, ttl_s: int):
+        self.TTL = ttl_s
+
     def handleInputRows(self, key, rows, timerValues):
-        last, out = self.state.get()[0] if self.state.exists() else None, []
+        last, out = (self.last() or (None,))[0], []
         for r in self.ordered(rows).itertuples():
             if last is not None and last != r.status and (last, r.status) not in set(TRANSITIONS):
                 out.append((key[0], r.event_id, last, r.status))
             last = r.status
         self.state.update((last,))
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "before", "after"]).astype({"job_id": "int64", "event_id": "int64"})
+        yield self.frame(out, job_id="int64", event_id="int64", before="str", after="str")
+
+
+class UnknownSpells(_Keyed):
+    """A span of ``unknown`` probes, told when the first probe that isn't ends it; the state goes with it."""
+
+    STATE = "started bigint, n bigint"
+    OUT = "job_id bigint, started bigint, n bigint, resolved bigint"
+
+    def handleInputRows(self, key, rows, timerValues):
+        open_, out = self.last(), []
+        for r in self.ordered(rows).itertuples():
+            if r.state == "unknown":
+                open_ = (open_[0], open_[1] + 1) if open_ else (r.at_us, 1)
+            elif open_:
+                out.append((key[0], *open_, r.at_us))
+                open_ = None
+        if open_:
+            self.state.update(open_)
+        else:
+            self.state.clear()
+        yield self.frame(out, job_id="int64", started="int64", n="int64", resolved="int64")
+
+
+class JobPeaks(_Keyed):
+    """Peaks of a job so far, told when they rise; gone at a terminal status, or when nothing comes for the time to live."""
+
+    STATE = "vram bigint, ram bigint"
+    OUT = "job_id bigint, peak_vram_mb bigint, peak_ram_mb bigint"
+
+    def __init__(self, ttl_s: int):
+        self.TTL = ttl_s
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = self.ordered(rows)
+        had = self.last() or (-1, -1)
+        now = tuple(int(max(h, pdf[c].max() if pdf[c].notna().any() else -1)) for h, c in zip(had, ("vram_mb", "ram_mb")))
+        if pdf["status"].iloc[-1] in TERMINAL:
+            self.state.clear()
+        else:
+            self.state.update(now)
+        yield self.frame([(key[0], *now)] if now != had else [], job_id="int64", peak_vram_mb="int64", peak_ram_mb="int64")
+
+
+class JobProgress(_Keyed):
+    """The latest signals of a job, told when they change; gone at a terminal status, or after the time to live."""
+
+    FIELDS = ("remaining", "inline", "pair_current", "pair_total")
+    STATE = "remaining bigint, inline bigint, pair_current bigint, pair_total bigint"
+    OUT = "job_id bigint, remaining_s bigint, inline_s bigint, current bigint, total bigint"
+
+    def __init__(self, ttl_s: int):
+        self.TTL = ttl_s
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf, had = self.ordered(rows), self.last() or (None,) * 4
+        now = []
+        for field, old in zip(self.FIELDS, had):
+            seen = pdf[field].dropna()
+            now.append(int(seen.iloc[-1]) if len(seen) else old)
+        if (pdf["status"].iloc[-1] or "") in TERMINAL:
+            self.state.clear()
+        else:
+            self.state.update(tuple(now))
+        out = pd.DataFrame([(key[0], *now)] if tuple(now) != had else [], columns=["job_id", "remaining_s", "inline_s", "current", "total"])
+        yield out.astype({"job_id": "int64", **dict.fromkeys(["remaining_s", "inline_s", "current", "total"], "Int64")})
 
 
 class Debounce(_Keyed):
     """Events at least ``seconds`` after the last kept one of their key."""
 
-    STATE = "last double"
+    STATE = "last bigint"
     OUT = "job_id bigint, event_id bigint, ts timestamp"
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def handleInputRows(self, key, rows, timerValues):
-        last, out = self.state.get()[0] if self.state.exists() else None, []
+        last, out = (self.last() or (None,))[0], []
         for r in self.ordered(rows).itertuples():
-            at = float(int(r.ts.timestamp() // 1))
+            at = r.at_us // 1_000_000
             if last is None or at - last >= self.seconds:
                 last = at
                 out.append((key[0], r.event_id, r.ts))
         self.state.update((last,))
-        yield pd.DataFrame(out, columns=["job_id", "event_id", "ts"]).astype({"job_id": "int64", "event_id": "int64", "ts": "datetime64[ns]"})
+        yield self.frame(out, job_id="int64", event_id="int64", ts="datetime64[ns]")
 
 
 class StaleTimers(_Keyed):
-    """An alert when a status is held longer than its limit in event time without a newer event."""
+    """An alert when a status is held longer than its limit in event time without a newer event. An event that is older than
+    the newest known says nothing."""
 
-    STATE = "status string, since double"
+    STATE = "status string, since bigint"
     OUT = "job_id bigint, status string, since double"
 
     def __init__(self, limits: dict[str, int]):
         self.limits = limits
 
     def handleInputRows(self, key, rows, timerValues):
-        r = list(self.ordered(rows).itertuples())[-1]
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-        if r.status in TERMINAL:
-            self.state.clear()
-        else:
-            self.state.update((r.status, r.ts.timestamp()))
-            if r.status in self.limits:
-                self.handle.registerTimer(int(r.ts.timestamp() * 1000) + self.limits[r.status] * 1000)
-        yield pd.DataFrame({"job_id": pd.Series(dtype="int64"), "status": pd.Series(dtype="str"), "since": pd.Series(dtype="float64")})
+        r, had = self.ordered(rows).iloc[-1], self.last()
+        if had is None or r["at_us"] >= had[1]:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+            if r["status"] in TERMINAL:
+                self.state.clear()
+            else:
+                self.state.update((r["status"], int(r["at_us"])))
+                if r["status"] in self.limits:
+                    self.handle.registerTimer(int(r["at_us"]) // 1000 + self.limits[r["status"]] * 1000)
+        yield self.frame([], job_id="int64", status="str", since="float64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.state.exists():
-            status, since = self.state.get()
-            yield pd.DataFrame({"job_id": [key[0]], "status": [status], "since": [since]})
+        if had := self.last():
+            yield self.frame([(key[0], had[0], had[1] / 1e6)], job_id="int64", status="str", since="float64")
 
 
 class BatchDone(_Keyed):
-    """One alert when all jobs of a batch, whose size each event carries, are terminal."""
+    """One alert when all jobs of a batch, whose size each event carries, are in a terminal status at the same time: one that failed
+    and waits again isn't. Once it is told, what is known of the jobs goes and only that stays."""
 
     STATE = "finished bigint, told boolean"
     OUT = "batch bigint, jobs bigint"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.seen = handle.getMapState("seen", "job_id bigint", "done boolean")
+        self.jobs = handle.getMapState("jobs", "job_id bigint", "at bigint, done boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        finished, told = self.state.get() if self.state.exists() else (0, False)
+        finished, told = self.last() or (0, False)
         size = 0
-        for r in self.ordered(rows).itertuples():
+        for r in self.ordered(rows).itertuples() if not told else ():
             size = int(r.batch_size)
-            if r.status in TERMINAL and not self.seen.containsKey((r.job_id,)):
-                self.seen.updateValue((r.job_id,), (True,))
-                finished += 1
-        done = finished >= size and not told
-        self.state.update((finished, told or done))
-        yield pd.DataFrame({"batch": [key[0]] if done else [], "jobs": [size] if done else []}).astype("int64")
+            at, before = self.jobs.getValue((r.job_id,)) if self.jobs.containsKey((r.job_id,)) else (-1, False)
+            if r.at_us >= at:
+                done = r.status in TERMINAL
+                self.jobs.updateValue((r.job_id,), (r.at_us, done))
+                finished += int(done) - int(before)
+        done = size > 0 and finished >= size
+        if done:
+            self.jobs.clear()
+        self.state.update((0 if done else finished, told or done))
+        yield self.frame([(key[0], size)] if done else [], batch="int64", jobs="int64")
 
 
 def _stateful(events: DataFrame, key: str, processor: _Keyed, time_mode: str = "None") -> DataFrame:
     ship(events.sparkSession)
-    return events.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=StructType.fromDDL(processor.OUT), outputMode="Append", timeMode=time_mode)
+    timed = events.withColumn("at_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return timed.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=StructType.fromDDL(processor.OUT), outputMode="Append", timeMode="ProcessingTime" if processor.TTL else time_mode)
+
+
+def transition_monitor(events: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
+    """Illegal transitions of (event_id, job_id, ts, status) as they happen; a job is forgotten ``ttl_s`` after its last event."""
+    return _stateful(events, "job_id", Transitions(ttl_s))
+
 
+def unknown_monitor(probes: DataFrame) -> DataFrame:
+    """job_id, started, count, resolved, lasted_s of spans of unknown probes (event_id, job_id, ts, state) when they end."""
+    spells = _stateful(probes, "job_id", UnknownSpells())
+    seconds = lambda c: F.floor(F.col(c) / 1_000_000)
+    return spells.select("job_id", F.timestamp_micros("started").alias("started"), F.col("n").alias("count"), F.timestamp_micros("resolved").alias("resolved"), (seconds("resolved") - seconds("started")).alias("lasted_s"))
 
-def transition_monitor(events: DataFrame) -> DataFrame:
-    """Illegal transitions of (event_id, job_id, ts, status) as they happen."""
-    return _stateful(events, "job_id", Transitions())
+
+def job_peaks(samples: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
+    """Peaks of each job when they rise, from (event_id, job_id, ts, vram_mb, ram_mb, status); state ends with the job, or after ``ttl_s``."""
+    return _stateful(samples, "job_id", JobPeaks(ttl_s))
+
+
+def job_progress(lines: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
+    """Latest signals of each job when they change, from (job_id, seq, ts, line, status); state ends with the job, or after ``ttl_s``."""
+    parsed = line_signals(lines.select("job_id", "seq", "ts", "status", "line"))
+    return _stateful(parsed.select("job_id", F.col("seq").alias("event_id"), "ts", "status", *JobProgress.FIELDS), "job_id", JobProgress(ttl_s))
 
 
 def debounce(events: DataFrame, seconds: int) -> DataFrame:
@@ -182,15 +287,29 @@ def batch_done_alerts(events: DataFrame) -> DataFrame:
     return _stateful(events, "batch", BatchDone())
 
 
-def fold_history(spark: SparkSession, peaks_path: str, history_path: str):
-    """A foreachBatch function: appends finished runs under their batch's number (a retry overwrites its own folder) and writes
-    the refreshed history of the touched signatures beside it."""
+def fold_history(spark: SparkSession, recent_path: str, history_path: str, keep: int = 10):
+    """A foreachBatch function: folds finished runs into the last ``keep`` runs of each signature, and writes the refreshed history of the
+    touched signatures.
+
+    ``recent_path`` has a folder for each batch with those runs after it, ``history_path`` one with what changed. A batch reads
+    the folder before its own and no older ones, so its work is bounded by signatures and not by all runs ever; one that is
+    tried again overwrites its own folders. Folders older than the one before are removed.
+    """
+    columns = ["signature", "job_id", "finished_at", "vram_mb", "ram_mb"]
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        done = batch.filter(F.col("status").isin("done", "failed")).select("signature", "job_id", "finished_at", "vram_mb", "ram_mb")
-        done.write.mode("overwrite").parquet(f"{peaks_path}/batch={batch_id}")
-        touched = batch.sparkSession.read.parquet(f"{peaks_path}/batch={batch_id}").select("signature").distinct()
-        every = batch.sparkSession.read.parquet(peaks_path).filter(F.col("batch") <= batch_id).join(touched, "signature", "left_semi")
-        p80_history(last_runs(every, 10)).write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
+        session = batch.sparkSession
+        place = session.sparkContext._jvm.org.apache.hadoop.fs.Path(recent_path)
+        files = place.getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
+        there = sorted(int(f.getPath().getName().partition("=")[2]) for f in files.listStatus(place)) if files.exists(place) else []
+        past = [b for b in there if b < batch_id]
+        done = batch.filter(F.col("status").isin("done", "failed")).select(*columns)
+        before = session.read.schema(done.schema).parquet(f"{recent_path}/batch={past[-1]}") if past else done.limit(0)
+        last_runs(before.unionByName(done), keep).select(*columns).write.mode("overwrite").parquet(f"{recent_path}/batch={batch_id}")
+        recent = session.read.schema(done.schema).parquet(f"{recent_path}/batch={batch_id}")
+        touched = recent.join(done.select("signature").distinct(), "signature", "left_semi")
+        p80_history(touched, keep).write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
+        for old in past[:-1]:
+            files.delete(session.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{recent_path}/batch={old}"), True)
 
     return fold

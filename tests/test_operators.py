@@ -56,7 +56,74 @@ def test_gpu_fit(spark, used, est, fits):
     gpus = spark.createDataFrame([("n", 0, 8, 8, 1000, 12000, used, 0, True)], "node string, gpu_idx int, total_cpu int, free_cpu int, free_ram_mb long, total_mb long, used_mb long, util_pct int, alive boolean")
     fit = capacity.fit_matrix(jobs, gpus)
     assert fit.first()["fits"] is fits
-    assert capacity.best_slot(fit).count() == int(fits)
+    assert capacity.best_slot(jobs, gpus).count() == int(fits)
+    assert (capacity.blocked_summary(jobs, gpus).count() == 0) is fits
+
+
+def test_all_reasons_and_demands(spark):
+    """Each rule alone, and the summaries by demand against the product."""
+    jobs = spark.createDataFrame(
+        [(1, "queued", 1, 100, 1500, None), (2, "queued", 1, 100, 1500, None), (3, "queued", 8, 9000, 0, "m"), (4, "queued", 1, 0, None, None), (5, "running", 1, 0, 0, None)],
+        "job_id long, status string, cpu_cores int, ram_mb long, est_vram_mb long, require_node string",
+    )
+    schema = "node string, gpu_idx int, total_cpu int, free_cpu int, free_ram_mb long, budget_mb long, total_mb long, used_mb long, util_pct int, alive boolean, load1 double, running int, max_concurrent_running int, max_vram_per_task int, cpu_node boolean"
+    base = dict(node="n", gpu_idx=0, total_cpu=16, free_cpu=16, free_ram_mb=10**6, budget_mb=10**6, total_mb=12000, used_mb=0, util_pct=0, alive=True, load1=0.0, running=0, max_concurrent_running=None, max_vram_per_task=None, cpu_node=False)
+    one = lambda **kw: spark.createDataFrame([tuple({**base, **kw}.values())], schema)
+    why = lambda job, **kw: capacity.fit_matrix(jobs.filter(F.col("job_id") == job), one(**kw), max_util=85).first()["reasons"]
+    assert why(1) == [] and why(3, node="m") == [] and why(4) == []
+    assert why(1, max_vram_per_task=1000) == ["vram cap"] and why(4, max_vram_per_task=0) == ["vram cap"] and why(3, node="m", max_vram_per_task=0) == []
+    assert why(1, load1=16.0) == ["load"] and why(1, running=3, max_concurrent_running=3) == ["running cap"] and why(3, node="m", budget_mb=8000) == ["ram"]
+    assert why(3) == ["pinned elsewhere"] and why(1, alive=False) == ["down"] and why(1, util_pct=85) == ["gpu busy"] and why(3, node="m", free_cpu=7) == ["cpu"]
+    claims = spark.createDataFrame([("n", 0, 16, 0, 0, at(0), None), ("n", 0, 16, 0, 0, at(-9999), None)], "node string, gpu_idx int, cpu int, ram_mb long, vram_mb long, claimed_at timestamp, pid long")
+    assert capacity.fit_matrix(jobs.filter("job_id = 1"), capacity.with_claims(one(), claims, F.lit(at(10)))).first()["reasons"] == ["cpu"]
+    fleet = one().unionByName(one(node="m", max_vram_per_task=1000)).unionByName(one(node="m", gpu_idx=1, used_mb=3000, cpu_node=True))
+    fit = capacity.fit_matrix(jobs, fleet)
+    want = fit.select("job_id", "node", F.explode("reasons").alias("reason")).groupBy("reason", "node").agg(F.countDistinct("job_id").alias("jobs"))
+    assert rows(capacity.blocked_summary(jobs, fleet).select("reason", "node", "jobs")) == rows(want.select("reason", "node", "jobs"))
+    best = {r["job_id"]: (r["node"], r["gpu_idx"]) for r in capacity.best_slot(jobs, fleet).collect()}
+    assert best == {1: ("m", 1), 2: ("m", 1), 3: ("m", 1), 4: ("m", 1)}
+
+
+def test_running_against_a_loop(spark):
+    """Cells of time give what one window over a key's whole history gives."""
+    import random
+
+    from jobscope.operators.running import running
+
+    rng = random.Random(2)
+    data = [(i, rng.choice(["a", "b", None]), at(rng.randrange(20) * 40_000), rng.choice([None, 1, 2, 7])) for i in range(200)]
+    df = spark.createDataFrame(data, "job_id long, node string, ts timestamp, v long")
+    for how, fold in (("sum", sum), ("min", min), ("max", max)):
+        for own in (True, False):
+            got = {r["job_id"]: r["x"] for r in running(df, ["node"], ["ts", "job_id"], F.col("v"), how, "x", own).collect()}
+            for i, node, ts, _ in data:
+                seen = [v for j, n, t, v in data if n == node and v is not None and ((t, j) < (ts, i) or own and j == i)]
+                assert got[i] == (fold(seen) if seen else 0 if how == "sum" else None)
+    assert running(df.filter("false"), ["node"], ["ts"], F.col("v"), "sum", "x").count() == 0
+
+
+def test_blockers_compete(spark):
+    rows_ = [(1, "n", at(0), 9, 4, "gpu0"), (2, "n", at(10), 9, 4, "gpu1"), (3, "n", at(20), 9, 4, "gpu1"), (4, "n", at(30), 1, 4, "gpu0"), (5, "n", at(40), 9, 4, "gpu2")]
+    intents = spark.createDataFrame(rows_, "job_id long, node string, ts timestamp, cpu int, free_cpu int, resource string")
+    assert rows(capacity.older_blockers(intents, F.lit(at(1805)))) == [(4, 1), (5, 4)]
+    assert rows(capacity.older_blockers(intents, F.lit(at(9000)))) == [(3, 2), (4, 1), (5, 4)]
+    assert rows(capacity.older_blockers(intents.drop("resource"), F.lit(at(9000)))) == [(2, 1), (3, 1), (4, 1), (5, 1)]
+
+
+def test_rebalance_rules(spark):
+    jobs = spark.createDataFrame(
+        [(1, "n", "running", 900, None, False, 10, None), (2, "n", "running", 5000, None, False, 9000, None), (3, "n", "running", 4000, None, False, 10, at(-60)), (4, "n", "running", 3000, "n", False, 10, None), (5, "n", "running", 2000, None, True, 10, None)],
+        "job_id long, node string, status string, eta_seconds long, require_node string, auto_adopted boolean, ckpt_mb long, moved_at timestamp",
+    )
+    load = spark.createDataFrame([("n", 14900), ("idle", 0)], "node string, eta_load long")
+    assert rows(capacity.rebalance_candidates(jobs, load, F.lit(at(0)))) == [("n", "idle", 1)]
+    assert rows(capacity.rebalance_candidates(jobs, load, F.lit(at(3600)))) == [("n", "idle", 3)]
+
+
+def test_peak_against_a_limit(spark):
+    jobs = spark.createDataFrame([(1, "n", at(0), at(100)), (2, "n", at(50), at(200)), (3, "n", at(100), None)], "job_id long, node string, started_at timestamp, finished_at timestamp")
+    nodes = spark.createDataFrame([("n", 1)], "node string, max_concurrent_running int")
+    assert rows(capacity.peak_concurrency(jobs, nodes)) == [("n", 2, 1, 1)]
 
 
 def test_shard_plan(spark):
@@ -74,10 +141,54 @@ def test_ownership(spark):
 
 
 def test_identity_and_runtime_key(spark):
-    df = spark.createDataFrame([(1, "t --seed 1", {"A": "1", "B": "2"}, "high"), (2, "t --seed 1", {"B": "2", "A": "1"}, "low"), (3, "t --seed 99", {"A": "2"}, "low")], "job_id long, cmd string, extra_env map<string,string>, priority string")
-    a, b, c = [r[0] for r in df.orderBy("job_id").select(integrity.run_identity(df)).collect()]
-    assert a == b != c
-    assert df.select(integrity.runtime_key(df)).distinct().count() == 1
+    df = spark.createDataFrame([(1, "t --seed 1", {"A": "1", "B": "2"}, "high"), (2, "t --seed 1", {"B": "2", "A": "1"}, "low"), (3, "t --seed 99", {"A": "1", "B": "2"}, "low"), (4, "t --seed 1", {"A": "2"}, "low")], "job_id long, cmd string, extra_env map<string,string>, priority string")
+    a, b, c, d = [r[0] for r in df.orderBy("job_id").select(integrity.run_identity(df)).collect()]
+    assert a == b != c and d != a
+    a, b, c, d = [r[0] for r in df.orderBy("job_id").select(integrity.runtime_key(df)).collect()]
+    assert a == b == c != d
+
+
+def test_nearest_run_is_earlier_and_related(spark):
+    schema = "job_id long, project string, cwd string, cmd string, submitted_at timestamp, finished_at timestamp"
+    runs = [(1, "P", "/a", "python train.py --n 100", at(0), at(50)), (2, "P", "/a", "python train.py --n 200 --x", at(0), at(10)), (3, "Q", "/b", "python eval.py --episodes 5", at(0), at(5)), (4, "R", "/c", "python train.py --n 100 --seed 3", at(0), at(500))]
+    jobs = [(10, "P", "/x", "python train.py --n 100", at(60), None), (11, "P", "/x", "python train.py --n 100", at(20), None), (12, "S", "/s", "python other.py", at(900), None), (13, "S", "/c", "python train.py --n 100 --seed 9", at(900), None), (14, "P", "/a", "python train.py --n 100", at(1), None)]
+    got = rows(integrity.nearest_runtime(spark.createDataFrame(jobs, schema), spark.createDataFrame(runs, schema)))
+    assert [(j, r) for j, r, _ in got] == [(10, 1), (11, 2), (13, 4)] and got[0][2] == 1.0
+    unrelated = spark.createDataFrame([(9, "P", "/tmp", "python train.py --n_steps 100", at(900), None)], schema)
+    assert integrity.nearest_runtime(unrelated, spark.createDataFrame([runs[2]], schema)).count() == 0
+
+
+def test_strict_conflicts_and_costs(spark):
+    jobs = spark.createDataFrame([(1, "running", "s", "/c", None, 10), (2, "queued", "s", "/c", 1, 20), (3, "done", "t", "/c", 2, 30), (4, "queued", "u", "/d", None, 5)], "job_id long, status string, signature string, ckpt_dir string, parent_id long, dur_s long")
+    assert integrity.ckpt_conflicts(jobs).count() == 0
+    assert [r[0] for r in rows(integrity.ckpt_conflicts(jobs, strict=True))] == [1, 2]
+    assert rows(integrity.lineage_cost(jobs)) == [(1, 3, 60, "done"), (4, 1, 5, "queued")]
+
+
+def test_flags_and_environments(spark):
+    df = spark.createDataFrame([(1, "t --lr=-0.1 --b -2 --out=a --c --out foo.txt --d"), (2, "t --out"), (3, None)], "job_id long, cmd string")
+    assert rows(logs.extract_flags(df)) == sorted([(1, "lr", "-0.1"), (1, "b", "-2"), (1, "out", "a"), (1, "out", "foo.txt")], key=str)
+    got = {r["job_id"]: r["flags"] for r in logs.flag_values(df, ["out", "b"]).collect()}
+    assert got == {1: {"out": ["a", "foo.txt"], "b": ["-2"]}, 2: {}, 3: None}
+    env = spark.createDataFrame([(["A=x=y=z", "1BAD=x", "CUDA_VISIBLE_DEVICES=0", "B", "C=1", "C=2"],), ([],), (None,)], "env array<string>")
+    a, b, c = logs.parse_env(env).collect()
+    assert a["env_map"] == {"A": "x=y=z", "C": "2"} and a["env_rejected"] == ["1BAD=x", "CUDA_VISIBLE_DEVICES=0", "B"]
+    assert b["env_map"] == {} and c["env_map"] is None
+
+
+def test_estimates_cascade(spark):
+    peaks = spark.createDataFrame([("p/a/1", 1, at(1), 100, 10, "net 3"), ("p/a/2", 2, at(1), 200, 20, "other"), ("q/b/1", 3, at(1), 900, 90, "Net seed=4 7")], "signature string, job_id long, finished_at timestamp, vram_mb long, ram_mb long, description string")
+    jobs = spark.createDataFrame(
+        [(1, "p/a/1", "p", "x", 0, 4), (2, "p/a/1", "p", "x", None, None), (3, "z/z/z", "z", "Net 99", None, None), (4, "p/a/9", "p", "x", None, None), (5, "p/c/9", "p", "x", None, None), (6, "n/n/n", "n", "x", None, None)],
+        "job_id long, signature string, project string, description string, est_vram_mb long, est_cores long",
+    )
+    got = {r["job_id"]: tuple(r)[1:] for r in history.estimate_resources(jobs, peaks).collect()}
+    assert got == {
+        1: (0, "explicit", 10, "own", 4), 2: (100, "own", 10, "own", 1), 3: (900, "description", 90, "description", 1),
+        4: (100, "prefix", 10, "prefix", 1), 5: (100, "project", 10, "project", 1), 6: (512, "default", 4096, "default", 1),
+    }
+    events = spark.createDataFrame([(at(1), "no_fit"), (at(2), "no_fit"), (at(70), "launch")], "ts timestamp, type string")
+    assert rows(history.event_counts(events)) == [(at(0), "no_fit", 2), (at(60), "launch", 1)]
 
 
 def test_gate(spark):
@@ -92,6 +203,16 @@ def test_killed_is_not_oom(spark):
     assert rows(failures.classify_failure(jobs, lines)) == [(1, "UNKNOWN"), (2, "OOM"), (3, "APP_BUG")]
 
 
+@pytest.mark.parametrize(
+    "line,category",
+    [("OSError: [Errno 28] memory", "DISK_FULL"), ("ENOSPC", "DISK_FULL"), ("disk full", "DISK_FULL"), ("Killed process 123 (python) total-vm:1kB", "OOM"), ("oom-kill:constraint", "OOM"), ("oom_reaper: reaped", "OOM"), ("MemoryError", "OOM"), ("out of memory", "OOM"),
+     ("bash: 没有那个文件或目录", "ENV_MISSING"), ("No such file or directory", "ENV_MISSING"), ("ImportError: x", "PYTHON_IMPORT"), ("Traceback", "APP_BUG"), ("Killed", "UNKNOWN"), ("task killed mid-training", "UNKNOWN")],
+)
+def test_failures_by_line(spark, line, category):
+    jobs = spark.createDataFrame([(1, "failed", 100)], "job_id long, status string, dur_s long")
+    assert failures.classify_failure(jobs, log(spark, [line])).first()["category"] == category
+
+
 def test_p80_stays_typical_and_empty(spark):
     peaks = spark.createDataFrame([("s", i, at(i), v, v) for i, v in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 100])], "signature string, job_id long, finished_at timestamp, vram_mb long, ram_mb long")
     assert history.p80_history(peaks).first()["p80_vram_mb"] == 8

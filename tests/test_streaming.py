@@ -8,15 +8,24 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobscope import sources, streaming
-from jobscope.operators import failures
+from jobscope.operators import capacity, failures, history
 
 T0 = datetime.datetime(2024, 1, 1)
 SCHEMA = "event_id long, job_id long, ts timestamp, status string"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_partition(spark):
+    """A state store a partition; one is quickest."""
+    streaming.use_rocksdb(spark)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 @pytest.fixture(scope="module")
 def events(spark, tmp_path_factory):
-    streaming.use_rocksdb(spark)
     rng = random.Random(5)
     data = [(i, rng.randrange(5), T0 + datetime.timedelta(seconds=20 * i), rng.choice(["queued", "launching", "running", "done"])) for i in range(120)]
     folder = str(tmp_path_factory.mktemp("events"))
@@ -46,34 +55,108 @@ def test_debounce(spark, events, tmp_path):
     assert rows(live.select("event_id")) == rows(failures.cooldown_filter(spark.read.parquet(events), "job_id", 300).select("event_id"))
 
 
-def test_dedupe_and_rollup(spark, events, tmp_path):
-    stream = streaming.stream_events(spark, events, SCHEMA)
-    assert run(streaming.dedupe_events(stream), tmp_path, "deduped").count() == 120
-    samples = stream.select("job_id", "ts", F.lit("n").alias("node"), F.col("event_id").alias("vram_mb"), F.col("event_id").alias("ram_mb"))
-    total = run(streaming.minute_rollup(samples), tmp_path, "minutes", "update")
-    assert total.agg(F.max("max_vram_mb")).first()[0] == 119
+def test_rollup_equals_its_twin_and_drops_late_rows(spark, tmp_path):
+    folder, at = str(tmp_path / "m"), lambda s: T0 + datetime.timedelta(seconds=s)
+    schema = "job_id long, node string, ts timestamp, vram_mb long, ram_mb long"
+    parts = [[(1, "n", at(5), 10, 1), (1, "n", at(20), 30, 1), (2, "n", at(30), 20, 1)], [(3, "n", at(400), 5, 1)], [(4, "n", at(410), 6, 1)], [(9, "n", at(10), 99, 9)], [(5, "n", at(9000), 1, 1)]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    live = run(streaming.minute_rollup(streaming.stream_events(spark, folder, schema, files_per_batch=1)), tmp_path, "rolled")
+    in_time = spark.createDataFrame([r for part in parts for r in part if r[0] != 9 and r[2] < at(9000)], schema)
+    assert rows(live) == rows(capacity.minute_rollup(in_time)) and rows(live)[0][2:] == (30, 3, 2)
+
+
+def test_dedupe_drops_copies(spark, events, tmp_path):
+    folder = str(tmp_path / "twice")
+    for _ in range(2):
+        spark.read.parquet(events).coalesce(1).write.mode("append").parquet(folder)
+    assert run(streaming.dedupe_events(streaming.stream_events(spark, folder, SCHEMA, files_per_batch=1)), tmp_path, "once").count() == 120
+
+
+def last_rows(df):
+    """The last row told for each job."""
+    return {r["job_id"]: tuple(r)[1:] for r in df.collect()}
+
+
+def test_peaks_and_progress(spark, tmp_path):
+    folder, at = str(tmp_path / "p"), lambda s: T0 + datetime.timedelta(seconds=s)
+    schema = "event_id long, job_id long, ts timestamp, vram_mb long, ram_mb long, status string"
+    parts = [[(1, 1, at(1), 10, 5, "running"), (2, 2, at(1), 7, 7, "running")], [(3, 1, at(2), 8, 9, "running"), (4, 2, at(2), 1, 1, "running")], [(5, 1, at(3), 12, 1, "done")]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = lambda: streaming.stream_events(spark, folder, schema, files_per_batch=1)
+    told = run(streaming.job_peaks(stream()), tmp_path, "peaks_ttl")
+    assert sorted(tuple(r) for r in told.collect()) == [(1, 10, 5), (1, 10, 9), (1, 12, 9), (2, 7, 7)]
+    live = run(streaming.live_peaks(stream()), tmp_path, "peaks", "update")
+    assert live.groupBy("job_id").agg(F.max("peak_vram_mb"), F.max("peak_ram_mb")).count() == 2
+    assert sorted(tuple(r) for r in live.groupBy("job_id").agg(F.max("peak_vram_mb"), F.max("peak_ram_mb")).collect()) == [(1, 12, 9), (2, 7, 7)]
+
+    folder, schema = str(tmp_path / "l"), "job_id long, seq long, ts timestamp, line string, status string"
+    lines = [(1, 1, at(1), "3/97 [02:00<?, ?it/s]", "running"), (1, 2, at(2), "12/97 [00:42<03:21, 12.34it/s]", "running"), (2, 1, at(1), "eta: 2m", "running"), (1, 3, at(3), "nothing", "done")]
+    for line in lines:
+        spark.createDataFrame([line], schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = lambda: streaming.stream_events(spark, folder, schema, files_per_batch=1)
+    told = run(streaming.job_progress(stream()), tmp_path, "progress_ttl")
+    assert sorted((tuple(r) for r in told.collect()), key=str) == [(1, 201, None, 12, 97), (2, None, 120, None, None)]
+    live = run(streaming.live_progress(stream()), tmp_path, "progress", "update")
+    assert live.filter("job_id = 1").agg(F.max("remaining_s"), F.max("current"), F.max("total")).first()[:] == (201, 12, 97)
+
+
+def test_enrich(spark, events, tmp_path):
+    hist = spark.createDataFrame([("s0", 5)], "signature string, p80 long")
+    stream = streaming.stream_events(spark, events, SCHEMA).withColumn("signature", F.concat(F.lit("s"), F.col("job_id")))
+    out = run(streaming.enrich(stream, hist), tmp_path, "enriched")
+    assert out.count() == 120 and out.filter("p80 = 5").count() == spark.read.parquet(events).filter("job_id = 0").count() > 0
+
+
+def test_spells(spark, tmp_path):
+    folder, at = str(tmp_path / "u"), lambda s: T0 + datetime.timedelta(seconds=s)
+    schema = "event_id long, job_id long, ts timestamp, state string"
+    data = [(0, 1, at(0), "alive"), (1, 1, at(10), "unknown"), (2, 1, at(60), "unknown"), (3, 1, at(110), "dead"), (4, 2, at(0), "unknown")]
+    for row in data:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(folder)
+    live = run(streaming.unknown_monitor(streaming.stream_events(spark, folder, schema, files_per_batch=1)), tmp_path, "spells")
+    batch = failures.unknown_spells(spark.read.parquet(folder).withColumnRenamed("event_id", "seq")).filter("resolved is not null")
+    assert rows(live) == rows(batch) and live.count() == 1
+
+
+def test_a_retry_keeps_a_batch_open(spark, tmp_path):
+    folder, at = str(tmp_path / "b"), lambda s: T0 + datetime.timedelta(seconds=s)
+    steps = [[(0, 1, at(0), "failed"), (1, 1, at(10), "queued")], [(2, 2, at(20), "done"), (3, 1, at(5), "failed")], [(4, 1, at(30), "done")], [(5, 2, at(40), "done")]]
+    for step in steps:
+        spark.createDataFrame(step, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    stream = streaming.stream_events(spark, folder, SCHEMA, files_per_batch=1)
+    told = run(streaming.batch_done_alerts(stream.withColumn("batch", F.lit(7).cast("long")).withColumn("batch_size", F.lit(2))), tmp_path, "closed")
+    assert rows(told) == [(7, 2)]
+    early = stream.filter("event_id < 4").withColumn("batch", F.lit(7).cast("long")).withColumn("batch_size", F.lit(2))
+    assert run(streaming.batch_done_alerts(early), tmp_path, "open").count() == 0
+
+
+def test_stale_timer_in_any_zone_with_a_late_row(spark, tmp_path):
+    zone, old = "America/New_York", spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        folder, sec = str(tmp_path / "z"), lambda s: F.timestamp_seconds(F.lit(1_700_000_000 + s))
+        for k, (job, s, status) in enumerate([(1, 100, "launching"), (1, 0, "running"), (2, 150, "launching"), (2, 170, "running"), (9, 900, "running"), (9, 1900, "running")]):
+            spark.range(1).select(F.lit(k).cast("long").alias("event_id"), F.lit(job).cast("long").alias("job_id"), sec(s).alias("ts"), F.lit(status).alias("status")).coalesce(1).write.mode("append").parquet(folder)
+        live = run(streaming.stale_timers(streaming.stream_events(spark, folder, SCHEMA, files_per_batch=1), {"launching": 60}, "2 minutes"), tmp_path, "stale_" + zone.replace("/", "_"))
+        assert rows(live) == [(1, "launching", 1_700_000_100.0)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
 
 
 def test_batch_done(spark, events, tmp_path):
-    stream = streaming.stream_events(spark, events, SCHEMA).withColumn("batch", F.lit(1).cast("long")).withColumn("batch_size", F.lit(5))
+    stream = streaming.stream_events(spark, events, SCHEMA).withColumn("batch", F.lit(1).cast("long")).withColumn("batch_size", F.lit(5)).withColumn("status", F.lit("done"))
     assert rows(run(streaming.batch_done_alerts(stream), tmp_path, "finished").select("batch", "jobs")) == [(1, 5)]
 
 
-def test_stale_timer(spark, tmp_path):
-    folder, at = str(tmp_path / "s"), lambda s: T0 + datetime.timedelta(seconds=s)
-    for k, r in enumerate([(0, 1, at(0), "launching"), (1, 2, at(500), "running"), (2, 2, at(900), "running")]):
-        spark.createDataFrame([r], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
-    live = run(streaming.stale_timers(streaming.stream_events(spark, folder, SCHEMA, files_per_batch=1), {"launching": 60}), tmp_path, "stale")
-    assert [r["job_id"] for r in live.collect()] == [1]
-
-
 def test_sources(spark, tmp_path):
     (tmp_path / "h.json").write_text(json.dumps({"a": 700, "b": {"vram_mb": 5, "ram_mb": 6, "dur_s_ewma": 1.5}}))
     assert rows(sources.read_history(spark, str(tmp_path / "h.json")).select("signature", "vram_mb")) == [("a", 700), ("b", 5)]
     (tmp_path / "j7.log").write_bytes(b"one\rtwo\r\nthree\n")
     assert rows(sources.read_log_lines(spark, str(tmp_path / "j7.log"))) == [("j7", 0, "one"), ("j7", 1, "two"), ("j7", 2, "three")]
     (tmp_path / "q.json").write_text(json.dumps({"tasks": [{"job_id": 1, "status": "done", "started_at": 10.0}], "next_id": 2}))
-    assert sources.read_jobs(spark, str(tmp_path / "q.json"), "document").first()["job_id"] == 1
+    assert sources.read_jobs(spark, str(tmp_path / "q.json"), "document").first()["job_id"] == "1"
     (tmp_path / "e.jsonl").write_text('{"event_id": "x", "type": "t"}\n\nbroken\n')
     assert sources.read_events(spark, str(tmp_path / "e.jsonl")).count() == 2
     df = spark.createDataFrame([(1, T0)], "job_id long, finished_at timestamp")
@@ -84,8 +167,40 @@ def test_sources(spark, tmp_path):
 
 
 def test_fold_history(spark, tmp_path):
-    fold = streaming.fold_history(spark, str(tmp_path / "p"), str(tmp_path / "h"))
-    batch = spark.createDataFrame([("s", i, T0 + datetime.timedelta(seconds=i), "done", i, i) for i in range(5)], "signature string, job_id long, finished_at timestamp, status string, vram_mb long, ram_mb long")
-    fold(batch, 0)
-    fold(batch, 0)
-    assert spark.read.parquet(str(tmp_path / "h")).first()["p80_vram_mb"] == 3
+    """Against the operator over all runs ever; a batch that is tried again changes nothing; old folders go."""
+    fold, every = streaming.fold_history(spark, str(tmp_path / "p"), str(tmp_path / "h")), []
+    schema = "signature string, job_id long, finished_at timestamp, status string, vram_mb long, ram_mb long"
+    for b in range(4):
+        data = [("s" if b != 2 else "t", 10 * b + i, T0 + datetime.timedelta(seconds=10 * b + i), "done" if i else "running", 7 * i % 5 + b, i) for i in range(7)]
+        every += data
+        for _ in range(2):
+            fold(spark.createDataFrame(data, schema), b)
+        want = history.p80_history(spark.createDataFrame(every, schema).filter("status = 'done'")).filter(F.col("signature") == data[0][0])
+        assert rows(spark.read.parquet(str(tmp_path / "h" / f"batch={b}"))) == rows(want)
+    assert len(list((tmp_path / "p").glob("batch=*"))) == 2
+
+
+def test_records_as_they_are(spark, tmp_path):
+    """Text ids, one file or several to wait for, unknown fields, old and new histories."""
+    tasks = [
+        {"id": "toff", "status": "running", "node": "local", "gpu_idx": 0, "cmd": "python train.py", "extra_env": {"A": "1"}, "remote_pids": [12345], "log_path": "/l", "started_at": 10.5, "finished_at": None, "peak_vram_mb": 900, "notified_done": False, "ckpt_dir": None},
+        {"id": "t2", "status": "queued", "wait_for_files": "/a", "local_result_dir": "/r"}, {"id": 7, "wait_for_files": ["/a", "/b"]}, {"job_id": 8, "parent_id": "t2"},
+    ]
+    (tmp_path / "q.json").write_text(json.dumps({"tasks": tasks, "next_id": 2}))
+    (tmp_path / "q.jsonl").write_text("\n".join(json.dumps(t) for t in tasks) + "\n\nnot json\n")
+    for layout, name in (("document", "q.json"), ("jsonl", "q.jsonl")):
+        got = {r["job_id"]: r for r in sources.read_jobs(spark, str(tmp_path / name), layout).collect()}
+        assert set(got) == {"toff", "t2", "7", "8"}
+        assert got["t2"]["wait_for_files"] == ["/a"] and got["7"]["wait_for_files"] == ["/a", "/b"] and got["toff"]["wait_for_files"] is None
+        assert got["toff"]["extra"] == {"notified_done": "false"} and got["t2"]["extra"] == {"local_result_dir": '"/r"'} and got["8"]["parent_id"] == "t2"
+        assert got["toff"]["extra_env"] == {"A": "1"} and got["toff"]["remote_pids"] == [12345] and got["toff"]["started_at"].timestamp() % 1 == 0.5
+    (tmp_path / "h.json").write_text(json.dumps({"a": 700, "b": {"vram_mb": 5, "ram_mb": 6, "last_seen": 9.0}, "c": {"vram_mb": 8, "vram_samples": [4, 8], "ram_samples": []}}))
+    got = {r["signature"]: r for r in sources.read_history(spark, str(tmp_path / "h.json")).collect()}
+    assert got["a"]["vram_samples"] == [700] and got["b"]["ram_samples"] == [6] and got["b"]["last_seen"].timestamp() == 9 + got["b"]["last_seen"].timestamp() // 1 - 9
+    assert got["c"]["vram_samples"] == [4, 8] and got["c"]["ram_samples"] is None and got["c"]["dur_s_ewma"] is None
+
+
+def test_write_stream(spark, events, tmp_path):
+    for _ in range(2):  # a second start finds nothing new
+        sources.write_stream(streaming.stream_events(spark, events, SCHEMA), str(tmp_path / "out"), str(tmp_path / "ck"), once=True).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 120
