@@ -32,15 +32,21 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, mark: str, max_rows: int,
     those with a positive mark, and of the others, about ``max_rows`` and ``max_chars`` characters at most.
 
     Rows with one doc_id and one text count as one, so an id or a text that many rows repeat doesn't swell the sample.
-    Texts aren't shuffled to find it: only their hashes and lengths are, and the sample is broadcast, which is bounded.
+    Texts aren't shuffled to find it (but for those of repeated rows): only their hashes and lengths are, and the sample is
+    broadcast, which is bounded.
     """
     named = F.xxhash64("doc_id", "text")
     slim = docs.select("doc_id", named.alias("_h"), F.length("text").alias("_chars")).join(marks, "doc_id")
-    found = stored(slim.groupBy("doc_id", "_h", mark).agg(F.max("_chars").alias("_chars")))
+    found = stored(slim.groupBy("doc_id", "_h", mark).agg(F.max("_chars").alias("_chars"), F.count(F.lit(1)).alias("_n")))
     positive, keep = F.col(mark) > 0, F.lit(False)
     for r in found.groupBy(positive.alias("positive")).agg(F.count(F.lit(1)).alias("n"), F.sum("_chars").alias("chars")).collect():  # two rows
         share = min(max_rows / r["n"], max_chars / max(1, r["chars"] or 0))
         keep = keep | ((positive == r["positive"]) & share_picked(F.col("_h"), share))
-    sample = found.filter(keep).select("doc_id", "_h", mark)
-    texts = docs.select("doc_id", "text", *more, named.alias("_h")).join(F.broadcast(sample), ["doc_id", "_h"])
-    return texts.groupBy("doc_id", "text", mark).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in more]).drop("_n")
+    sample = found.filter(keep).select("doc_id", "_h", mark, "_n")
+    texts = docs.select("doc_id", "text", *more, named.alias("_h"))
+    once = texts.join(F.broadcast(sample.filter("_n = 1")), ["doc_id", "_h"]).select("doc_id", "text", mark, *more)
+    again = sample.filter("_n > 1")
+    if again.isEmpty():
+        return once
+    repeated = texts.join(F.broadcast(again), ["doc_id", "_h"]).groupBy("doc_id", "text", mark).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in more]).drop("_n")
+    return once.unionByName(repeated)

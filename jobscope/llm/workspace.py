@@ -1,44 +1,19 @@
-"""Reading inputs, and cutting lineage through the folder that all executors share."""
+"""Reading inputs; and the folder that all executors share, through which lineage is cut."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from jobscope.shipping import ship
+from jobscope.storage import shared_folder, stored, stored_parts
+
+__all__ = ["shared_folder", "stored", "stored_parts", "table"]
 
-#: Used only where the session names no folder, as in tests.
-DEFAULT_FOLDER = "/tmp/checkpoints"
+#: Bytes of a batch that goes to a Python worker at a time: batches are bounded by their texts and not by a number of rows alone.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    spark.conf.set(*BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_FOLDER
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back.
-
-    What comes back has no lineage, so a lost executor costs a re-read and not the work before it,
-    and every later reader sees the same rows. The files go when the driver ends.
-    """
-    return stored_parts([df])
-
-
-def stored_parts(parts: Iterable[DataFrame]) -> DataFrame:
-    """Like :func:`stored` of the union of ``parts`` (at least one), each of which is written before the next is made."""
-    name = f"jobscope-{uuid.uuid4().hex}"
-    for df in parts:
-        spark, schema = df.sparkSession, df.schema
-        path = f"{shared_folder(spark)}/{name}"
-        df.write.mode("append").parquet(path)
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(schema).parquet(path)
