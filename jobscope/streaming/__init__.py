@@ -1,4 +1,7 @@
-"""Structured Streaming forms of the operators. Stateful ones need the RocksDB state store; see :func:`use_rocksdb`."""
+"""Structured Streaming forms of the operators. Stateful ones need the RocksDB state store; see :func:`use_rocksdb`.
+
+Those whose state has a time to live run a batch at any time to end it, so they are started with a running trigger and not with ``availableNow``.
+"""
 
 from __future__ import annotations
 

@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,19 +41,32 @@ def run(df, tmp_path, name, mode="append"):
     return df.sparkSession.table(name)
 
 
+def live(df, tmp_path, name, expected):
+    """Runs a stream whose state has a time to live, and so a batch to run at any time, until it has read ``expected`` rows."""
+    q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
+    try:
+        end = time.time() + 90
+        while sum(p["numInputRows"] for p in q.recentProgress) < expected:
+            assert q.exception() is None and time.time() < end
+            time.sleep(0.2)
+    finally:
+        q.stop()
+    return df.sparkSession.table(name)
+
+
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
 def test_transitions(spark, events, tmp_path):
-    live = run(streaming.transition_monitor(streaming.stream_events(spark, events, SCHEMA)), tmp_path, "transitions")
+    told = live(streaming.transition_monitor(streaming.stream_events(spark, events, SCHEMA)), tmp_path, "transitions", 120)
     batch = failures.illegal_transitions(spark.read.parquet(events))
-    assert rows(live.select("event_id", "job_id", "before", "after")) == rows(batch.select("event_id", "job_id", "before", "after"))
+    assert rows(told.select("event_id", "job_id", "before", "after")) == rows(batch.select("event_id", "job_id", "before", "after"))
 
 
 def test_debounce(spark, events, tmp_path):
-    live = run(streaming.debounce(streaming.stream_events(spark, events, SCHEMA), 300), tmp_path, "debounced")
-    assert rows(live.select("event_id")) == rows(failures.cooldown_filter(spark.read.parquet(events), "job_id", 300).select("event_id"))
+    found = run(streaming.debounce(streaming.stream_events(spark, events, SCHEMA), 300), tmp_path, "debounced")
+    assert rows(found.select("event_id")) == rows(failures.cooldown_filter(spark.read.parquet(events), "job_id", 300).select("event_id"))
 
 
 def test_rollup_equals_its_twin_and_drops_late_rows(spark, tmp_path):
@@ -61,9 +75,9 @@ def test_rollup_equals_its_twin_and_drops_late_rows(spark, tmp_path):
     parts = [[(1, "n", at(5), 10, 1), (1, "n", at(20), 30, 1), (2, "n", at(30), 20, 1)], [(3, "n", at(400), 5, 1)], [(4, "n", at(410), 6, 1)], [(9, "n", at(10), 99, 9)], [(5, "n", at(9000), 1, 1)]]
     for part in parts:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
-    live = run(streaming.minute_rollup(streaming.stream_events(spark, folder, schema, files_per_batch=1)), tmp_path, "rolled")
+    found = run(streaming.minute_rollup(streaming.stream_events(spark, folder, schema, files_per_batch=1)), tmp_path, "rolled")
     in_time = spark.createDataFrame([r for part in parts for r in part if r[0] != 9 and r[2] < at(9000)], schema)
-    assert rows(live) == rows(capacity.minute_rollup(in_time)) and rows(live)[0][2:] == (30, 3, 2)
+    assert rows(found) == rows(capacity.minute_rollup(in_time)) and rows(found)[0][2:] == (30, 3, 2)
 
 
 def test_dedupe_drops_copies(spark, events, tmp_path):
@@ -73,11 +87,6 @@ def test_dedupe_drops_copies(spark, events, tmp_path):
     assert run(streaming.dedupe_events(streaming.stream_events(spark, folder, SCHEMA, files_per_batch=1)), tmp_path, "once").count() == 120
 
 
-def last_rows(df):
-    """The last row told for each job."""
-    return {r["job_id"]: tuple(r)[1:] for r in df.collect()}
-
-
 def test_peaks_and_progress(spark, tmp_path):
     folder, at = str(tmp_path / "p"), lambda s: T0 + datetime.timedelta(seconds=s)
     schema = "event_id long, job_id long, ts timestamp, vram_mb long, ram_mb long, status string"
@@ -85,21 +94,20 @@ def test_peaks_and_progress(spark, tmp_path):
     for part in parts:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
     stream = lambda: streaming.stream_events(spark, folder, schema, files_per_batch=1)
-    told = run(streaming.job_peaks(stream()), tmp_path, "peaks_ttl")
+    told = live(streaming.job_peaks(stream()), tmp_path, "peaks_ttl", 5)
     assert sorted(tuple(r) for r in told.collect()) == [(1, 10, 5), (1, 10, 9), (1, 12, 9), (2, 7, 7)]
-    live = run(streaming.live_peaks(stream()), tmp_path, "peaks", "update")
-    assert live.groupBy("job_id").agg(F.max("peak_vram_mb"), F.max("peak_ram_mb")).count() == 2
-    assert sorted(tuple(r) for r in live.groupBy("job_id").agg(F.max("peak_vram_mb"), F.max("peak_ram_mb")).collect()) == [(1, 12, 9), (2, 7, 7)]
+    every = run(streaming.live_peaks(stream()), tmp_path, "peaks", "update")
+    assert sorted(tuple(r) for r in every.groupBy("job_id").agg(F.max("peak_vram_mb"), F.max("peak_ram_mb")).collect()) == [(1, 12, 9), (2, 7, 7)]
 
     folder, schema = str(tmp_path / "l"), "job_id long, seq long, ts timestamp, line string, status string"
     lines = [(1, 1, at(1), "3/97 [02:00<?, ?it/s]", "running"), (1, 2, at(2), "12/97 [00:42<03:21, 12.34it/s]", "running"), (2, 1, at(1), "eta: 2m", "running"), (1, 3, at(3), "nothing", "done")]
     for line in lines:
         spark.createDataFrame([line], schema).coalesce(1).write.mode("append").parquet(folder)
     stream = lambda: streaming.stream_events(spark, folder, schema, files_per_batch=1)
-    told = run(streaming.job_progress(stream()), tmp_path, "progress_ttl")
+    told = live(streaming.job_progress(stream()), tmp_path, "progress_ttl", 4)
     assert sorted((tuple(r) for r in told.collect()), key=str) == [(1, 201, None, 12, 97), (2, None, 120, None, None)]
-    live = run(streaming.live_progress(stream()), tmp_path, "progress", "update")
-    assert live.filter("job_id = 1").agg(F.max("remaining_s"), F.max("current"), F.max("total")).first()[:] == (201, 12, 97)
+    every = run(streaming.live_progress(stream()), tmp_path, "progress", "update")
+    assert every.filter("job_id = 1").agg(F.max("remaining_s"), F.max("current"), F.max("total")).first()[:] == (201, 12, 97)
 
 
 def test_enrich(spark, events, tmp_path):
@@ -115,9 +123,9 @@ def test_spells(spark, tmp_path):
     data = [(0, 1, at(0), "alive"), (1, 1, at(10), "unknown"), (2, 1, at(60), "unknown"), (3, 1, at(110), "dead"), (4, 2, at(0), "unknown")]
     for row in data:
         spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(folder)
-    live = run(streaming.unknown_monitor(streaming.stream_events(spark, folder, schema, files_per_batch=1)), tmp_path, "spells")
+    found = run(streaming.unknown_monitor(streaming.stream_events(spark, folder, schema, files_per_batch=1)), tmp_path, "spells")
     batch = failures.unknown_spells(spark.read.parquet(folder).withColumnRenamed("event_id", "seq")).filter("resolved is not null")
-    assert rows(live) == rows(batch) and live.count() == 1
+    assert rows(found) == rows(batch) and found.count() == 1
 
 
 def test_a_retry_keeps_a_batch_open(spark, tmp_path):
@@ -139,8 +147,8 @@ def test_stale_timer_in_any_zone_with_a_late_row(spark, tmp_path):
         folder, sec = str(tmp_path / "z"), lambda s: F.timestamp_seconds(F.lit(1_700_000_000 + s))
         for k, (job, s, status) in enumerate([(1, 100, "launching"), (1, 0, "running"), (2, 150, "launching"), (2, 170, "running"), (9, 900, "running"), (9, 1900, "running")]):
             spark.range(1).select(F.lit(k).cast("long").alias("event_id"), F.lit(job).cast("long").alias("job_id"), sec(s).alias("ts"), F.lit(status).alias("status")).coalesce(1).write.mode("append").parquet(folder)
-        live = run(streaming.stale_timers(streaming.stream_events(spark, folder, SCHEMA, files_per_batch=1), {"launching": 60}, "2 minutes"), tmp_path, "stale_" + zone.replace("/", "_"))
-        assert rows(live) == [(1, "launching", 1_700_000_100.0)]
+        found = run(streaming.stale_timers(streaming.stream_events(spark, folder, SCHEMA, files_per_batch=1), {"launching": 60}, "2 minutes"), tmp_path, "stale_" + zone.replace("/", "_"))
+        assert rows(found) == [(1, "launching", 1_700_000_100.0)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
 
