@@ -12,7 +12,9 @@ contained shingles of the item partition such that an item that qualifies is mis
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import map_texts, shingles, words
+from .workspace import stored_parts
 
 #: Items are searched in blocks of about so many bytes of text; a block is what is sent to every task.
 BLOCK_BYTES = 16 << 20
@@ -105,19 +108,24 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
     Shingles are of five words (all words of an item that has fewer), size is the number of an item's distinct ones
     and shared how many of them the document has. Null, empty and wordless texts of either table match nothing.
-    Repeated item rows count once; repeated document rows each give their rows. Either table empty: no rows.
+    Texts of any length are read whole. Repeated item rows count once; repeated document rows each give their rows. Either table
+    empty: no rows. Columns other than the ids and texts aren't read, so their names may be any.
     """
-    items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).distinct()
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    blocks = (_search(docs, ids, texts, threshold, kind) for ids, texts in _blocks(benchmark.select("item_id", "text")))
+    first = next(blocks)
+    second = next(blocks, None)
+    return first if second is None else stored_parts(itertools.chain([first, second], blocks))
+
+
+def _blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of the distinct items in blocks of about ``BLOCK_BYTES``, of which the driver holds one or two at a time; at least one block."""
+    items = items.filter(F.col("text").isNotNull()).distinct()
     size = items.agg(F.sum(F.octet_length("text") + 16).alias("bytes")).first()["bytes"] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    item_kind = benchmark.schema["item_id"].dataType.simpleString()
-    found = None
     for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        ids, texts = [r["item_id"] for r in rows], [r["text"] for r in rows]
-        hits = _search(docs, ids, texts, threshold, item_kind)
-        found = hits if found is None else found.unionByName(hits)
-    return found
+        rows = items.filter(F.pmod(F.xxhash64(*items.columns), F.lit(blocks)) == b).collect()
+        yield [r[0] for r in rows], [r["text"] for r in rows]
 
 
 def _search(docs: DataFrame, ids: list, texts: list[str], threshold: float, item_kind: str) -> DataFrame:
@@ -138,15 +146,30 @@ def _search(docs: DataFrame, ids: list, texts: list[str], threshold: float, item
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, whose text contains no item; see :func:`find_contaminated`.
 
-    Rows go by their own text, so two rows with one doc_id can fare differently.
+    Rows go by their own text, so two rows with one doc_id can fare differently. Null texts stay. Without items all rows stay.
     """
-    size = benchmark.agg(F.sum(F.octet_length("text") + 16).alias("bytes")).first()["bytes"] or 0
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    items = benchmark.select("text").filter(F.col("text").isNotNull()).distinct()
-    for b in range(blocks):
-        texts = [r["text"] for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()]
-        docs = _without(docs, texts, threshold)
-    return docs
+    blocks = _blocks(benchmark.select("text"))
+    (_, texts), second = next(blocks), next(blocks, None)
+    if second is None:
+        return _without(docs, texts, threshold)
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("raw"))
+    hits = stored_parts(_with_hit(hashed, t, threshold) for _, t in itertools.chain([(None, texts), second], blocks))
+    # the row goes as one struct, so that no column of it can clash with those of the join
+    rows = docs.select(F.col("doc_id").alias("own"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
+    return rows.join(hits.distinct(), F.expr("own <=> doc_id and hash = raw"), "left_anti").select("row.*")
+
+
+def _with_hit(hashed: DataFrame, texts: list[str], threshold: float) -> DataFrame:
+    """doc_id and raw of the rows of ``hashed`` (doc_id, text, raw) that contain one of ``texts``."""
+    index: list[ItemIndex] = []
+
+    def run(batch, raw):
+        if not index:
+            index.append(ItemIndex(texts, threshold))
+        hit = [k for k, text in enumerate(batch) if index[0].search(text)]
+        return hit, {"raw": [raw[k] for k in hit]}
+
+    return map_texts(hashed, run, "raw bigint", more=("raw",))
 
 
 def _without(docs: DataFrame, texts: list[str], threshold: float) -> DataFrame:
