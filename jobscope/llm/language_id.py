@@ -129,5 +129,10 @@ def predict_language(docs: DataFrame, languages: list[str], prototypes: np.ndarr
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row of ``docs``."""
+    """doc_id, held_out, lang_pred, score of every row of ``docs``.
+
+    Rows with a null lang teach nothing. Null texts and texts without a letter are ``und`` with score 0; without any labelled text
+    all are. Texts of any length are read whole. Repeated rows give equal rows, an empty table none. Columns other than
+    doc_id, text and lang aren't read, so their names may be any.
+    """
     return predict_language(docs, *fit_prototypes(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

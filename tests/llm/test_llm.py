@@ -171,6 +171,10 @@ def test_containment(spark, docs):
     clean = decontamination.remove_contaminated(docs, bench)
     dirty = {i for i, _, _ in want}
     assert sorted(r[0] for r in clean.select("doc_id").collect() if r[0] is not None) == sorted(int(i) for i in d["doc_id"].dropna() if int(i) not in dirty)
+    with pytest.MonkeyPatch.context() as patch:  # items in several blocks
+        patch.setattr(decontamination, "BLOCK_BYTES", 100)
+        again = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["item_id"], r["shared"]) for r in decontamination.find_contaminated(docs, bench).collect())
+        assert again == got and sorted(map(str, decontamination.remove_contaminated(docs, bench).collect())) == sorted(map(str, clean.collect()))
     assert decontamination.find_contaminated(docs, nothing(bench)).count() == 0 and decontamination.remove_contaminated(docs, nothing(bench)).count() == docs.count()
 
 
