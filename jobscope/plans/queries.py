@@ -417,8 +417,8 @@ query("cap12_timeline", f"WITH e AS (SELECT node, submitted_at AS ts, 1 AS d, jo
 
 # the rest: seeds, walltimes, trial logs, audits, and the batch twin of the rollup
 
-query("agg3_legacy_seed", f"SELECT signature, job_id, vram_mb FROM ({RUNS}) WHERE project = 'BUILDING' UNION ALL SELECT signature, -1, min(peak_vram_mb) FROM jobs_v WHERE signature NOT IN (SELECT signature FROM ({RUNS}) WHERE project = 'BUILDING') GROUP BY signature")(
-    lambda t: history.legacy_seed(t.runs().filter("project = 'BUILDING'"), t.jobs.groupBy("signature").agg(F.min("peak_vram_mb").alias("vram_mb"))).select("signature", "job_id", "vram_mb")
+query("agg3_legacy_seed", f"SELECT signature, job_id, vram_mb FROM ({RUNS}) UNION ALL SELECT signature, -1, min(peak_vram_mb) FROM jobs_v WHERE signature NOT IN (SELECT signature FROM ({RUNS})) GROUP BY signature")(
+    lambda t: history.legacy_seed(t.runs(), t.jobs.groupBy("signature").agg(F.min("peak_vram_mb").alias("vram_mb"))).select("signature", "job_id", "vram_mb")
 )
 
 
