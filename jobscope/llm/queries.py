@@ -10,6 +10,7 @@ from .dart_minhash import near_duplicate_classes
 from .decontamination import find_contaminated
 from .language_id import identify_languages
 from .nra_topk import search_embeddings
+from .ns_kmeans import cluster_embeddings
 from .packing import pack_documents
 from .pii import pseudonymize
 from .quality import score_quality
@@ -59,6 +60,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ns_bounds_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_quality": op1_hierarchical_quality,
     "op2_exact_top_k": op2_exact_top_k,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_ns_bounds_kmeans": op11_ns_bounds_kmeans,
 }
 
 #: A document's and an item's distinct five-word shingles, as in words.shingles.
@@ -78,6 +84,30 @@ _SHINGLES = """
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s
   FROM (SELECT {id} AS id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM {table}) WHERE len(w) > 0"""
 
+
+def _kmeans(rounds: int = 3, k: int = 16, dim: int = 64) -> str:
+    """Plain rounds of assignment and floor of the mean, without bounds."""
+    parts = [
+        f"""x AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS y FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "e AS (SELECT vec_id, CAST(y AS BIGINT[]) AS v, count(*) AS m FROM x WHERE len(list_filter(y, lambda x: abs(x) > 134217728)) = 0 GROUP BY ALL)",
+        "r AS (SELECT vec_id, v, unnest(range(m)) FROM e)",
+        f"c0 AS (SELECT j, v AS c FROM (SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS j FROM r) WHERE j < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (SELECT vec_id, v, m, min(d * {k} + j) AS dj FROM (SELECT vec_id, v, m, j,
+  CAST(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM e, c{i}) GROUP BY ALL)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT j, p, CAST(sum(x * m) AS BIGINT) AS s, CAST(sum(m) AS BIGINT) AS n
+  FROM (SELECT dj % {k} AS j, m, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM a{i}) GROUP BY j, p)""")
+            parts.append(f"n{i} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY p) AS c FROM s{i} GROUP BY j)")
+            parts.append(f"c{i + 1} AS (SELECT c{i}.j, coalesce(n{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN n{i} ON c{i}.j = n{i}.j)")
+    parts.append(f"f AS (SELECT vec_id, dj % {k} AS j, dj // {k} AS d, unnest(range(m)) FROM a{rounds})")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(f.j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY f.j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM f JOIN c{rounds} ON f.j = c{rounds}.j"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_top_k": """
 WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -93,4 +123,5 @@ n AS (SELECT item_id, count(*) AS size FROM b GROUP BY item_id)
 SELECT doc_id, item_id, CAST(shared AS INTEGER) AS shared, CAST(size AS INTEGER) AS size, shared / size AS containment
 FROM (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (s) GROUP BY doc_id, item_id) JOIN n USING (item_id)
 WHERE shared >= ceil(0.8 * size - 1e-9)""",
+    "op11_ns_bounds_kmeans": _kmeans(),
 }
