@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import align_tokenizers
 from .dart_minhash import near_duplicate_classes
 from .decontamination import find_contaminated
 from .language_id import identify_languages
@@ -64,6 +65,10 @@ def op11_ns_bounds_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op13_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_quality": op1_hierarchical_quality,
     "op2_exact_top_k": op2_exact_top_k,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_ns_bounds_kmeans": op11_ns_bounds_kmeans,
+    "op13_merge_path_alignment": op13_merge_path_alignment,
 }
 
 #: A document's and an item's distinct five-word shingles, as in words.shingles.
