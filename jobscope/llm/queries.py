@@ -10,6 +10,7 @@ from .alignment import align_tokenizers
 from .dart_minhash import near_duplicate_classes
 from .decontamination import find_contaminated
 from .language_id import identify_languages
+from .metric_join import jaccard_components
 from .nra_topk import search_embeddings
 from .ns_kmeans import cluster_embeddings
 from .packing import pack_documents
@@ -65,6 +66,10 @@ def op11_ns_bounds_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op12_voronoi_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_ns_bounds_kmeans": op11_ns_bounds_kmeans,
+    "op12_voronoi_jaccard_join": op12_voronoi_jaccard_join,
     "op13_merge_path_alignment": op13_merge_path_alignment,
 }
 
@@ -130,4 +136,13 @@ SELECT doc_id, item_id, CAST(shared AS INTEGER) AS shared, CAST(size AS INTEGER)
 FROM (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (s) GROUP BY doc_id, item_id) JOIN n USING (item_id)
 WHERE shared >= ceil(0.8 * size - 1e-9)""",
     "op11_ns_bounds_kmeans": _kmeans(),
+    "op12_voronoi_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 90 * (a.n + b.n - shared)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.id AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS id FROM r GROUP BY x) c ON c.x = d.doc_id""",
 }
