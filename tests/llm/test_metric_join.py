@@ -74,8 +74,8 @@ def test_components_against_all_pairs(spark, monkeypatch, leaf, pivots, slot, pe
 
 def test_crowds_of_unlinked_texts(spark, monkeypatch):
     """Texts of slots with two phrases each: many share a part with many, and few are linked; cells don't help, blocks do."""
-    monkeypatch.setattr(metric_join, "LEAF_SETS", 16)
-    monkeypatch.setattr(metric_join, "PIVOTS", 4)
+    monkeypatch.setattr(metric_join, "LEAF_SETS", 4)
+    monkeypatch.setattr(metric_join, "PIVOTS", 2)
     rng = random.Random(4)
     phrases = [[" ".join(text_of(rng, 12)) for _ in range(2)] for _ in range(8)]
     rows = [(i, " ".join(rng.choice(p) for p in phrases)) for i in range(150)]
