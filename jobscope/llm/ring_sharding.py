@@ -2,8 +2,10 @@
 
 Every shard owns ``virtual_nodes`` points of a ring of ``RING`` positions; a key hashes to a position and
 belongs to the next point clockwise. Shards have a capacity, and the keys that overflow a full shard go on
-clockwise to the next shard with room. The capacity here is the tightest bound there is: the row count over
-the shard count, one more for the first shards where it doesn't divide, so shard counts differ by one at most.
+clockwise to the next shard with room. At ``bound`` 1, the default, the capacity is the tightest there is: the row count over
+the shard count, one more for the first shards where it doesn't divide, so shard counts differ by one at most. A larger
+bound is a multiple of the mean. A point's place depends on its shard and its number there and on nothing else, so a shard that comes
+only takes keys and one that goes only gives its own away; what moves besides is what overflows otherwise than before, which a larger bound makes rare.
 
 Keys of an arc are exchangeable, so the clockwise walk needs only the key counts of the arcs (at most
 ``shards * virtual_nodes``, whatever the corpus): a fold over those counts gives for each arc a short list of
@@ -12,7 +14,9 @@ segments ``(first rank, shard, first slot)``, and every row finds its shard and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,9 +47,10 @@ aggregate(
 
 def ring_cells(spark, shards: int, virtual_nodes: int) -> DataFrame:
     """One row for each position of the ring: pos, arc (number of its arc, clockwise), shard (its owner)."""
+    shard, replica = (F.col("id") % shards).cast("int"), F.floor(F.col("id") / shards)
     points = (
         spark.range(shards * virtual_nodes)
-        .select(F.pmod(F.xxhash64(F.lit("point"), "id"), F.lit(RING)).alias("pos"), (F.col("id") % shards).cast("int").alias("shard"))
+        .select(F.pmod(F.xxhash64(F.lit("point"), shard, replica), F.lit(RING)).alias("pos"), shard.alias("shard"))
         .groupBy("pos").agg(F.min("shard").alias("shard"))
     )
     w = W.orderBy("pos")
@@ -62,9 +67,16 @@ def ring_cells(spark, shards: int, virtual_nodes: int) -> DataFrame:
     return own.unionByName(beyond.join(F.broadcast(first), "one").select("arc", "shard", "pos"))
 
 
-def _segments(cells: DataFrame, rows: int, shards: int) -> DataFrame:
+def _capacity(shard: Column, rows: int, shards: int, bound: float) -> Column:
+    """Rows that a shard takes."""
+    if bound > 1:
+        return F.lit(math.ceil(bound * rows / shards)).cast("long")
+    return (F.lit(rows // shards) + F.when(shard < rows % shards, 1).otherwise(0)).cast("long")
+
+
+def _segments(cells: DataFrame, rows: int, shards: int, bound: float) -> DataFrame:
     """For each arc its segments, array<struct<first_rank, shard, slot>> in order of rank. ``cells``: pos, arc, shard, n."""
-    cap = F.lit(rows // shards) + F.when(F.col("shard") < rows % shards, 1).otherwise(0)
+    cap = _capacity(F.col("shard"), rows, shards, bound)
     arcs = (
         cells.groupBy("arc").agg(F.min("shard").alias("shard"), F.sum("n").alias("n"))
         .withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("arc").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -72,7 +84,7 @@ def _segments(cells: DataFrame, rows: int, shards: int) -> DataFrame:
         .withColumn("overflow", F.col("n") - F.col("accepted"))
         .withColumn("queued", F.coalesce(F.sum("overflow").over(W.orderBy("arc").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     )
-    caps = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: (F.lit(rows // shards) + F.when(i < rows % shards, 1).otherwise(0)).cast("long"))
+    caps = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: _capacity(i, rows, shards, bound))
     held = F.map_from_entries(F.collect_list(F.struct("shard", "held")))
     walk = (
         arcs.groupBy("shard").agg(F.sum("accepted").alias("held"), F.collect_list(F.struct("arc", "shard", "overflow")).alias("arcs"))
@@ -103,10 +115,10 @@ def _counted(placed: DataFrame) -> DataFrame:
     return stored(placed.groupBy("_pos", "_cell").agg(F.count(F.lit(1)).alias("n")))
 
 
-def assign_shards(df: DataFrame, key: str, shards: int = 40, virtual_nodes: int = 64) -> DataFrame:
+def assign_shards(df: DataFrame, key: str, shards: int = 40, virtual_nodes: int = 64, bound: float = 1.0) -> DataFrame:
     """``df`` with shard (int, 0 to shards - 1) and slot (long, gapless from 0 in each shard).
 
-    Shard counts differ by one at most. A null key hashes like any other value. Repeated rows each get a slot
+    Shard counts differ by one at most, or, with a ``bound`` over 1, are at most that multiple of their mean (rounded up). A null key hashes like any other value. Repeated rows each get a slot
     of their own; rows with the same key and content are interchangeable. An empty table gives no rows.
     Columns other than ``key`` pass through, except that an input's own ``shard``, ``slot`` or ``_``-prefixed
     working columns are replaced. The table is stored once, so pass only the columns you need.
@@ -129,7 +141,7 @@ def assign_shards(df: DataFrame, key: str, shards: int = 40, virtual_nodes: int
     rows = cells.agg(F.sum("n")).first()[0]
     before = F.coalesce(F.sum("n").over(W.partitionBy("arc").orderBy("_pos", "_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.join(cells.select(F.col("pos").alias("_pos"), "arc"), "_pos").withColumn("_before", before)
-    plan = stored(offsets.join(_segments(cells, rows, shards), "arc").select("_pos", "_cell", "_before", F.col("segments").alias("_segments")))
+    plan = stored(offsets.join(_segments(cells, rows, shards, bound), "arc").select("_pos", "_cell", "_before", F.col("segments").alias("_segments")))
     return (
         placed.withColumn("_rn", F.row_number().over(W.partitionBy("_pos", "_cell").orderBy(F.xxhash64(F.col(key)), *content, "_row")))
         .join(plan, ["_pos", "_cell"])
@@ -142,7 +154,9 @@ def assign_shards(df: DataFrame, key: str, shards: int = 40, virtual_nodes: int
 def shard_documents(docs: DataFrame, shards: int = 40, virtual_nodes: int = 64) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document; law is ``rows``.
 
-    size: UTF-8 bytes of the text (null: none) plus 16; text_crc32: unsigned, of the UTF-8 bytes (null: of none).
+    size: UTF-8 bytes of the text (null: none) plus 16; text_crc32: unsigned, of the UTF-8 bytes (null: of none). A null text is
+    sharded like an empty one, a null doc_id like any other key; repeated rows each get a slot; texts of any length are read whole, but only their
+    sizes and checksums go on. An empty table gives no rows. Columns other than doc_id and text aren't read, so their names may be any.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))

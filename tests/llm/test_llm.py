@@ -349,6 +349,22 @@ def test_most_keys_stay_where_the_ring_puts_them(spark):
     assert at.filter("shard = owner").count() > 0.8 * 20_000
 
 
+def test_a_shard_that_comes_or_goes_moves_few_keys(spark):
+    """Owners stay but for the arcs of the shard that comes or goes; with a roomy bound nearly all that moves is to or from it."""
+    ring = {n: dict(ring_sharding.ring_cells(spark, n, 64).select("pos", "shard").collect()) for n in (40, 41)}
+    changed = [p for p in ring[40] if ring[40][p] != ring[41][p]]
+    assert 0 < len(changed) < 0.05 * ring_sharding.RING and {ring[41][p] for p in changed} == {40}
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    for bound, to_new, in_all in ((1.5, 0.95, 0.05), (1.0, 0.1, 0.35)):
+        before, after = (ring_sharding.assign_shards(df, "doc_id", n, bound=bound).select("doc_id", F.col("shard").alias(f"s{n}")) for n in (40, 41))
+        moved = before.join(after, "doc_id").filter("s40 <> s41").groupBy((F.col("s41") == 40).alias("new")).count().collect()
+        count = {r["new"]: r["count"] for r in moved}
+        print(f"bound {bound}: {sum(count.values()) / 20_000:.3f} of the keys move, {count[True] / 20_000:.3f} of them to the new shard")
+        assert sum(count.values()) <= in_all * 20_000 and count[True] >= to_new * sum(count.values())
+        sizes = [r["count"] for r in after.groupBy("s41").count().collect()]
+        assert len(sizes) == 41 and max(sizes) <= -(-bound * 20_000 // 41) and (bound > 1 or max(sizes) - min(sizes) <= 1)
+
+
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.2, (300, 16)).astype(np.float32)
