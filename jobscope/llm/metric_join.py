@@ -7,7 +7,7 @@ joined exactly there.
 
 Unrelated texts share nothing, so they are at distance 1 of each other and of every pivot, and windows around any pivots would copy all
 of them everywhere. The first level's regions are therefore made without looking at other texts: the universe of shingles is cut by a hash into more
-parts than two linked sets have shingles apart, so at least one part of both is the same (and not empty), and each
+parts than two linked sets have shingles apart and may have empty parts, so at least one part of both is the same and not empty, and each
 part with its contents is a region. The least set of a region is its pivot. What is linked to a pivot is one class at once, and only regions that
 hold several classes go on. Where cells don't get smaller (all sets about as far from each other) a region is joined in blocks,
 the sets of its largest class only with those of others.
@@ -33,7 +33,7 @@ _STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 #: Sets that a region may hold to be joined in a task; pivots of a region over that, and its sets that are measured in a task.
 LEAF_SETS, PIVOTS, SLOT_SETS = 512, 16, 4096
-#: Ratio of the sizes in a size class, and how often parts are cut anew for sets of which a part was empty.
+#: Ratio of the sizes in a size class, and how often parts are cut anew for sets that have more empty parts than their class allows for.
 CLASS_RATIO, CUTS = 1.5, 6
 #: A region goes on as cells if the squares of their sizes add up to less than this share of its own.
 SHRINK = 0.5
@@ -52,8 +52,17 @@ def size_classes(largest: int) -> np.ndarray:
     return np.array(starts)
 
 
-def _cut(flat: np.ndarray, owner: np.ndarray, parts: np.ndarray, salt: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, their owners, owners with an empty part): a hash of each part that isn't empty of each set, of its place and of ``salt``."""
+def class_parts(starts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parts, empty parts allowed for) of each size class but the last: linked sets of which the larger one is in the class have at least
+    one more part in common than either may have empty. One part: only equal sets are linked."""
+    apart = 2 * (starts[1:] - 1) * (100 - percent) // (100 + percent)
+    least = starts[:-1] * percent / 100
+    spare = 1 + np.ceil(3 * (apart + 1) * np.exp(-least / (apart + 2))).astype(np.int64)
+    return np.where(apart > 0, apart + 1 + spare, 1), spare
+
+
+def _cut(flat: np.ndarray, owner: np.ndarray, parts: np.ndarray, spare: np.ndarray, salt: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, their owners, owners with more than ``spare`` empty parts): a hash of each part that isn't empty of each set, of its place and of ``salt``."""
     offset = np.cumsum(parts) - parts
     slot = offset[owner] + ((mix(flat + _U(_STEP * (seed + 1) & _MASK)) >> _U(32)) % parts[owner].astype(_U)).astype(np.int64)
     n = int(parts.sum())
@@ -63,32 +72,32 @@ def _cut(flat: np.ndarray, owner: np.ndarray, parts: np.ndarray, salt: np.ndarra
     place = (np.arange(n) - offset[of]).astype(_U)
     key = mix(low + mix(high + mix(place * _U(_STEP) + salt[of].astype(_U) * _U(CUTS + 1) + _U(seed))))
     some = count > 0
-    return key[some], of[some], np.unique(of[~some])
+    return key[some], of[some], np.flatnonzero(np.bincount(of[~some], minlength=len(parts)) > spare)
 
 
 def region_keys(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     """Keys of each set's regions of the first level: sets that are linked, but not equal, share one.
 
     The parts are as many as the size class of the larger set asks for, so a set has keys for its own class and for the next ones
-    where a larger partner can be. Keys of empty parts would say nothing: a set with an empty part is cut anew as well, by
-    another hash, and after ``CUTS`` of them it has one key with all its like.
+    where a larger partner can be. Empty parts have no key, as they would say nothing; a set with more of them than its class allows for is cut anew as
+    well, by another hash, and after ``CUTS`` of them it has one key with all its like.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     starts = size_classes(int(sizes.max(initial=1)) * 100 // percent)
     first, last = np.searchsorted(starts, sizes, "right") - 1, np.searchsorted(starts, sizes * 100 // percent, "right") - 1
     doc = np.repeat(np.arange(len(sets)), np.where(sizes > 0, last - first + 1, 0))
     level = np.concatenate([np.arange(a, b + 1) for a, b, n in zip(first, last, sizes) if n] or [np.zeros(0, np.int64)])
-    apart = 2 * (starts[level + 1] - 1) * (100 - percent) // (100 + percent)
-    doc, level, apart = doc[apart > 0], level[apart > 0], apart[apart > 0]  # else only equal sets are linked
+    parts, spare = class_parts(starts, percent)
+    doc, level = doc[parts[level] > 1], level[parts[level] > 1]
     keys, owners = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
     for seed in range(CUTS):
         if not len(doc):
             break
         flat, owner = np.concatenate([sets[d] for d in doc]), np.repeat(np.arange(len(doc)), sizes[doc])
-        key, of, again = _cut(flat, owner, apart + 1, level, seed)
+        key, of, again = _cut(flat, owner, parts[level], spare[level], level, seed)
         keys.append(key)
         owners.append(doc[of])
-        doc, level, apart = doc[again], level[again], apart[again]
+        doc, level = doc[again], level[again]
     keys.append(mix(_U(_STEP) + level.astype(_U)))
     owners.append(doc)
     key, owner = np.concatenate(keys).view(np.int64), np.concatenate(owners)
@@ -189,6 +198,20 @@ def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.RecordBa
         yield pa.concat_batches(held)
 
 
+def _clustered(leaves: DataFrame) -> DataFrame:
+    """region, nid, part: ``leaves`` with the regions that hang together as one, where that is small enough; a region with one class is left out; stored.
+
+    Alike sets meet in dozens of regions that overlap; so each goes to a task once and not dozens of times.
+    """
+    rows = stored(leaves.join(_mixed(leaves).select("region"), "region", "left_semi"))
+    least = rows.groupBy("region").agg(F.min("nid").alias("v"))
+    joined = component_roots(stored(rows.join(least, "region").filter("nid > v").select(F.col("nid").alias("u"), "v").distinct()))
+    named = rows.join(joined.withColumnsRenamed({"u": "nid", "v": "root"}), "nid", "left").withColumn("cluster", F.coalesce("root", "nid")).drop("root")
+    sizes = named.select("cluster", "nid").distinct().groupBy("cluster").agg((F.count(F.lit(1)) <= LEAF_SETS).alias("fits"))
+    region = F.when(F.col("fits"), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.col("region"))
+    return stored(named.join(sizes, "cluster").select(region.alias("region"), "nid", "part").distinct())
+
+
 def _joined_leaves(leaves: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """u, v: links of ``leaves`` (region, nid, part; bounded regions)."""
 
@@ -199,9 +222,7 @@ def _joined_leaves(leaves: DataFrame, sets: DataFrame, percent: int) -> DataFram
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    # regions of the same sets, which alike texts have by the dozen, are one
-    once = leaves.groupBy("region").agg(F.sort_array(F.collect_set(F.struct("nid", "part"))).alias("g")).filter("exists(g, x -> x.part <> g[0].part)").select("g").distinct()  # bounded: LEAF_SETS
-    rows = once.select(F.xxhash64("g").alias("region"), F.explode("g").alias("x")).select("region", "x.*").join(sets.select("nid", "set"), "nid")
+    rows = _clustered(leaves).join(sets.select("nid", "set"), "nid")
     return rows.repartition("region").sortWithinPartitions("region").select("region", "nid", "part", "set").mapInArrow(run, "u bigint, v bigint")
 
 
@@ -286,7 +307,8 @@ def _more_links(members: DataFrame, sets: DataFrame, roots: DataFrame, percent:
         found = cells.filter("linked and nid <> pivot").select(F.greatest("nid", "pivot").alias("u"), F.least("nid", "pivot").alias("v"))
         roots = component_roots(stored(roots.unionByName(found).distinct()))
         members = cells.join(shrunk, "region", "left_semi").select(F.xxhash64("region", "cell").alias("region"), "nid")
-    found = stored_parts(_joined_leaves(_parted(x.drop("part"), roots), sets, percent) for x in leaves)
+    rest = stored_parts(_parted(x.drop("part"), roots) for x in leaves)
+    found = stored(_joined_leaves(rest, sets, percent))
     return roots if found.isEmpty() else component_roots(stored(roots.unionByName(found).distinct()))
 
 

@@ -210,4 +210,5 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, json_
     A null or empty text is one piece, the end id alone. Repeated rows are packed once each. A text of any length is
     tokenized whole. An empty table gives no rows. Columns other than doc_id and text are not read.
     """
-    return pack_pieces(stored(tokenized_pieces(docs, capacity, end_id, json_path, ranks_path)), capacity)
+    packed = pack_pieces(stored(tokenized_pieces(docs, capacity, end_id, json_path, ranks_path)), capacity)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
