@@ -207,7 +207,7 @@ def _clustered(leaves: DataFrame) -> DataFrame:
     least = rows.groupBy("region").agg(F.min("nid").alias("v"))
     joined = component_roots(stored(rows.join(least, "region").filter("nid > v").select(F.col("nid").alias("u"), "v").distinct()))
     named = rows.join(joined.withColumnsRenamed({"u": "nid", "v": "root"}), "nid", "left").withColumn("cluster", F.coalesce("root", "nid")).drop("root")
-    sizes = named.select("cluster", "nid").distinct().groupBy("cluster").agg((F.count(F.lit(1)) <= LEAF_SETS).alias("fits"))
+    sizes = joined.groupBy(F.col("v").alias("cluster")).agg((F.count(F.lit(1)) < LEAF_SETS).alias("fits"))  # the root has no row
     region = F.when(F.col("fits"), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.col("region"))
     return stored(named.join(sizes, "cluster").select(region.alias("region"), "nid", "part").distinct())
 
