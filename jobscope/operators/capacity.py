@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from jobscope.functions import seconds_between
 from jobscope.operators.running import running
-from jobscope.storage import broadcast_blocks, stored
+from jobscope.shipping import ship
+from jobscope.storage import BROADCAST_ROWS, broadcast_blocks, stored
 
 MARGIN_MB, FREEZE_EXTRA_MB = 500, 512
 
@@ -86,31 +90,151 @@ def _demands(jobs: DataFrame) -> DataFrame:
 
 def best_slot(jobs: DataFrame, gpus: DataFrame, max_util: int | None = None) -> DataFrame:
     """job_id, node, gpu_idx: for each queued job that fits somewhere a GPU in use already, then the least memory left; a job
-    without GPU memory takes the most free cores (on a node for CPU work, if ``gpus`` tells ``cpu_node``, before others)."""
-    cpu_only, reasons = F.coalesce("est_vram_mb", F.lit(1)) == 0, _reasons(gpus, max_util, False)
-    labour = F.when(F.coalesce("cpu_node", F.lit(False)), 0).otherwise(1) if "cpu_node" in gpus.columns else F.lit(0)
-    score = F.struct(
-        F.when(cpu_only, labour).otherwise((F.col("used_mb") == 0).cast("int")).alias("a"),
-        F.when(cpu_only, -F.col("free_cpu")).otherwise(F.col("total_mb") - F.col("used_mb")).alias("b"), "node", "gpu_idx",
-    )
-    # the minimum is taken where the product is made: one row for each demand and task is shuffled
-    fits = [_demands(jobs).crossJoin(part).filter(F.size(reasons(F.col)) == 0).groupBy(*DEMAND).agg(F.min(score).alias("s")) for part in broadcast_blocks(gpus, "node", "gpu_idx")]
+    without GPU memory takes the most free cores (on a node for CPU work, if ``gpus`` tells ``cpu_node``, before others).
+
+    What rules a slot out whatever is asked for is looked at once. The rest are four numbers of a slot (cores, RAM, GPU memory left and its cap), each of which
+    must be no less than the demand's, so the slots go to the tasks sorted by preference, with bitmaps for each number (:class:`FirstFit`), and a
+    distinct demand's first bit is its slot. A demand with a required node meets that node's slots only.
+    """
+    open_ = _open_slots(gpus, max_util)
+    needs_gpu, est = F.coalesce("est_vram_mb", F.lit(1)) > 0, F.coalesce("est_vram_mb", F.lit(0)).cast("double")
+    gpu_only = lambda c: F.when(needs_gpu, c).otherwise(_LEAST)
+    asked = _demands(jobs).drop("jobs").withColumns({"_g": needs_gpu, "_cpu": F.coalesce(F.col("cpu_cores").cast("double"), F.lit(_LEAST)), "_ram": F.coalesce("ram_mb", F.lit(0)).cast("double"), "_vram": gpu_only(est), "_cap": gpu_only(F.greatest(est, F.lit(1.0)))})
+    score = F.struct("a", "b", "node", "gpu_idx")
+    there = asked.filter("require_node is not null").alias("q").join(open_.alias("s"), F.expr("q.require_node = s.node and q._g = s.gpu and q._cpu <= s.cpu and q._ram <= s.ram and q._vram <= s.vram and q._cap <= s.cap"))
+    fits = [there.groupBy(*[F.col(f"q.{c}").alias(c) for c in DEMAND]).agg(F.min(F.struct("s.a", "s.b", "s.node", "s.gpu_idx")).alias("s"))]
+    free = asked.filter("require_node is null")
+    open_ = stored(open_)
+    blocks = max(1, -(-open_.count() // BROADCAST_ROWS))
+    for b in range(blocks):
+        block = open_ if blocks == 1 else open_.filter(F.pmod(F.xxhash64("node", "gpu_idx"), F.lit(blocks)) == b)
+        fits.append(_first_slots(free, block.orderBy("a", "b", "node", "gpu_idx")).select(*DEMAND, score.alias("s")))
     best = reduce(DataFrame.unionByName, fits).groupBy(*[F.col(c).alias(f"_{c}") for c in DEMAND]).agg(F.min("s").alias("s"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in DEMAND])
-    return jobs.filter("status = 'queued'").join(best, same).select("job_id", "s.node", "s.gpu_idx")
+    alike = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in DEMAND])
+    return jobs.filter("status = 'queued'").join(best, alike).select("job_id", "s.node", "s.gpu_idx")
+
+
+#: What stands for a demand that isn't told and a limit that there isn't.
+_LEAST, _MOST = -1e300, 1e300
+
+
+def _open_slots(gpus: DataFrame, max_util: int | None) -> DataFrame:
+    """node, gpu_idx, gpu, cpu, ram, vram, cap, a, b: slots for jobs with (``gpu``) and without GPU memory that some demand could take, what they have, and
+    what they are preferred by (the least a, then b)."""
+    has = set(gpus.columns)
+    most = lambda c: F.coalesce(c.cast("double"), F.lit(_MOST))
+    holds = lambda c: ~F.coalesce(c, F.lit(False))
+    up = holds(~F.col("alive"))
+    if {"load1", "total_cpu"} <= has:
+        up = up & holds(F.col("load1") >= F.col("total_cpu"))
+    if {"running", "max_concurrent_running"} <= has:
+        up = up & holds(F.col("running") >= F.col("max_concurrent_running"))
+    left = F.col("total_mb") - F.col("used_mb")
+    idle = holds((F.col("used_mb") > 0) & (F.col("used_mb") >= F.floor(F.col("total_mb") / 3) + FREEZE_EXTRA_MB))
+    if max_util is not None:
+        idle = idle & holds(F.col("util_pct") >= max_util)
+    labour = F.when(F.coalesce("cpu_node", F.lit(False)), 0).otherwise(1) if "cpu_node" in has else F.lit(0)
+    room = {"cpu": most(F.col("free_cpu")), "ram": most(F.col("budget_mb" if "budget_mb" in has else "free_ram_mb")), "vram": most(left - MARGIN_MB), "cap": most(F.col("max_vram_per_task")) if "max_vram_per_task" in has else F.lit(_MOST)}
+    slots = gpus.filter(up).select("node", "gpu_idx", *[c.alias(n) for n, c in room.items()], idle.alias("idle"), (F.col("used_mb") == 0).cast("int").alias("ga"), left.cast("double").alias("gb"), labour.cast("int").alias("ca"), (-F.col("free_cpu")).cast("double").alias("cb"))
+    with_gpu = slots.filter("idle").select("node", "gpu_idx", F.lit(True).alias("gpu"), *room, F.col("ga").alias("a"), F.col("gb").alias("b"))
+    return with_gpu.unionByName(slots.select("node", "gpu_idx", F.lit(False).alias("gpu"), *room, F.col("ca").alias("a"), F.col("cb").alias("b")))
+
+
+class FirstFit:
+    """The first of a list of slots all of whose numbers are no less than a demand's.
+
+    Slots are taken in runs of ``RUN``. For each number and each count r a bitmap says which of a run's slots have the r largest; a demand
+    finds its r by binary search, and the first bit that its bitmaps share is the slot.
+    """
+
+    RUN, STEP = 1024, 8192
+
+    def __init__(self, room: np.ndarray):
+        self.runs = []
+        for at in range(0, len(room), self.RUN):
+            part = room[at : at + self.RUN]
+            tables = []
+            for column in part.T:
+                order = np.argsort(-column, kind="stable")
+                rank = np.empty(len(part), np.int64)
+                rank[order] = np.arange(len(part))
+                tables.append((np.sort(column), np.packbits(rank[None, :] < np.arange(len(part) + 1)[:, None], axis=1)))
+            self.runs.append((at, len(part), tables))
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """The slot of each demand (rows), -1 if none fits."""
+        out = np.full(len(asked), -1, np.int64)
+        for start in range(0, len(asked), self.STEP):
+            todo = np.arange(start, min(start + self.STEP, len(asked)))
+            for at, n, tables in self.runs:
+                fit = None
+                for d, (values, bits) in enumerate(tables):
+                    row = bits[n - np.searchsorted(values, asked[todo, d])]
+                    fit = row if fit is None else fit & row
+                hit = fit.any(axis=1)
+                out[todo[hit]] = at + np.unpackbits(fit[hit], axis=1).argmax(axis=1)
+                todo = todo[~hit]
+                if not len(todo):
+                    break
+        return out
+
+
+def _first_slots(asked: DataFrame, slots: DataFrame) -> DataFrame:
+    """The columns of DEMAND with a, b, node, gpu_idx of the first of ``slots`` (in order) that each demand fits."""
+    ship(asked.sparkSession)
+    sent = asked.sparkSession.sparkContext.broadcast(slots.toPandas())  # bounded: about BROADCAST_ROWS
+    found: dict[bool, tuple[pd.DataFrame, FirstFit]] = {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for gpu in (True, False) if not found else ():
+            mine = sent.value[sent.value["gpu"] == gpu]
+            found[gpu] = mine, FirstFit(mine[["cpu", "ram", "vram", "cap"]].to_numpy(np.float64))
+        for pdf in batches:
+            for gpu, (mine, index) in found.items():
+                part = pdf[pdf["_g"] == gpu]
+                at = index.find(part[["_cpu", "_ram", "_vram", "_cap"]].to_numpy(np.float64))
+                part = part[at >= 0]
+                yield pd.concat([part[list(DEMAND)].reset_index(drop=True), mine.iloc[at[at >= 0]][["a", "b", "node", "gpu_idx"]].reset_index(drop=True)], axis=1)
+
+    schema = StructType([*asked.select(*DEMAND).schema.fields, *slots.select("a", "b", "node", "gpu_idx").schema.fields])
+    return asked.select(*DEMAND, "_g", "_cpu", "_ram", "_vram", "_cap").mapInPandas(run, schema)
 
 
 def blocked_summary(jobs: DataFrame, gpus: DataFrame, max_util: int | None = None) -> DataFrame:
     """reason, node, jobs: how many queued jobs a reason keeps from a GPU of a node.
 
-    Demands meet nodes with all their GPUs in one row, so a demand's reasons on a node are joined without a shuffle, and
-    what is shuffled is a count for each reason, node and task.
+    Each reason compares one number of a demand with one of a node, so no demand meets a node: the jobs' numbers and the nodes' limits are
+    read in one order, and how many jobs lie above a limit is their count less the running sum up to it. A node's limit is that of
+    the strictest of its GPUs. Work grows with jobs plus nodes.
     """
-    reasons = _reasons(gpus, max_util, False)
-    nodes = gpus.groupBy(F.col("node").alias("on")).agg(F.collect_list(F.struct(*gpus.columns)).alias("gpus"))  # bounded: a node's GPUs
-    found = F.array_distinct(F.flatten(F.transform("gpus", lambda g: reasons(lambda c: g[c]))))
-    met = [_demands(jobs).crossJoin(part).select("on", "jobs", F.explode(found).alias("reason")) for part in broadcast_blocks(nodes, "on")]
-    return reduce(DataFrame.unionByName, met).groupBy("reason", F.col("on").alias("node")).agg(F.sum("jobs").alias("jobs"))
+    has, queued = set(gpus.columns), jobs.filter("status = 'queued'")
+    needs_gpu, est = F.coalesce("est_vram_mb", F.lit(1)) > 0, F.coalesce("est_vram_mb", F.lit(0))
+    numbers = {"all": F.lit(0), "pin": F.when(F.col("require_node").isNotNull(), 0), "cpu": F.col("cpu_cores"), "ram": F.coalesce("ram_mb", F.lit(0)), "gpu": F.when(needs_gpu, est)}
+    told = queued.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("double").alias("at")) for k, v in numbers.items()])).alias("x")).select("x.*")
+    counts = stored(told.filter("at is not null").groupBy("kind", "at").agg(F.count(F.lit(1)).alias("n")))
+    always = lambda broken: F.when(F.bool_or(broken), -1)  # noqa: E731  below every job's number
+    left = F.min(F.col("total_mb") - F.col("used_mb"))
+    limits = [
+        ("down", "all", always(~F.col("alive"))),
+        ("pinned elsewhere", "pin", F.lit(-1)),
+        ("cpu", "cpu", F.min("free_cpu")),
+        ("load", "all", always(F.col("load1") >= F.col("total_cpu")) if {"load1", "total_cpu"} <= has else None),
+        ("running cap", "all", always(F.col("running") >= F.col("max_concurrent_running")) if {"running", "max_concurrent_running"} <= has else None),
+        ("ram", "ram", F.min("budget_mb" if "budget_mb" in has else "free_ram_mb")),
+        ("vram cap", "gpu", F.when(F.min("max_vram_per_task") < 1, -1).otherwise(F.min("max_vram_per_task")) if "max_vram_per_task" in has else None),
+        ("vram", "gpu", left - MARGIN_MB),
+        ("vram frozen", "gpu", always((F.col("used_mb") > 0) & (F.col("used_mb") >= F.floor(F.col("total_mb") / 3) + FREEZE_EXTRA_MB))),
+        ("gpu busy", "gpu", always(F.col("util_pct") >= max_util) if max_util is not None else None),
+    ]
+    tries = F.array(*[F.struct(F.lit(reason).alias("reason"), F.lit(kind).alias("kind"), F.col(f"_{i}").cast("double").alias("at")) for i, (reason, kind, limit) in enumerate(limits) if limit is not None])
+    nodes = gpus.groupBy("node").agg(*[limit.alias(f"_{i}") for i, (_, _, limit) in enumerate(limits) if limit is not None])
+    asks = nodes.select("node", F.explode(tries).alias("x")).select("node", "x.*").filter("at is not null").withColumn("ask", F.lit(1))
+    read = running(counts.withColumn("ask", F.lit(0)).unionByName(asks, allowMissingColumns=True), ["kind"], ["at", "ask"], F.col("n"), "sum", "below")
+    totals = counts.groupBy("kind").agg(F.sum("n").alias("total"))  # five rows
+    found = read.filter("ask = 1").join(totals, "kind").withColumn("jobs", F.col("total") - F.col("below"))
+    own = queued.filter("require_node is not null").groupBy(F.col("require_node").alias("node")).agg(F.count(F.lit(1)).alias("own"))
+    found = found.join(own, "node", "left").withColumn("jobs", F.col("jobs") - F.when(F.col("reason") == "pinned elsewhere", F.coalesce("own", F.lit(0))).otherwise(0))
+    return found.filter("jobs > 0").select("reason", "node", "jobs")
 
 
 def effective_free(gpus: DataFrame, claims: DataFrame, now: Column, ttl_s: int = 3600) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobscope.functions import ACTIVE, TERMINAL, prefix_of
+from jobscope.operators.running import running, with_past
 
 
 def run_peaks(samples: DataFrame) -> DataFrame:
@@ -32,9 +33,10 @@ def p80_history(peaks: DataFrame, n: int = 10, p: float = 0.8) -> DataFrame:
 
 
 def legacy_seed(peaks: DataFrame, legacy: DataFrame) -> DataFrame:
-    """``peaks`` and, for signatures without any, their single legacy value as the first sample (finished_at long ago)."""
+    """``peaks`` and, for signatures without any, their single legacy value as the first sample (job_id -1, finished_at long ago)."""
     old = legacy.join(peaks.select("signature"), "signature", "left_anti")
-    first = old.select("signature", F.lit(-1).cast("bigint").alias("job_id"), F.timestamp_seconds(F.lit(0)).alias("finished_at"), "vram_mb", F.lit(None).cast("bigint").alias("ram_mb"), F.lit(None).cast("bigint").alias("dur_s"))
+    kind = peaks.schema["job_id"].dataType
+    first = old.select("signature", F.lit(-1).cast(kind).alias("job_id"), F.timestamp_seconds(F.lit(0)).alias("finished_at"), "vram_mb", F.lit(None).cast("bigint").alias("ram_mb"), F.lit(None).cast("bigint").alias("dur_s"))
     return peaks.select(first.columns).unionByName(first)
 
 
@@ -136,7 +138,7 @@ def batch_completion(jobs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 # File name endings of checkpoints.
-CHECKPOINT_ENDINGS = ("pt", "pth", "ckpt", "safetensors", "pkl", "npz", "h5", "tar")
+CHECKPOINT_ENDINGS = ("pt", "pth", "pkl", "ckpt", "bin", "safetensors", "npy", "npz", "h5", "hdf5", "tar")
 
 
 def latest_checkpoint(files: DataFrame) -> DataFrame:
@@ -145,18 +147,15 @@ def latest_checkpoint(files: DataFrame) -> DataFrame:
     return files.filter(~F.col("is_dir") & ending.isin(*CHECKPOINT_ENDINGS)).groupBy("dir").agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
 
 
-def past_p80(n: int, p: float, include_current: bool) -> Column:
-    """Nearest-rank percentile of the n runs before (or up to) each run of its signature."""
-    w = W.partitionBy("signature").orderBy("finished_at", "job_id").rowsBetween(-n + int(include_current), int(include_current) - 1)
-    seen = F.sort_array(F.collect_list("vram_mb").over(w))
-    return F.get(seen, F.ceil(F.size(seen) * F.lit(p)).cast("int") - 1)
+def _nearest_rank(values: Column, p: float) -> Column:
+    return F.get(F.sort_array(values), F.ceil(F.size(values) * F.lit(p)).cast("int") - 1)
 
 
 def estimate_backtest(peaks: DataFrame, n: int = 10, percents: tuple[int, ...] = (50, 80, 95)) -> DataFrame:
     """percent, runs, under, under_rate: how often a percentile of up to n earlier peaks was below the run's own."""
-    guessed = peaks.withColumns({f"_p{q}": past_p80(n, q / 100, False) for q in percents})
-    tries = F.array(*[F.struct(F.lit(q).alias("percent"), F.col(f"_p{q}").alias("guess")) for q in percents])
-    rows = guessed.select("vram_mb", F.explode(tries).alias("t")).filter("t.guess is not null")
+    seen = with_past(peaks.select("signature", "finished_at", "job_id", "vram_mb"), ["signature"], ["finished_at", "job_id"], "vram_mb", n, "_past")
+    tries = F.array(*[F.struct(F.lit(q).alias("percent"), _nearest_rank(F.col("_past"), q / 100).alias("guess")) for q in percents])
+    rows = seen.select("vram_mb", F.explode(tries).alias("t")).filter("t.guess is not null")
     out = rows.groupBy("t.percent").agg(F.count(F.lit(1)).alias("runs"), F.sum((F.col("vram_mb") > F.col("t.guess")).cast("bigint")).alias("under"))
     return out.select("percent", "runs", "under", F.round(F.col("under") / F.col("runs"), 6).alias("under_rate"))
 
@@ -164,11 +163,13 @@ def estimate_backtest(peaks: DataFrame, n: int = 10, percents: tuple[int, ...] =
 def estimate_as_of(jobs: DataFrame, peaks: DataFrame, n: int = 10, p: float = 0.8) -> DataFrame:
     """job_id, vram_as_of: each job's estimate from the runs that had finished when it was submitted.
 
-    Runs carry the estimate as it stood after them; runs and submissions, in one order of time, need one shuffle
-    and no range join.
+    Runs carry the estimate as it stood after them; runs and submissions, in one order of time, need no range join: the
+    last estimate is the largest of (time, estimate) so far.
     """
-    after = peaks.select("signature", F.col("finished_at").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("submitted"), "job_id", past_p80(n, p, True).alias("guess"))
-    asks = jobs.select("signature", F.col("submitted_at").alias("at"), F.lit(1).alias("kind"), F.col("job_id").alias("submitted"), "job_id", F.lit(None).cast("bigint").alias("guess"))
-    w = W.partitionBy("signature").orderBy("at", "kind", "job_id").rowsBetween(W.unboundedPreceding, 0)
-    both = after.unionByName(asks).withColumn("vram_as_of", F.last("guess", ignorenulls=True).over(w))
-    return both.filter("submitted is not null").select(F.col("submitted").alias("job_id"), "vram_as_of")
+    runs = with_past(peaks.select("signature", "finished_at", "job_id", "vram_mb"), ["signature"], ["finished_at", "job_id"], "vram_mb", n, "_past", own=True)
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    after = runs.select("signature", F.col("finished_at").alias("at"), F.lit(0).alias("kind"), none(jobs, "job_id").alias("submitted"), "job_id", _nearest_rank(F.col("_past"), p).alias("guess"))
+    asks = jobs.select("signature", F.col("submitted_at").alias("at"), F.lit(1).alias("kind"), F.col("job_id").alias("submitted"), F.col("job_id").cast(peaks.schema["job_id"].dataType).alias("job_id"), none(after, "guess").alias("guess"))
+    known = F.when(F.col("guess").isNotNull(), F.struct("at", "kind", "job_id", "guess"))
+    both = running(after.unionByName(asks), ["signature"], ["at", "kind", "job_id"], known, "max", "_last")
+    return both.filter("kind = 1").select(F.col("submitted").alias("job_id"), F.col("_last.guess").alias("vram_as_of"))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobscope.functions import ACTIVE
 from jobscope.operators.running import running
+from jobscope.storage import stored
 
 IDENTITY = ("cmd", "cwd", "extra_env", "env_spec", "image", "ckpt_dir", "result_dir")
 
@@ -18,12 +18,14 @@ def run_identity(jobs: DataFrame) -> Column:
 
 
 def duplicate_active(jobs: DataFrame) -> DataFrame:
-    """job_id, keep_id of active jobs that do what an earlier one does already (running before launching before queued)."""
+    """job_id, keep_id of active jobs that do what an earlier one does already (running before launching before queued).
+
+    The one to keep is a minimum, so a run that is submitted over and over is not sorted anywhere.
+    """
     rank = F.when(F.col("status") == "running", 0).when(F.col("status") == "launching", 1).otherwise(2)
-    w = W.partitionBy("_id").orderBy(rank, "submitted_at", "job_id")
     active = jobs.filter(F.col("status").isin(*ACTIVE)).withColumn("_id", run_identity(jobs))
-    ranked = active.select("job_id", F.row_number().over(w).alias("_rn"), F.first("job_id").over(w).alias("keep_id"))
-    return ranked.filter("_rn > 1").select("job_id", "keep_id")
+    first = active.groupBy("_id").agg(F.min(F.struct(rank.alias("rank"), "submitted_at", "job_id")).alias("_f"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return active.select("job_id", "_id").join(first.select("_id", F.col("_f.job_id").alias("keep_id")), "_id").filter("job_id <> keep_id").select("job_id", "keep_id")
 
 
 def ckpt_conflicts(jobs: DataFrame, strict: bool = False) -> DataFrame:
@@ -41,6 +43,30 @@ def ckpt_overlap_history(jobs: DataFrame) -> DataFrame:
     return ends.filter("started_at < _end").select("job_id", "ckpt_dir")
 
 
+def ckpt_overlaps(jobs: DataFrame) -> DataFrame:
+    """job_id, other_id, ckpt_dir, overlap_s: each pair of runs that wrote to one folder at the same time; job_id is the one that started first
+    (of those that started together the smaller id), overlap_s in whole seconds.
+
+    An interval join without a range condition to search by: a run's level is the power of two that is no shorter than it, so at
+    its own level and at each higher one it lies in two buckets at most. Pairs meet at the level of the longer run, of which only levels that a folder
+    has are looked at, and are told in their first common bucket. A run of a year so meets runs of minutes in two buckets and not in all
+    its minutes, and a folder's runs are spread by time.
+    """
+    runs = jobs.filter("ckpt_dir is not null and started_at < finished_at").select("job_id", "ckpt_dir", F.unix_micros("started_at").alias("a"), F.unix_micros("finished_at").alias("b"))
+    runs = runs.withColumn("level", F.ceil(F.log2(F.col("b") - F.col("a"))).cast("int"))
+    levels = runs.groupBy("ckpt_dir").agg(F.collect_set("level").alias("levels"))  # 63 at most
+    bucket = F.expr("explode(sequence(shiftright(a, at), shiftright(b - 1, at)))")
+    spread = runs.join(levels, "ckpt_dir").withColumn("at", F.explode(F.expr("filter(levels, l -> l >= level)"))).drop("levels").withColumn("bucket", bucket)
+    x, y = spread.filter("at = level").alias("x"), spread.alias("y")
+    overlap = (F.col("x.a") < F.col("y.b")) & (F.col("y.a") < F.col("x.b"))
+    once = F.col("x.bucket") == F.greatest(F.expr("shiftright(x.a, x.at)"), F.expr("shiftright(y.a, y.at)"))
+    order = (F.col("y.level") < F.col("x.level")) | (F.struct("x.a", "x.job_id") < F.struct("y.a", "y.job_id"))
+    met = x.join(y, (F.col("x.ckpt_dir") == F.col("y.ckpt_dir")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.bucket") == F.col("y.bucket")) & overlap & once & order)
+    first, other = (f(F.struct("x.a", "x.job_id"), F.struct("y.a", "y.job_id")) for f in (F.least, F.greatest))
+    seconds = F.floor((F.least("x.b", "y.b") - F.greatest("x.a", "y.a")) / 1_000_000).cast("bigint")
+    return met.select(first.getField("job_id").alias("job_id"), other.getField("job_id").alias("other_id"), F.col("x.ckpt_dir").alias("ckpt_dir"), seconds.alias("overlap_s"))
+
+
 def untracked_processes(procs: DataFrame, jobs: DataFrame) -> DataFrame:
     """Processes on a GPU or at 50 % CPU that no job tracks: node, pid, proposed (a signature)."""
     tracked = jobs.select("node", F.explode("remote_pids").alias("pid"))
@@ -51,18 +77,43 @@ def untracked_processes(procs: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def retry_lineage(jobs: DataFrame, max_depth: int = 3) -> DataFrame:
-    """job_id, root_id, depth: parents followed at most ``max_depth`` times, as retries are limited."""
-    parents = jobs.select(F.col("job_id").alias("_j"), F.col("parent_id").alias("_p"))
-    out = jobs.select("job_id", F.col("job_id").alias("root_id"), F.col("parent_id").alias("_next"), F.lit(0).alias("depth"))
+    """job_id, root_id, depth: parents followed at most ``max_depth`` times, as retries are limited. A job that is its own parent has none.
+
+    See :func:`lineage` for chains of any length, and for those that end in a circle.
+    """
+    parent = F.when(F.col("parent_id") != F.col("job_id"), F.col("parent_id"))
+    parents = jobs.select(F.col("job_id").alias("_j"), parent.alias("_p"))
+    out = jobs.select("job_id", F.col("job_id").alias("root_id"), parent.alias("_next"), F.lit(0).alias("depth"))
     for _ in range(max_depth):
         step = out.join(parents, out["_next"] == parents["_j"], "left")
         out = step.select("job_id", F.coalesce("_j", "root_id").alias("root_id"), F.when(F.col("_j").isNotNull(), F.col("_p")).alias("_next"), (F.col("depth") + F.col("_j").isNotNull().cast("int")).alias("depth"))
     return out.drop("_next")
 
 
-def lineage_cost(jobs: DataFrame, max_depth: int = 3) -> DataFrame:
-    """root_id, attempts, total_s, final_status of each chain of retries."""
-    chains = retry_lineage(jobs, max_depth).join(jobs.select("job_id", "dur_s", "status"), "job_id")
+def lineage(jobs: DataFrame) -> DataFrame:
+    """job_id, root_id, depth, cyclic of every job id: the first of its chain of parents and how far it is, whatever the length.
+
+    A parent that isn't among the jobs counts as none; an id with several parents has the smallest. A job whose parents lead into a circle, its own
+    included, is ``cyclic`` and has no root and no depth. Pointers are doubled: after k rounds each spans 2^k parents, so a chain
+    of a million takes twenty joins; rounds are written to the shared folder. When a round settles nothing, what is left runs in circles.
+    """
+    own = jobs.groupBy("job_id").agg(F.min("parent_id").alias("parent_id")).filter("job_id is not null")
+    known = own.select(F.col("job_id").alias("anc"))
+    links = own.join(known, F.col("parent_id") == F.col("anc"), "left")
+    table = stored(links.select("job_id", F.coalesce("anc", "job_id").alias("anc"), F.col("anc").isNotNull().cast("bigint").alias("dist"), F.col("anc").isNull().alias("done")))
+    left, before = table.filter("not done").count(), -1
+    while left and left != before:
+        ahead = table.select(F.col("job_id").alias("_j"), F.col("anc").alias("_a"), F.col("dist").alias("_d"), F.col("done").alias("_done"))
+        step = table.filter("not done").join(ahead, F.col("anc") == F.col("_j")).select("job_id", F.col("_a").alias("anc"), (F.col("dist") + F.col("_d")).alias("dist"), F.col("_done").alias("done"))
+        table = stored(table.filter("done").unionByName(step))
+        before, left = left, table.filter("not done").count()
+    done = F.col("done")
+    return table.select("job_id", F.when(done, F.col("anc")).alias("root_id"), F.when(done, F.col("dist")).alias("depth"), (~done).alias("cyclic"))
+
+
+def lineage_cost(jobs: DataFrame) -> DataFrame:
+    """root_id, attempts, total_s, final_status of each chain of retries, of any length; circles have no root and are left out."""
+    chains = lineage(jobs).filter("not cyclic").join(jobs.select("job_id", "dur_s", "status"), "job_id")
     return chains.groupBy("root_id").agg(F.count(F.lit(1)).alias("attempts"), F.sum("dur_s").alias("total_s"), F.max_by("status", F.struct("depth", "job_id")).alias("final_status"))
 
 
@@ -147,5 +198,5 @@ def nearest_runtime(jobs: DataFrame, runs: DataFrame, min_sim: float = 0.5) -> D
     met = keyed(asked, "_words", "_blocks").select("word", "block", "_words", "_blocks").join(keyed(had, "_v", "_b").select("word", "block", "_v", "_at", "run_id"), ["word", "block"])
     alike = met.select("_words", "_blocks", "_v", "_at", "run_id").distinct().withColumn("similarity", sim).filter(F.col("similarity") >= min_sim)
     earlier = mine.join(alike.drop("_v"), ["_words", "_blocks"]).filter("_at <= submitted_at")
-    best = earlier.groupBy("job_id").agg(F.max(F.struct("similarity", (-F.col("run_id")).alias("minus"))).alias("best"))
-    return best.select("job_id", (-F.col("best.minus")).alias("run_id"), F.round("best.similarity", 6).alias("similarity"))
+    best = earlier.groupBy("job_id").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "run_id")).alias("best"))
+    return best.select("job_id", "best.run_id", F.round(-F.col("best.minus"), 6).alias("similarity"))

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobscope import sources
 from jobscope.operators import capacity, failures, history, integrity, logs, views
 from jobscope.plans.fixtures import view, with_views
 from jobscope.shipping import ship
+from jobscope.storage import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -124,6 +126,19 @@ def _on_slurm(jobs: DataFrame) -> DataFrame:
 
 
 
+query("src4_read_log_lines", """WITH l AS (SELECT job_id, seq, CASE seq % 4 WHEN 0 THEN [line, concat('next ', line)] WHEN 2 THEN [line, ''] ELSE [line] END AS p FROM log_v), u AS (SELECT job_id, seq, unnest(p) AS line, generate_subscripts(p, 1) AS k FROM l)
+  SELECT CAST(job_id AS VARCHAR) AS job_id, row_number() OVER (PARTITION BY job_id ORDER BY seq, k) - 1 AS seq, line FROM u""")(lambda t: sources.read_log_lines(t.spark, f"{_log_files(t)}/*/*.txt", "job_id=([^/]*)/"))
+
+
+def _log_files(t: Tables) -> str:
+    """A folder with a log file for each job, whose lines have all kinds of ends."""
+    line = F.col("line")
+    ended = F.when(F.col("seq") % 4 == 0, F.concat(line, F.lit("\rnext "), line)).when(F.col("seq") % 4 == 1, F.concat(line, F.lit("\r"))).when(F.col("seq") % 4 == 2, F.concat(line, F.lit("\x0b"))).otherwise(line)
+    folder = new_folder(t.spark)
+    t.log.withColumn("line", ended).repartition("job_id").sortWithinPartitions("job_id", "seq").select("line", "job_id").write.partitionBy("job_id").text(folder)
+    return folder
+
+
 query("src5_tail_lines", "SELECT job_id, seq, line FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM log_v) WHERE rn <= 20")(lambda t: views.tail_lines(t.log, 20))
 query("src7_split_retention", f"SELECT job_id, finished_at FROM ({TIMED}) WHERE finished_at < TIMESTAMP '1998-01-01' - INTERVAL 7 DAYS")(lambda t: views.split_retention(t.timed(), F.lit("1998-01-01").cast("timestamp"))[0].select("job_id", "finished_at"))
 query("src7_split_retention_rest", f"SELECT job_id, status FROM ({TIMED}) WHERE finished_at IS NULL OR finished_at >= TIMESTAMP '1998-01-01' - INTERVAL 7 DAYS")(lambda t: views.split_retention(t.timed(), F.lit("1998-01-01").cast("timestamp"))[1].select("job_id", "status"))
@@ -159,7 +174,10 @@ _CURRENTS = [
     r"(?:^|[^\w])Iter\s+(\d+)(?:\s|$|[|,])", r"(?:^|[^\w])Iteration\s+(\d+)(?:\s|$|[|,])", r"(?:^|[^\w])Epoch\s+(\d+)(?:\s|$|[|,:])",
     r"(?:^|[^\w])Step\s+(\d+)(?:\s|$|[|,])", r"(?:^|[^\w])step\s+(\d+)(?:\s|$|[|,])",
 ]
-_FLAGS = [rf"--{f}[=\s]+(\d+)" for f in ("max[_-]?iters", "n[_-]?epochs", "num[_-]?epochs", "epochs", "max[_-]?steps", "total[_-]?steps", "n[_-]?steps", "num[_-]?steps", "num[_-]?iters", "iterations")]
+_FLAGS = [
+    r"--max[_-]?iters[=\s]+(\d+)", r"--n[_-]?epochs[=\s]+(\d+)", r"--num[_-]?epochs[=\s]+(\d+)", r"--epochs[=\s]+(\d+)", r"--max[_-]?steps[=\s]+(\d+)",
+    r"--total[_-]?steps[=\s]+(\d+)", r"--n[_-]?steps[=\s]+(\d+)", r"--num[_-]?steps[=\s]+(\d+)", r"--num[_-]?iters[=\s]+(\d+)", r"--iterations[=\s]+(\d+)",
+]
 _LEGAL = "queued>launching queued>cancelled launching>running launching>queued launching>failed launching>cancelled running>done running>failed running>evicted running>cancelled evicted>queued failed>queued".split()
 _E, _R = f"regexp_extract_all(line, '{_BAR}', 1)", f"regexp_extract_all(line, '{_BAR}', 2)"
 _LINE_REMAINING = f"list_extract(list_filter(list_transform({_R}, lambda c: {_duck_clock('c')}), lambda v: v IS NOT NULL), -1)"
@@ -240,7 +258,17 @@ query("agg10_node_load", f"SELECT node, CAST(coalesce(sum(CASE WHEN status = 'ru
 query("agg11_batch_completion", "WITH g AS (SELECT CASE WHEN job_id % 500 = 7 THEN -job_id ELSE job_id END AS job_id, CASE WHEN status IN ('done', 'failed') THEN job_id % 250 ELSE job_id % 500 END AS batch FROM jobs_v), c AS (SELECT batch, count(status) AS jobs, count(*) FILTER (status IN ('done', 'failed')) AS finished FROM g LEFT JOIN jobs_v USING (job_id) GROUP BY batch) SELECT batch, CASE WHEN jobs = 0 THEN 2 WHEN jobs = finished THEN 0 ELSE 1 END AS state, jobs, finished FROM c")(
     lambda t: history.batch_completion(t.jobs, t.jobs.select(F.when(F.col("job_id") % 500 == 7, -F.col("job_id")).otherwise(F.col("job_id")).alias("job_id"), F.when(F.col("status").isin("done", "failed"), F.col("job_id") % 250).otherwise(F.col("job_id") % 500).alias("batch")))
 )
-query("agg12_latest_checkpoint", "SELECT dir, arg_max(path, (mtime, path)) AS path FROM files_v WHERE NOT is_dir AND split_part(path, '.', -1) IN ('pt', 'pth', 'ckpt', 'safetensors', 'pkl', 'npz', 'h5', 'tar') GROUP BY dir")(lambda t: history.latest_checkpoint(t.files))
+#: Endings that the views' files don't have, and near misses.
+_ENDINGS = ["pt", "pth", "pkl", "ckpt", "bin", "safetensors", "npy", "npz", "h5", "hdf5", "tar", "csv", "log", "ptx", "PT"]
+query("agg12_latest_checkpoint", f"""SELECT dir, arg_max(path, (mtime, path)) AS path FROM (SELECT dir, mtime, is_dir, concat(regexp_replace(path, '[.][a-z]+$', '.'), ({_ENDINGS})[CAST(mtime % 15 + 1 AS BIGINT)]) AS path FROM files_v)
+  WHERE NOT is_dir AND regexp_matches(path, '[.](pt|pth|pkl|ckpt|bin|safetensors|npy|npz|h5|hdf5|tar)$') GROUP BY dir""")(lambda t: history.latest_checkpoint(_ended(t.files)))
+
+
+def _ended(files: DataFrame) -> DataFrame:
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("mtime") % 15 + 1).cast("int"))
+    return files.withColumn("path", F.concat(F.regexp_replace("path", "[.][a-z]+$", "."), ending))
+
+
 _PASTS = f"SELECT *, list_sort(list(vram_mb) OVER (PARTITION BY signature ORDER BY finished_at, job_id ROWS BETWEEN {{a}} PRECEDING AND {{b}})) AS l FROM ({RUNS})"
 query("agg13_estimate_backtest", f"SELECT percent, count(*) AS runs, count(*) FILTER (vram_mb > g) AS under, round(count(*) FILTER (vram_mb > g) / count(*), 6) AS under_rate FROM (SELECT vram_mb, p AS percent, l[CAST(ceil(len(l) * p / 100.0) AS BIGINT)] AS g FROM ({_PASTS.format(a=10, b='1 PRECEDING')}) CROSS JOIN (VALUES (50), (80), (95)) v(p)) WHERE g IS NOT NULL GROUP BY percent")(lambda t: history.estimate_backtest(t.runs()))
 
@@ -256,6 +284,26 @@ def _corrected(hist: DataFrame) -> DataFrame:
 query("join2_duplicate_active", "SELECT job_id, k AS keep_id FROM (SELECT job_id, row_number() OVER w AS rn, first(job_id) OVER w AS k FROM jobs_v WHERE status IN ('running', 'queued') WINDOW w AS (PARTITION BY cmd, ckpt_dir ORDER BY CASE status WHEN 'running' THEN 0 ELSE 2 END, submitted_at, job_id)) WHERE rn > 1")(lambda t: integrity.duplicate_active(t.jobs))
 query("join3_ckpt_conflicts", "SELECT job_id, ckpt_dir, signatures FROM jobs_v JOIN (SELECT ckpt_dir, count(DISTINCT signature) AS signatures FROM jobs_v WHERE status IN ('running', 'queued') GROUP BY ckpt_dir HAVING signatures > 1) USING (ckpt_dir) WHERE status IN ('running', 'queued')")(lambda t: integrity.ckpt_conflicts(t.jobs))
 query("join3_ckpt_conflicts_strict", "SELECT job_id, ckpt_dir, signatures FROM jobs_v JOIN (SELECT ckpt_dir, count(DISTINCT signature) AS signatures FROM jobs_v WHERE status IN ('running', 'queued') GROUP BY ckpt_dir HAVING count(*) > 1) USING (ckpt_dir) WHERE status IN ('running', 'queued')")(lambda t: integrity.ckpt_conflicts(t.jobs, strict=True))
+_PARTED = "CASE WHEN job_id % 7 < 5 THEN concat(ckpt_dir, '/', signature) ELSE ckpt_dir END"
+query("join3_ckpt_conflicts_some", f"SELECT job_id, ckpt_dir, signatures FROM (SELECT * REPLACE ({_PARTED} AS ckpt_dir) FROM jobs_v) JOIN (SELECT {_PARTED} AS ckpt_dir, count(DISTINCT signature) AS signatures FROM jobs_v WHERE status IN ('running', 'queued') GROUP BY 1 HAVING signatures > 1) USING (ckpt_dir) WHERE status IN ('running', 'queued')")(lambda t: integrity.ckpt_conflicts(_own_folders(t.jobs)))
+query("join3_ckpt_conflicts_strict_some", f"SELECT job_id, ckpt_dir, signatures FROM (SELECT * REPLACE ({_PARTED} AS ckpt_dir) FROM jobs_v) JOIN (SELECT {_PARTED} AS ckpt_dir, count(DISTINCT signature) AS signatures FROM jobs_v WHERE status IN ('running', 'queued') GROUP BY 1 HAVING count(*) > 1) USING (ckpt_dir) WHERE status IN ('running', 'queued')")(lambda t: integrity.ckpt_conflicts(_own_folders(t.jobs), strict=True))
+
+
+def _own_folders(jobs: DataFrame) -> DataFrame:
+    """Jobs of which most write to a folder that only their signature uses."""
+    return jobs.withColumn("ckpt_dir", F.when(F.col("job_id") % 7 < 5, F.concat_ws("/", "ckpt_dir", "signature")).otherwise(F.col("ckpt_dir")))
+
+
+query("join4_ckpt_overlaps", f"""WITH r AS (SELECT job_id, ckpt_dir, submitted_at AS a, submitted_at + to_seconds(dur_s * CASE WHEN job_id % 50 = 0 THEN 300 ELSE 5 END) AS b FROM ({RUNS}))
+  SELECT x.job_id AS job_id, y.job_id AS other_id, x.ckpt_dir AS ckpt_dir, CAST(floor(epoch(least(x.b, y.b)) - epoch(y.a)) AS BIGINT) AS overlap_s FROM r x JOIN r y ON x.ckpt_dir = y.ckpt_dir AND (x.a, x.job_id) < (y.a, y.job_id) AND y.a < x.b""")(lambda t: integrity.ckpt_overlaps(_long_runs(t.runs())))
+
+
+def _long_runs(runs: DataFrame) -> DataFrame:
+    """Runs five times as long as they were, and of every fiftieth three hundred times, so months among hours."""
+    length = F.col("dur_s") * F.when(F.col("job_id") % 50 == 0, 300).otherwise(5)
+    return runs.withColumn("started_at", F.col("submitted_at")).withColumn("finished_at", F.timestamp_seconds(F.unix_timestamp("submitted_at") + length))
+
+
 query("join4_ckpt_overlap_history", f"SELECT job_id, ckpt_dir FROM (SELECT *, max(finished_at) OVER (PARTITION BY ckpt_dir ORDER BY submitted_at, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM ({RUNS})) WHERE submitted_at < e")(lambda t: integrity.ckpt_overlap_history(t.runs().withColumn("started_at", F.col("submitted_at"))))
 query("join5_untracked_processes", """WITH l AS (SELECT node, job_id AS pid, arg_max(pcpu, (ts, pcpu)) AS pcpu FROM samples_v GROUP BY node, job_id)
   SELECT node, pid, concat('unknown/auto-adopted/p', CAST(pid AS VARCHAR)) AS proposed FROM l WHERE pcpu >= 50 AND NOT EXISTS (SELECT 1 FROM jobs_v j WHERE j.node = l.node AND (j.job_id = l.pid OR j.job_id + 1 = l.pid))""")(
@@ -267,6 +315,18 @@ query("join5_untracked_processes", """WITH l AS (SELECT node, job_id AS pid, arg
 _UP = "LEFT JOIN (SELECT job_id AS j{k}, parent_id AS p{k} FROM jobs_v) ON {on} = j{k}"
 _CHAINS = f"SELECT job_id, coalesce(j3, j2, j1, job_id) AS root_id, CAST((j1 IS NOT NULL)::INT + (j2 IS NOT NULL)::INT + (j3 IS NOT NULL)::INT AS INTEGER) AS depth FROM jobs_v {_UP.format(k=1, on='parent_id')} {_UP.format(k=2, on='p1')} {_UP.format(k=3, on='p2')}"
 query("join6_retry_lineage", _CHAINS)(lambda t: integrity.retry_lineage(t.jobs))
+query("join6_lineage", """WITH RECURSIVE p AS (SELECT job_id, CASE WHEN job_id % 7000 = 0 THEN job_id WHEN job_id % 3000 = 0 THEN job_id + 2 WHEN job_id % 1000 > 0 THEN job_id - 1 END AS up FROM jobs_v),
+  q AS (SELECT p.job_id, u.job_id AS up FROM p LEFT JOIN (SELECT job_id FROM jobs_v) u ON p.up = u.job_id),
+  r AS (SELECT job_id, job_id AS root_id, CAST(0 AS BIGINT) AS depth FROM q WHERE up IS NULL UNION ALL SELECT q.job_id, r.root_id, r.depth + 1 FROM r JOIN q ON q.up = r.job_id)
+  SELECT job_id, root_id, depth, root_id IS NULL AS cyclic FROM q LEFT JOIN r USING (job_id)""")(lambda t: integrity.lineage(_long_chains(t.jobs)))
+
+
+def _long_chains(jobs: DataFrame) -> DataFrame:
+    """Chains of a thousand retries, some of which start in a circle of three or with a job that is its own parent."""
+    j = F.col("job_id")
+    return jobs.withColumn("parent_id", F.when(j % 7000 == 0, j).when(j % 3000 == 0, j + 2).when(j % 1000 > 0, j - 1))
+
+
 query("join6_lineage_cost", f"SELECT root_id, count(*) AS attempts, CAST(sum(dur_s) AS BIGINT) AS total_s, arg_max(status, (depth, job_id)) AS final_status FROM ({_CHAINS}) JOIN (SELECT job_id, dur_s, status FROM jobs_v) USING (job_id) GROUP BY root_id")(lambda t: integrity.lineage_cost(t.jobs))
 
 
@@ -326,9 +386,27 @@ query("chk1_classify_failure", f"""WITH l AS (SELECT job_id, CASE WHEN seq % 11
   SELECT job_id, CASE WHEN disk THEN 'DISK_FULL' WHEN oom THEN 'OOM' WHEN env THEN 'ENV_MISSING' WHEN imp THEN 'PYTHON_IMPORT' WHEN trace AND job_id % 200 > 60 THEN 'APP_BUG' ELSE 'UNKNOWN' END AS category FROM (SELECT DISTINCT job_id FROM log_v) LEFT JOIN f USING (job_id)""")(
     lambda t: failures.classify_failure(t.log.select("job_id").distinct().select("job_id", F.lit("failed").alias("status"), (F.col("job_id") % 200).alias("dur_s")), _troubled(t.log))
 )
-query("chk3_diagnose_terminal", f"""WITH f AS (SELECT job_id, bool_or(contains(line, 'Training complete')) AS ok, bool_or({_LINE_PAIR} IS NOT NULL OR {_LINE_CURRENT} IS NOT NULL) AS tr FROM log_v GROUP BY job_id)
-  SELECT job_id, NOT coalesce(ok, FALSE) AND (peak_vram_mb > 0 OR coalesce(tr, FALSE)) AS is_crash, CASE WHEN ok THEN 'success mark' WHEN ok IS NULL AND peak_vram_mb > 0 THEN 'empty log after GPU use' WHEN ok IS NULL THEN 'empty log' WHEN tr THEN 'trained without success mark' WHEN peak_vram_mb > 0 THEN 'GPU use without success mark' ELSE 'no training seen' END AS reason
-  FROM jobs_v LEFT JOIN f USING (job_id) WHERE status IN ('done', 'failed')""")(lambda t: failures.diagnose_terminal(t.jobs.filter("status in ('done', 'failed')"), t.log))
+#: Last lines that the views' logs don't have: each mark of a run with nothing to do, and near misses.
+_ENDS = ["Training complete", "Running 0 checkpoints", "Nothing to evaluate", "no checkpoints to run", "nothing to do", "No checkpoints left", "all done?"]
+query("chk3_diagnose_terminal", f"""WITH l AS (SELECT job_id, CASE WHEN line = 'Training complete' THEN ({_ENDS})[job_id % 7 + 1] ELSE line END AS line FROM log_v WHERE job_id % 10 > 0 OR seq % 11 = 10),
+  f AS (SELECT job_id, bool_or(contains(line, 'Training complete')) AS ok, bool_or(contains(line, 'Running 0 checkpoints') OR contains(line, 'Nothing to ') OR contains(line, 'no checkpoints to')) AS noop, bool_or({_LINE_PAIR} IS NOT NULL OR {_LINE_CURRENT} IS NOT NULL) AS tr FROM l GROUP BY job_id),
+  j AS (SELECT job_id, CASE WHEN job_id % 4 > 0 THEN peak_vram_mb ELSE 0 END AS gpu FROM jobs_v WHERE status IN ('done', 'failed') OR job_id IN (SELECT job_id FROM log_v))
+  SELECT job_id, NOT coalesce(ok OR noop, FALSE) AND (gpu > 0 OR coalesce(tr, FALSE)) AS is_crash, CASE WHEN ok THEN 'success mark' WHEN noop THEN 'nothing to do' WHEN ok IS NULL AND gpu > 0 THEN 'empty log after GPU use' WHEN ok IS NULL THEN 'empty log' WHEN tr THEN 'trained without success mark' WHEN gpu > 0 THEN 'GPU use without success mark' ELSE 'no training seen' END AS reason
+  FROM j LEFT JOIN f USING (job_id)""")(lambda t: failures.diagnose_terminal(_stopped(t), _ending(t.log)))
+
+
+def _stopped(t: Tables) -> DataFrame:
+    """Jobs that ended, and all that have logs, of which one in four used no GPU."""
+    jobs = t.jobs.join(t.log.select("job_id", F.lit(True).alias("_log")).distinct(), "job_id", "left").filter("status in ('done', 'failed') or _log")
+    return jobs.withColumn("peak_vram_mb", F.when(F.col("job_id") % 4 > 0, F.col("peak_vram_mb")).otherwise(0))
+
+
+def _ending(log: DataFrame) -> DataFrame:
+    """Logs that end in different ways; of one job in ten only the ends."""
+    end = F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("job_id") % 7 + 1).cast("int"))
+    return log.filter("job_id % 10 > 0 or seq % 11 = 10").withColumn("line", F.when(F.col("line") == "Training complete", end).otherwise(F.col("line")))
+
+
 query("chk6_illegal_transitions", "SELECT event_id, job_id, before, after FROM (SELECT event_id, job_id, lag(status) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS before, status AS after FROM job_events_v) WHERE before <> after AND concat(before, '>', after) NOT IN (" + ", ".join(f"'{x}'" for x in _LEGAL) + ")")(lambda t: failures.illegal_transitions(t.job_events))
 query("chk7_unknown_spells", """WITH m AS (SELECT job_id, ts, event_id, status IN ('queued', 'launching') AS u, lead(ts) OVER w AS nx, lag(status IN ('queued', 'launching')) OVER w AS pu FROM job_events_v WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)),
   k AS (SELECT *, sum(CASE WHEN u AND NOT coalesce(pu, FALSE) THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS k FROM m)

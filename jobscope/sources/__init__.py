@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from jobscope.storage import stored
+
 #: Fields of a job record that become columns; ``id`` and ``task_id`` are other names of job_id. Further fields go to ``extra``.
 JOB_SCHEMA = """job_id string, status string, project string, signature string, description string, cmd string, cwd string,
 extra_env map<string,string>, env_spec string, image string, priority string, node string, gpu_idx int, preferred_node string, require_node string,
@@ -18,8 +21,8 @@ slurm_job_id string, slurm_state string, last_block_reason string, probe_unknown
 EVENT_SCHEMA = "event_id string, ts timestamp, type string, job_id string, node string, payload string, _corrupt_record string"
 _TIMES = ("submitted_at", "started_at", "finished_at", "probe_unknown_since")
 
-#: Everything that ends a line for a terminal program, carriage returns of progress bars included.
-LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+#: What ends a line for a terminal program beside the line feed: carriage returns of progress bars, and Unicode's others.
+LINE_END = "[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 
 
 def read_jobs(spark: SparkSession, path: str, layout: str = "jsonl") -> DataFrame:
@@ -75,11 +78,29 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """job_id (file name without ending), seq, line of log files, one task a file; a last empty line doesn't count."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("job_id"), F.split("value", LINE_END).alias("lines"))
-    whole = F.when(F.element_at("lines", -1) == "", F.slice("lines", F.lit(1), F.size("lines") - 1)).otherwise(F.col("lines"))
-    return files.select("job_id", F.posexplode(whole).alias("seq", "line")).withColumn("seq", F.col("seq").cast("bigint"))
+def read_log_lines(spark: SparkSession, path: str, job_id: str = r"([^/.]*)[^/]*$") -> DataFrame:
+    """job_id, seq, line of log files: ``seq`` numbers a file's lines from 0; what ends a line is what ends one for a terminal program; a last empty line
+    doesn't count. ``job_id``: a pattern whose first group finds the job's id in the file's path (by default its name without endings).
+
+    Files are read in blocks, so one log of any size is many tasks' work (but for compressed ones, which don't split). Spark's reader cuts
+    at line feeds, and a line that crosses into the next block is read where it starts; other line ends are cut inside. The pieces are written to
+    the shared folder with numbers that ascend within a block, so that counts and numbers are of the same rows even if tasks run again; a
+    block's lines are counted, and the counts of the blocks before it in its file (a row a block) give the offset.
+    """
+    meta = F.col("_metadata")
+    text = spark.read.option("lineSep", "\n").text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), meta["file_size"].alias("bytes"))
+    # a carriage return before the line feed is part of one line end
+    pieces = text.withColumn("raw", F.octet_length("value") + 1).withColumn("bare", F.regexp_replace("value", r"\r\z", ""))
+    cut = pieces.select("file", "block", "bytes", "raw", (F.octet_length("value") > F.octet_length("bare")).alias("cr"), F.posexplode(F.split("bare", LINE_END)).alias("at", "line"))
+    rows = stored(cut.select("file", "block", "bytes", F.when(F.col("at") == 0, F.col("raw")).alias("raw"), ((F.col("at") > 0) & ~F.col("cr") & (F.col("line") == "")).alias("open"), "line", F.monotonically_increasing_id().alias("id")))
+    blocks = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raw"), F.max("bytes").alias("bytes"))
+    of_file = W.partitionBy("file")  # a row a block
+    before = F.coalesce(F.sum("n").over(of_file.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # without a line feed at its end a file is a byte shorter than its lines; a byte order mark is no part of a line
+    unended = F.pmod(F.col("bytes") - F.sum("raw").over(of_file), F.lit(3)) == 2
+    ends = F.when(unended & F.lead("n").over(of_file.orderBy("block")).isNull(), F.col("last"))
+    placed = rows.drop("bytes", "raw").join(blocks.select("file", "block", "first", before.alias("before"), ends.alias("end")), ["file", "block"])
+    return placed.filter(~(F.col("open") & F.col("id").eqNullSafe(F.col("end")))).select(F.regexp_extract("file", job_id, 1).alias("job_id"), (F.col("before") + F.col("id") - F.col("first")).alias("seq"), "line")
 
 
 def write_table(df: DataFrame, path: str, by_finish_date: bool = False, mode: str = "errorifexists") -> None:

@@ -23,6 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or LOCAL_FOLDER
 
 
+def new_folder(spark: SparkSession) -> str:
+    """The path of a folder, not made yet, in the shared one; it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/jobscope-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
@@ -34,13 +42,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 def stored_parts(parts: Iterable[DataFrame]) -> DataFrame:
     """Like :func:`stored` of the union of ``parts`` (at least one), each of which is written before the next is made."""
-    name = f"jobscope-{uuid.uuid4().hex}"
+    path = None
     for df in parts:
         spark, schema = df.sparkSession, df.schema
-        path = f"{shared_folder(spark)}/{name}"
+        path = path or new_folder(spark)
         df.write.mode("append").parquet(path)
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(schema).parquet(path)
 
 

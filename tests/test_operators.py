@@ -84,12 +84,15 @@ def test_all_reasons_and_demands(spark):
     assert best == {1: ("m", 1), 2: ("m", 1), 3: ("m", 1), 4: ("m", 1)}
 
 
-def test_running_against_a_loop(spark):
-    """Cells of time give what one window over a key's whole history gives."""
+@pytest.mark.parametrize("cell_rows", [1_000_000, 30])
+def test_running_against_a_loop(spark, monkeypatch, cell_rows):
+    """Cells give what one window over a key's whole history gives."""
     import random
 
-    from jobscope.operators.running import running
+    from jobscope.operators import running as r
+    from jobscope.operators.running import running, with_past
 
+    monkeypatch.setattr(r, "CELL_ROWS", cell_rows)
     rng = random.Random(2)
     data = [(i, rng.choice(["a", "b", None]), at(rng.randrange(20) * 40_000), rng.choice([None, 1, 2, 7])) for i in range(200)]
     df = spark.createDataFrame(data, "job_id long, node string, ts timestamp, v long")
@@ -99,6 +102,13 @@ def test_running_against_a_loop(spark):
             for i, node, ts, _ in data:
                 seen = [v for j, n, t, v in data if n == node and v is not None and ((t, j) < (ts, i) or own and j == i)]
                 assert got[i] == (fold(seen) if seen else 0 if how == "sum" else None)
+    celled, hot = r.cut(df, ["node"], ["ts", "job_id"])
+    assert hot is (cell_rows == 30) and celled.select("_cell").distinct().count() >= (4 if hot else 1)
+    for own in (True, False):
+        got = {x["job_id"]: x["past"] for x in with_past(df, ["node"], ["ts", "job_id"], "v", 10, "past", own).collect()}
+        for i, node, ts, _ in data:
+            past = sorted((t, j, v) for j, n, t, v in data if n == node and ((t, j) < (ts, i) or own and j == i))[-10:]
+            assert got[i] == [v for _, _, v in past if v is not None]
     assert running(df.filter("false"), ["node"], ["ts"], F.col("v"), "sum", "x").count() == 0
 
 
@@ -158,6 +168,88 @@ def test_nearest_run_is_earlier_and_related(spark):
     assert integrity.nearest_runtime(unrelated, spark.createDataFrame([runs[2]], schema)).count() == 0
 
 
+def test_overlapping_pairs_against_all_pairs(spark):
+    """Runs of minutes, of days and of a year on two folders, of which one is hot; each pair once, ids that are texts, ties and touching ends."""
+    import random
+
+    rng = random.Random(9)
+    data = []
+    for i in range(220):
+        start = rng.randrange(40_000)
+        length = rng.choice([0, 1, 60, 64, 600, 5000]) if i % 40 else 31_000_000
+        data.append((f"j{i:03d}", rng.choice(["/hot", "/hot", "/cold", None]), at(start - (length // 2 if length > 10**6 else 0)), at(start + length)))
+    data += [("a", "/hot", at(5), at(9)), ("b", "/hot", at(5), at(9)), ("c", "/hot", at(9), at(10)), ("d", "/hot", None, at(7)), ("e", "/hot", at(6), None), ("f", "/x", at(1), at(2))]
+    df = spark.createDataFrame(data, "job_id string, ckpt_dir string, started_at timestamp, finished_at timestamp")
+    want = []
+    runs = sorted((a, j, d, b) for j, d, a, b in data if d and a and b and a < b)
+    for i, (a, j, d, b) in enumerate(runs):
+        want += [(j, k, d, int((min(b, e) - c).total_seconds())) for c, k, f, e in runs[i + 1 :] if f == d and c < b]
+    got = integrity.ckpt_overlaps(df)
+    assert rows(got) == sorted(want, key=str) and len(want) > 500
+    flagged = {r[0] for r in integrity.ckpt_overlap_history(df).collect()}
+    assert flagged == {k for _, k, _, _ in want}
+    assert "CartesianProduct" not in plan(got) and "BroadcastNestedLoopJoin" not in plan(got)
+
+
+def test_lineage_of_any_length(spark):
+    """A chain of 1,000, a job that is its own parent, a circle of three with a tail, parents that aren't there, repeated rows."""
+    data = [(f"c{i:04d}", f"c{i - 1:04d}" if i else None) for i in range(1000)]
+    data += [("self", "self"), ("below", "self"), ("x", "y"), ("y", "z"), ("z", "x"), ("tail", "x"), ("tail2", "tail"), ("lost", "nobody"), ("lost2", "lost"), ("c0005", "c0004"), (None, "x")]
+    jobs = spark.createDataFrame([(j, p, 1, "done") for j, p in data], "job_id string, parent_id string, dur_s long, status string")
+    got = {r["job_id"]: (r["root_id"], r["depth"], r["cyclic"]) for r in integrity.lineage(jobs).collect()}
+    want = {f"c{i:04d}": ("c0000", i, False) for i in range(1000)} | dict.fromkeys(["self", "below", "x", "y", "z", "tail", "tail2"], (None, None, True)) | {"lost": ("lost", 0, False), "lost2": ("lost", 1, False)}
+    assert got == want
+    assert integrity.lineage(jobs.filter("false")).count() == 0
+    few = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "job_id long, parent_id long")
+    assert rows(integrity.retry_lineage(few)) == [(1, 1, 0), (2, 1, 1), (3, 1, 2)]
+    costs = {r["root_id"]: r["attempts"] for r in integrity.lineage_cost(jobs).collect()}
+    assert costs == {"c0000": 1001, "lost": 2}
+
+
+def test_duplicates_keep_the_first(spark):
+    data = [("b", "queued", at(1), "x"), ("a", "queued", at(1), "x"), ("c", "running", at(9), "x"), ("d", "queued", at(0), "y"), ("e", "done", at(0), "x"), ("f", "launching", None, "y")]
+    jobs = spark.createDataFrame(data, "job_id string, status string, submitted_at timestamp, cmd string")
+    assert rows(integrity.duplicate_active(jobs)) == [("a", "c"), ("b", "c"), ("d", "f")]
+    assert "Window" not in plan(integrity.duplicate_active(jobs))
+
+
+def test_fits_without_the_product(spark, monkeypatch):
+    """Random fleets and demands, nulls included: equal to what the product says, in blocks too, and no product in the plans."""
+    import random
+
+    rng = random.Random(11)
+    one = lambda *xs: rng.choice(xs)
+    demands = [(i, one("queued", "queued", "running"), one(1, 2, 8, None), one(0, 100, 5000, None), one(0, 1, 700, 3000, 9000, None), one(None, None, "n1", "n3", "gone")) for i in range(150)]
+    jobs = spark.createDataFrame(demands, "job_id long, status string, cpu_cores int, ram_mb long, est_vram_mb long, require_node string")
+    nodes = [(f"n{i}", g, 16, one(0, 1, 4, 16), 10**6, one(50, 3000, 10**6), 12000, one(0, 0, 3000, 4600, 11500, 11499), one(0, 90), one(True, True, True, False), one(0.0, 16.0), one(0, 3), one(None, 3), one(None, 0, 1, 2000), one(True, False)) for i in range(9) for g in range(2)]
+    gpus = spark.createDataFrame(nodes, "node string, gpu_idx int, total_cpu int, free_cpu int, free_ram_mb long, budget_mb long, total_mb long, used_mb long, util_pct int, alive boolean, load1 double, running int, max_concurrent_running int, max_vram_per_task int, cpu_node boolean")
+    for util in (None, 85):
+        fit = capacity.fit_matrix(jobs, gpus, util)
+        want = fit.select("job_id", "node", F.explode("reasons").alias("reason")).groupBy("reason", "node").agg(F.countDistinct("job_id").alias("jobs"))
+        summary = capacity.blocked_summary(jobs, gpus, util)
+        assert rows(summary.select("reason", "node", "jobs")) == rows(want.select("reason", "node", "jobs"))
+        cpu_only = F.coalesce("est_vram_mb", F.lit(1)) == 0
+        order = F.struct(F.when(cpu_only, (~F.col("cpu_node")).cast("int")).otherwise((F.col("used_mb") == 0).cast("int")).alias("a"), F.when(cpu_only, -F.col("free_cpu")).otherwise(F.col("total_mb") - F.col("used_mb")).alias("b"), "node", "gpu_idx")
+        best = fit.filter("fits").join(jobs, "job_id").join(gpus, ["node", "gpu_idx"]).groupBy("job_id").agg(F.min(order).alias("s")).select("job_id", "s.node", "s.gpu_idx")
+        monkeypatch.setattr(capacity.FirstFit, "RUN", 1024 if util else 4)
+        monkeypatch.setattr(capacity, "BROADCAST_ROWS", 200_000 if util else 7)
+        slots = capacity.best_slot(jobs, gpus, util)
+        assert rows(slots) == rows(best) and slots.count() >= 5
+        for df in (summary, slots):
+            assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
+
+
+def test_marks_and_endings(spark):
+    """Every documented mark of a run with nothing to do, after GPU use; every documented ending of a checkpoint."""
+    marks = ["Running 0 checkpoints", "Nothing to evaluate", "no checkpoints to run", "Training complete", "nothing at all"]
+    jobs = spark.createDataFrame([(i, 5000) for i in range(len(marks))], "job_id long, peak_vram_mb long")
+    lines = spark.createDataFrame([(i, 0, f"INFO {m}") for i, m in enumerate(marks)], "job_id long, seq long, line string")
+    assert [r[1] for r in rows(failures.diagnose_terminal(jobs, lines).select("job_id", "is_crash"))] == [False, False, False, False, True]
+    for ending, found in [(e, True) for e in "pt pth pkl ckpt bin safetensors npy npz h5 hdf5 tar".split()] + [("csv", False), ("log", False), ("binx", False)]:
+        files = spark.createDataFrame([("/d", f"/d/a.b.{ending}", 1, False), ("/d", "/d/new.csv", 9, False)], "dir string, path string, mtime long, is_dir boolean")
+        assert [r["path"] for r in history.latest_checkpoint(files).collect()] == ([f"/d/a.b.{ending}"] if found else [])
+
+
 def test_strict_conflicts_and_costs(spark):
     jobs = spark.createDataFrame([(1, "running", "s", "/c", None, 10), (2, "queued", "s", "/c", 1, 20), (3, "done", "t", "/c", 2, 30), (4, "queued", "u", "/d", None, 5)], "job_id long, status string, signature string, ckpt_dir string, parent_id long, dur_s long")
     assert integrity.ckpt_conflicts(jobs).count() == 0
@@ -219,18 +311,45 @@ def test_p80_stays_typical_and_empty(spark):
     assert history.p80_history(peaks.filter("false")).count() == 0
 
 
-def test_cooldown_against_a_loop(spark):
+@pytest.mark.parametrize("walked,kind", [(4096, "long"), (20, "long"), (1, "string")])
+def test_cooldown_against_a_loop(spark, monkeypatch, walked, kind):
+    """Also where a key never pauses, which is walked by doubled jumps; ids of any type, several key columns, nulls and ties."""
     import random
 
+    monkeypatch.setattr(failures, "WALKED", walked)
     rng = random.Random(3)
-    data = [(i, rng.randrange(4), at(rng.randrange(5000))) for i in range(400)]
-    df = spark.createDataFrame(data, "event_id long, job_id long, ts timestamp")
+    data = [(i, rng.choice([0, 1, 2, None]), at(rng.randrange(20_000))) for i in range(400)]
+    data += [(1000 + i, 7, at(3 * i + rng.randrange(2))) for i in range(700)] + [(2000 + i, 7, at(300)) for i in range(5)] + [(3000, 1, None)]
+    make = (lambda i: f"e{i:05d}") if kind == "string" else int
+    df = spark.createDataFrame([(make(i), None if k is None else make(k), ts, "x") for i, k, ts in data], f"event_id {kind}, job_id {kind}, ts timestamp, target string")
     want, last = [], {}
-    for e, j, ts in sorted(data, key=lambda r: (r[2], r[0])):
+    for e, j, ts in sorted((r for r in data if r[2]), key=lambda r: (r[2], r[0])):
         if j not in last or (ts - last[j]).total_seconds() >= 100:
             last[j] = ts
-            want.append(e)
-    assert sorted(r[0] for r in failures.cooldown_filter(df, "job_id", 100).select("event_id").collect()) == sorted(want)
+            want.append(make(e))
+    for key in ("job_id", ["job_id", "target"]):
+        assert sorted(r[0] for r in failures.cooldown_filter(df, key, 100).select("event_id").collect()) == sorted(want)
+    assert failures.cooldown_filter(df, "job_id", 0).count() == len(data) - 1 and failures.cooldown_filter(df.filter("false"), "job_id", 9).count() == 0
+
+
+def test_no_window_by_a_hot_key_alone(spark, monkeypatch):
+    """Estimates of a signature with a third of all runs: in cells, equal to one window over its history, with ids that are texts."""
+    import random
+
+    from jobscope.operators import running as r
+
+    rng = random.Random(6)
+    runs = [(rng.choice(["hot", "hot", f"s{rng.randrange(9)}"]), f"j{i:04d}", at(rng.randrange(3000)), rng.choice([None, *range(100)]), 1) for i in range(600)]
+    peaks = spark.createDataFrame(runs, "signature string, job_id string, finished_at timestamp, vram_mb long, ram_mb long")
+    jobs = spark.createDataFrame([(f"k{i:04d}", rng.choice(["hot", "s1", "none"]), at(rng.randrange(3300))) for i in range(300)], "job_id string, signature string, submitted_at timestamp")
+    whole = rows(history.estimate_backtest(peaks)), rows(history.estimate_as_of(jobs, peaks))
+    monkeypatch.setattr(r, "CELL_ROWS", 50)
+    assert (rows(history.estimate_backtest(peaks)), rows(history.estimate_as_of(jobs, peaks))) == whole
+    for j, sig, ts in [tuple(x) for x in jobs.collect()]:
+        seen = [v for _, _, v in sorted((f, i, v) for s, i, f, v, _ in runs if s == sig and f <= ts)[-10:] if v is not None]
+        assert dict(whole[1])[j] == (sorted(seen)[-(-len(seen) * 8 // 10) - 1] if seen else None)
+    text = plan(history.estimate_backtest(peaks))
+    assert "_cell" in text and all("_cell" in x for x in text.splitlines() if "collect_list" in x and "Window" in x)
 
 
 def test_spells(spark):

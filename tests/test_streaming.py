@@ -174,6 +174,39 @@ def test_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "ev")).count() == 1
 
 
+def test_log_lines_over_blocks(spark, tmp_path):
+    """Files of all line ends, some without one at their end, read whole and in blocks of a few bytes: as Python cuts lines, in many tasks."""
+    import random
+
+    rng = random.Random(5)
+    ends, want = ["\n", "\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\r\r\n", "\n\r"], {}
+    for i in range(40):
+        text = "".join(rng.choice(["", "é", "some words", "x" * 90]) + rng.choice(ends) for _ in range(rng.randrange(25))) + rng.choice(["", "", "end"])
+        text = ("\ufeff" if i == 7 else "") + text
+        (tmp_path / f"j{i}.log").write_text(text, newline="", encoding="utf-8")
+        want[f"j{i}"] = text.removeprefix("\ufeff").splitlines()
+    for name, text in (("only", "\r"), ("two", "\r\r"), ("vt", "a\x0b"), ("vtn", "a\x0b\n"), ("none", ""), ("crvt", "a\r\x0b")):
+        (tmp_path / f"{name}.log").write_text(text, newline="", encoding="utf-8")
+        want[name] = text.splitlines()
+    for size in ("128m", "64"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            got = {}
+            for r in sources.read_log_lines(spark, str(tmp_path / "*.log")).collect():
+                got.setdefault(r["job_id"], []).append((r["seq"], r["line"]))
+            assert {k: [x for _, x in sorted(v)] for k, v in got.items()} == {k: v for k, v in want.items() if v}
+            assert all([s for s, _ in sorted(v)] == list(range(len(v))) for v in got.values())
+            if size == "64":
+                (tmp_path / "big").mkdir()
+                (tmp_path / "big" / "b.log").write_text("".join(f"line {i}\n" for i in range(200)))
+                assert spark.read.text(str(tmp_path / "big")).rdd.getNumPartitions() > 10
+                assert [(r["seq"], r["line"]) for r in sources.read_log_lines(spark, str(tmp_path / "big")).orderBy("seq").collect()] == [(i, f"line {i}") for i in range(200)]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_fold_history(spark, tmp_path):
     """Against the operator over all runs ever; a batch that is tried again changes nothing; old folders go."""
     fold, every = streaming.fold_history(spark, str(tmp_path / "p"), str(tmp_path / "h")), []
