@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -112,10 +114,42 @@ def write_table(df: DataFrame, path: str, by_finish_date: bool = False, mode: st
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Appends events as JSON lines."""
+    """Appends events as JSON lines. What is written twice is there twice; see :func:`write_event_batch`."""
     events.write.mode("append").json(path)
 
 
+def write_event_batch(events: DataFrame, path: str, batch: int | str) -> None:
+    """Events as JSON lines in ``path``/batch=``batch``, put in place by one rename; a batch that is written again replaces what it wrote before.
+
+    Everything is written to a hidden folder first, so readers see a batch whole or not at all, and a job that fails on its way leaves only what
+    readers don't look at. An old version is set aside before the rename and removed after it.
+    """
+    spark = events.sparkSession
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    place, name = f"{path}/batch={batch}", uuid.uuid4().hex
+    hidden, old = (jvm.Path(f"{path}/_{kind}-{batch}-{name}") for kind in ("new", "old"))
+    final = jvm.Path(place)
+    files = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    events.write.json(hidden.toString())
+    replaced = files.exists(final) and files.rename(final, old)
+    if not files.rename(hidden, final):
+        raise OSError(f"{hidden.toString()} can't be renamed to {place}")
+    if replaced:
+        files.delete(old, True)
+
+
+def stream_into_events(events: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Starts a stream into an event log of batches (:func:`write_event_batch`): a batch that fails after writing and runs again is there once."""
+    writer = events.writeStream.foreachBatch(lambda batch, n: write_event_batch(batch, path, n)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def read_event_batches(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """What :func:`write_event_batch` wrote, without the batches' numbers."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.json(f"{path}/batch=*")
+
+
 def write_stream(df: DataFrame, path: str, checkpoint: str, form: str = "parquet", once: bool = False) -> StreamingQuery:
     """Starts a stream into files, each row exactly once by the checkpoint; ``once`` takes what is there and ends."""
     writer = df.writeStream.format(form).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

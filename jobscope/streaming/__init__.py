@@ -19,6 +19,8 @@ from jobscope.operators.failures import TRANSITIONS
 from jobscope.operators.history import last_runs, p80_history
 from jobscope.operators.logs import line_signals, signals
 from jobscope.shipping import ship
+from jobscope.sources import EVENT_SCHEMA
+from jobscope.sources.rotated import RotatedLog
 
 #: How long a job's state is kept after its last event, where it isn't removed before.
 TTL_S = 7 * 86_400
@@ -38,6 +40,19 @@ def stream_events(spark: SparkSession, folder: str, schema: StructType | str, fo
     return events.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in events.columns else events
 
 
+def stream_rotated_events(spark: SparkSession, path: str, schema: StructType | str = EVENT_SCHEMA) -> DataFrame:
+    """A stream of the events of a JSON-lines log and its rotated generations, each once wherever its line is moved; see :class:`RotatedLog`.
+
+    Blank lines give nothing, unreadable ones are kept in ``_corrupt_record`` where ``schema`` has it. A generation that is removed before it was
+    read ends the stream with an error.
+    """
+    ship(spark)
+    spark.dataSource.register(RotatedLog)
+    lines = spark.readStream.format("rotated_log").load(path)
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("e")).select("e.*")
+
+
 def minute_rollup(samples: DataFrame, delay: str = "2 minutes") -> DataFrame:
     """60-second accounts of nodes, in append mode; rows later than ``delay`` are dropped. Equal to the batch operator on what is in time."""
     return _rollup(samples.withWatermark("ts", delay))
@@ -59,18 +74,27 @@ def dedupe_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def enrich(stream: DataFrame, hist: DataFrame) -> DataFrame:
-    """Live jobs with their signature's estimates."""
+    """Live jobs with their signature's estimates as ``hist`` had them when the stream started; see :func:`enrich_as_known` for estimates that change."""
     return stream.join(hist, "signature", "left")
 
 
 class _Keyed(StatefulProcessor):
-    """Sorts what comes for a key by time, as files of a batch come in any order. ``at_us``: the time in microseconds, whatever the session's zone."""
+    """Sorts what comes for a key by time, as files of a batch come in any order. ``at_us``: the time in microseconds, whatever the session's zone.
+
+    Ids and keys have the types that the stream has; ``{name}`` in STATE and OUT stands for that of a column.
+    """
 
     TTL: int | None = None
+    STATE: str
+    OUT: str
+    kinds: dict[str, str]
+
+    def of(self, ddl: str) -> str:
+        return ddl.format(**self.kinds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.STATE, self.TTL * 1000) if self.TTL else handle.getValueState("state", self.STATE)
+        self.state = handle.getValueState("state", self.of(self.STATE), self.TTL * 1000) if self.TTL else handle.getValueState("state", self.of(self.STATE))
 
     def ordered(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
         return pd.concat(list(rows)).sort_values(["at_us", "event_id"], kind="stable")
@@ -78,8 +102,8 @@ class _Keyed(StatefulProcessor):
     def last(self) -> tuple | None:
         return tuple(self.state.get()) if self.state.exists() else None
 
-    def frame(self, rows: list[tuple], **kinds: str) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[column.split()[0] for column in self.OUT.split(", ")], dtype=object)
 
     def close(self) -> None:
         pass
@@ -90,9 +114,9 @@ class Transitions(_Keyed):
     its end, for the time to live and no longer."""
 
     STATE = "status string"
-    OUT = "job_id bigint, event_id bigint, before string, after string"
+    OUT = "job_id {job_id}, event_id {event_id}, before string, after string"
 
-    def __init__(self, ttl_s: int):
+    def __init__(self, ttl_s: int | None):
         self.TTL = ttl_s
 
     def handleInputRows(self, key, rows, timerValues):
@@ -102,14 +126,14 @@ class Transitions(_Keyed):
                 out.append((key[0], r.event_id, last, r.status))
             last = r.status
         self.state.update((last,))
-        yield self.frame(out, job_id="int64", event_id="int64", before="str", after="str")
+        yield self.frame(out)
 
 
 class UnknownSpells(_Keyed):
     """A span of ``unknown`` probes, told when the first probe that isn't ends it; the state goes with it."""
 
     STATE = "started bigint, n bigint"
-    OUT = "job_id bigint, started bigint, n bigint, resolved bigint"
+    OUT = "job_id {job_id}, started bigint, n bigint, resolved bigint"
 
     def handleInputRows(self, key, rows, timerValues):
         open_, out = self.last(), []
@@ -123,14 +147,14 @@ class UnknownSpells(_Keyed):
             self.state.update(open_)
         else:
             self.state.clear()
-        yield self.frame(out, job_id="int64", started="int64", n="int64", resolved="int64")
+        yield self.frame(out)
 
 
 class JobPeaks(_Keyed):
     """Peaks of a job so far, told when they rise; gone at a terminal status, or when nothing comes for the time to live."""
 
     STATE = "vram bigint, ram bigint"
-    OUT = "job_id bigint, peak_vram_mb bigint, peak_ram_mb bigint"
+    OUT = "job_id {job_id}, peak_vram_mb bigint, peak_ram_mb bigint"
 
     def __init__(self, ttl_s: int):
         self.TTL = ttl_s
@@ -143,7 +167,7 @@ class JobPeaks(_Keyed):
             self.state.clear()
         else:
             self.state.update(now)
-        yield self.frame([(key[0], *now)] if now != had else [], job_id="int64", peak_vram_mb="int64", peak_ram_mb="int64")
+        yield self.frame([(key[0], *now)] if now != had else [])
 
 
 class JobProgress(_Keyed):
@@ -151,7 +175,7 @@ class JobProgress(_Keyed):
 
     FIELDS = ("remaining", "inline", "pair_current", "pair_total")
     STATE = "remaining bigint, inline bigint, pair_current bigint, pair_total bigint"
-    OUT = "job_id bigint, remaining_s bigint, inline_s bigint, current bigint, total bigint"
+    OUT = "job_id {job_id}, remaining_s bigint, inline_s bigint, current bigint, total bigint"
 
     def __init__(self, ttl_s: int):
         self.TTL = ttl_s
@@ -166,15 +190,14 @@ class JobProgress(_Keyed):
             self.state.clear()
         else:
             self.state.update(tuple(now))
-        out = pd.DataFrame([(key[0], *now)] if tuple(now) != had else [], columns=["job_id", "remaining_s", "inline_s", "current", "total"])
-        yield out.astype({"job_id": "int64", **dict.fromkeys(["remaining_s", "inline_s", "current", "total"], "Int64")})
+        yield self.frame([(key[0], *now)] if tuple(now) != had else [])
 
 
 class Debounce(_Keyed):
     """Events at least ``seconds`` after the last kept one of their key."""
 
     STATE = "last bigint"
-    OUT = "job_id bigint, event_id bigint, ts timestamp"
+    OUT = "job_id {job_id}, event_id {event_id}, ts_us bigint"
 
     def __init__(self, seconds: int):
         self.seconds = seconds
@@ -185,9 +208,9 @@ class Debounce(_Keyed):
             at = r.at_us // 1_000_000
             if last is None or at - last >= self.seconds:
                 last = at
-                out.append((key[0], r.event_id, r.ts))
+                out.append((key[0], r.event_id, r.at_us))
         self.state.update((last,))
-        yield self.frame(out, job_id="int64", event_id="int64", ts="datetime64[ns]")
+        yield self.frame(out)
 
 
 class StaleTimers(_Keyed):
@@ -195,7 +218,7 @@ class StaleTimers(_Keyed):
     the newest known says nothing."""
 
     STATE = "status string, since bigint"
-    OUT = "job_id bigint, status string, since double"
+    OUT = "job_id {job_id}, status string, since double"
 
     def __init__(self, limits: dict[str, int]):
         self.limits = limits
@@ -211,11 +234,11 @@ class StaleTimers(_Keyed):
                 self.state.update((r["status"], int(r["at_us"])))
                 if r["status"] in self.limits:
                     self.handle.registerTimer(int(r["at_us"]) // 1000 + self.limits[r["status"]] * 1000)
-        yield self.frame([], job_id="int64", status="str", since="float64")
+        yield self.frame([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if had := self.last():
-            yield self.frame([(key[0], had[0], had[1] / 1e6)], job_id="int64", status="str", since="float64")
+            yield self.frame([(key[0], had[0], had[1] / 1e6)])
 
 
 class BatchDone(_Keyed):
@@ -223,11 +246,11 @@ class BatchDone(_Keyed):
     and waits again isn't. Once it is told, what is known of the jobs goes and only that stays."""
 
     STATE = "finished bigint, told boolean"
-    OUT = "batch bigint, jobs bigint"
+    OUT = "batch {batch}, jobs bigint"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.jobs = handle.getMapState("jobs", "job_id bigint", "at bigint, done boolean")
+        self.jobs = handle.getMapState("jobs", self.of("job_id {job_id}"), "at bigint, done boolean")
 
     def handleInputRows(self, key, rows, timerValues):
         finished, told = self.last() or (0, False)
@@ -243,17 +266,102 @@ class BatchDone(_Keyed):
         if done:
             self.jobs.clear()
         self.state.update((0 if done else finished, told or done))
-        yield self.frame([(key[0], size)] if done else [], batch="int64", jobs="int64")
+        yield self.frame([(key[0], size)] if done else [])
+
+
+class History(_Keyed):
+    """The last runs of a signature, and the percentile of their peaks, told when it changes. A run that comes again changes nothing."""
+
+    OUT = "signature {signature}, p80_vram_mb bigint, p80_ram_mb bigint, samples bigint, last_seen_us bigint"
+
+    def __init__(self, keep: int, p: float):
+        self.keep, self.p = keep, p
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.runs = handle.getListState("runs", self.of("at bigint, job_id {event_id}, vram bigint, ram bigint"))
+
+    def _known(self) -> list[tuple]:
+        return [tuple(r) for r in self.runs.get()] if self.runs.exists() else []
+
+    def _fold(self, pdf: pd.DataFrame) -> list[tuple]:
+        number = lambda x: None if pd.isna(x) else int(x)
+        both = {(r[0], r[1]): r for r in self._known()}
+        for r in pdf.itertuples():
+            both[int(r.at_us), r.event_id] = (int(r.at_us), r.event_id, number(r.vram_mb), number(r.ram_mb))
+        last = [both[k] for k in sorted(both)[-self.keep :]]
+        self.runs.put(last)
+        return last
+
+    def handleInitialState(self, key, initialState, timerValues):
+        self._fold(initialState)
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = self._known()
+        last = self._fold(pd.concat(list(rows)))
+        rank = lambda values: values[-(-len(values) * round(self.p * 100) // 100) - 1] if values else None
+        p = [rank(sorted(r[k] for r in last if r[k] is not None)) for k in (2, 3)]
+        yield self.frame([(key[0], *p, len(last), last[-1][0])] if last != before else [])
 
 
-def _stateful(events: DataFrame, key: str, processor: _Keyed, time_mode: str = "None") -> DataFrame:
+class AsKnown(_Keyed):
+    """Each job with the estimate that its signature had at its time.
+
+    A job waits until the watermark has passed its time, so estimates that are a little late still count. Of the estimates from before
+    the watermark only the newest is kept. Jobs and estimates that come after the watermark has passed their time are too late: Spark drops them
+    before they get here, and counts them in the query's progress.
+    """
+
+    OUT = "event_id {event_id}, job_id {job_id}, signature {signature}, at_us bigint, vram_mb bigint, ram_mb bigint"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.versions = handle.getListState("versions", "at bigint, vram bigint, ram bigint")
+        self.waiting = handle.getListState("waiting", self.of("at bigint, event_id {event_id}, job_id {job_id}"))
+
+    def _list(self, state) -> list[tuple]:
+        return [tuple(x) for x in state.get()] if state.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows))
+        number = lambda x: None if pd.isna(x) else int(x)
+        new = {(int(r.at_us), number(r.vram_mb), number(r.ram_mb)) for r in pdf[pdf["is_estimate"]].itertuples()}
+        jobs = [(int(r.at_us), r.event_id, r.job_id) for r in pdf[~pdf["is_estimate"]].itertuples()]
+        if jobs:
+            self.waiting.put([*self._list(self.waiting), *jobs])
+            for at in {j[0] for j in jobs}:
+                self.handle.registerTimer(at // 1000 + 1)
+        if new:
+            self.versions.put(sorted(new | set(self._list(self.versions)), key=lambda v: v[0]))
+        yield self.frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        waiting, versions = self._list(self.waiting), self._list(self.versions)
+        ready, rest = [j for j in waiting if j[0] <= due], [j for j in waiting if j[0] > due]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        out = []
+        for at, event_id, job_id in sorted(ready):
+            known = [v for v in versions if v[0] <= at]
+            out.append((event_id, job_id, key[0], at, *(known[-1][1:] if known else (None, None))))
+        old = [v for v in versions if v[0] <= due]
+        if len(old) > 1:
+            self.versions.put(versions[len(old) - 1 :])
+        yield self.frame(out)
+
+
+def _stateful(events: DataFrame, key: str, processor: _Keyed, time_mode: str = "None", initial: DataFrame | None = None) -> DataFrame:
     ship(events.sparkSession)
-    timed = events.withColumn("at_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    return timed.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=StructType.fromDDL(processor.OUT), outputMode="Append", timeMode="ProcessingTime" if processor.TTL else time_mode)
+    processor.kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    micros = lambda df: df.withColumn("at_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    start = micros(initial).groupBy(key) if initial is not None else None
+    return micros(events).groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=StructType.fromDDL(processor.of(processor.OUT)), outputMode="Append", timeMode="ProcessingTime" if processor.TTL else time_mode, initialState=start)
 
 
-def transition_monitor(events: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
-    """Illegal transitions of (event_id, job_id, ts, status) as they happen; a job is forgotten ``ttl_s`` after its last event."""
+def transition_monitor(events: DataFrame, ttl_s: int | None = TTL_S) -> DataFrame:
+    """Illegal transitions of (event_id, job_id, ts, status) as they happen; a job is forgotten ``ttl_s`` after its last event (None: never)."""
     return _stateful(events, "job_id", Transitions(ttl_s))
 
 
@@ -277,7 +385,7 @@ def job_progress(lines: DataFrame, ttl_s: int = TTL_S) -> DataFrame:
 
 def debounce(events: DataFrame, seconds: int) -> DataFrame:
     """The streaming form of the cooldown filter on (event_id, job_id, ts)."""
-    return _stateful(events, "job_id", Debounce(seconds))
+    return _stateful(events, "job_id", Debounce(seconds)).select("job_id", "event_id", F.timestamp_micros("ts_us").alias("ts"))
 
 
 def stale_timers(events: DataFrame, limits: dict[str, int], delay: str = "1 minute") -> DataFrame:
@@ -290,9 +398,38 @@ def batch_done_alerts(events: DataFrame) -> DataFrame:
     return _stateful(events, "batch", BatchDone())
 
 
+def live_history(runs: DataFrame, initial: DataFrame | None = None, keep: int = 10, p: float = 0.8) -> DataFrame:
+    """signature, p80_vram_mb, p80_ram_mb, samples, last_seen of each signature whose last ``keep`` finished runs change: a stream of (signature,
+    job_id, finished_at, status, vram_mb, ram_mb).
+
+    The runs are a list in keyed state, so a batch reads and writes the signatures that it has and no others; ``initial``
+    (the same columns but status) is what was known before the stream first started. A run that comes again, by a retry or in another file, changes
+    nothing, and after a restart the state goes on from the checkpoint. :func:`jobscope.operators.integrity.latest_by_key` of what
+    was told is the history.
+    """
+    shaped = lambda df: df.select("signature", F.col("job_id").alias("event_id"), F.col("finished_at").alias("ts"), "vram_mb", "ram_mb")
+    known = shaped(initial.filter("finished_at is not null")) if initial is not None else None
+    told = _stateful(shaped(runs.filter("status in ('done', 'failed') and finished_at is not null")), "signature", History(keep, p), initial=known)
+    return told.select("signature", "p80_vram_mb", "p80_ram_mb", "samples", F.timestamp_micros("last_seen_us").alias("last_seen"))
+
+
+def enrich_as_known(jobs: DataFrame, estimates: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """event_id, job_id, signature, ts, vram_mb, ram_mb: each job event with the estimate that its signature had at that time.
+
+    Both are streams: jobs of (event_id, job_id, signature, ts), estimates of (signature, ts, vram_mb, ram_mb), as :func:`live_history` tells
+    them. They meet in one keyed state of versions; see :class:`AsKnown` for when a job is answered and what becomes of late ones.
+    """
+    kinds = {f.name: f.dataType for f in jobs.schema.fields}
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    asks = jobs.select("event_id", "job_id", "signature", "ts", F.lit(None).cast("bigint").alias("vram_mb"), F.lit(None).cast("bigint").alias("ram_mb"), F.lit(False).alias("is_estimate"))
+    known = estimates.select(none("event_id"), none("job_id"), "signature", "ts", F.col("vram_mb").cast("bigint").alias("vram_mb"), F.col("ram_mb").cast("bigint").alias("ram_mb"), F.lit(True).alias("is_estimate"))
+    told = _stateful(asks.unionByName(known).withWatermark("ts", delay), "signature", AsKnown(), "EventTime")
+    return told.select("event_id", "job_id", "signature", F.timestamp_micros("at_us").alias("ts"), "vram_mb", "ram_mb")
+
+
 def fold_history(spark: SparkSession, recent_path: str, history_path: str, keep: int = 10):
     """A foreachBatch function: folds finished runs into the last ``keep`` runs of each signature, and writes the refreshed history of the
-    touched signatures.
+    touched signatures. Each batch rewrites all signatures' runs; :func:`live_history` keeps them in state instead and doesn't.
 
     ``recent_path`` has a folder for each batch with those runs after it, ``history_path`` one with what changed. A batch reads
     the folder before its own and no older ones, so its work is bounded by signatures and not by all runs ever; one that is

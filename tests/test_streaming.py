@@ -174,6 +174,145 @@ def test_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "ev")).count() == 1
 
 
+def test_live_history(spark, tmp_path):
+    """State of ten runs a signature: equal to the batch operator over all runs ever, from stored history on, after a restart, with runs that come twice."""
+    at = lambda s: T0 + datetime.timedelta(seconds=s)
+    schema = "signature string, job_id string, finished_at timestamp, status string, vram_mb long, ram_mb long"
+    rng = random.Random(8)
+    row = lambda i: (rng.choice(["s", "s", "t", "u"]), f"j{i:03d}", at(rng.randrange(5000)), rng.choice(["done", "failed", "running"]), rng.choice([None, *range(50)]), rng.randrange(50))
+    parts = [[row(100 * b + i) for i in range(25)] for b in range(4)]
+    old = spark.createDataFrame([("s", f"o{i:02d}", at(-100 + i), "done", 99, i) for i in range(12)] + [("old", "z", at(-5), "done", 7, 7)], schema)
+    folder, out = str(tmp_path / "runs"), str(tmp_path / "told")
+    add = lambda part: spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+
+    def fold():
+        stream = streaming.stream_events(spark, folder, schema, files_per_batch=1)
+        q = streaming.live_history(stream, old.drop("status")).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.read.parquet(out)
+
+    add(parts[0])
+    fold()
+    add(parts[1] + parts[0][:9])  # some again
+    fold()
+    told = fold().count()
+    add(parts[1])  # a file of nothing new
+    assert fold().count() == told
+    add(parts[2])
+    every = old.unionByName(spark.createDataFrame(parts[0] + parts[1] + parts[2], schema)).filter("status in ('done', 'failed') and signature <> 'old'")
+    newest = fold().groupBy("signature").agg(F.max_by(F.struct("p80_vram_mb", "p80_ram_mb", "samples", "last_seen"), F.struct("samples", "last_seen")).alias("r")).select("signature", "r.*")
+    want = {r["signature"]: tuple(r) for r in history.p80_history(every).collect()}
+    last = {r["signature"]: r["last_seen"] for r in newest.collect()}
+    assert set(last) == set(want) and all(last[k] == want[k][4] for k in want)
+    final = [tuple(r) for r in spark.read.parquet(out).collect()]
+    assert all(want[k] in final for k in want) and max(len([r for r in final if r[0] == k]) for k in want) <= 3  # a row a batch that changed it
+
+
+def test_estimates_as_they_were(spark, tmp_path):
+    """A job gets the estimate of its time, also after a newer one has come; late jobs as defined; restart included."""
+    at = lambda s: T0 + datetime.timedelta(seconds=s)
+    jobs, known = str(tmp_path / "jobs"), str(tmp_path / "known")
+    job_schema, known_schema = "event_id string, job_id string, signature string, ts timestamp", "signature string, ts timestamp, vram_mb long, ram_mb long"
+    add_job = lambda *rows_: spark.createDataFrame([(f"e{j}", f"j{j}", s, at(t)) for j, s, t in rows_], job_schema).coalesce(1).write.mode("append").parquet(jobs)
+    add_known = lambda *rows_: spark.createDataFrame([(s, at(t), v, 2 * v) for s, t, v in rows_], known_schema).coalesce(1).write.mode("append").parquet(known)
+    out = str(tmp_path / "out")
+
+    def go():
+        told = streaming.enrich_as_known(streaming.stream_events(spark, jobs, job_schema), streaming.stream_events(spark, known, known_schema), "10 seconds")
+        q = told.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return {r["job_id"]: (r["vram_mb"], r["ram_mb"]) for r in spark.read.parquet(out).collect()}
+
+    add_known(("a", 100, 1), ("a", 200, 2), ("b", 150, 5))
+    add_job((1, "a", 50), (2, "a", 120), (3, "a", 205), (4, "b", 150), (5, "c", 160))
+    go()
+    add_known(("a", 203, 3), ("a", 400, 4), ("x", 1000, 0))  # the first of these is out of order, not late
+    add_job((6, "a", 390), (7, "x", 1100))
+    got = go()
+    assert got == {"j1": (None, None), "j2": (1, 2), "j3": (3, 6), "j4": (5, 10), "j5": (None, None), "j6": (3, 6)}
+    add_job((8, "a", 500), (9, "a", 1200))  # the first is too late
+    add_known(("x", 2000, 0))
+    assert set(go()) == {"j1", "j2", "j3", "j4", "j5", "j6", "j7", "j9"} and go()["j9"] == (4, 8)
+
+
+def test_rotated_log(spark, tmp_path, monkeypatch):
+    """Rotation between and within batches, lines not written to their ends, restarts: each event once. A generation lost unread is an error."""
+    from jobscope.sources import rotated
+
+    log = tmp_path / "logs" / "watcher.log"
+    log.parent.mkdir()
+    (log.parent / "watcher.log.bak").write_text('{"event_id": "no"}\n')
+    say = lambda n: json.dumps({"event_id": f"e{n}", "ts": f"2024-01-01T00:00:{n % 60:02d}Z", "type": "t", "job_id": "1"}) + "\n"
+
+    def rotate():
+        for k in (2, 1):
+            if (old := log.parent / f"watcher.log.{k}").exists():
+                old.rename(log.parent / f"watcher.log.{k + 1}")
+        log.rename(log.parent / "watcher.log.1")
+
+    def read():
+        q = streaming.stream_rotated_events(spark, str(log)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return sorted(r[0] or r[1] for r in spark.read.parquet(str(tmp_path / "out")).select("event_id", "_corrupt_record").collect())
+
+    log.write_text(say(0) + "\n" + say(1) + say(2)[:20])
+    assert read() == ["e0", "e1"]
+    with log.open("a") as f:
+        f.write(say(2)[20:] + say(3))
+    rotate()
+    log.write_text(say(4))
+    assert read() == ["e0", "e1", "e2", "e3", "e4"]
+    rotate()
+    assert read() == ["e0", "e1", "e2", "e3", "e4"]
+    log.write_text(say(5) + "broken\n" + "".join(say(n) for n in range(10, 40)))
+    (log.parent / "watcher.log.1").write_text((log.parent / "watcher.log.1").read_text() + say(6))
+    assert read() == sorted(["broken", *(f"e{n}" for n in (*range(7), *range(10, 40)))])
+
+    monkeypatch.setattr(rotated, "RANGE_BYTES", 50)
+    reader = rotated.RotatedReader(str(log))
+    end = reader.latestOffset()
+    parts = reader.partitions({}, end)
+    lines = [x for p in parts for x in reader.read(p)]
+    assert len(parts) > 10 and sorted(v for v, _, _ in lines) == sorted(x for f in log.parent.glob("watcher.log*") if f.suffix != ".bak" for x in f.read_text().splitlines() if x)
+    (log.parent / "watcher.log.2").unlink()
+    with pytest.raises(FileNotFoundError):
+        [x for p in parts for x in reader.read(p)]
+
+
+def test_a_batch_written_again_is_there_once(spark, tmp_path):
+    path = str(tmp_path / "events")
+    folder = str(tmp_path / "in")
+    first, second = ([(f"e{k}{i}", k) for i in range(20)] for k in range(2))
+    fail = {"next": True}
+
+    def batch(df, n):
+        sources.write_event_batch(df, path, n)
+        if fail["next"]:
+            fail["next"] = False
+            raise RuntimeError("after writing")
+
+    def go(writer):
+        q = writer.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination(60)
+        except Exception as e:
+            assert "after writing" in str(e)
+
+    for part in (first, second):
+        spark.createDataFrame(part, "event_id string, k int").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("event_id string, k int").option("maxFilesPerTrigger", 1).parquet(folder)
+    go(stream.writeStream.foreachBatch(batch))
+    assert sources.read_event_batches(spark, path).count() == 20
+    go(stream.writeStream.foreachBatch(batch))
+    assert sorted(r["event_id"] for r in sources.read_event_batches(spark, path, "event_id string, k int").collect()) == sorted(e for e, _ in first + second)
+    sources.write_event_batch(spark.createDataFrame([("new", 9)], "event_id string, k int"), path, 1)
+    assert {r["event_id"] for r in spark.read.json(path).filter("batch = 1").collect()} == {"new"} and not [x for x in (tmp_path / "events").iterdir() if x.name[0] == "_"]
+    q = sources.stream_into_events(stream, str(tmp_path / "e2"), str(tmp_path / "c2"), once=True)
+    q.awaitTermination(60)
+    assert sources.read_event_batches(spark, str(tmp_path / "e2")).count() == 40
+
+
 def test_log_lines_over_blocks(spark, tmp_path):
     """Files of all line ends, some without one at their end, read whole and in blocks of a few bytes: as Python cuts lines, in many tasks."""
     import random
