@@ -537,3 +537,6 @@ query("str2_minute_rollup", "SELECT node, time_bucket(INTERVAL 1 MINUTE, ts) AS
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["agg2_p80_history"](spark, sf_dir)
+
+
+from jobscope.plans import streams  # noqa: E402, F401  registers the streams' queries

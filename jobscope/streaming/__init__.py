@@ -311,12 +311,12 @@ class AsKnown(_Keyed):
     before they get here, and counts them in the query's progress.
     """
 
-    OUT = "event_id {event_id}, job_id {job_id}, signature {signature}, at_us bigint, vram_mb bigint, ram_mb bigint"
+    OUT = "event_id string, job_id string, signature {signature}, at_us bigint, vram_mb bigint, ram_mb bigint"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.versions = handle.getListState("versions", "at bigint, vram bigint, ram bigint")
-        self.waiting = handle.getListState("waiting", self.of("at bigint, event_id {event_id}, job_id {job_id}"))
+        self.waiting = handle.getListState("waiting", "at bigint, event_id string, job_id string")
 
     def _list(self, state) -> list[tuple]:
         return [tuple(x) for x in state.get()] if state.exists() else []
@@ -343,7 +343,7 @@ class AsKnown(_Keyed):
         else:
             self.waiting.clear()
         out = []
-        for at, event_id, job_id in sorted(ready):
+        for at, event_id, job_id in sorted(ready, key=str):
             known = [v for v in versions if v[0] <= at]
             out.append((event_id, job_id, key[0], at, *(known[-1][1:] if known else (None, None))))
         old = [v for v in versions if v[0] <= due]
@@ -419,12 +419,14 @@ def enrich_as_known(jobs: DataFrame, estimates: DataFrame, delay: str = "10 minu
     Both are streams: jobs of (event_id, job_id, signature, ts), estimates of (signature, ts, vram_mb, ram_mb), as :func:`live_history` tells
     them. They meet in one keyed state of versions; see :class:`AsKnown` for when a job is answered and what becomes of late ones.
     """
-    kinds = {f.name: f.dataType for f in jobs.schema.fields}
-    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
-    asks = jobs.select("event_id", "job_id", "signature", "ts", F.lit(None).cast("bigint").alias("vram_mb"), F.lit(None).cast("bigint").alias("ram_mb"), F.lit(False).alias("is_estimate"))
+    # ids go as texts, as pandas would make numbers with gaps floats
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    text = lambda c: F.col(c).cast("string").alias(c)
+    own = lambda c: F.col(c).cast(jobs.schema[c].dataType).alias(c)
+    asks = jobs.select(text("event_id"), text("job_id"), "signature", "ts", F.lit(None).cast("bigint").alias("vram_mb"), F.lit(None).cast("bigint").alias("ram_mb"), F.lit(False).alias("is_estimate"))
     known = estimates.select(none("event_id"), none("job_id"), "signature", "ts", F.col("vram_mb").cast("bigint").alias("vram_mb"), F.col("ram_mb").cast("bigint").alias("ram_mb"), F.lit(True).alias("is_estimate"))
     told = _stateful(asks.unionByName(known).withWatermark("ts", delay), "signature", AsKnown(), "EventTime")
-    return told.select("event_id", "job_id", "signature", F.timestamp_micros("at_us").alias("ts"), "vram_mb", "ram_mb")
+    return told.select(own("event_id"), own("job_id"), "signature", F.timestamp_micros("at_us").alias("ts"), "vram_mb", "ram_mb")
 
 
 def fold_history(spark: SparkSession, recent_path: str, history_path: str, keep: int = 10):
