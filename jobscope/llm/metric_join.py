@@ -125,6 +125,21 @@ def _sets_of(rows: DataFrame, n: int) -> DataFrame:
     return map_texts(rows, run, "pivot bigint, set array<bigint>", id_column="nid", more=("pivot", "same"))
 
 
+def region_members(sets: DataFrame, percent: int) -> DataFrame:
+    """region, nid of ``sets`` (nid, set) for all regions of the first level that hold several; stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, sizes = _grouped(batch.column("set"))
+            keys = region_keys(np.split(flat, np.cumsum(sizes)[:-1]), percent) if batch.num_rows else []
+            nid = np.repeat(batch.column("nid").to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(nid, pa.int64())], ["region", "nid"])
+
+    keyed = stored(sets.select("nid", "set").mapInArrow(run, "region bigint, nid bigint"))
+    shared = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
+    return stored(keyed.join(shared, "region"))
+
+
 def _parted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """``rows`` (nid, ...) with the class, as linked so far, that each is of."""
     return rows.join(roots.select(F.col("u").alias("nid"), F.col("v").alias("root")), "nid", "left").withColumn("part", F.coalesce("root", "nid")).drop("root")
@@ -289,8 +304,9 @@ def _star(sets: DataFrame, percent: int) -> DataFrame:
     return stored(alike.select(F.col("nid").alias("u"), F.col("pivot").alias("v")))
 
 
-def _more_links(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """``roots`` (u, v) after the regions of ``members`` (region, nid; stored) that hold several classes are joined."""
+def join_regions(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """``roots`` (u, v: each set but the first of its class, and that one) after the regions of ``members`` (region, nid; stored) that hold
+    several classes are joined. ``sets``: nid, set (hashes as bigint, ascending if read as unsigned; stored)."""
     leaves: list[DataFrame] = []
     while True:
         rows = stored(_parted(members, roots))
@@ -333,7 +349,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, shingle_words: int =
     # a repeated row would give its set again
     texts = docs.filter("text is not null").select(row.alias("row"), "text").join(wanted, "row").dropDuplicates(["row", "nid"])
     sets = stored(_sets_of(texts.select("nid", "text", "pivot", "same"), shingle_words))
-    roots = _more_links(members.select("region", "nid"), sets, component_roots(_star(sets, percent)), percent)
+    roots = join_regions(members.select("region", "nid"), sets, component_roots(_star(sets, percent)), percent)
     least = _parted(nodes.select("nid", "same", "id"), roots)
     named = least.join(least.groupBy("part").agg(F.min("id").alias("component_id")), "part").select("same", "component_id")
     out = described.select("doc_id", "same", F.col("n").alias("n_shingles")).join(named, "same", "left")
