@@ -5,8 +5,9 @@ days, addresses, ...), a keyed Feistel network permutes the domain, and the numb
 layout, with separators, case and check digits as they must be. Equal values get equal pseudonyms in every document,
 different values different ones, and whoever has the key can undo it. What is permuted is the value and not its spelling: a
 telephone number with or without the country's 1, a day in any layout, a card or IBAN with or without spaces and an address
-in any case keep one pseudonym, each in its own spelling. Hosts of mail addresses, countries of IBANs, first digits of cards, and
-whether a day of the month is over 12 (which tells a month-first layout) stay as they are. A day first and a month first date can't be
+in any case keep one pseudonym, each in its own spelling; so do +49 and 0049, and an IPv6 address with or without its zeros. Hosts of mail addresses, countries
+of IBANs and telephones, first digits of cards, zeros of IPv6 addresses, and of a day whether its number is over 12 (which tells a month-first layout) and whether it or its month
+has one digit (which tells a layout without zeros) stay as they are. A day first and a month first date can't be
 told apart where both are possible; it is read day first. Of a card or IBAN with more digits or capitals behind
 it, the longest reading that passes its check is taken; where a pseudonym and what follows happen to pass as one, only the spans tell.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 import datetime
 import functools
 import hashlib
+import ipaddress
 import re
 import warnings
 from collections.abc import Callable
@@ -64,19 +66,25 @@ class Scrambler:
             if valid(n):
                 return n
 
-    def characters(self, text: str, alphabets: list[str], tweak: str) -> str:
-        """Permutes the characters that have an alphabet of more than one, as one number of mixed radix."""
+    def characters(self, text: str, alphabets: list[str], tweak: str, valid: Callable[[str], bool] | None = None) -> str:
+        """Permutes the characters that have an alphabet of more than one, as one number of mixed radix; with ``valid`` among the texts that it holds for."""
         n, size = 0, 1
         for c, a in zip(text, alphabets):
             if len(a) > 1:
                 n, size = n * len(a) + a.index(c), size * len(a)
-        n, out = self.number(n, size, f"{tweak}{len(text)}") if size > 1 else 0, []
-        for c, a in zip(reversed(text), reversed(alphabets)):
-            if len(a) > 1:
-                n, d = divmod(n, len(a))
-                c = a[d]
-            out.append(c)
-        return "".join(reversed(out))
+
+        def written(n: int) -> str:
+            out = []
+            for c, a in zip(reversed(text), reversed(alphabets)):
+                if len(a) > 1:
+                    n, d = divmod(n, len(a))
+                    c = a[d]
+                out.append(c)
+            return "".join(reversed(out))
+
+        if size == 1:
+            return text
+        return written(self.number(n, size, f"{tweak}{len(text)}", (lambda n: valid(written(n))) if valid else lambda n: True))
 
     # each takes the text matched and returns its pseudonym, or None if it isn't valid
 
@@ -107,11 +115,14 @@ class Scrambler:
         if national and digits[-10] in "23456789" and digits[-7] in "23456789":
             alphabets = ["23456789", DIGITS, DIGITS] * 2 + [DIGITS] * 4
             return _laid_out(text, digits[:-10] + self.characters(digits[-10:], alphabets, "phone"))
-        code = re.match(r"\+(\d{1,3})", text)
-        if not code or not 8 <= len(digits) <= 15:
+        if text[0] != "+" and not text.startswith("00"):
+            return None
+        abroad = digits[2:] if text[0] != "+" else digits
+        if not 8 <= len(abroad) <= 15 or abroad[0] == "0":
             return None
-        kept = min(len(code[1]), 2)
-        return _laid_out(text, digits[:kept] + self.characters(digits[kept:], [DIGITS] * (len(digits) - kept), "phone" + digits[:kept]))
+        kept = 1 if abroad[0] in "17" else 2  # the country, or the first two digits of three
+        new = self.characters(abroad[kept:], [DIGITS] * (len(abroad) - kept), "phone" + abroad[:kept])
+        return _laid_out(text, digits[: len(digits) - len(abroad) + kept] + new)
 
     def address(self, text: str) -> str | None:
         parts = text.split(".")
@@ -120,10 +131,31 @@ class Scrambler:
         n = self.number(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, "ip")
         return ".".join(map(str, n.to_bytes(4, "big")))
 
+    def address6(self, text: str) -> str | None:
+        try:
+            there = ipaddress.IPv6Address(text)
+        except ValueError:
+            return None
+        plain = there.compressed
+        starts = [i for i, c in enumerate(plain) if c != ":" and (i == 0 or plain[i - 1] == ":")]
+        alphabets = [c if c == ":" or c == "0" and i in starts else HEX[1:] if i in starts else HEX for i, c in enumerate(plain)]
+        shape = "".join(c if len(a) == 1 else "x" for c, a in zip(plain, alphabets))
+        cased = lambda x: bool(re.search("[a-f]", x))  # noqa: E731  letters tell capitals from small ones, so they come from letters
+        groups = ipaddress.IPv6Address(self.characters(plain, alphabets, "ip6" + shape, lambda x: cased(x) == cased(plain))).exploded.split(":")
+        before, gap, after = text.partition("::")
+        left, right = before.split(":") if before else [], after.split(":") if after else []
+        told = [[g.lstrip("0").zfill(len(part)) for part, g in zip(parts, part_groups)] for parts, part_groups in ((left, groups), (right, groups[len(groups) - len(right) :]))]
+        out = ":".join(told[0]) + gap + ":".join(told[1])
+        return out.upper() if text.upper() == text and text.lower() != text else out
+
     def date(self, text: str) -> str | None:
         sep = re.search(r"\D", text)[0]
-        a, b, c = map(int, text.split(sep))
-        if text[4] == sep:
+        parts = text.split(sep)
+        bare = any(len(x) == 1 for x in parts)
+        if bare and any(x[0] == "0" for x in parts):
+            return None  # neither with zeros nor without
+        a, b, c = map(int, parts)
+        if len(parts[0]) == 4:
             layout, day = "ymd", _day(a, b, c)
         else:
             layout, day = "dmy", _day(c, b, a)
@@ -131,11 +163,11 @@ class Scrambler:
                 layout, day = "mdy", _day(c, a, b)
         if day is None:
             return None
-        late = lambda n: datetime.date.fromordinal(n + FIRST_DAY).day > 12
-        kind = late(day - FIRST_DAY)
-        n = self.number(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "day", lambda n: late(n) == kind)
+        kind_of = lambda d: (d.day > 12, d.day < 10 or d.month < 10)
+        kind = kind_of(datetime.date.fromordinal(day))
+        n = self.number(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "day", lambda n: kind_of(datetime.date.fromordinal(n + FIRST_DAY)) == kind)
         d = datetime.date.fromordinal(n + FIRST_DAY)
-        y, m, d = f"{d.year:04d}", f"{d.month:02d}", f"{d.day:02d}"
+        y, m, d = f"{d.year:04d}", *(str(x) if bare else f"{x:02d}" for x in (d.month, d.day))
         return sep.join({"ymd": (y, m, d), "dmy": (d, m, y), "mdy": (m, d, y)}[layout])
 
     def email(self, text: str) -> str | None:
@@ -144,11 +176,16 @@ class Scrambler:
         return f"{''.join(n.upper() if c in UPPER else n for c, n in zip(name, new))}@{host}"
 
     def secret(self, text: str) -> str | None:
-        head = re.match(r"AKIA|password\s*=\s*|token\s*=\s*\"", text)[0]
+        head = re.match(_SECRET_HEAD, text)[0]
         body = text[len(head) :]
         if head == "AKIA":
             return head + self.characters(body, [UPPER + DIGITS] * len(body), "key")
-        return head + self.characters(body, [HEX] * len(body), "hex")
+        for alphabet in (HEX, HEX.upper()):
+            if set(body) <= set(alphabet):
+                return head + self.characters(body, [alphabet] * len(body), "hex")
+        kinds = [DIGITS if c in DIGITS else LOWER if c in LOWER else UPPER for c in body]
+        shape = "".join("0aA"[(DIGITS, LOWER, UPPER).index(k)] for k in kinds)
+        return head + self.characters(body, kinds, "word" + shape, lambda x: not (set(x) <= set(HEX) or set(x) <= set(HEX.upper())))
 
 
 def luhn(body: str) -> str:
@@ -183,21 +220,24 @@ def _laid_out(text: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in text)
 
 
+_SECRET_NAMES = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)"
+_SECRET_HEAD = rf"AKIA|{_SECRET_NAMES}\s?[:=]\s?[\"']?"
 #: One pattern for each kind, all starting where a word starts, so that long runs cost no more than their length.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"\bAKIA[A-Z0-9]{16}(?![A-Z0-9])|\bpassword\s?=\s?[0-9a-f]{8,64}(?![0-9A-Za-z])|\btoken\s?=\s?\"[0-9a-f]{16,64}(?=\")",
+    # a value of letters only is a secret if it is hexadecimal, after = or in quotes; else a word may follow the name
+    "secret": r"\bAKIA[A-Z0-9]{16}(?![A-Z0-9])|\b" + _SECRET_NAMES + r"\s?(?:=\s?(?:[0-9a-f]{8,64}|[0-9A-F]{8,64})|[:=]\s?[\"'](?:[0-9a-f]{8,64}|[0-9A-F]{8,64})|[:=]\s?[\"']?(?=[A-Za-z]{0,63}[0-9])[A-Za-z0-9]{8,64})(?![0-9A-Za-z])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
-    "date": r"(?<![\w.\-/])(?:[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}|[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{4})(?![\w\-/])",
+    "date": r"(?<![\w.\-/])(?:[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}|[0-9]{1,2}(?:/[0-9]{1,2}/|\.[0-9]{1,2}\.|-[0-9]{1,2}-)[0-9]{4})(?:(?=T[0-9]{2}:)|(?![\w\-/]))",
     "address": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?\w)",
+    "address6": r"(?<![\w:.])(?=[A-Fa-f:]{0,38}[0-9])(?:[0-9A-Fa-f]{1,4}|:)(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:.])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-]?[0-9]{2,4})?(?![\w-])",
+    "phone": r"(?<![\w+])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-]?[0-9]{2,4})?|(?:\+|00)[1-9][0-9]{0,14}(?:[ .-]?\(?[0-9]{1,12}\)?){0,6})(?![\w-])",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()), re.ASCII)
-_MAYBE = re.compile("[0-9@]|AKIA|password|token")
-#: Where a shorter card or IBAN may end: before a separator.
-_END = re.compile("[ -]")
+_LATER = {k: [re.compile(f"(?P<{o}>{KINDS[o]})", re.ASCII) for o in list(KINDS)[i + 1 :] if o in ("card", "phone")] for i, k in enumerate(KINDS)}
+_MAYBE = re.compile(f"[0-9@]|AKIA|{_SECRET_NAMES}")
 
 
 def pseudonymized(text: str | None, key: str, inverse: bool = False) -> tuple[str | None, list[tuple[int, int, str]]]:
@@ -206,25 +246,63 @@ def pseudonymized(text: str | None, key: str, inverse: bool = False) -> tuple[st
         return text, []
     with_key, spans, out, at, done = Scrambler(key, inverse), [], [], 0, 0
     while m := _ANY.search(text, at):
-        for end in _ends(m):
-            new = getattr(with_key, m.lastgroup)(text[m.start() : end])
-            if new is not None:
-                out += [text[done : m.start()], new]
-                spans.append((m.start(), end, m.lastgroup))
-                at = done = end
-                break
-        else:
+        kind, found = m.lastgroup, _read(m[0], m.lastgroup, with_key)
+        for other in _LATER[kind] if found is None else ():  # what isn't valid as one kind may be as another
+            if n := other.match(text, m.start()):
+                kind, found = n.lastgroup, _read(n[0], n.lastgroup, with_key)
+                if found is not None:
+                    break
+        if found is None:
             at = m.start() + 1  # another value may start within what isn't valid
+            continue
+        length, new = found
+        out += [text[done : m.start()], new]
+        spans.append((m.start(), m.start() + length, kind))
+        at = done = m.start() + length
     return "".join([*out, text[done:]]), spans
 
 
-def _ends(m: re.Match) -> list[int]:
-    """The match's end, and for cards and IBANs, which may have taken in the words after them, the shorter ones at separators."""
-    if m.lastgroup not in ("card", "iban"):
-        return [m.end()]
-    least = 15 if m.lastgroup == "iban" else 13  # the shortest country's; a card's
-    ends = [x.start() for x in _END.finditer(m[0]) if len(_END.sub("", m[0][: x.start()])) >= least]
-    return [m.end(), *(m.start() + e for e in reversed(ends))]
+def _read(text: str, kind: str, with_key: Scrambler) -> tuple[int, str] | None:
+    """(how much of a match is a value, its pseudonym), the longest reading that is valid."""
+    for end in _ends(text, kind):
+        new = getattr(with_key, kind)(text[:end])
+        if new is not None:
+            return end, new
+    return None
+
+
+def _ends(text: str, kind: str) -> list[int]:
+    """Where a match may end: at its end; a card or IBAN, which may have taken in the words after it, also before a separator, and only where its
+    check passes. The checks of all ends are sums and remainders of one walk over the match."""
+    if kind not in ("card", "iban"):
+        return [len(text)]
+    ends = []
+    if kind == "card":
+        sums, n = [0, 0], 0  # with every second digit doubled, from the first or from the second on
+        for i, c in enumerate(text):
+            if c in " -":
+                if n >= 13 and sums[n % 2] % 10 == 0:
+                    ends.append(i)
+                continue
+            d = ord(c) - 48
+            twice = 2 * d - 9 if d > 4 else 2 * d
+            sums[n % 2], sums[1 - n % 2] = sums[n % 2] + twice, sums[1 - n % 2] + d
+            n += 1
+        if n >= 13 and sums[n % 2] % 10 == 0:
+            ends.append(len(text))
+    else:
+        country, left, n = int(text[0], 36) * 100 + int(text[1], 36), 0, 0
+        check = lambda: n >= 11 and 98 - (left * 10_000 + country) * 100 % 97 == int(text[2:4])  # noqa: E731  15 characters: the shortest country's
+        for i, c in enumerate(text[4:], 4):
+            if c == " ":
+                if check():
+                    ends.append(i)
+                continue
+            left = (left * 10 + ord(c) - 48 if c <= "9" else left * 100 + ord(c) - 55) % 97
+            n += 1
+        if check():
+            ends.append(len(text))
+    return ends[::-1]
 
 
 #: The session's setting that holds the secret, and the published key that stands in, with a warning, where it is unset.
