@@ -15,11 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .folds import bounded, held_out
+from .folds import held_out, share_picked
 from .words import map_texts, mix
 
 DIM = 1024
 
+#: Trigrams whose vectors are held at a time.
+STEP_GRAMS = 4096
+
 #: Prototypes are bundled from about so many texts, if there are more.
 MAX_TRAINING_ROWS = 20_000
 
@@ -39,7 +42,7 @@ def letter_vectors(codes: np.ndarray, dim: int = DIM) -> np.ndarray:
     seeds = mix(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     blocks = [mix(seeds + np.uint64((k + 1) * 0xD1342543DE82EF95 % 2**64)) for k in range(dim // 64)]
     bits = np.unpackbits(np.stack(blocks, axis=1).view(np.uint8), axis=1)
-    return (bits.astype(np.float32) * 2 - 1).reshape(len(codes), dim)
+    return (bits.astype(np.int8) * 2 - 1).reshape(len(codes), dim)
 
 
 def text_vectors(texts: list[str | None], dim: int = DIM) -> np.ndarray:
@@ -65,14 +68,18 @@ def text_vectors(texts: list[str | None], dim: int = DIM) -> np.ndarray:
     pairs, count = np.unique(owner[:-2][inner] * np.int64(len(grams)) + g, return_counts=True)
     vectors = letter_vectors(letters, dim)
     twice, once = np.roll(vectors, 2, axis=1), np.roll(vectors, 1, axis=1)
-    step = max(1, (1 << 24) // max(1, len(texts)))  # bounds the dense table of counts
-    for at in range(0, len(grams), step):
-        part = grams[at : at + step]
-        bound = twice[part // (n * n)] * once[part // n % n] * vectors[part % n]
-        mine = (pairs % len(grams) >= at) & (pairs % len(grams) < at + step)
+    order = np.argsort(pairs % len(grams), kind="stable")
+    text, gram, count = pairs[order] // len(grams), pairs[order] % len(grams), count[order]
+    # whatever the alphabet, no more than STEP_GRAMS trigrams have vectors at a time
+    for at in range(0, len(grams), STEP_GRAMS):
+        part = grams[at : at + STEP_GRAMS]
+        bound = twice[part // (n * n)]
+        bound *= once[part // n % n]
+        bound *= vectors[part % n]
+        a, b = np.searchsorted(gram, (at, at + STEP_GRAMS))
         table = np.zeros((len(texts), len(part)), np.float32)
-        table[pairs[mine] // len(grams), pairs[mine] % len(grams) - at] = count[mine]
-        out += table @ bound
+        table[text[a:b], gram[a:b] - at] = count[a:b]
+        out += table @ bound.astype(np.float32)
     return out
 
 
@@ -83,7 +90,8 @@ def fit_prototypes(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS, dim: int
     """
     known = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null").filter(~held_out())
     rows = docs.select("doc_id", "lang").filter("lang is not null").filter(~held_out()).count()
-    known = known.filter(bounded("doc_id", rows, max_rows)).select("text", "lang")
+    # by text and id, so that an id which many rows have is sampled like any other rows
+    known = known.filter(share_picked(F.xxhash64("doc_id", "text"), max_rows / max(1, rows))).select("text", "lang")
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
