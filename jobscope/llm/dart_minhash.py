@@ -10,7 +10,7 @@ coordinate with the chance of their (weighted) Jaccard similarity.
 Signatures are cut into bands; texts that share a band are candidates, and candidates are links if their sets of
 shingles have a Jaccard similarity of ``threshold`` at least, the same measure that the signatures estimate. In small groups all
 are compared with all; a large one's members are compared with its first, and if that leaves it in several parts, its texts are joined
-anew, exactly, by :mod:`metric_join`. Classes are the connected components of the links.
+anew, exactly, by their rarest shingles, and where too many texts share one of those by :mod:`metric_join`. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import component_roots
 from .metric_join import join_regions, region_members
@@ -33,6 +34,10 @@ _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 #: Members of a band's group up to which all are compared with all.
 CROWD = 8
+#: Size of the table of guessed shingle counts, a power of two.
+BUCKETS = 1 << 20
+#: Pairs that a rare shingle may give; the texts of one that would give more are joined by regions.
+KEY_PAIRS = 1 << 18
 
 
 def _darts(cells: np.ndarray, part: np.ndarray, limit: np.ndarray, owner: np.ndarray, k: int):
@@ -122,6 +127,58 @@ def _parted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
 
 
+def _rare_keys(dense: DataFrame, threshold: float) -> DataFrame:
+    """node, part, key, place, size: the rarest shingles of each set of ``dense`` (node, part, set; stored), as many as make
+    sure that two sets of the similarity ``threshold`` share one (prefix filter). ``place``: of the key in the set's order.
+
+    Any order of the shingles gives all pairs; rarity is guessed from counts in a table of fixed size.
+    """
+    counted = dense.select(F.explode("set").alias("s")).groupBy(F.expr(f"s & {BUCKETS - 1}").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    often = np.zeros(BUCKETS, np.uint8)
+    often[counted["bucket"].to_numpy()] = 8 * np.log2(counted["n"].to_numpy())
+    out = T.StructType([*dense.drop("set").schema.fields, *T.StructType.fromDDL("key int, place int, size int").fields])
+
+    def run(batches):
+        for batch in batches:
+            index, keys, places, sizes = [], [], [], []
+            for i, x in enumerate(batch.column("set")):
+                x = x.values.to_numpy()
+                n = len(x) - math.ceil(threshold * len(x) - 1e-9) + 1
+                keys.append(x[np.lexsort((x, often[x & (BUCKETS - 1)]))[:n]])
+                index.append(np.full(len(keys[-1]), i))
+                places.append(np.arange(len(keys[-1])))
+                sizes.append(np.full(len(keys[-1]), len(x)))
+            at = pa.array(np.concatenate(index)) if index else pa.array([], pa.int64())
+            made = [pa.array(np.concatenate(c) if c else [], pa.int32()) for c in (keys, places, sizes)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("node", "part")), *made], ["node", "part", "key", "place", "size"])
+
+    return dense.select("node", "part", "set").mapInArrow(run, out)
+
+
+def _rare_pairs(dense: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs (center, node) of texts of different parts that can be similar enough, by their rarest shingles; texts (node) that share
+    one with too many to be paired by it, stored).
+
+    A key's texts that aren't of its largest part are compared with all others, so a part that most texts are in already
+    isn't compared with itself. Two similar texts share a key that gives pairs, or one that doesn't, and are then both among the texts told.
+    """
+    rare = stored(_rare_keys(dense, threshold))
+    parts = rare.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    most = parts.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max("n").alias("largest"))
+    most = stored(most.filter("parts > 1").withColumn("crowded", (F.col("n") - F.col("largest")) * F.col("n") > KEY_PAIRS).select("key", "most", "crowded"))
+    mixed = stored(rare.join(most, "key"))
+    crowded = stored(mixed.filter("crowded").select("node").distinct())
+    mixed = mixed.filter("not crowded").drop("crowded")
+    # what is still to come after the key's places in both sets must be enough for the overlap that the threshold asks for
+    close = (
+        f"a.size >= {threshold} * b.size - 1e-6 and b.size >= {threshold} * a.size - 1e-6 and "
+        f"least(a.size - a.place, b.size - b.place) >= {threshold / (1 + threshold)} * (a.size + b.size) - 1e-6"
+    )
+    few = mixed.filter("part != most").alias("a")
+    met = few.join(mixed.alias("b"), F.expr(f"a.key = b.key and a.part != b.part and (b.part = b.most or a.node > b.node) and {close}"))
+    return met.select(F.least("a.node", "b.node").alias("center"), F.greatest("a.node", "b.node").alias("node")), crowded
+
+
 def _crowd_edges(dense: DataFrame, threshold: float) -> DataFrame:
     """u, v: ``dense`` texts (node, part, set) that are no first of their class, and the first, after an exact join; stored.
 
@@ -156,7 +213,12 @@ def _component_edges(texts: DataFrame, signed: DataFrame, threshold: float) -> D
     crowd = stored(large.join(mixed, "key", "left_semi").select("node").distinct())
     if not crowd.isEmpty():
         dense = stored(_parted(sets.join(crowd, "node"), roots))
-        roots = component_roots(stored(roots.unionByName(_crowd_edges(dense, threshold)).distinct()))
+        pairs, crowded = _rare_pairs(dense, threshold)
+        more = _links(pairs, sets, threshold)
+        if not crowded.isEmpty():
+            more = more.unionByName(_crowd_edges(dense.join(crowded, "node", "left_semi"), threshold))
+        if not more.isEmpty():
+            roots = component_roots(stored(roots.unionByName(more).distinct()))
     return None if roots.isEmpty() else roots
 
 

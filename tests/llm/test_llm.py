@@ -121,8 +121,10 @@ def classes_of(spark, texts):
     return dict(zip(got["doc_id"], got["class_id"]))
 
 
-def test_a_crowd_loses_no_pair_near_the_threshold(spark):
+@pytest.mark.parametrize("key_pairs", [1 << 18, 10])
+def test_a_crowd_loses_no_pair_near_the_threshold(spark, monkeypatch, key_pairs):
     """Pairs of 0.80 to 0.85 among documents that share most of a passage and so crowd the bands."""
+    monkeypatch.setattr(dart_minhash, "KEY_PAIRS", key_pairs)
     rng = random.Random(14)
     passage = prose(rng, 90, "p").split()
     texts = []
