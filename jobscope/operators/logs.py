@@ -126,10 +126,23 @@ def line_signals(lines: DataFrame) -> DataFrame:
     return told.drop("_bars", "_both")
 
 
+#: Bytes of lines for each core up to which they are dealt out anew before they are parsed.
+SPREAD_BYTES = 64 << 20
+
+
+def _spread(lines: DataFrame) -> DataFrame:
+    """``lines`` over all cores where there are few enough of them to lie in a split or two: parsing is what costs, and one row group of
+    lines would be parsed in one task. Large inputs, whose scan has many splits, stay as they are read; so do streams."""
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    if lines.isStreaming or int(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > cores * SPREAD_BYTES:
+        return lines
+    return lines.repartition(cores)
+
+
 def signals(log: DataFrame) -> DataFrame:
     """All signals of each job in one pass, see :func:`line_signals`; of each the latest line's that has one. ``seq`` numbers a job's
     lines; of lines that share a number any counts."""
-    return _latest(line_signals(log.select("job_id", "seq", "line")), "remaining", "both_elapsed", "both_remaining", "inline", "pair_current", "pair_total", "current")
+    return _latest(line_signals(_spread(log.select("job_id", "seq", "line"))), "remaining", "both_elapsed", "both_remaining", "inline", "pair_current", "pair_total", "current")
 
 
 def bar_remaining(log: DataFrame) -> DataFrame:
