@@ -271,18 +271,20 @@ def eviction_candidates(gpus: DataFrame, jobs: DataFrame, order: str = "longest"
     return on.groupBy("node", "gpu_idx").agg(F.count(F.lit(1)).alias("n"), F.max_by("job_id", by).alias("job_id")).filter("n >= 2").drop("n")
 
 
-def rebalance_candidates(jobs: DataFrame, load: DataFrame, now: Column | None = None, min_eta: int = 300, max_ckpt_mb: int = 2048, cooldown_s: int = 1800) -> DataFrame:
+def rebalance_candidates(jobs: DataFrame, load: DataFrame, now: Column | None = None, min_eta: int = 300, max_ckpt_mb: int = 2048, cooldown_s: int = 1800, max_cwd_mb: int = 1024) -> DataFrame:
     """source, target, job_id: from nodes with over 600 s and twice a target's load (which is under 600 s), the movable job
     with the longest ETA; the least loaded target. load: node, eta_load.
 
     Movable: running, on the node by no more than a preference (no require_node), not adopted, with ``min_eta`` seconds left; and, where
-    ``jobs`` tells, a checkpoint (ckpt_mb) of ``max_ckpt_mb`` at most and no move (moved_at) within ``cooldown_s``.
+    ``jobs`` tells, a checkpoint (ckpt_mb) of ``max_ckpt_mb`` and a working folder (cwd_mb) of ``max_cwd_mb`` at most and no move (moved_at)
+    within ``cooldown_s``.
     """
     least = load.filter("eta_load < 600").agg(F.min(F.struct("eta_load", "node")).alias("t")).select("t.*").toDF("t_load", "target")
     pairs = load.join(F.broadcast(least), (F.col("eta_load") > 2 * F.col("t_load")) & (F.col("eta_load") > 600)).select(F.col("node").alias("source"), "target")  # one row
     movable = jobs.filter((F.col("status") == "running") & F.col("require_node").isNull() & ~F.coalesce("auto_adopted", F.lit(False)) & (F.col("eta_seconds") >= min_eta))
-    if "ckpt_mb" in jobs.columns:
-        movable = movable.filter(F.coalesce("ckpt_mb", F.lit(0)) <= max_ckpt_mb)
+    for column, most in (("ckpt_mb", max_ckpt_mb), ("cwd_mb", max_cwd_mb)):
+        if column in jobs.columns:
+            movable = movable.filter(F.coalesce(column, F.lit(0)) <= most)
     if "moved_at" in jobs.columns:
         movable = movable.filter(F.coalesce(seconds_between(F.col("moved_at"), F.current_timestamp() if now is None else now) >= cooldown_s, F.lit(True)))
     best = movable.groupBy(F.col("node").alias("source")).agg(F.max_by("job_id", F.struct("eta_seconds", "job_id")).alias("job_id"))

@@ -128,6 +128,8 @@ def test_rebalance_rules(spark):
     load = spark.createDataFrame([("n", 14900), ("idle", 0)], "node string, eta_load long")
     assert rows(capacity.rebalance_candidates(jobs, load, F.lit(at(0)))) == [("n", "idle", 1)]
     assert rows(capacity.rebalance_candidates(jobs, load, F.lit(at(3600)))) == [("n", "idle", 3)]
+    sized = jobs.withColumn("cwd_mb", F.when(F.col("job_id") == 3, 1025).when(F.col("job_id") == 1, 1024))
+    assert rows(capacity.rebalance_candidates(sized, load, F.lit(at(3600)))) == [("n", "idle", 1)]
 
 
 def test_peak_against_a_limit(spark):
