@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .packing import _PLAIN
-from .words import lists, map_texts
+from .words import in_steps, lists, map_texts
 from .workspace import stored, stored_parts
 
 #: Steps of the merge in a piece.
@@ -235,17 +235,6 @@ def align(texts: list[str | None], t: Tokenizers, piece_steps: int = PIECE_STEPS
     return {**out, "groups_sha256": digests, "pairs": pairs, "times": times}
 
 
-def _in_steps(texts: list[str | None]) -> Iterator[list[str | None]]:
-    part, chars = [], 0
-    for text in texts:
-        if part and chars + len(text or "") > STEP_CHARS:
-            yield part
-            part, chars = [], 0
-        part.append(text)
-        chars += len(text or "")
-    yield part
-
-
 def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times of every row: what each text says by itself."""
     t = tokenizers(a_path, b_path)
@@ -253,7 +242,7 @@ def aligned(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
 
     def run(texts):
         t = tokenizers(a_path, b_path)
-        found = [align(part, t) for part in _in_steps(texts)]
+        found = [align(part, t) for part in in_steps(texts, STEP_CHARS)]
         made = {c: np.concatenate([f[c] for f in found]) for c in ("n_a", "n_b", "n_groups", "n_links")}
         flat = {c: [x for f in found for x in f[c]] for c in ("groups_sha256", "pairs", "times")}
         return range(len(texts)), {**made, "groups_sha256": flat["groups_sha256"], "pairs": lists(flat["pairs"], kind), "times": lists(flat["times"], pa.int32())}

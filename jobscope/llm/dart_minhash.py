@@ -27,13 +27,15 @@ from pyspark.sql import types as T
 
 from .components import component_roots
 from .metric_join import join_regions, region_members
-from .words import lists, map_texts, mix, shingles, words
+from .words import in_steps, lists, map_texts, mix, shingles, words
 from .workspace import stored
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 #: Members of a band's group up to which all are compared with all.
 CROWD = 8
+#: Characters of texts that are signed at a time (a longer text is alone).
+STEP_CHARS = 1 << 19
 #: Size of the table of guessed shingle counts, a power of two.
 BUCKETS = 1 << 20
 #: Pairs that a rare shingle may give; the texts of one that would give more are joined by regions.
@@ -101,7 +103,8 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _signed(bands: int, rows: int) -> Callable:
-    def run(texts, raw):
+    def signed(texts: list[str | None]) -> list[tuple]:
+        """(what names its words, set, bands) of each text."""
         found = [words(t) for t in texts]
         some = [i for i, f in enumerate(found) if f]
         weighted = {i: weighted_set(found[i]) for i in some}
@@ -109,7 +112,11 @@ def _signed(bands: int, rows: int) -> Callable:
         by, none = dict(zip(some, keys)), np.empty(0, np.int64)
         sets = [np.unique(weighted[i][0].astype(np.uint32).view(np.int32)) if i in weighted else none for i in range(len(texts))]
         ids = [xxhash.xxh3_128_digest(("w" + " ".join(f)) if f else "t" + t) if t is not None else None for f, t in zip(found, texts)]
-        return range(len(texts)), {"raw": raw, "same": ids, "set": lists(sets, pa.int32()), "bands": lists([by.get(i, none) for i in range(len(texts))], pa.int64())}
+        return [(ids[i], sets[i], by.get(i, none)) for i in range(len(texts))]
+
+    def run(texts, raw):
+        told = [x for part in in_steps(texts, STEP_CHARS) for x in signed(part)]
+        return range(len(texts)), {"raw": raw, "same": [x[0] for x in told], "set": lists([x[1] for x in told], pa.int32()), "bands": lists([x[2] for x in told], pa.int64())}
 
     return run
 

@@ -87,6 +87,18 @@ def map_texts(df: DataFrame, fn: Callable[[list[str | None]], tuple[list[int] |
     return df.select(id_column, "text", *more).mapInArrow(run, StructType([*StructType().add(id_column, kind).fields, *out.fields]))
 
 
+def in_steps(texts: list[str | None], chars: int) -> Iterator[list[str | None]]:
+    """``texts`` in runs of about ``chars`` characters at most; a longer text is alone."""
+    part, n = [], 0
+    for text in texts:
+        if part and n + len(text or "") > chars:
+            yield part
+            part, n = [], 0
+        part.append(text)
+        n += len(text or "")
+    yield part
+
+
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     """A list column from arrays."""
     offsets = np.zeros(len(values) + 1, np.int32)
