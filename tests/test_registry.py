@@ -23,7 +23,7 @@ def rows(pdf):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["agg2_p80_history", "log9_estimate_eta", "join13_estimate_as_of", "chk6_illegal_transitions", "cap3_fit_matrix"])
+@pytest.mark.parametrize("name", ["agg2_p80_history", "agg12_latest_checkpoint", "log9_estimate_eta", "join4_ckpt_overlaps", "join6_lineage", "join13_estimate_as_of", "chk3_diagnose_terminal", "chk6_illegal_transitions", "cap3_fit_matrix", "cap4_best_slot", "cap5_blocked_summary", "src4_read_log_lines", "str10_live_history"])
 def test_twins_agree(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
