@@ -514,6 +514,31 @@ def test_toxicity(spark, docs, labels):
     assert toxicity.score_toxicity(nothing(docs), model).count() == 0 and toxicity.remove_toxic(docs, model).columns == docs.columns
 
 
+def test_toxicity_learns_from_all_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    ids = [i for i in range(12_000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"{prose(rng, 5)} {'nasty' if i % 16 == 0 else 'nice'} only{i % 50}", f"l{i}" if i % 200 == 1 else "en") for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    marks = spark.createDataFrame([(i, int(i % 16 == 0)) for i in ids], "doc_id long, toxic int")
+    known = toxicity._labelled(df, marks)
+    seen, n, langs = toxicity._counts(known)
+    fitted = [i for i in ids if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert n.tolist() == [sum(i % 16 > 0 for i in fitted), sum(i % 16 == 0 for i in fitted)]
+    assert set(langs) == {x for _, _, x in rows} and all(w.sum() == sum(len(toxicity.words(t)) for _, t, x in rows if x == lang) for lang, w in langs.items())
+    at = [part[0] for part in toxicity._split(toxicity.word_ids("nasty"))]
+    assert seen[1][at].tolist() == [n[1]] * 3
+    model = toxicity.fit_toxicity(df, marks)
+    assert model.languages.shape[1] == len(langs)
+    # many cells: each is one task's, in one order, however the rows come
+    monkeypatch.setattr(toxicity, "CELL_ROWS", 1000)
+    assert toxicity._labelled(df, marks).select("cell").distinct().count() == 10
+    mixed, other = (toxicity.fit_toxicity(x, marks, epochs=2) for x in (df, df.repartition(3)))
+    assert (mixed.embedding == other.embedding).all() and (mixed.thresholds == other.thresholds).all()
+    assert (mixed.embedding != model.embedding).any()
+    for m in (model, mixed):
+        assert all((m.score(toxicity.word_ids(f"so {w} only{k}")) >= 0.5) == (w == "nasty") for w in ("nasty", "nice") for k in range(50))
+
+
 def test_training_sample_is_bounded(spark):
     docs = spark.range(4000).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3500).alias("text"), F.lit("en").alias("lang"))
     marks = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
