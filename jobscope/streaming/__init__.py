@@ -5,13 +5,15 @@ Those whose state has a time to live run a batch at any time to end it, so they
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from jobscope.functions import TERMINAL
 from jobscope.operators.capacity import minute_rollup as _rollup
@@ -25,6 +27,12 @@ from jobscope.sources.rotated import RotatedLog
 #: How long a job's state is kept after its last event, where it isn't removed before.
 TTL_S = 7 * 86_400
 
+#: Parts that keys are dealt to where a call works on many keys, and rows of a part's state that are read and written together, at most on average; see :class:`_Chunks`.
+PARTS, CHUNK_ROWS = 256, 1_000
+
+#: Null in columns of whole numbers, which pandas would turn into floats.
+NONE = -(2**63)
+
 
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -109,6 +117,55 @@ class _Keyed(StatefulProcessor):
         pass
 
 
+def _packed(rows: pd.DataFrame) -> bytes:
+    batch, sink = pa.RecordBatch.from_pandas(rows, preserve_index=False).replace_schema_metadata(None), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blobs: Iterable[bytes]) -> pd.DataFrame | None:
+    frames = [pa.ipc.open_stream(bytes(b)).read_pandas() for b in blobs]
+    return pd.concat(frames, ignore_index=True) if frames else None
+
+
+class _Chunks:
+    """Many rows of a part's state, in chunks by their column ``hash``. A call to the state store takes as long as the work on hundreds of rows, so rows
+    are read and written a chunk at a time, as Arrow streams, and only the chunks that a batch's rows fall in.
+
+    The number of chunks doubles where they would have more than ``CHUNK_ROWS`` rows on average.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str):
+        self.chunks = handle.getMapState(name, "chunk int", "rows binary")
+        self.size = handle.getValueState(f"{name}_size", "chunks int, n bigint")
+
+    def read(self, hashes: pd.Series) -> pd.DataFrame | None:
+        """The rows of the chunks that ``hashes`` fall in."""
+        self.count, self.n = self.size.get() or (1, 0)
+        found = {c: v[0] for c in np.unique(hashes & (self.count - 1)).tolist() if (v := self.chunks.getValue((c,))) is not None}
+        self.open, rows = set(found), _unpacked(found.values())
+        self.n -= 0 if rows is None else len(rows)
+        return rows
+
+    def write(self, rows: pd.DataFrame) -> None:
+        """Puts ``rows``, which fall in the chunks that were read last, in place of what those had."""
+        n, count = self.n + len(rows), self.count
+        while n > CHUNK_ROWS * count:
+            count *= 2
+        if count > self.count:
+            others = _unpacked(v[0] for c, v in self.chunks.iterator() if c[0] not in self.open)
+            rows = rows if others is None else pd.concat([rows, others], ignore_index=True)
+            self.chunks.clear()
+            self.open = set()
+        parts = dict(tuple(rows.groupby(rows["hash"] & (count - 1), sort=False))) if count > 1 else {0: rows} if n else {}
+        for c in self.open - set(parts):
+            self.chunks.removeKey((c,))
+        for c, part in parts.items():
+            self.chunks.updateValue((int(c),), (_packed(part),))
+        self.size.update((count, n))
+
+
 class Transitions(_Keyed):
     """Illegal changes of status as they come. A job that is done and runs again is one, so its status is kept after
     its end, for the time to live and no longer."""
@@ -243,30 +300,48 @@ class StaleTimers(_Keyed):
 
 class BatchDone(_Keyed):
     """One alert when all jobs of a batch, whose size each event carries, are in a terminal status at the same time: one that failed
-    and waits again isn't. Once it is told, what is known of the jobs goes and only that stays."""
+    and waits again isn't. Once it is told, what is known of the jobs goes and only that stays.
+
+    A part's batches and their jobs are two tables of rows. A batch's jobs lie together, in ``spread`` places for a large one, so a batch of events reads
+    and writes its own jobs and what happens to share their chunks.
+    """
 
-    STATE = "finished bigint, told boolean"
     OUT = "batch {batch}, jobs bigint"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.jobs = handle.getMapState("jobs", self.of("job_id {job_id}"), "at bigint, done boolean")
+        self.batches, self.jobs = _Chunks(handle, "batches"), _Chunks(handle, "jobs")
 
     def handleInputRows(self, key, rows, timerValues):
-        finished, told = self.last() or (0, False)
-        size = 0
-        for r in self.ordered(rows).itertuples() if not told else ():
-            size = int(r.batch_size)
-            at, before = self.jobs.getValue((r.job_id,)) if self.jobs.containsKey((r.job_id,)) else (-1, False)
-            if r.at_us >= at:
-                done = r.status in TERMINAL
-                self.jobs.updateValue((r.job_id,), (r.at_us, done))
-                finished += int(done) - int(before)
-        done = size > 0 and finished >= size
-        if done:
-            self.jobs.clear()
-        self.state.update((0 if done else finished, told or done))
-        yield self.frame([(key[0], size)] if done else [])
+        pdf = self.ordered(rows)
+        sizes = pdf[["batch_hash", "batch", "batch_size"]].drop_duplicates("batch", keep="last").rename(columns={"batch_hash": "hash"})
+        batches, new = self.batches.read(sizes["hash"]), sizes[["hash", "batch"]].assign(spread=np.maximum(1, sizes["batch_size"] // CHUNK_ROWS), finished=0, told=False)
+        batches = pd.concat([batches, new], ignore_index=True).drop_duplicates("batch", ignore_index=True)
+        place = pd.Index(batches["batch"]).get_indexer
+        at = place(pdf["batch"])
+        pdf["done"], pdf["hash"] = pdf["status"].isin(TERMINAL), pdf["batch_hash"] + pdf["job_hash"] % batches["spread"].to_numpy()[at]
+        latest = pdf.loc[~batches["told"].to_numpy()[at], ["hash", "batch", "job", "at_us", "done"]].drop_duplicates(["batch", "job"], keep="last")
+        if latest.empty:
+            return
+        known = self.jobs.read(latest["hash"])
+        # of the same time, what came later counts
+        both = pd.concat([known, latest], ignore_index=True).sort_values("at_us", kind="stable").drop_duplicates(["batch", "job"], keep="last")
+        for rows_, sign in ((known, -1), (both, 1)):
+            if rows_ is not None:
+                of = place(rows_.loc[rows_["done"], "batch"])
+                batches["finished"] += sign * np.bincount(of[of >= 0], minlength=len(batches))
+        size = np.zeros(len(batches), "int64")
+        size[place(sizes["batch"])] = sizes["batch_size"]
+        full = (size > 0) & (batches["finished"].to_numpy() >= size) & ~batches["told"].to_numpy()
+        told = batches[full]
+        self.jobs.write(both[~both["batch"].isin(told["batch"])])
+        if (told["spread"] > 1).any():
+            rest = self.jobs.read(np.concatenate([h + np.arange(n) for h, n in zip(told["hash"], told["spread"])]))
+            if rest is not None:
+                self.jobs.write(rest[~rest["batch"].isin(told["batch"])])
+        batches.loc[full, ["finished", "told"]] = 0, True
+        self.batches.write(batches)
+        if full.any():
+            yield self.frame([(None if b == NONE else b, n) for b, n in zip(told["batch"].tolist(), size[full].tolist())])
 
 
 class History(_Keyed):
@@ -360,6 +435,21 @@ def _stateful(events: DataFrame, key: str, processor: _Keyed, time_mode: str = "
     return micros(events).groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=StructType.fromDDL(processor.of(processor.OUT)), outputMode="Append", timeMode="ProcessingTime" if processor.TTL else time_mode, initialState=start)
 
 
+def _part(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int").alias("part")
+
+
+def _hash(*key: str) -> Column:
+    """What :class:`_Chunks` deals rows by: other bits than those that parts are dealt by."""
+    return F.shiftright(F.xxhash64(*key), 16)
+
+
+def _exact(df: DataFrame, column: str) -> Column:
+    """A column that pandas leaves as it is, with or without nulls."""
+    whole = isinstance(df.schema[column].dataType, IntegralType)
+    return (F.coalesce(F.col(column).cast("bigint"), F.lit(NONE)) if whole else F.col(column)).alias(column)
+
+
 def transition_monitor(events: DataFrame, ttl_s: int | None = TTL_S) -> DataFrame:
     """Illegal transitions of (event_id, job_id, ts, status) as they happen; a job is forgotten ``ttl_s`` after its last event (None: never)."""
     return _stateful(events, "job_id", Transitions(ttl_s))
@@ -395,7 +485,9 @@ def stale_timers(events: DataFrame, limits: dict[str, int], delay: str = "1 minu
 
 def batch_done_alerts(events: DataFrame) -> DataFrame:
     """Fires once a batch: (event_id, ts, batch, batch_size, job_id, status)."""
-    return _stateful(events, "batch", BatchDone())
+    kind = events.schema["batch"].dataType
+    shaped = events.select(_part("batch"), "event_id", "ts", _exact(events, "batch"), F.col("batch_size").cast("bigint").alias("batch_size"), "status", F.col("job_id").cast("string").alias("job"), _hash("batch").alias("batch_hash"), _hash("job_id").alias("job_hash"))
+    return _stateful(shaped, "part", BatchDone()).select(F.col("batch").cast(kind).alias("batch"), "jobs")
 
 
 def live_history(runs: DataFrame, initial: DataFrame | None = None, keep: int = 10, p: float = 0.8) -> DataFrame:

@@ -140,6 +140,39 @@ def test_a_retry_keeps_a_batch_open(spark, tmp_path):
     assert run(streaming.batch_done_alerts(early), tmp_path, "open").count() == 0
 
 
+def state_rows(df, tmp_path, name):
+    """What a stream tells, and the most rows that its state store had."""
+    q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    return df.sparkSession.table(name), max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress)
+
+
+@pytest.mark.parametrize("parts", [1, 256])
+def test_batches_of_any_size_in_few_rows_of_state(spark, tmp_path, monkeypatch, parts):
+    """A batch of 2,500 jobs and a thousand of three, with retries, against a loop; the store has chunks of jobs and not a row for each."""
+    monkeypatch.setattr(streaming, "PARTS", parts, raising=False)
+    rng, size_of = random.Random(3), lambda b: 2500 if b == 0 else 3
+    jobs = [(0, f"j{i}") for i in range(2500)] + [(1 + i // 3, f"k{i % 7}-{i}") for i in range(3000)]
+    events = [(i, job, T0 + datetime.timedelta(seconds=rng.randrange(3000)), "failed" if b % 5 else "done", b, size_of(b)) for i, (b, job) in enumerate(jobs)]
+    events += [(10_000 + i, job, T0 + datetime.timedelta(seconds=rng.randrange(6000)), rng.choice(["queued", "done"]), b, size_of(b)) for i, (b, job) in enumerate(rng.sample(jobs[2500:], 1500))]
+    rng.shuffle(events)
+    want, known, folder = set(), {}, str(tmp_path / "many")
+    for k in range(3):
+        part = sorted(events[k * 2400 : k * 2400 + 2400], key=lambda r: (r[2], r[0]))
+        for _, job, ts, status, b, _ in part:
+            if b not in want and ts >= known.get((b, job), (ts,))[0]:
+                known[b, job] = ts, status != "queued"
+        finished = {}
+        for (b, _), (_, done) in known.items():
+            finished[b] = finished.get(b, 0) + done
+        want |= {r[4] for r in part if finished[r[4]] >= r[5]}
+        spark.createDataFrame(part, "event_id long, job_id string, ts timestamp, status string, batch long, batch_size int").coalesce(1).write.mode("append").parquet(folder)
+    assert 0 in want and 300 < len(want) < 1001
+    stream = streaming.stream_events(spark, folder, "event_id long, job_id string, ts timestamp, status string, batch long, batch_size int", files_per_batch=1)
+    told, most = state_rows(streaming.batch_done_alerts(stream), tmp_path, f"many_{parts}")
+    assert rows(told) == sorted((b, size_of(b)) for b in want) and most <= 4 * parts + 12
+
+
 def test_stale_timer_in_any_zone_with_a_late_row(spark, tmp_path):
     zone, old = "America/New_York", spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", zone)
