@@ -345,37 +345,55 @@ class BatchDone(_Keyed):
 
 
 class History(_Keyed):
-    """The last runs of a signature, and the percentile of their peaks, told when it changes. A run that comes again changes nothing."""
+    """The last runs of each signature, and the percentile of their peaks, told when it changes. A run that comes again changes nothing."""
 
     OUT = "signature {signature}, p80_vram_mb bigint, p80_ram_mb bigint, samples bigint, last_seen_us bigint"
+    RUN = ["signature", "at_us", "event_id"]
+    PEAKS = ["vram_mb", "ram_mb"]
 
     def __init__(self, keep: int, p: float):
         self.keep, self.p = keep, p
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.runs = handle.getListState("runs", self.of("at bigint, job_id {event_id}, vram bigint, ram bigint"))
-
-    def _known(self) -> list[tuple]:
-        return [tuple(r) for r in self.runs.get()] if self.runs.exists() else []
-
-    def _fold(self, pdf: pd.DataFrame) -> list[tuple]:
-        number = lambda x: None if pd.isna(x) else int(x)
-        both = {(r[0], r[1]): r for r in self._known()}
-        for r in pdf.itertuples():
-            both[int(r.at_us), r.event_id] = (int(r.at_us), r.event_id, number(r.vram_mb), number(r.ram_mb))
-        last = [both[k] for k in sorted(both)[-self.keep :]]
-        self.runs.put(last)
+        self.runs = _Chunks(handle, "runs")
+
+    def _last(self, runs: pd.DataFrame) -> pd.DataFrame:
+        """The last runs of each signature, in order; a run that comes with other peaks counts as it came last."""
+        runs = runs.drop_duplicates(self.RUN, keep="last").sort_values(self.RUN[1:], kind="stable", na_position="first")
+        return runs.groupby("signature", sort=False, dropna=False).tail(self.keep)
+
+    def _fold(self, frames: Iterable[pd.DataFrame]) -> pd.DataFrame:
+        """Puts the runs of ``frames`` into state, and gives back those of its chunks; ``new`` says which weren't there."""
+        new = None
+        for pdf in frames:
+            new = self._last(pd.concat([new, pdf[["hash", *self.RUN, *self.PEAKS]]], ignore_index=True))
+        known = self.runs.read(new["hash"])
+        both = new.assign(new=True) if known is None else pd.concat([known.assign(new=False), new.assign(new=True)], ignore_index=True).drop_duplicates([*self.RUN, *self.PEAKS])
+        last = self._last(both)
+        self.runs.write(last.drop(columns="new"))
         return last
 
+    def _rank(self, runs: pd.DataFrame, column: str, signatures: int) -> np.ndarray:
+        """The percentile's value of ``column`` for signatures numbered from 0, null where all are."""
+        seen = runs[runs[column] != NONE].sort_values(column, kind="stable")
+        by, out = seen.groupby("number", sort=False)[column], np.full(signatures, None, object)
+        at = seen[by.cumcount() == -(-by.transform("size") * round(self.p * 100) // 100) - 1]
+        out[at["number"]] = at[column]
+        return out
+
     def handleInitialState(self, key, initialState, timerValues):
-        self._fold(initialState)
+        self._fold([initialState])
 
     def handleInputRows(self, key, rows, timerValues):
-        before = self._known()
-        last = self._fold(pd.concat(list(rows)))
-        rank = lambda values: values[-(-len(values) * round(self.p * 100) // 100) - 1] if values else None
-        p = [rank(sorted(r[k] for r in last if r[k] is not None)) for k in (2, 3)]
-        yield self.frame([(key[0], *p, len(last), last[-1][0])] if last != before else [])
+        last = self._fold(rows)
+        last["number"] = last.groupby("signature", sort=False, dropna=False).ngroup()
+        last = last[last.groupby("number")["new"].transform("any")]
+        if len(last):
+            last["number"] = pd.factorize(last["number"])[0]
+            told = last.groupby("number").agg(at_us=("at_us", "last"), samples=("at_us", "size"))
+            signatures = [None if s == NONE else s for s in last.drop_duplicates("number")["signature"].tolist()]
+            p = [self._rank(last, column, len(told)) for column in self.PEAKS]
+            yield self.frame(list(zip(signatures, *p, told["samples"].tolist(), told["at_us"].tolist())))
 
 
 class AsKnown(_Keyed):
@@ -494,15 +512,18 @@ def live_history(runs: DataFrame, initial: DataFrame | None = None, keep: int =
     """signature, p80_vram_mb, p80_ram_mb, samples, last_seen of each signature whose last ``keep`` finished runs change: a stream of (signature,
     job_id, finished_at, status, vram_mb, ram_mb).
 
-    The runs are a list in keyed state, so a batch reads and writes the signatures that it has and no others; ``initial``
+    The runs are rows in chunks of keyed state, so a batch reads and writes the signatures that it has and those that share their chunks; ``initial``
     (the same columns but status) is what was known before the stream first started. A run that comes again, by a retry or in another file, changes
     nothing, and after a restart the state goes on from the checkpoint. :func:`jobscope.operators.integrity.latest_by_key` of what
     was told is the history.
     """
-    shaped = lambda df: df.select("signature", F.col("job_id").alias("event_id"), F.col("finished_at").alias("ts"), "vram_mb", "ram_mb")
+    whole = lambda c: F.coalesce(F.col(c).try_cast("bigint"), F.lit(NONE)).alias(c)
+    own = lambda df: df.select(*(F.col(c).cast(runs.schema[c].dataType).alias(c) for c in ("signature", "job_id")), "finished_at", "vram_mb", "ram_mb")
+    of = lambda df: df.select(_part("signature"), _hash("signature").alias("hash"), _exact(df, "signature"), _exact(df, "job_id").alias("event_id"), F.col("finished_at").alias("ts"), whole("vram_mb"), whole("ram_mb"))
+    shaped = lambda df: of(own(df))
     known = shaped(initial.filter("finished_at is not null")) if initial is not None else None
-    told = _stateful(shaped(runs.filter("status in ('done', 'failed') and finished_at is not null")), "signature", History(keep, p), initial=known)
-    return told.select("signature", "p80_vram_mb", "p80_ram_mb", "samples", F.timestamp_micros("last_seen_us").alias("last_seen"))
+    told = _stateful(shaped(runs.filter("status in ('done', 'failed') and finished_at is not null")), "part", History(keep, p), initial=known)
+    return told.select(F.col("signature").cast(runs.schema["signature"].dataType).alias("signature"), "p80_vram_mb", "p80_ram_mb", "samples", F.timestamp_micros("last_seen_us").alias("last_seen"))
 
 
 def enrich_as_known(jobs: DataFrame, estimates: DataFrame, delay: str = "10 minutes") -> DataFrame:

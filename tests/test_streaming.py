@@ -241,6 +241,23 @@ def test_live_history(spark, tmp_path):
     assert all(want[k] in final for k in want) and max(len([r for r in final if r[0] == k]) for k in want) <= 3  # a row a batch that changed it
 
 
+@pytest.mark.parametrize("parts", [1, 256])
+def test_history_of_many_signatures_in_few_rows_of_state(spark, tmp_path, monkeypatch, parts):
+    """2,000 signatures, one of them null, with large ids, peaks that are null, and runs that come twice: equal to the operator over all runs ever, whose state isn't a row for
+    each signature. What changes nothing tells nothing."""
+    monkeypatch.setattr(streaming, "PARTS", parts, raising=False)
+    schema = "signature string, job_id long, finished_at timestamp, status string, vram_mb long, ram_mb long"
+    rng, folder = random.Random(4), str(tmp_path / "runs")
+    row = lambda i: (rng.choice([None, *(f"s{k}" for k in range(9))]) if i % 3 else f"t{i % 1990}", 2**60 + i, T0 + datetime.timedelta(seconds=rng.randrange(900)), rng.choice(["done", "failed"]), rng.choice([None, 2**50 + i, i]), rng.randrange(50))
+    data = [row(i) for i in range(9000)]
+    for part in (data[:3000], data[3000:6000] + data[:500], data[6000:], data[3000:4000]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    told, most = state_rows(streaming.live_history(streaming.stream_events(spark, folder, schema, files_per_batch=1)), tmp_path, f"history_{parts}")
+    found, want = told.collect(), history.p80_history(spark.createDataFrame(data, schema)).collect()
+    assert len(want) == 2000 and set(want) <= set(found) and len(found) <= 3 * 2000
+    assert most <= 2 * parts + 32
+
+
 def test_estimates_as_they_were(spark, tmp_path):
     """A job gets the estimate of its time, also after a newer one has come; late jobs as defined; restart included."""
     at = lambda s: T0 + datetime.timedelta(seconds=s)
