@@ -402,47 +402,59 @@ class AsKnown(_Keyed):
     A job waits until the watermark has passed its time, so estimates that are a little late still count. Of the estimates from before
     the watermark only the newest is kept. Jobs and estimates that come after the watermark has passed their time are too late: Spark drops them
     before they get here, and counts them in the query's progress.
+
+    A part has a timer for the first of its jobs that wait, and answers all that the watermark has passed by then.
     """
 
     OUT = "event_id string, job_id string, signature {signature}, at_us bigint, vram_mb bigint, ram_mb bigint"
+    VERSION = ["signature", "at_us", "vram_mb", "ram_mb"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.versions = handle.getListState("versions", "at bigint, vram bigint, ram bigint")
-        self.waiting = handle.getListState("waiting", "at bigint, event_id string, job_id string")
+        self.versions = _Chunks(handle, "versions")
+        self.waiting = handle.getListState("waiting", "jobs binary")
+        self.answered = set()
 
-    def _list(self, state) -> list[tuple]:
-        return [tuple(x) for x in state.get()] if state.exists() else []
+    def _wait(self, jobs: pd.DataFrame) -> bytes:
+        self.handle.registerTimer(int(jobs["at_us"].min()) // 1000 + 1)
+        return _packed(jobs)
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows))
-        number = lambda x: None if pd.isna(x) else int(x)
-        new = {(int(r.at_us), number(r.vram_mb), number(r.ram_mb)) for r in pdf[pdf["is_estimate"]].itertuples()}
-        jobs = [(int(r.at_us), r.event_id, r.job_id) for r in pdf[~pdf["is_estimate"]].itertuples()]
-        if jobs:
-            self.waiting.put([*self._list(self.waiting), *jobs])
-            for at in {j[0] for j in jobs}:
-                self.handle.registerTimer(at // 1000 + 1)
-        if new:
-            self.versions.put(sorted(new | set(self._list(self.versions)), key=lambda v: v[0]))
-        yield self.frame([])
+        jobs, new = pdf.loc[~pdf["is_estimate"], ["hash", "signature", "at_us", "event_id", "job_id"]], pdf.loc[pdf["is_estimate"], ["hash", *self.VERSION]]
+        if len(jobs):
+            self.waiting.appendValue((self._wait(jobs),))
+        if len(new):
+            self.versions.write(pd.concat([self.versions.read(new["hash"]), new], ignore_index=True).drop_duplicates(self.VERSION))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        waiting, versions = self._list(self.waiting), self._list(self.versions)
-        ready, rest = [j for j in waiting if j[0] <= due], [j for j in waiting if j[0] > due]
-        if rest:
-            self.waiting.put(rest)
+        if key in self.answered:  # by another of its timers: no rows come between them
+            return
+        self.answered.add(key)
+        due = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = _unpacked(blob for (blob,) in self.waiting.get())
+        if waiting is None:
+            return
+        ready, rest = waiting[waiting["at_us"] <= due].sort_values("at_us", kind="stable"), waiting[waiting["at_us"] > due]
+        if len(rest):
+            self.waiting.put([(self._wait(rest),)])
         else:
             self.waiting.clear()
-        out = []
-        for at, event_id, job_id in sorted(ready, key=str):
-            known = [v for v in versions if v[0] <= at]
-            out.append((event_id, job_id, key[0], at, *(known[-1][1:] if known else (None, None))))
-        old = [v for v in versions if v[0] <= due]
-        if len(old) > 1:
-            self.versions.put(versions[len(old) - 1 :])
-        yield self.frame(out)
+        if ready.empty:
+            return
+        versions, found = self.versions.read(ready["hash"]), np.full(len(ready), -1)
+        if versions is not None:
+            versions = versions.sort_values(self.VERSION[1:], kind="stable", ignore_index=True)
+            number = pd.factorize(pd.concat([versions["signature"], ready["signature"]]), use_na_sentinel=False)[0]
+            versions["number"], at = number[: len(versions)], ready[["at_us"]].assign(number=number[len(versions) :])
+            found = pd.merge_asof(at, versions[["at_us", "number"]].assign(row=versions.index), on="at_us", by="number")["row"].fillna(-1).to_numpy("int64")
+            old = versions[versions["at_us"] <= due]
+            if len(gone := old.index[old["number"].duplicated(keep="last")]):
+                self.versions.write(versions.drop(index=gone, columns="number"))
+        given = lambda c: [None if k < 0 or v == NONE else v for k, v in zip(found.tolist(), versions[c].to_numpy()[found].tolist())] if versions is not None else [None] * len(ready)
+        own = [None if s == NONE else s for s in ready["signature"].tolist()]
+        yield self.frame(list(zip(ready["event_id"], ready["job_id"], own, ready["at_us"].tolist(), given("vram_mb"), given("ram_mb"))))
 
 
 def _stateful(events: DataFrame, key: str, processor: _Keyed, time_mode: str = "None", initial: DataFrame | None = None) -> DataFrame:
@@ -536,10 +548,13 @@ def enrich_as_known(jobs: DataFrame, estimates: DataFrame, delay: str = "10 minu
     none = lambda c: F.lit(None).cast("string").alias(c)
     text = lambda c: F.col(c).cast("string").alias(c)
     own = lambda c: F.col(c).cast(jobs.schema[c].dataType).alias(c)
-    asks = jobs.select(text("event_id"), text("job_id"), "signature", "ts", F.lit(None).cast("bigint").alias("vram_mb"), F.lit(None).cast("bigint").alias("ram_mb"), F.lit(False).alias("is_estimate"))
-    known = estimates.select(none("event_id"), none("job_id"), "signature", "ts", F.col("vram_mb").cast("bigint").alias("vram_mb"), F.col("ram_mb").cast("bigint").alias("ram_mb"), F.lit(True).alias("is_estimate"))
-    told = _stateful(asks.unionByName(known).withWatermark("ts", delay), "signature", AsKnown(), "EventTime")
-    return told.select(own("event_id"), own("job_id"), "signature", F.timestamp_micros("at_us").alias("ts"), "vram_mb", "ram_mb")
+    whole = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(NONE)).alias(c)
+    asks = jobs.select(text("event_id"), text("job_id"), "signature", "ts", F.lit(NONE).alias("vram_mb"), F.lit(NONE).alias("ram_mb"), F.lit(False).alias("is_estimate"))
+    known = estimates.select(none("event_id"), none("job_id"), "signature", "ts", whole("vram_mb"), whole("ram_mb"), F.lit(True).alias("is_estimate"))
+    both = asks.unionByName(known)
+    shaped = both.select(_part("signature"), _hash("signature").alias("hash"), _exact(both, "signature"), *(c for c in both.columns if c != "signature"))
+    told = _stateful(shaped.withWatermark("ts", delay), "part", AsKnown(), "EventTime")
+    return told.select(own("event_id"), own("job_id"), F.col("signature").cast(both.schema["signature"].dataType).alias("signature"), F.timestamp_micros("at_us").alias("ts"), "vram_mb", "ram_mb")
 
 
 def fold_history(spark: SparkSession, recent_path: str, history_path: str, keep: int = 10):

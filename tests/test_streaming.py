@@ -285,6 +285,35 @@ def test_estimates_as_they_were(spark, tmp_path):
     assert set(go()) == {"j1", "j2", "j3", "j4", "j5", "j6", "j7", "j9"} and go()["j9"] == (4, 8)
 
 
+@pytest.mark.parametrize("parts", [1, 16])
+def test_estimates_of_many_signatures_in_few_rows_of_state(spark, tmp_path, monkeypatch, parts):
+    """4,000 jobs and as many versions of 700 signatures, one of them null, with large ids and peaks that are null, answered over several
+    batches as the watermark moves: against a loop. A part has one timer and its state is not a row for each signature."""
+    monkeypatch.setattr(streaming, "PARTS", parts, raising=False)
+    rng, jobs, known = random.Random(6), str(tmp_path / "jobs"), str(tmp_path / "known")
+    job_schema, known_schema = "event_id long, job_id long, signature string, ts timestamp", "signature string, ts timestamp, vram_mb long, ram_mb long"
+    signature = lambda: rng.choice([None, "s0", "s1", *(f"t{i}" for i in range(697))])
+    asked, versions = [], []
+    for k in range(4):
+        at = [T0 + datetime.timedelta(seconds=1000 * k, microseconds=x) for x in rng.sample(range(10**9), 2000)]
+        asks = [(k * 1000 + i, 2**60 + k * 1000 + i, signature(), t) for i, t in enumerate(at[:1000])]
+        facts = [(signature(), t, rng.choice([None, 2**60 + i, i]), i) for i, t in enumerate(at[1000:])]
+        spark.createDataFrame(asks, job_schema).coalesce(1).write.mode("append").parquet(jobs)
+        spark.createDataFrame(facts, known_schema).coalesce(1).write.mode("append").parquet(known)
+        asked, versions = asked + asks, versions + facts
+    spark.createDataFrame([(-1, -1, "end", T0 + datetime.timedelta(days=9))], job_schema).coalesce(1).write.mode("append").parquet(jobs)
+    of, want = {}, set()
+    for s, t, v, r in sorted(versions, key=lambda x: x[1]):
+        of.setdefault(s, []).append((t, v, r))
+    for e, j, s, t in asked:
+        before = [x for x in of.get(s, ()) if x[0] <= t]
+        want.add((e, j, s, t, *(before[-1][1:] if before else (None, None))))
+    told = streaming.enrich_as_known(streaming.stream_events(spark, jobs, job_schema, files_per_batch=1), streaming.stream_events(spark, known, known_schema, files_per_batch=1), "1000 seconds")
+    found, most = state_rows(told, tmp_path, f"known_{parts}")
+    assert found.count() == 4000 and {tuple(r) for r in found.collect()} == want
+    assert most <= 12 * parts + 40
+
+
 def test_rotated_log(spark, tmp_path, monkeypatch):
     """Rotation between and within batches, lines not written to their ends, restarts: each event once. A generation lost unread is an error."""
     from jobscope.sources import rotated
